@@ -22,7 +22,7 @@ from sparkward.llm import base
 #: Fixed value: the pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens whose counts a task remembers, and bytes of the longest it remembers; symbols merged in one array.
-MEMO, MEMO_BYTES, BLOCK = 1 << 18, 64, 1 << 21
+MEMO, MEMO_BYTES, BLOCK = 1 << 19, 64, 1 << 21
 NONE = np.int64(1) << 40
 LIMIT = 512
 
