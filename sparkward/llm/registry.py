@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sparkward.llm import secret_scans, simhash, token_counts, url_filters, warc
+from sparkward.llm import mixing, secret_scans, simhash, token_counts, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_url_filters": url_filters.op4_url_filters,
+    "op6_mixing": mixing.op6_mixing,
     "op7_secret_scans": secret_scans.op7_secret_scans,
     "op8_simhash": simhash.op8_simhash,
 }
