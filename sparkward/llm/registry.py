@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkward.llm import mixing, secret_scans, simhash, token_counts, url_filters, warc
+from sparkward.llm import mixing, secret_scans, simhash, token_counts, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -11,5 +11,6 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_secret_scans": secret_scans.op7_secret_scans,
     "op8_simhash": simhash.op8_simhash,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLE_SQL = {"op1_warc": warc.OP1_SQL, "op4_url_filters": url_filters.OP4_SQL}
