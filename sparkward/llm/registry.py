@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkward.llm import mixing, secret_scans, simhash, token_counts, toxicity, url_filters, warc
+from sparkward.llm import decontamination, mixing, secret_scans, simhash, token_counts, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_secret_scans": secret_scans.op7_secret_scans,
     "op8_simhash": simhash.op8_simhash,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLE_SQL = {"op1_warc": warc.OP1_SQL, "op4_url_filters": url_filters.OP4_SQL}
