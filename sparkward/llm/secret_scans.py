@@ -14,6 +14,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,7 +187,6 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def redact_column(docs: DataFrame, text_col: str = "text", n_col: str = "n_chars") -> DataFrame:
     """docs with secrets masked in the text and the length column made to fit; every row stays."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:

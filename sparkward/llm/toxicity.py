@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -263,7 +264,6 @@ def score(spark: SparkSession, docs: DataFrame, lexicon: Lexicon, *, id_col: str
 
 def reject(spark: SparkSession, docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score at or above the threshold."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
