@@ -112,23 +112,30 @@ def mix(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_co
     """
     draw = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("long"), F.lit("mix")), 11) / float(1 << 53)
     kept = [F.col(c) for c in keep if c != id_col]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("__source"), word_count(F.col(text_col)).alias("size"), draw.alias("__u"), *kept)
-    narrow, _ = base.written(spark, rows.select("doc_id", F.col("__source").alias("source"), "size", F.col("__u").alias("u")), "sizes")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("__source"), word_count(F.col(text_col)).alias("__size"), draw.alias("__u"), *kept)
+    narrow, _ = base.written(spark, rows.select("doc_id", F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__u").alias("u")), "sizes")
     pairs, _ = base.written(spark, narrow.groupBy("source", "size").agg(F.count("*").alias("n")), "pairs")
     totals = {r["source"]: int(r["w"]) for r in pairs.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("w")).collect()}
     targets = source_targets(totals, weights, cap)
     dual = solve_dual(spark, pairs, targets, cap)
     plan = _source_frame(spark, [(s, targets[s], *dual[s]) for s in totals], "source string, target double, lam double, scale double")
-    rate = F.when(F.col("lam") == math.inf, float(cap)).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(math.log(cap))))))
+    rate = _rate(F.col("lam"), F.col("size"), F.col("scale"), cap)
     rated = narrow.join(plan, narrow["source"].eqNullSafe(plan["source"])).select("doc_id", plan["source"], "size", "target", rate.alias("rate"), "u")
     shifts = _offsets(spark, rated, cap)
     settled = _source_frame(spark, [(s, shifts.get(s, 0.0)) for s in totals], "source string, shift double")
     swaps = _last_document(spark, rated.join(settled, rated["source"].eqNullSafe(settled["source"])).select(rated["source"], "doc_id", "size", "target", _copies(F.col("rate"), F.col("u"), F.col("shift"), cap).alias("copies")), cap)
-    told = _source_frame(spark, [(s, totals[s], targets[s], *dual[s], shifts.get(s, 0.0), *swaps.get(s, (None, 0))) for s in totals], "source string, source_size long, target double, lam double, scale double, shift double, swap_id long, swap int")
-    full = rows if keep else narrow.select("doc_id", F.col("source").alias("__source"), "size", F.col("u").alias("__u"))
-    full = full.join(told, full["__source"].eqNullSafe(told["source"]))
-    copies = _copies(rate, F.col("__u"), F.col("shift"), cap) + F.when(F.col("doc_id") == F.col("swap_id"), F.col("swap")).otherwise(0)
-    return full.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), *kept)
+    told = _source_frame(spark, [(s, totals[s], targets[s], *dual[s], shifts.get(s, 0.0), *swaps.get(s, (None, 0))) for s in totals], "__of string, __source_size long, __target double, __lam double, __scale double, __shift double, __swap_id long, __swap int")
+    full = (rows if keep else narrow.select("doc_id", F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("u").alias("__u"))).join(told, F.col("__source").eqNullSafe(F.col("__of")))
+    copies = _copies(_rate(F.col("__lam"), F.col("__size"), F.col("__scale"), cap), F.col("__u"), F.col("__shift"), cap)
+    copies = copies + F.when(F.col("doc_id") == F.col("__swap_id"), F.col("__swap")).otherwise(0)
+    said = {"size": F.col("__size"), "source_size": F.col("__source_size"), "target": F.col("__target"), "taken": copies * F.col("__size"), "copies": copies}
+    return full.select("doc_id", *(c.alias(n) for n, c in said.items() if n not in keep), *kept)
+
+
+def _rate(lam: Column, size: Column, scale: Column, cap: int) -> Column:
+    """min(cap, exp(lam * size / scale)), without overflow; the cap where lam is infinite."""
+    tilted = F.exp(F.least(lam * size / scale, F.lit(math.log(cap))))
+    return F.when(lam == math.inf, float(cap)).otherwise(F.least(F.lit(float(cap)), tilted))
 
 
 def _last_document(spark: SparkSession, taken: DataFrame, cap: int) -> dict[str | None, tuple[int, int]]:
