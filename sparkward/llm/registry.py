@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sparkward.llm import decontamination, mixing, secret_scans, simhash, token_counts, toxicity, url_filters, warc
+from sparkward.llm import decontamination, edit_fingerprints, mixing, secret_scans, simhash, token_counts, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_edit_fingerprints": edit_fingerprints.op2_edit_fingerprints,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_url_filters": url_filters.op4_url_filters,
     "op6_mixing": mixing.op6_mixing,
