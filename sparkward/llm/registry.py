@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sparkward.llm import decontamination, edit_fingerprints, mixing, secret_scans, simhash, token_counts, toxicity, url_filters, warc
+from sparkward.llm import decontamination, edit_fingerprints, mixing, secret_scans, simhash, suffix_dedup, token_counts, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_edit_fingerprints": edit_fingerprints.op2_edit_fingerprints,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_url_filters": url_filters.op4_url_filters,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_secret_scans": secret_scans.op7_secret_scans,
     "op8_simhash": simhash.op8_simhash,
