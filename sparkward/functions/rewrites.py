@@ -47,7 +47,9 @@ def _built(sql: str, values: list[ast.expr], attack: str) -> ast.expr:
                 joined.append(ast.FormattedValue(values[i], -1))
         return ast.JoinedStr([p for p in joined if not (isinstance(p, ast.Constant) and p.value == "")])
     if attack == "format_string":
-        return ast.Call(ast.Attribute(ast.Constant("{}".join(p.replace("{", "{{").replace("}", "}}") for p in parts)), "format", ast.Load()), values, [])
+        escaped = [p.replace("{", "{{").replace("}", "}}") for p in parts]
+        text = escaped[0] + "".join(f"{{{i}}}{p}" for i, p in enumerate(escaped[1:]))
+        return ast.Call(ast.Attribute(ast.Constant(text), "format", ast.Load()), values, [])
     out: ast.expr = ast.Constant(parts[0])
     for v, p in zip(values, parts[1:], strict=True):
         if attack == "fake_sanitization":

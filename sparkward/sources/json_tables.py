@@ -53,7 +53,7 @@ def legacy_sections(rows: DataFrame, prompt: str = "prompt") -> DataFrame:
     """Columns instruction, input and response from '### ...:' sections; without them the whole prompt is the instruction."""
     part = lambda name: F.regexp_extract(prompt, rf"(?s)### {name}:\s*(.*?)(?=### (?:Instruction|Input|Response):|\z)", 1)
     has = F.contains(F.col(prompt), F.lit("### Instruction:"))
-    cut = lambda name: F.trim(part(name))
+    cut = lambda name: F.regexp_replace(part(name), r"(?U)^\s+|\s+$", "")
     return rows.select("*", F.when(has, cut("Instruction")).otherwise(F.col(prompt)).alias("instruction"), F.when(has, cut("Input")).otherwise("").alias("input"), F.when(has, cut("Response")).otherwise("").alias("response"))
 
 
