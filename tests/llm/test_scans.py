@@ -1,0 +1,194 @@
+"""Operators without a shuffle of texts: tokens, secrets, toxicity, URL filters, archives."""
+
+import base64
+import hashlib
+import json
+import random
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from sparkward.llm import base, registry, secret_scans, token_counts, toxicity, url_filters, warc
+from tests.duck import duck, rows
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(PATH)
+
+
+@pytest.fixture(scope="module")
+def counter():
+    return token_counts.Counter(token_counts.load_merges(PATH))
+
+
+def test_tokens_are_the_librarys(spark, sf_dir, library):
+    got = {r["doc_id"]: r for r in registry.QUERIES["op3_token_counts"](spark, sf_dir).collect()}
+    docs = base.table(spark, sf_dir, "documents").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        n = len(library.encode(d["text"], add_special_tokens=False).ids)
+        assert (got[d["doc_id"]]["n_tokens"], got[d["doc_id"]]["n_bytes"], got[d["doc_id"]]["over_limit"]) == (n, len(d["text"].encode()), n > 512)
+
+
+@given(st.text(alphabet=st.sampled_from("aAbeé 中🙂\n\t'sdt012<|endoftext|>. \x1c\x85"), max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_tokens_of_odd_texts(library, counter, text):
+    assert counter.count([text])[0] == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_tokens_of_long_texts_in_parts(counter, library, monkeypatch):
+    text = "".join(random.Random(1).choice(["abc ", "\n", "zzzz", " <|endoftext|>", "9"]) for _ in range(4000))
+    monkeypatch.setattr(token_counts, "BLOCK", 512)
+    assert counter.count([text])[0] == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_tokens_edge_cases(spark, hard, empty, library):
+    got = token_counts.count_tokens(spark, hard, PATH)
+    assert got.count() == hard.count() and token_counts.count_tokens(spark, empty, PATH).count() == 0
+    assert got.where("doc_id in (0, 1)").agg(F.max("n_tokens"), F.max("n_bytes")).first()[:] == (0, 0)
+    assert {r["n_tokens"] for r in got.where("doc_id = 8").collect()} == {len(library.encode(hard.where("doc_id = 8").first()["text"]).ids)}
+
+
+def der(tag, body):
+    size = bytes([len(body)]) if len(body) < 128 else bytes([0x82]) + len(body).to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+KEY = der(0x30, der(0x02, b"\x00") + b"".join(der(0x02, bytes([i + 1] * 64)) for i in range(8)))
+
+
+def spans_by_hand(text):
+    out = []
+    for m in re.finditer(r"((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text):
+        if len(m[2]) >= 8:
+            out.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    out += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return [s for _, _, s in sorted(out)]
+
+
+@given(st.lists(st.sampled_from(["password", "PassWd", "token", "secret", "api_key", "APIKEY", "ſecret", "=", ":", " ", "\"", "'", "abcdefgh1", "AKIA", "ABCDEFGHIJKL", "0a" * 16, "x", "\n", "é"]), max_size=14).map("".join))
+@settings(max_examples=400, deadline=None)
+def test_base_spans_are_the_patterns(text):
+    assert [f"{k}:{s}:{e}" for s, k, e in secret_scans.scan_text(text)[0]] == spans_by_hand(text)
+
+
+def test_structural_confirmation():
+    pem = "-----BEGIN PRIVATE KEY-----\n" + base64.encodebytes(KEY).decode() + "-----END PRIVATE KEY-----"
+    b64 = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = f"{b64({'alg': 'HS256'})}.{b64({'sub': '1'})}.{base64.urlsafe_b64encode(bytes(32)).decode().rstrip('=')}"
+    kinds = lambda t: [k for _, k, _ in secret_scans.confirmed_spans(t)]
+    assert kinds(f"x {pem} y") == ["pem_key"] and kinds(base64.b64encode(KEY).decode()) == ["der_key"] and kinds(KEY.hex()) == ["der_key"]
+    assert kinds(f"a {token} b") == ["signed_token"] and kinds(token.replace("eyJ", "eyX")) == []
+    assert kinds(base64.b64encode(KEY[:-1] + b"").decode()) == [] and kinds(base64.b64encode(bytes(200)).decode()) == []
+    text = f"k {pem} and {token}!"
+    assert secret_scans.redact(text) == "k [REDACTED] and [REDACTED]!" and secret_scans.redact(None) is None
+    assert not secret_scans.is_private_key(b"\x30\x84\xff\xff\xff\xff") and not secret_scans.is_private_key(b"\x30" * 400)
+
+
+def test_secrets_query(spark, sf_dir, hard, empty):
+    docs = {r["doc_id"]: r["text"] for r in base.table(spark, sf_dir, "documents").collect()}
+    for r in registry.QUERIES["op7_secret_scans"](spark, sf_dir).collect():
+        expected = spans_by_hand(docs[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(expected).encode()).hexdigest()
+        assert set(expected) <= set(r["spans"].split(",")) | {""}
+    got = secret_scans.find_secrets(hard)
+    assert got.count() == hard.count() and secret_scans.find_secrets(empty).count() == 0
+    assert got.where("doc_id = 5").first()["n_assign"] == 1 and got.where("doc_id = 22").first()["n_access"] == 1
+    masked = secret_scans.redact_column(hard)
+    assert masked.columns == hard.columns and masked.where("doc_id = 5").first()["text"] == "[REDACTED]" and masked.where("doc_id = 0 and text is null").count() == 1
+
+
+def test_folding():
+    assert toxicity.fold("Y0U 1D10T") == "you idiot" and toxicity.fold("ｉｄｉｏｔ іdіоt") == "idiot idiot"
+    assert toxicity.fold("in 2024 at 10:30") == "in 2024 at 10:30"
+
+
+def test_toxicity_held_out(spark):
+    d = "/root/testdata/sf0.1"
+    got = registry.QUERIES["op9_toxicity"](spark, d).join(base.table(spark, d, "labels"), "doc_id").where("held_out")
+    hit, said, true = got.agg(*(F.count_if(F.expr(e)) for e in ("predicted = 1 and toxic = 1", "predicted = 1", "toxic = 1"))).first()
+    assert hit / said > 0.9 and hit / true > 0.85
+
+
+def test_toxicity_edge_cases(spark, hard, empty):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(None, 1), (5, None), (5, 7)], "doc_id long, toxic int")
+    for lexicon in (toxicity.fit(spark, hard, labels), toxicity.fit(spark, empty, labels), toxicity.fit(spark, hard, labels.limit(0)), toxicity.Lexicon({"=bad=": 3.0, "=wor": 1.0}, frozenset({"not bad"}), 2.0, -1.0)):
+        got = toxicity.score(spark, hard, lexicon)
+        assert got.count() == hard.count() and got.where("score between 0 and 1 and predicted in (0, 1)").count() == hard.count()
+        assert toxicity.reject(spark, hard, lexicon).columns == hard.columns
+        assert toxicity.score(spark, empty, lexicon).count() == 0
+    match = toxicity.Matcher(toxicity.Lexicon({"=bad=": 3.0, "=wor": 1.0}, frozenset({"not bad"}), 2.0, -1.0))
+    assert match.feature("a bad word") > match.feature("a word") > 0 and match.feature("not bad") == 0 == match.feature("badly sword")
+    assert match.feature("bad") > match.feature("bad " + "x " * 100)
+
+
+def test_held_out_is_crc32(spark):
+    ids = spark.createDataFrame([(i,) for i in [*range(200), -5, None]], "i long")
+    assert all(r["h"] == toxicity.held_out(r["i"]) for r in ids.select("i", toxicity.held_out_column(F.col("i")).alias("h")).collect())
+
+
+def test_archives_match_sql(spark, sf_dir):
+    assert rows(registry.QUERIES["op1_warc"](spark, sf_dir).toPandas()) == rows(duck(registry.ORACLE_SQL["op1_warc"], sf_dir))
+
+
+def test_archive_round_trip(spark):
+    pages = [(1, "http://a/\r\nX: y%", "<p>é</p>"), (2, None, None), (3, "u", ""), (4, "u", "<p>é</p>"), (4, "u", "<p>é</p>"), (None, "n", "<p>é</p>"), (None, "only", "nul"), (9, "big", "z" * 3_000_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(1)).repartition(2)
+    root = base.scratch_path(spark, "warc-test")
+    index = warc.write_archives(spark, df, root)
+    got = warc.read_records(index, root, payloads=True).collect()
+    assert len(got) == len(pages) and all(r["digest_ok"] for r in got)
+    responses = {(r["page_id"], r["url"]): bytes(r["payload"]).decode() for r in got if r["record_type"] == "response"}
+    assert responses[(4, "u")] == "<p>é</p>" and responses[(None, "only")] == "nul" and responses[(9, "big")] == "z" * 3_000_000
+    revisits = {(r["page_id"], r["url"]): (r["refers_to"], r["payload_bytes"]) for r in got if r["record_type"] == "revisit"}
+    assert revisits == {(1, "http://a/\r\nX: y%"): (4, 9), (None, "n"): (4, 9), (2, None): (3, 0)}
+    some = warc.read_records(index.where("page_id = 9"), root, payloads=True).collect()
+    assert [r["page_id"] for r in some] == [9]
+    big = warc.write_archives(spark, df, base.scratch_path(spark, "warc-min"), min_revisit_bytes=10)
+    assert big.where("record_type = 'revisit'").count() == 0
+    nothing = warc.write_archives(spark, df.limit(0), base.scratch_path(spark, "warc-none"))
+    assert nothing.count() == 0 and warc.read_records(nothing, root).count() == 0
+    with pytest.raises(ValueError):
+        warc.decode_record(__import__("gzip").compress(b"no record"))
+
+
+def test_url_filters_match_sql(spark, sf_dir):
+    assert rows(registry.QUERIES["op4_url_filters"](spark, sf_dir).toPandas()) == rows(duck(registry.ORACLE_SQL["op4_url_filters"], sf_dir))
+
+
+def judged_by_hand(url, rules):
+    host = path = ""
+    if url is not None and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1]) and host]
+    best = max(fits, key=lambda r: (len(r[0] + r[1]), len(r[0]), r[2] == "block"), default=None)
+    return host, path, best and best[0] + best[1], best[2] if best else "allow"
+
+
+def test_url_filters_by_hand(spark):
+    rng = random.Random(2)
+    urls = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.COM/de/x", "http://net", "http://net/", "a://b://c.net/x", "http://x.notexample.net/en/", "http://example.net/en", "http://a..net/", "http://ÉX.org/fr/"]
+    urls += ["http://" + ".".join(rng.choice(["a", "example", "net", "org", "com", "b"]) for _ in range(rng.randint(1, 6))) + rng.choice(["", "/", "/en/", "/de/x?y", "/fr/#z", "/enx"]) for _ in range(300)]
+    extra = (*url_filters.RULES, ("a.org", "/f", "block"), ("b.com", "/", "block"), ("b.com", "/", "allow"))
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(None, "http://q.net/")] * 2, "page_id int, url string").withColumn("host", F.lit("clash")).withColumn("hit", F.lit(0))
+    for rules in (url_filters.RULES, extra, ()):
+        got = url_filters.judge(pages, url_filters.rules_table(spark, rules)).collect()
+        assert len(got) == len(urls) + 2
+        for r in got:
+            url = "http://q.net/" if r["page_id"] is None else urls[r["page_id"]]
+            assert tuple(r)[1:] == judged_by_hand(url, rules), url
+    plan = url_filters.judge(pages, url_filters.rules_table(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
