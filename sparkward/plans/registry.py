@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkward.functions import pyast, rewrites, rules, taint
 from sparkward.functions import text as T
-from sparkward.operators import compare, dataset, diversity, trainlog
+from sparkward.operators import compare, dataset, detection, diversity, generate, preparation, trainlog
 from sparkward.operators import metrics as M
 from sparkward.plans.views import table, view, with_views
 from sparkward.sources import contracts
@@ -421,12 +421,74 @@ def unsafe_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("pair_isomorphism")
 def pair_isomorphism(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Preference pairs: safe code that parses, its unsafe variants, and the filters that a pair must pass."""
-    code = view(spark, sf_dir, "code_samples").select("o_orderkey", pyast.code_only_column(F.col("code")).alias("chosen")).where("chosen is not null").where(rules.target_is_safe(F.col("chosen")))
-    tried = code.select("o_orderkey", "chosen", F.explode(F.array(*(F.lit(a) for a, _ in dataset.ATTACKS))).alias("attack_type"))
-    made = tried.withColumn("rejected", rewrites.unsafe_column(F.col("chosen"), F.col("attack_type"))).where("rejected is not null")
-    told = made.where(~rules.target_is_safe(F.col("rejected"))).withColumn("iso", pyast.isomorphic_column(F.col("chosen"), F.col("rejected")))
-    return told.select("o_orderkey", "attack_type", dataset.tier_of(F.col("attack_type")).alias("tier"), "iso.ok", "iso.reason", T.driver_of(F.col("chosen")).alias("driver"))
+    """Preference pairs that were tried over the code table, with their outcome."""
+    rows = view(spark, sf_dir, "code_samples").select("o_orderkey", F.lit("say").alias("instruction"), F.lit("").alias("input"), F.col("code").alias("output"), F.lit(True).alias("expected_vulnerable"))
+    return preparation.build_pairs(rows, "o_orderkey").select("o_orderkey", "attack_type", "tier", "driver", "outcome")
+
+
+@register("pair_statistics")
+def pair_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preparation.pair_stats(pair_isomorphism(spark, sf_dir))
+
+
+@register("bucket_fill")
+def bucket_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.fill_plan(spark, 2200)
+
+
+@register("bucket_fill_shape", "WITH p AS (" + _plan_sql("eval", 300) + ") SELECT attack_type, difficulty, task_type, sum(n)::BIGINT AS n FROM p WHERE n > 0 GROUP BY ALL")
+def bucket_fill_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.fill_plan(spark, 300, "eval").groupBy("attack_type", "difficulty", "task_type").agg(F.count("*").alias("n"))
+
+
+@register("four_categories")
+def four_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.four_categories(spark, 100)
+
+
+@register("detect_merged", f"""WITH r AS (SELECT o_orderkey, {' OR '.join("regexp_matches(code, '(?im)" + p.replace("'", "''") + "')" for _, p in rules.DETECTOR_RULES)} OR {' OR '.join("regexp_matches(code, '(?im)" + p.replace("'", "''") + "')" for p in rules.HEURISTIC_PATTERNS)} AS hit FROM code_samples)
+SELECT o_orderkey, hit AS rule_based_detected, o_orderkey % 5 = 0 AS analyser_b608, hit OR o_orderkey % 5 = 0 AS is_vulnerable, concat_ws('|', CASE WHEN o_orderkey % 5 = 0 THEN 'bandit_b608' END, CASE WHEN hit THEN 'rule_based' END) AS sources FROM r""")
+def detect_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = F.when(F.col("o_orderkey") % 5 == 0, '{"results": [{"test_id": "B608", "issue_severity": "MEDIUM", "line_number": "4"}]}').otherwise("not json")
+    told = detection.detect(view(spark, sf_dir, "code_samples"), report=report)
+    return told.select("o_orderkey", "rule_based_detected", "analyser_b608", "is_vulnerable", F.array_join("detection_sources", "|").alias("sources"))
+
+
+@register("scaffold_check", "SELECT doc_id, contains(text, '[SECURITY WARNING]') OR contains(text, '[EXPLANATION]') OR contains(text, '[SAFE SOLUTION]') OR contains(text, '### Response') OR contains(text, '### Solution') OR contains(text, '### Test') OR contains(text, '# ref=') AS scaffold FROM documents")
+def scaffold_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", preparation.has_scaffold(F.col("text")).alias("scaffold"))
+
+
+@register("code_only_targets")
+def code_only_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preparation.code_only_targets(view(spark, sf_dir, "code_samples"), "code").select("o_orderkey", "code", "dropped_reason")
+
+
+def _bytes(text: str, special: bool) -> list[int]:
+    """A stand-in for a tokenizer: a start mark and the text's bytes."""
+    return [256] * special + list(text.encode())
+
+
+_PROMPT_BYTES = r"1 + octet_length(encode(E'Instruction:\nsay\n\nInput:\n\n\n'))"
+_DONE_BYTES = r"CASE WHEN trim(text) = '' THEN 0 ELSE octet_length(encode(regexp_replace(text, '^\s+|\s+$', '', 'g'))) + 1 END"
+
+
+@register("masked_tokens", f"WITH s AS (SELECT doc_id, {_PROMPT_BYTES} AS p, {_PROMPT_BYTES} + {_DONE_BYTES} AS n FROM documents) SELECT doc_id, least(n, 512) AS n_ids, least(n, 512) - greatest(0, p - greatest(0, n - 512)) AS n_completion FROM s")
+def masked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = preparation.prompt_completion(table(spark, sf_dir, "documents").select("doc_id", F.lit("say").alias("instruction"), F.lit("").alias("input"), F.col("text").alias("output")))
+
+    def run(frames):
+        for f in frames:
+            made = [preparation.masked_ids(p, c, _bytes, 512) for p, c in zip(f["prompt"], f["completion"], strict=True)]
+            yield f[["doc_id"]].assign(n_ids=[len(i) for i, _ in made], n_completion=[sum(m) for _, m in made])
+
+    return rows.select("doc_id", "prompt", "completion").mapInPandas(run, "doc_id long, n_ids long, n_completion long")
+
+
+@register("pair_token_stats")
+def pair_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.lit("say\n").alias("prompt"), F.col("text").alias("chosen"), F.lower("text").alias("rejected"))
+    return preparation.pair_token_stats(preparation.tokenise_pairs(rows, _bytes, "</s>", 64, 1024))
 
 
 @register("safe_fix")
