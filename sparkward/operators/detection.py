@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import shutil
 import subprocess
-import tempfile
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,27 +27,21 @@ def normalised_issues(report: Column) -> Column:
     return F.coalesce(F.transform(raw, issue), F.array().cast(ISSUE))
 
 
-def _reports(codes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _reports(codes: pd.Series) -> pd.Series:
     tool = shutil.which(TOOL)
-    for batch in codes:
-        out = []
-        for code in batch:
-            if tool is None:
-                out.append(None)
-                continue
-            with tempfile.TemporaryDirectory() as d:  # a worker's own file, read by its own child process
-                path = os.path.join(d, "sample.py")
-                with open(path, "w", encoding="utf-8") as f:
-                    f.write(code if isinstance(code, str) else "")
-                out.append(subprocess.run([tool, path, "-f", "json"], capture_output=True, text=True, check=False).stdout)
-        yield pd.Series(out, dtype=object)
+    out = []
+    for code in codes:
+        if tool is None:
+            out.append(None)
+            continue
+        given = code if isinstance(code, str) else ""
+        out.append(subprocess.run([tool, "-", "-f", "json"], input=given, capture_output=True, text=True, check=False).stdout)
+    return pd.Series(out, dtype=object)
 
 
 def analyser_report(code: Column) -> Column:
     """The analyser's JSON; null where the tool is not installed on the worker, which reads as skipped."""
-    from pyspark.sql.functions import PandasUDFType
-
-    return F.pandas_udf(_reports, "string", PandasUDFType.SCALAR_ITER)(code)
+    return F.pandas_udf(_reports, "string")(code)
 
 
 def detect(rows: DataFrame, code: str = "code", mode: str = "or", use_rules: bool = True, use_taint: bool = False, report: Column | None = None) -> DataFrame:
