@@ -181,5 +181,6 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, id_col:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents; a document that is not listed is clean."""
     base.tune(spark)
-    return judge(spark, base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
+    return judge(spark, base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark")).where("contaminated")

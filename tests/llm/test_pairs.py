@@ -184,8 +184,9 @@ def test_decontamination_finds_planted_items(spark):
     flat = lambda t: " ".join(t.split())
     items = [flat(r["text"]) for r in base.table(spark, d, "benchmark").collect()]
     docs = {r["doc_id"]: flat(r["text"]) for r in base.table(spark, d, "documents").collect()}
-    got = {r["doc_id"]: r["contaminated"] for r in registry.QUERIES["op10_decontamination"](spark, d).collect()}
-    assert got == {i: any(x in t for x in items) for i, t in docs.items()}
+    got = registry.QUERIES["op10_decontamination"](spark, d).collect()
+    assert all(r["contaminated"] for r in got)
+    assert {r["doc_id"] for r in got} == {i for i, t in docs.items() if any(x in t for x in items)}
 
 
 def test_targets():
