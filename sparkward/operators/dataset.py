@@ -17,7 +17,8 @@ TIER_SHARES = {"easy": 0.30, "medium": 0.40, "hard": 0.30}
 
 def bucket_plan(spark: SparkSession, total: int, split: str = "train") -> DataFrame:
     """Largest-remainder counts of the 42 buckets attack x difficulty x task; ties go to the earlier bucket."""
-    dim = lambda rows, name: spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"{name}_ord int, {name} string, {name}_w double").coalesce(1)
+    one = spark.range(0, 1, 1, 1)
+    dim = lambda rows, name: one.select(F.inline(F.array(*(F.struct(F.lit(i).alias(f"{name}_ord"), F.lit(v).alias(name), F.lit(w).alias(f"{name}_w")) for i, (v, w) in enumerate(rows)))))
     plan = dim(ATTACKS, "attack_type").crossJoin(dim(DIFFICULTIES[split], "difficulty")).crossJoin(dim(TASKS, "task_type"))
     plan = plan.withColumn("bucket", (F.col("attack_type_ord") * 3 + F.col("difficulty_ord")) * 2 + F.col("task_type_ord")).withColumn("weight", F.col("attack_type_w") * F.col("difficulty_w") * F.col("task_type_w"))
     return apportion(plan, F.col("weight"), total, F.col("bucket")).select("bucket", "attack_type", "difficulty", "task_type", "n")

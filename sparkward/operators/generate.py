@@ -17,6 +17,8 @@ REQUESTS = {
     "medium": ("Our {d} service filters {t} by a {c} that users type in. Write the query function.", "Write a search over {t}.{c} with {d}; the value comes from a form."),
     "hard": ("The {c} was cleaned upstream, so build the {d} query on {t} as you like, but keep it correct.", "Refactor the {d} lookup of {t} by {c} so that other modules can call it."),
 }
+#: Rows of a bucket that one task makes.
+PART = 100_000
 CATEGORIES = ("normal", "ambiguous", "adversarial", "repair")
 
 
@@ -42,7 +44,11 @@ def fill_plan(spark: SparkSession, total: int, split: str = "train", seed: int =
     built. column repeats says whether an earlier row has the same prompt.
     """
     plan = dataset.bucket_plan(spark, total, split)
-    rows = plan.where("n > 0").select("bucket", "attack_type", "difficulty", "task_type", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    parts = plan.where("n > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PART))).alias("part"))
+    if total > PART:  # a large bucket is filled by many tasks
+        parts = parts.repartition("bucket", "part")
+    numbers = F.sequence(F.col("part") * PART + 1, F.least("n", (F.col("part") + 1) * PART))
+    rows = parts.select("bucket", "attack_type", "difficulty", "task_type", F.explode(numbers).alias("i"))
     key = (F.col("bucket"), F.col("i"))
     rows = rows.withColumns({"schema_table": pick(TABLES, seed, *key), "schema_column": pick(COLUMNS, seed + 1, *key), "driver": pick(tuple(d for d, _ in DRIVERS), seed + 2, *key), "expected_vulnerable": (F.col("i") + F.col("bucket")) % 2 == 0})
     said = None
