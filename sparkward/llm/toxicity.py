@@ -217,14 +217,15 @@ def _selected(rows: Iterable, kinds: dict[str, int]) -> dict[str, float]:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Lexicon:
     """Learn lexicon, exceptions and curve from labelled rows that are not held out.
 
-    The sample are the labelled ids of least hash, so it has at most that many ids however large the corpus is. Texts
+    The sample are the labelled ids of least hash, so it has at most that many ids however large the corpus is, and they
+    are broadcast. Texts
     that repeat count once. Without labelled texts the lexicon is empty and every score is 0.
     """
     ids = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     ids = ids.where(~held_out_column(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chosen = texts.join(ids, "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y")
+    chosen = texts.join(F.broadcast(ids), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y")
     chosen, path = base.written(spark, chosen, "labelled")
     n = {r["y"]: r["count"] for r in chosen.groupBy("y").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
