@@ -229,3 +229,15 @@ def test_pipeline(spark):
     assert kept.where("taken = copies * size and copies between 0 and 3").count() == kept.count() > 0
     ran = corpus_pipeline.run(spark, d)
     assert {tuple(r) for r in ran.select("doc_id", "taken").collect()} == {tuple(r) for r in kept.select("doc_id", "taken").collect()}
+
+
+def test_stages_on_hard_rows(spark, hard, empty):
+    for rows in (hard, empty):
+        docs = rows
+        for name, stage in corpus_pipeline.STAGES:
+            docs, _ = base.written(spark, stage(spark, docs, "/root/testdata/sf0.001"), f"hard-{name}")
+            assert set(rows.columns) <= set(docs.columns)
+            if name != "mixture":
+                assert docs.columns == rows.columns
+        ids = [r["doc_id"] for r in docs.collect()]
+        assert len(ids) == len(set(ids)) and (0 < len(ids) < hard.count() if rows is hard else not ids)
