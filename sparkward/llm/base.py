@@ -88,15 +88,17 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
     now, path = written(spark, now, "edges")
     mark = None
     for _ in range(rounds):
+        # minima are written tables, so that either side of a join is an exchange of its own, which AQE can split
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least, least_path = written(spark, both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large, large_path = written(spark, large.where("u <> v").distinct(), "large")
+        down, down_path = written(spark, large.groupBy("u").agg(F.min("v").alias("m")), "down")
         small = large.join(down, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         new, new_path = written(spark, small.where("u <> v").distinct(), "edges")
-        drop_path(spark, path)
+        for old in (path, least_path, large_path, down_path):
+            drop_path(spark, old)
         now, path = new, new_path
         got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == tuple(got):

@@ -196,7 +196,8 @@ def fingerprint_components(spark: SparkSession, prints: DataFrame, radius: int =
     linked, _ = base.written(spark, link_edges(spark, fps, radius), "links")
     sets = base.components(spark, linked)
     members = fps.join(sets.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = members.groupBy("component").agg(F.min("keep").alias("keep"), F.min("low").alias("component_id"))
+    members, _ = base.written(spark, members.select("fp", "component", "keep", "low"), "members")
+    least, _ = base.written(spark, members.groupBy("component").agg(F.min("keep").alias("keep"), F.min("low").alias("component_id")), "least")
     out = members.select("fp", "component").join(least, "component").select("fp", "component_id", "keep")
     return base.written(spark, out, "fp-components")[0]
 
