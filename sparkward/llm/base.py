@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkward.shipping import ensure_workers
+
 #: Rows and bytes of an Arrow batch; a batch of very long texts stays small.
 ARROW_ROWS = 512
 ARROW_BYTES = "16m"
@@ -18,7 +20,8 @@ _roots: set[str] = set()
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get."""
+    """Bound the Arrow batches that Python workers get, and see to it that workers have this package."""
+    ensure_workers(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
