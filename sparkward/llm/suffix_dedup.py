@@ -27,6 +27,8 @@ LENGTH = 400
 #: Bytes of a piece that is hashed at once (20 bits hold a place in it), of a suffix array; snippets of an anchor beyond
 #: which its windows are dealt on, in groups of so many starts.
 PIECE, SHARD, HOT, FEW = 1 << 20, 1 << 19, 1000, 8
+#: Bytes of snippets that a sorting task gets on average.
+TASK = 4 << 20
 FACTOR = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
 
@@ -290,19 +292,25 @@ def _release(spark: SparkSession) -> None:
 def repeated_ranges(spark: SparkSession, texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """From (d, t, bytes), the key of a text and its bytes: (d, t, lo, hi) of starts of repeated windows, per snippet."""
     found, found_path = base.written(spark, texts.mapInArrow(_scan(length), _FOUND), "snippets")
-    often = found.groupBy("a").count().where("count > 1").select("a")
+    # counts are written tables: what is joined with them is an exchange of its own, which AQE can split at a hot anchor
+    often, often_path = base.written(spark, found.groupBy("a").count().where("count > 1").select("a"), "often")
     found, path = base.written(spark, found.join(often, "a", "left_semi"), "repeated-anchors")
     base.drop_path(spark, found_path)
+    base.drop_path(spark, often_path)
     _release(spark)
     kinds, kinds_path = base.written(spark, found.groupBy("a", "g").agg(F.count("*").alias("k"), F.min(F.struct("d", "t", "s", "n")).alias("x")), "kinds")
     # an anchor's snippets meet only if there are several kinds of them
-    several = kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    several, several_path = base.written(spark, kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
     wants = kinds.join(several, "a").select("x.d", "x.t", F.struct("a", "g", F.col("x.s").alias("s"), F.col("x.n").alias("n"), (F.col("kinds") > HOT).alias("hot")).alias("want"))
     wants = wants.groupBy("d", "t").agg(F.collect_list("want").alias("wants")).withColumnsRenamed({"d": "d2", "t": "t2"})
     one = texts.join(wants, (F.col("d") == F.col("d2")) & (F.col("t") == F.col("t2"))).dropDuplicates(["d", "t"])
     cut, cut_path = base.written(spark, one.select("bytes", "wants").mapInArrow(_cut(length), _SHARDED), "shards")
+    base.drop_path(spark, several_path)
     _release(spark)
-    dealt = cut.repartition("shard").sortWithinPartitions("shard")
+    # sorting costs far more than its bytes tell, so the number of tasks follows the bytes and not Spark's advice
+    size = cut.agg(F.sum(F.col("starts").cast("long") + length - 1)).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK))
+    dealt = cut.repartition(tasks, "shard").sortWithinPartitions("shard")
     hits, _ = base.written(spark, dealt.mapInArrow(_sorted_shards(length), "a long, g long, lo int, hi int"), "repeats")
     base.drop_path(spark, cut_path)
     _release(spark)
