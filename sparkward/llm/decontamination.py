@@ -3,13 +3,15 @@
 Numbers, names and units become typed placeholders; windows of five template words are hashed on both sides and joined.
 Of a document's hits on an item, those that lie on nearly the same alignment count together: the document is contaminated
 if they cover at least four fifths of the item's words and the values in the placeholders map consistently from the item
-to the document, as they do in a question with new parameters. A bitmap of the benchmark's hashes, of bounded size
+to the document, as they do in a question with new parameters. Where an item repeats a template, hits of other alignments
+compete for the same words; each exact alignment and the best chain of hits in order are judged without them. A bitmap of the benchmark's hashes, of bounded size
 whatever the benchmark, keeps windows that cannot match from leaving the scan; the join decides.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,10 +136,74 @@ def _bitmap(items: DataFrame) -> tuple[np.ndarray, int]:
     return out, bits
 
 
+def _judged(hits: list[tuple], words: int) -> tuple[float, int, float]:
+    """Coverage of an item by (position, at, slots, values), number of its distinct slot values, consistency of the pairs."""
+    covered = {p + k for p, *_ in hits for k in range(WINDOW)}
+    pairs = {x for _, _, a, b in hits for x in zip(a, b, strict=True)}
+    keys = len({a for a, _ in pairs})
+    return len(covered) / words, keys, keys / len(pairs) if pairs else 1.0
+
+
+def _chain(hits: list[tuple]) -> list[tuple]:
+    """The hits of rising position and at that cover most words; of equal ones that of fewest shifts, then most equal values."""
+    hits = sorted(hits, key=lambda h: (h[1], h[0]))
+    shifts: dict[int, tuple[list, list]] = {}  # positions of the hits on each shift, and their numbers
+    scores: list[tuple[int, int, int]] = []
+    back: list[int] = []
+    for i, (p, at, a, b) in enumerate(hits):
+        same = sum(x == y for x, y in zip(a, b, strict=True))
+        score, before = (WINDOW, 0, same), -1
+        for shift, (places, numbers) in shifts.items():
+            # of the hits on one shift that may come before, the latest ends a chain at least as good as any
+            k = bisect_left(places, min(p, at - shift)) - 1
+            if k >= 0:
+                s = scores[numbers[k]]
+                new = (s[0] + min(WINDOW, p - places[k]), s[1] - (shift != at - p), s[2] + same)
+                if new > score:
+                    score, before = new, numbers[k]
+        places, numbers = shifts.setdefault(at - p, ([], []))
+        places.append(p)
+        numbers.append(i)
+        scores.append(score)
+        back.append(before)
+    i = max(range(len(hits)), key=scores.__getitem__, default=-1)
+    out = []
+    while i >= 0:
+        out.append(hits[i])
+        i = back[i]
+    return out
+
+
+def _best(hits: list[tuple], words: int, coverage: float, consistent: float) -> tuple[float, int, float] | None:
+    """Most coverage, slots and consistency of the alignments that pass, or None.
+
+    Two overlapping sets of bands: alignments that differ by less than half a band share one in either set. In a band all
+    hits are judged together, those of every exact alignment on their own, and the best chain of hits in order.
+    """
+    bands: dict[tuple, list] = {}
+    shifts: dict[int, list] = {}
+    for h in hits:
+        shift = h[1] - h[0]
+        shifts.setdefault(shift, []).append(h)
+        bands.setdefault((0, shift // SLACK), []).append(h)
+        bands.setdefault((1, (shift + SLACK // 2) // SLACK), []).append(h)
+    passed = []
+    for band in bands.values():
+        told = _judged(band, words)
+        if told[0] < coverage:  # nor do fewer of its hits cover more
+            continue
+        passed.append(told)
+        if told[2] < consistent:
+            passed.append(_judged(_chain(band), words))
+            passed += [_judged(shifts[s], words) for s in {h[1] - h[0] for h in band}]
+    passed = [x for x in passed if x[0] >= coverage and x[2] >= consistent]
+    return tuple(max(c) for c in zip(*passed, strict=True)) if passed else None
+
+
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE, consistent: float = CONSISTENT) -> DataFrame:
     """(doc_id, text_hash, item_id, coverage, slots, consistency) of every contaminated text and item.
 
-    coverage is the share of the item's words under matching windows of one alignment, consistency the number of distinct
+    coverage is the share of the item's words under matching windows of one alignment or chain, consistency the number of distinct
     slot values of the item over the distinct pairs of values (1 where there is none). Items of fewer than five words, or
     of hardly anything but placeholders, are no evidence and match nothing; so do null and empty texts.
     """
@@ -151,15 +217,21 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
 
     hits = texts.mapInArrow(scan, f"doc_id long, text_hash long, {HITS}").withColumnsRenamed({"position": "at", "slots": "values"})
     met = hits.join(items, "h")
-    shift = F.col("at") - F.col("position")
-    # two overlapping sets of bands: alignments that differ by less than half a band share one in either set
-    bands = F.array(F.struct(F.lit(0).alias("set"), F.floor(shift / SLACK).alias("band")), F.struct(F.lit(1).alias("set"), F.floor((shift + SLACK // 2) / SLACK).alias("band")))
-    pairs = F.zip_with("slots", "values", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    placed = met.select("doc_id", "text_hash", "item_id", "item_hash", "words", "position", pairs.alias("pairs"), F.explode(bands).alias("b"))
-    told = placed.groupBy("doc_id", "text_hash", "item_id", "item_hash", "words", "b.set", "b.band").agg(_covered("position").alias("covered"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    keys = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
-    told = told.select("doc_id", "text_hash", "item_id", (F.col("covered") / F.col("words")).alias("coverage"), keys.alias("slots"), F.when(F.size("pairs") > 0, keys / F.size("pairs")).otherwise(1.0).alias("consistency"))
-    good = told.where((F.col("coverage") >= coverage) & (F.col("consistency") >= consistent))
+    placed = met.groupBy("doc_id", "text_hash", "item_id", "item_hash", "words").agg(F.collect_set(F.struct("position", "at", "slots", "values")).alias("hits"))
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, cols = [], ([], [], [])
+            for i, (words, found) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+                best = _best([(h["position"], h["at"], h["slots"], h["values"]) for h in found], words, coverage, consistent)
+                if best is not None:
+                    rows.append(i)
+                    for c, v in zip(cols, best, strict=True):
+                        c.append(v)
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(3)), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64())], ["doc_id", "text_hash", "item_id", "coverage", "slots", "consistency"])
+
+    good = placed.select("doc_id", "text_hash", "item_id", "words", "hits").mapInArrow(tell, "doc_id long, text_hash long, item_id long, coverage double, slots int, consistency double")
     return good.groupBy("doc_id", "text_hash", "item_id").agg(F.max("coverage").alias("coverage"), F.max("slots").alias("slots"), F.max("consistency").alias("consistency"))
 
 

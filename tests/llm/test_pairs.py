@@ -189,6 +189,21 @@ def test_decontamination_finds_planted_items(spark):
     assert {r["doc_id"] for r in got} == {i for i, t in docs.items() if any(x in t for x in items)}
 
 
+TRIP = "A car travels 20 km in 2 hours and a bus travels 30 km in 3 hours and a train travels 40 km in 5 hours, so which of them is the fastest"
+
+
+def test_decontamination_of_repeated_templates(spark, hard):
+    bench = spark.createDataFrame([(1, TRIP)], "item_id long, text string")
+    filler = "nothing to see in this text at all, just words that go on and on "
+    new = TRIP.replace("20 km in 2", "25 km in 4").replace("30 km in 3", "35 km in 6").replace("40 km in 5", "45 km in 7")
+    docs = [(k, " ".join((filler * 3).split()[:k]) + " " + TRIP + ". " + filler, True) for k in (0, 1, 7, 16, 31)]
+    docs += [(50, filler + new, True), (51, filler + TRIP.replace(" and a train", " and then also a train"), True)]
+    docs += [(53, filler * 4, False), (54, TRIP.replace("20 km in 2", "30 km in 3").replace("40 km in 5", "30 km in 3"), True), (55, TRIP + ". " + new, True), (56, (TRIP + " ") * 300, True)]
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    got = {r["doc_id"]: r["contaminated"] for r in decontamination.judge(spark, df, bench).collect()}
+    assert got == {d: c for d, _, c in docs}
+
+
 def test_targets():
     assert mixing.source_targets({}) == {} and mixing.source_targets({"a": 0}) == {"a": 0}
     got = mixing.source_targets({"a": 10, "b": 1000, None: 1000, "é": 500})
