@@ -10,6 +10,7 @@ bits find candidates; the likeness of the whole fingerprints verifies them.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,10 @@ from sparkward.llm import base
 SEGMENT, CLASSES, GROUP, SEED = 2048, 1024, 32, 20240607
 #: Bands and bits in each.
 BANDS, BAND_BITS = 16, 12
+#: Bits of a link band by the size of the corpus; share of equal bits at which a link is missed with the given chance; rows of a block.
+LINK_BITS, ALIKE, MISS, BLOCK = (20, 32), 0.9, 0.005, 1024
+#: Sampled bits between the ends of two levels of link bands.
+LEVEL = 8
 
 
 def _end(length):
@@ -96,6 +101,33 @@ class Walks:
         end = 2 * min(n_chars, SEGMENT)
         return [int.from_bytes(np.packbits(bits[0][b]).tobytes(), "big") if SAMPLED[b[-1]] < end else None for b in self.bands]
 
+    def link_bands(self, segments: int) -> np.ndarray:
+        """Places of the bits of each link band, counted from the end of its 64 bits.
+
+        A band has about as many keys as there are segments; how many bands follows from ALIKE and MISS.
+        """
+        size = min(LINK_BITS[1], max(LINK_BITS[0], math.ceil(math.log2(segments + 1))))
+        rng = np.random.Generator(np.random.PCG64(SEED + 2))
+        n = math.ceil(math.log(MISS) / math.log1p(-(ALIKE**size)))
+        return np.stack([rng.choice(2 * GROUP, size, replace=False) - 2 * GROUP for _ in range(n)])
+
+    def link_keys(self, bits: np.ndarray, n_chars: int, bands: np.ndarray) -> list[int]:
+        """Keys of level, band, segment and bits.
+
+        A level is a run of 64 sampled bits, three quarters of the steps up to its end, as the likeness weighs steps. A
+        full segment has the last level that it fills, the short one at a text's end the last three, so that texts of
+        somewhat different length share one. A segment of under some 32 characters has none.
+        """
+        out = []
+        for k in range(min(len(bits), 1)):
+            size = min(SEGMENT, n_chars - k * SEGMENT)
+            top = int(np.searchsorted(SAMPLED, 2 * size)) // LEVEL
+            for level in range(max(2 * GROUP // LEVEL, top - (2 if size < SEGMENT else 0)), top + 1):
+                value = bits[k][level * LEVEL + bands].astype(np.uint64) @ (np.uint64(1) << np.arange(bands.shape[1], dtype=np.uint64))
+                place = np.arange(len(bands), dtype=np.uint64) << np.uint64(51) | np.uint64((level - 1) << 59 | (k & 0x7FFFF) << 32)
+                out.extend((place | value).view(np.int64).tolist())
+        return out
+
 
 def printed(bits: np.ndarray, n_chars: int) -> str:
     """The fingerprint as text: the number of characters, then 64 hex digits for each segment."""
@@ -201,29 +233,43 @@ _JUDGED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 
 
 def near_links(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """(a, b, likeness): verified links between texts that share a band, each text against the least id of its band.
+    """(a, b, likeness), a < b: verified links between all texts that share a band.
 
-    Distinct texts only (by their fingerprint); null and empty texts have no band. A band's rows meet as a star, so a
-    band that many texts share gives no more links than texts.
+    The least id of a fingerprint stands for its texts; the others are linked to it alone, with likeness 1. Null and empty
+    texts have no band, null ids no link. A band of more than BLOCK texts is dealt in salted blocks, and each two of its blocks meet in a task of their own.
     """
+    text = F.col(text_col).cast("string")
+    segments = docs.agg(F.sum(F.ceil(F.length(text) / SEGMENT))).first()[0] or 0
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walks = Walks()
+        bands = walks.link_bands(int(segments))
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            rows = [(i, printed(x, len(t)), walks.band_keys(x, len(t))) for i, t, x in zip(b.column(0).to_pylist(), texts, walks.bits(texts), strict=True)]
-            keys = [[k * (1 << 16) + v for k, v in enumerate(r[2]) if v is not None] for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fingerprint", "bands"])
+            bits = walks.bits(texts)
+            keys = [walks.link_keys(x, len(t), bands) for t, x in zip(texts, bits, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([printed(x, len(t)) for t, x in zip(texts, bits, strict=True)], pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fingerprint", "bands"])
 
     def like(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([likeness(*parsed(x), *parsed(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    prints = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(keyed, "doc_id long, fingerprint string, bands array<long>")
-    prints, _ = base.written(spark, prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "edit-prints")
-    bands = prints.select("doc_id", "fingerprint", F.explode("bands").alias("band"))
-    hubs = bands.groupBy("band").agg(F.min(F.struct("doc_id", "fingerprint")).alias("hub"))
-    pairs = bands.join(hubs, "band").where(F.col("doc_id") != F.col("hub.doc_id")).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("hub.fingerprint").alias("x"), F.col("fingerprint").alias("y")).dropDuplicates(["a", "b"])
-    return pairs.select("a", "b", F.pandas_udf(like, "double")("x", "y").alias("likeness")).where(F.col("likeness") >= threshold)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(keyed, "doc_id long, fingerprint string, bands array<long>")
+    rows, _ = base.written(spark, rows.where("doc_id is not null and fingerprint <> '0:'").withColumn("p", F.xxhash64("fingerprint")), "edit-rows")
+    prints, _ = base.written(spark, rows.groupBy("p", "fingerprint").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "edit-prints")
+    twins = rows.select("p", F.col("doc_id").alias("b")).join(prints.select("p", F.col("doc_id").alias("a")), "p").where("a < b").select("a", "b", F.lit(1.0).alias("likeness"))
+    bands = prints.select("p", F.explode("bands").alias("band"))
+    sizes = bands.groupBy("band").count().where("count > 1")
+    dealt = bands.join(sizes.select("band", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "band")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("p"), F.col("parts")).cast("int"))
+    dealt = dealt.select("p", "band", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt, _ = base.written(spark, dealt.select("p", "own", F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("task"), (F.col("own") == F.col("other")).alias("alone")), "edit-blocks")
+    left, right = (dealt.select("task", F.col("p").alias(x), F.col("own").alias(f"own_{x}"), F.col("alone").alias(f"alone_{x}")) for x in "xy")
+    # a block meets itself in a task of its own, so two of its texts don't meet again where it meets another
+    pairs = left.join(right, "task").where("x < y and (alone_x or own_x <> own_y)").select("x", "y").distinct()
+    a, b = (prints.select(F.col("p").alias(k), F.col("doc_id").alias(f"doc_{k}"), F.col("fingerprint").alias(f"print_{k}")) for k in "xy")
+    told = pairs.join(a, "x").join(b, "y").where("doc_x <> doc_y")
+    told = told.select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b"), F.pandas_udf(like, "double")("print_x", "print_y").alias("likeness"))
+    return told.where(F.col("likeness") >= threshold).unionByName(twins).groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
 
 
 def op2_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,30 @@ def test_edit_fingerprints_edge_cases(spark, hard, empty):
     assert (8, 9) in links and all(a < b for a, b in links)
 
 
+@pytest.mark.parametrize("block", [1024, 2])
+def test_near_links_are_not_by_a_hub(spark, monkeypatch, block):
+    monkeypatch.setattr(edit_fingerprints, "BLOCK", block)
+    rng, walks = random.Random(8), edit_fingerprints.Walks()
+    letters = "abcdefghij klmnop"
+    texts = []
+    for _ in range(6):
+        t = "".join(rng.choice(letters) for _ in range(1500))
+        for edits in (0, *[1, 4, 8] * 4):
+            u = list(t)
+            for _ in range(edits):
+                u[rng.randrange(len(u))] = rng.choice("xyz")
+            texts.append("".join(u))
+    bits = walks.bits(texts)
+    first = {}
+    stands = [first.setdefault(x.tobytes(), k) for k, x in enumerate(bits)]
+    like = {(a, b): edit_fingerprints.likeness(bits[a], 1500, bits[b], 1500) for a in first.values() for b in first.values() if a < b}
+    expected = {k for k, v in like.items() if v >= 0.8} | {(a, b) for b, a in enumerate(stands) if a < b}
+    got = {(r["a"], r["b"]): r["likeness"] for r in edit_fingerprints.near_links(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(abs(like.get(k, 1.0) - v) < 1e-12 for k, v in got.items())
+    print("links", len(got), "of", len(expected))
+    assert len(expected) > 100 and set(got) == expected
+
+
 def removed_by_hand(texts, length):
     seen = {}
     for t in texts:
