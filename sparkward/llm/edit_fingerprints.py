@@ -94,12 +94,17 @@ class Walks:
         back[order] = out
         return np.split(back, np.cumsum(parts)[:-1]) if len(texts) else []
 
-    def band_keys(self, bits: np.ndarray, n_chars: int) -> list[int | None]:
-        """A key for each band from the first segment's bits; None where the text ends before the band's bits."""
-        if not len(bits):
-            return [None] * BANDS
-        end = 2 * min(n_chars, SEGMENT)
-        return [int.from_bytes(np.packbits(bits[0][b]).tobytes(), "big") if SAMPLED[b[-1]] < end else None for b in self.bands]
+    def band_keys(self, bits: np.ndarray, n_chars: int) -> np.ndarray:
+        """A key for each segment and band; -1 where the segment ends before the band's bits."""
+        size = np.minimum(SEGMENT, n_chars - SEGMENT * np.arange(len(bits)))
+        keys = bits[:, np.stack(self.bands)].astype(np.int64) @ (1 << np.arange(BAND_BITS))
+        return np.where(SAMPLED[[b[-1] for b in self.bands]] < 2 * size[:, None], keys, -1)
+
+    def equal_bands(self, a: np.ndarray, n: int, b: np.ndarray, m: int) -> int:
+        """The number of bands whose key is the same in any segment of both texts."""
+        k = min(len(a), len(b))
+        x, y = self.band_keys(a, n)[:k], self.band_keys(b, m)[:k]
+        return int(((x == y) & (x >= 0)).any(axis=0).sum())
 
     def link_bands(self, segments: int) -> np.ndarray:
         """Places of the bits of each link band, counted from the end of its 64 bits.
@@ -119,7 +124,7 @@ class Walks:
         somewhat different length share one. A segment of under some 32 characters has none.
         """
         out = []
-        for k in range(min(len(bits), 1)):
+        for k in range(len(bits)):
             size = min(SEGMENT, n_chars - k * SEGMENT)
             top = int(np.searchsorted(SAMPLED, 2 * size)) // LEVEL
             for level in range(max(2 * GROUP // LEVEL, top - (2 if size < SEGMENT else 0)), top + 1):
@@ -184,8 +189,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[] for _ in names]
         for k, e in enumerate(edits):
             n, m = len(texts[k]), len(e)
-            keys = zip(walks.band_keys(own[k], n), walks.band_keys(other[k], m), strict=True)
-            row = (held[k][0], n, hashlib.sha256(e.encode()).hexdigest(), printed(own[k], n), printed(other[k], m), likeness(own[k], n, other[k], m), likeness(own[k], n, own[k + 1], len(texts[k + 1])), sum(x is not None and x == y for x, y in keys))
+            row = (held[k][0], n, hashlib.sha256(e.encode()).hexdigest(), printed(own[k], n), printed(other[k], m), likeness(own[k], n, other[k], m), likeness(own[k], n, own[k + 1], len(texts[k + 1])), walks.equal_bands(own[k], n, other[k], m))
             for c, v in zip(cols, row, strict=True):
                 c.append(v)
         held = held[-1:]

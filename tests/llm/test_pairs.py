@@ -83,6 +83,22 @@ def test_near_links_are_not_by_a_hub(spark, monkeypatch, block):
     assert len(expected) > 100 and set(got) == expected
 
 
+def test_any_segment_makes_a_candidate(spark):
+    rng, walks = random.Random(9), edit_fingerprints.Walks()
+    letters = "abcdefghij klmnop"
+    texts = []
+    for k in range(5):
+        t = "".join(rng.choice(letters) for _ in range(edit_fingerprints.SEGMENT * 10))
+        texts += [t, "".join(rng.choice(letters) for _ in range(edit_fingerprints.SEGMENT)) + t[edit_fingerprints.SEGMENT :]]
+    bits = walks.bits(texts)
+    for k in range(0, 10, 2):
+        assert edit_fingerprints.likeness(bits[k], len(texts[k]), bits[k + 1], len(texts[k])) > 0.8
+        assert walks.equal_bands(bits[k], len(texts[k]), bits[k + 1], len(texts[k])) >= edit_fingerprints.BANDS - 1  # one band outlasts every walk
+    got = {(r["a"], r["b"]) for r in edit_fingerprints.near_links(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    print("links by segments", len(got))
+    assert got == {(k, k + 1) for k in range(0, 10, 2)}
+
+
 def removed_by_hand(texts, length):
     seen = {}
     for t in texts:
