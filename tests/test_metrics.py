@@ -80,3 +80,12 @@ def test_issue_levels_do_not_multiply_rows(spark):
     rows = spark.createDataFrame([(False, True, True, ["LOW", "high"]), (False, False, False, []), (False, True, False, None), (True, False, False, ["HIGH"])], "invalid_extraction boolean, bandit_detected boolean, bandit_b608 boolean, bandit_confidence_levels array<string>")
     r = M.issue_stats(rows).first()
     assert (r["n_valid"], r["detections"], r["low"], r["medium"], r["high"], r["mean_risk"]) == (3, 2, 1, 0, 1, 4 / 3)
+
+
+def test_degenerate_models_looks_at_every_model(spark, monkeypatch):
+    from sparkward.plans import registry
+
+    rows = spark.createDataFrame([(m, o, 1, 1, (o + min(m, 3)) % 4 == 0) for m in range(5) for o in range(8)], "model long, l_orderkey long, l_linenumber long, l_partkey long, is_vulnerable boolean")
+    monkeypatch.setattr(registry, "view", lambda *_: rows)  # models 3 and 4 are the same
+    got = {tuple(r) for r in registry.QUERIES["degenerate_models"](spark, "").collect()}
+    assert got == {(4, 3), (7, 1)}
