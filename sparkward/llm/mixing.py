@@ -59,13 +59,18 @@ def _source_frame(spark: SparkSession, rows: list[tuple], columns: str) -> DataF
     return F.broadcast(frame) if len(rows) <= BROADCAST_ROWS else frame
 
 
-def solve_dual(spark: SparkSession, pairs: DataFrame, targets: dict[str | None, float], cap: int = CAP) -> dict[str | None, tuple[float, float]]:
+def source_totals(pairs: DataFrame) -> dict[str | None, tuple[int, int]]:
+    """(words, documents) of each source from pairs (source, size, n)."""
+    sums = pairs.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs"))
+    return {r["source"]: (int(r["words"]), int(r["docs"])) for r in sums.collect()}
+
+
+def solve_dual(spark: SparkSession, pairs: DataFrame, totals: dict[str | None, tuple[int, int]], targets: dict[str | None, float], cap: int = CAP) -> dict[str | None, tuple[float, float]]:
     """(lambda, scale) of each source from pairs (source, size, n); lambda is infinite where every document gets the cap.
 
     The dual of a source is convex and its gradient is the words at lambda less the target. Sums are of decimals, so
     they do not depend on the order in which tasks end.
     """
-    totals = {r["source"]: (int(r["words"]), int(r["docs"])) for r in pairs.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs")).collect()}
     out: dict[str | None, tuple[float, float]] = {}
     state: dict[str | None, list[float]] = {}
     for s, (words, docs) in totals.items():
@@ -106,18 +111,20 @@ def solve_dual(spark: SparkSession, pairs: DataFrame, targets: dict[str | None,
 def mix(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies (and the columns in keep) for each row of docs.
 
-    taken = copies * size and copies lies between 0 and cap. A null text has size 0 and takes nothing; a null source is
-    a source of its own, the last. Rows that repeat an id and a size get the same copies. A table of the sources (one
-    row for each, a configured dimension and not a property of documents) is held by the driver and broadcast.
+    taken = copies * size and copies lies between 0 and cap, always. A null text has size 0 and takes nothing; a null
+    source is a source of its own, the last. Rows that repeat an id and a size get the same copies, and only a row whose
+    id no other row has may be the one that is adjusted by a copy at the end. A table of the sources (one row for each,
+    a configured dimension and not a property of documents) is held by the driver and broadcast.
     """
     draw = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("long"), F.lit("mix")), 11) / float(1 << 53)
     kept = [F.col(c) for c in keep if c != id_col]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("__source"), word_count(F.col(text_col)).alias("__size"), draw.alias("__u"), *kept)
     narrow, _ = base.written(spark, rows.select("doc_id", F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__u").alias("u")), "sizes")
     pairs, _ = base.written(spark, narrow.groupBy("source", "size").agg(F.count("*").alias("n")), "pairs")
-    totals = {r["source"]: int(r["w"]) for r in pairs.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("w")).collect()}
+    sums = source_totals(pairs)
+    totals = {s: words for s, (words, _) in sums.items()}
     targets = source_targets(totals, weights, cap)
-    dual = solve_dual(spark, pairs, targets, cap)
+    dual = solve_dual(spark, pairs, sums, targets, cap)
     plan = _source_frame(spark, [(s, targets[s], *dual[s]) for s in totals], "source string, target double, lam double, scale double")
     rate = _rate(F.col("lam"), F.col("size"), F.col("scale"), cap)
     rated = narrow.join(plan, narrow["source"].eqNullSafe(plan["source"])).select("doc_id", plan["source"], "size", "target", rate.alias("rate"), "u")
@@ -127,7 +134,7 @@ def mix(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_co
     told = _source_frame(spark, [(s, totals[s], targets[s], *dual[s], shifts.get(s, 0.0), *swaps.get(s, (None, 0))) for s in totals], "__of string, __source_size long, __target double, __lam double, __scale double, __shift double, __swap_id long, __swap int")
     full = (rows if keep else narrow.select("doc_id", F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("u").alias("__u"))).join(told, F.col("__source").eqNullSafe(F.col("__of")))
     copies = _copies(_rate(F.col("__lam"), F.col("__size"), F.col("__scale"), cap), F.col("__u"), F.col("__shift"), cap)
-    copies = copies + F.when(F.col("doc_id") == F.col("__swap_id"), F.col("__swap")).otherwise(0)
+    copies = copies + F.when(F.col("doc_id") == F.col("__swap_id"), F.col("__swap")).otherwise(0)  # one row: its id is unique
     said = {"size": F.col("__size"), "source_size": F.col("__source_size"), "target": F.col("__target"), "taken": copies * F.col("__size"), "copies": copies}
     return full.select("doc_id", *(c.alias(n) for n, c in said.items() if n not in keep), *kept)
 
@@ -139,12 +146,17 @@ def _rate(lam: Column, size: Column, scale: Column, cap: int) -> Column:
 
 
 def _last_document(spark: SparkSession, taken: DataFrame, cap: int) -> dict[str | None, tuple[int, int]]:
-    """For each source the document whose copies change by one to bring the words taken nearest to the target, if any does."""
+    """For each source the document whose copies change by one to bring the words taken nearest to the target, if any does.
+
+    Documents whose id is repeated anywhere are left out, so the id names one row and its copies stay within 0 and cap.
+    """
     sums = taken.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("w"), F.max("target").alias("target")).collect()
     gaps = _source_frame(spark, [(r["source"], r["target"] - r["w"]) for r in sums], "source string, gap double")
     may = F.when(F.col("gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
     left = F.abs(F.abs("gap") - F.col("size"))
+    repeated = taken.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 and doc_id is not null").select("doc_id")
     near = taken.join(gaps, taken["source"].eqNullSafe(gaps["source"])).where(may & (left < F.abs("gap")) & F.col("doc_id").isNotNull())
+    near = near.join(base.written(spark, repeated, "repeated-ids")[0], "doc_id", "left_anti")
     best = near.groupBy(taken["source"]).agg(F.min(F.struct(left.alias("left"), "doc_id")).alias("best"), F.first(F.signum("gap")).alias("sign")).collect()
     return {r["source"]: (r["best"]["doc_id"], int(r["sign"])) for r in best}
 

@@ -296,3 +296,34 @@ def test_stages_on_hard_rows(spark, hard, empty):
                 assert docs.columns == rows.columns
         ids = [r["doc_id"] for r in docs.collect()]
         assert len(ids) == len(set(ids)) and (0 < len(ids) < hard.count() if rows is hard else not ids)
+
+
+def test_mixture_of_repeated_ids(spark):
+    for seed in range(4):
+        rng = random.Random(seed)
+        rows = [(i % 7 if i < 60 else 100 + i, " ".join(["w"] * rng.choice([0, 1, 7, 39, 400])), rng.choice(["a", "b", "c", None])) for i in range(60 + 10 * seed)]
+        got = mixing.mix(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"))
+        assert got.where("copies < 0 or copies > 3 or taken <> copies * size").count() == 0 and got.count() == len(rows)
+
+
+def test_rates_solve_the_dual(spark):
+    docs = base.table(spark, "/root/testdata/sf0.01", "documents")
+    pairs = docs.select(F.col("source"), mixing.word_count(F.col("text")).alias("size")).groupBy("source", "size").agg(F.count("*").alias("n"))
+    totals = mixing.source_totals(pairs)
+    targets = mixing.source_targets({s: w for s, (w, _) in totals.items()})
+    dual = mixing.solve_dual(spark, pairs, totals, targets)
+    told = pairs.toPandas()
+    for source, part in told.groupby("source"):
+        size, n = part["size"].to_numpy(float), part.n.to_numpy(float)
+        words = lambda lam: float((n * size * np.minimum(3.0, np.exp(np.minimum(lam * size, 2.0)))).sum())  # noqa: B023, E731
+        low, high = -5.0, 5.0
+        for _ in range(200):  # bisection, apart from the operator's Newton steps
+            mid = (low + high) / 2
+            low, high = (mid, high) if words(mid) < targets[source] else (low, mid)
+        lam, scale = dual[source]
+        if np.isinf(lam):
+            assert targets[source] >= 3 * totals[source][0] * (1 - 1e-9)
+            continue
+        rates = np.minimum(3.0, np.exp(np.minimum(lam * size / scale, np.log(3.0))))
+        assert np.allclose(rates, np.minimum(3.0, np.exp(np.minimum(low * size, 2.0))), rtol=1e-5)
+        assert abs((n * size * rates).sum() / targets[source] - 1) < 1e-6
