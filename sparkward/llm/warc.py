@@ -128,14 +128,17 @@ def write_archives(spark: SparkSession, pages: DataFrame, root: str, *, id_col:
 
     Of rows with equal payloads of at least min_revisit_bytes, those with the largest page_id are responses, the others
     revisits of it; a null id is less than any other. Rows that repeat the largest id are responses too. A null html is
-    an empty payload, a null url gives no target header. An empty table gives an empty index.
+    an empty payload, a null url gives no target header. An empty table gives an empty index. The payloads' firsts are a
+    written table, so a small one is broadcast by its size, and else AQE can split a payload that very many rows share.
     """
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"), F.sha1(html).alias("sha1"))
     keys = pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha1(html).alias("sha1"), F.octet_length(html).alias("n"))
     best = keys.where(F.col("n") >= min_revisit_bytes).groupBy("sha1").agg(F.max("page_id").alias("best"), F.count("*").alias("k")).where("k > 1").drop("k")
+    best, best_path = base.written(spark, best, "warc-firsts")
     joined = source.join(best, "sha1", "left").select("page_id", "url", "payload", "sha1", "best")
     index, _ = base.written(spark, joined.mapInArrow(_writer(root), INDEX), "warc-index")
+    base.drop_path(spark, best_path)
     return index
 
 
