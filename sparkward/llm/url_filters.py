@@ -54,10 +54,13 @@ def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", keep: tup
     """The columns in keep, then host, path, rule (null where none fits) and verdict, a row for each row of pages.
 
     Null or malformed URLs have empty host and path and get the default. The longest rule (host and path together)
-    wins; of equally long ones the longer host, then block before allow. Each distinct URL is judged once, and the
-    verdicts are joined back to the rows by URL, so a URL that many rows share costs no more than another. Only the
-    distinct path lengths of the rules and their largest number of labels, a row of bounded size, go to the driver.
+    wins; of equally long ones the longer host, then block before allow. Each distinct URL is judged once. Those that a
+    rule fits are a written table that is joined back to the rows by URL: a small one is broadcast by its size, and else
+    AQE can split a URL that very many rows share, since both sides are exchanges of their own. Null URLs take no part
+    in any join. Only the distinct path lengths of the rules and their largest number of labels, a row of bounded size,
+    go to the driver.
     """
+    spark = pages.sparkSession
     shape = rules.agg(F.collect_set(F.length("path")).alias("n"), F.max(F.size(F.split("host", r"\."))).alias("labels")).first()
     lengths, labels = sorted(shape["n"]) or [0], shape["labels"] or 1
     digest = F.sha2(F.col("expression"), 256)
@@ -68,9 +71,12 @@ def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", keep: tup
     urls = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host <> ''")
     made = expressions(urls, labels, lengths).select("url", digest.alias("full")).withColumn("short", F.substring("full", 1, SHORT))
     hits = made.join(ruled, "short").where(F.col("full") == F.col("digest")).groupBy("url").agg(F.max("hit").alias("hit"))
-    found = rows.join(hits.withColumnRenamed("url", "__url"), "__url", "left")
+    hits, _ = base.written(spark, hits.select(F.col("url").alias("__url"), "hit.rule", "hit.verdict").withColumnsRenamed({"rule": "__rule", "verdict": "__verdict"}), "url-hits")
+    none = F.lit(None).cast("string")
+    nulls = rows.where("__url is null").withColumns({"__rule": none, "__verdict": none})
+    found = rows.where("__url is not null").join(hits, "__url", "left").unionByName(nulls)
     url = F.col("__url")
-    return found.select(*keep, host_of(url).alias("host"), path_of(url).alias("path"), F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.verdict"), F.lit(default)).alias("verdict"))
+    return found.select(*keep, host_of(url).alias("host"), path_of(url).alias("path"), F.col("__rule").alias("rule"), F.coalesce("__verdict", F.lit(default)).alias("verdict"))
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

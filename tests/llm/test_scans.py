@@ -192,3 +192,45 @@ def test_url_filters_by_hand(spark):
             assert tuple(r)[1:] == judged_by_hand(url, rules), url
     plan = url_filters.judge(pages, url_filters.rules_table(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+HOT_SETTINGS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+@pytest.fixture
+def skewed(spark):
+    """Settings under which AQE splits what is hot in small tables too."""
+    before = {k: spark.conf.get(k, None) for k in HOT_SETTINGS}
+    for k, v in HOT_SETTINGS.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_url_is_split(skewed):
+    hot = skewed.range(40_000, numPartitions=8).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("http://x.example.com/de/"), F.col("id") % 50)).when(F.col("id") % 6 == 0, "http://hot.net/").alias("url"))
+    got = url_filters.judge(hot, url_filters.rules_table(skewed))
+    assert "skew=true" in final_plan(got)
+    told = {(r["rule"], r["verdict"]): r["count"] for r in got.groupBy("rule", "verdict").count().collect()}
+    assert told == {("example.com/de/", "block"): 26_666, ("net/", "block"): 6_667, (None, "allow"): 6_667}
+
+
+def test_hot_payload_is_split(skewed, monkeypatch):
+    plans = []
+    kept = base.written
+    monkeypatch.setattr(base, "written", lambda s, df, name: (plans.append(final_plan(df)) if name == "warc-index" else None, kept(s, df, name))[1])
+    pages = skewed.range(6000, numPartitions=8).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("<p>"), F.floor(F.col("id") / 4))).alias("html"))
+    root = base.scratch_path(skewed, "warc-hot")
+    index = warc.write_archives(skewed, pages, root)
+    assert "skew=true" in plans[0]
+    got = warc.read_records(index, root)
+    assert got.count() == 6000 and got.where("record_type = 'response' and payload_bytes = 0").count() == 1
