@@ -6,13 +6,15 @@ others. Windows of one anchor that follow one another form a snippet. Anchors th
 are equal as a whole are repeated without further ado and are kept once. The different snippets of an anchor go to one
 shard, whose text gets a suffix array: triples at two of three positions are sorted and named, the names' string is
 sorted by recursion, the remaining suffixes are sorted by it and merged in, and the first 400 bytes of suffixes that are
-adjacent in the order are compared. Anchors with very many different snippets are dealt on by the bytes that a few
-windows have in common, so no shard grows with the number of documents that share a passage.
+adjacent in the order are compared. Anchors with very many different snippets are dealt on: their snippets fall into
+parts of a few windows, equal parts are combined into one with a count before the sort, and parts with the same bytes in
+common meet in a shard. So a passage that any number of documents share stands once in its shards. Where these documents
+go on in different ways, the last windows of the passage meet ever new bytes; a shard of more than HOT different parts is
+not sorted, and its windows are counted by digest. So no shard has more than HOT parts.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -209,63 +211,89 @@ def _scan(length: int):
     return run
 
 
-_SHARDED = "shard long, a long, g long, part int, starts int, bytes binary"
+_CUT = "a long, g long, starts int, ahead int, bytes binary"
+
+
+def _batch(rows: list[tuple], names: str, kinds: tuple) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names.split())
 
 
 def _cut(length: int):
-    """Snippets' bytes from the texts that hold their first occurrence; those of hot anchors in parts."""
+    """Snippets' bytes from the texts that hold their first occurrence; ahead is the anchor's place, -1 if not hot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for data, wants in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for w in wants:
+                    ahead = int(anchors(np.frombuffer(data[w["s"] : w["s"] + length], np.uint8), length)[1][0]) if w["hot"] else -1
+                    rows.append((w["a"], w["g"], w["n"], ahead, data[w["s"] : w["s"] + w["n"] + length - 1]))
+            yield _batch(rows, "a g starts ahead bytes", (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))
+
+    return run
+
+
+_PARTS = "a long, g long, at int, starts int, shard long, h long"
+
+
+def _parts(length: int):
+    """The parts of hot snippets, without their bytes: a part's shard is a hash of what all its windows have in common.
+
+    Parts lie on a grid of FEW starts that the anchor's place fixes, so equal windows lie in parts of one shard.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
+            rows = []
+            for a, g, n, ahead, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                at = 0
+                while at < n:
+                    to = min(n, at + (ahead - at) % FEW + 1)
+                    grid = (ahead - at) // FEW  # distance to the anchor, in parts
+                    last = ahead - grid * FEW
+                    shard = xxhash.xxh64_intdigest(data[last : last - FEW + 1 + length], (a + grid) & (1 << 64) - 1)
+                    rows.append((a, g, at, to - at, _signed(shard), _signed(xxhash.xxh64_intdigest(data[at : to + length - 1], to - at))))
+                    at = to
+            yield _batch(rows, "a g at starts shard h", (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))
+
+    return run
+
+
+_PIECES = "shard long, h long, at int, starts int, w1 long, w2 long, bytes binary"
+
+
+def _pieces(length: int):
+    """From (bytes, wants) of hot snippets: the wanted parts with their bytes; of crowded shards, digests of their windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            rows: list[tuple] = []
             for data, wants in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for w in wants:
-                    step = FEW if w["hot"] else w["n"]
-                    # parts of hot snippets lie on a grid that the anchor's place fixes, so equal windows share a part
-                    ahead = anchors(np.frombuffer(data[w["s"] : w["s"] + length], np.uint8), length)[1][0] if w["hot"] else 0
-                    at = 0
-                    while at < w["n"]:
-                        to = min(w["n"], at + (int(ahead - at) % FEW + 1 if w["hot"] else step))
-                        lo = w["s"] + at
-                        if w["hot"]:
-                            grid = (int(ahead) - at) // FEW  # distance to the anchor, in parts
-                            anchor = w["s"] + int(ahead)
-                            core = data[anchor - grid * FEW : anchor - grid * FEW - FEW + 1 + length]
-                            shard = _signed(xxhash.xxh64_intdigest(core, (w["a"] + grid) & (1 << 64) - 1))
-                        else:
-                            shard = w["a"]
-                        for c, v in zip(rows, (shard, w["a"], w["g"], at, to - at, data[lo : lo + to - at + length - 1]), strict=True):
-                            c.append(v)
-                        at = to
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["shard", "a", "g", "part", "starts", "bytes"])
+                    lo, n = w["at"], w["starts"]
+                    if not w["crowded"]:
+                        rows.append((w["shard"], w["h"], 0, n, None, None, data[lo : lo + n + length - 1]))
+                        continue
+                    for i in range(n):
+                        whole = xxhash.xxh3_128_intdigest(data[lo + i : lo + i + length])
+                        rows.append((w["shard"], w["h"], i, 1, _signed(whole >> 64), _signed(whole & (1 << 64) - 1), None))
+            yield _batch(rows, "shard h at starts w1 w2 bytes", (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))
 
     return run
 
 
 def _sorted_shards(length: int):
-    """Suffix arrays over whole shards, several together; rows are (a, g, lo, hi) of repeated starts."""
+    """Suffix arrays over whole shards, several together; rows are (u, v, hot, lo, hi) of repeated starts."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        known: dict[tuple[int, bytes], int] = {}
-        twice: set[int] = set()
-        texts, starts, where = [], [], []
-        for shard, _, _, _, n, data in rows:  # parts that are equal as a whole stand once
-            k = known.setdefault((shard, data), len(texts))
-            if k == len(texts):
-                texts.append(data)
-                starts.append(n)
-            else:
-                twice.add(k)
-            where.append(k)
-        flags = repeated_starts(texts, starts, length)
-        out: list[tuple[int, int, int, int]] = []
-        for (_, a, g, at, n, _), k in zip(rows, where, strict=True):
-            out += [(a, g, at + x, at + y) for x, y in ([(0, n)] if k in twice else _runs(flags[k]))]
-        cols = list(zip(*out, strict=True)) if out else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["a", "g", "lo", "hi"])
+        flags = repeated_starts([r[5] for r in rows], [r[4] for r in rows], length)
+        out = [(u, v, hot, x, y) for (_, u, v, hot, _, _), f in zip(rows, flags, strict=True) for x, y in _runs(f)]
+        return _batch(out, "u v hot lo hi", (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -283,10 +311,24 @@ def _sorted_shards(length: int):
     return run
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of steps that are over."""
-    gc.collect()
-    spark._jvm.System.gc()
+def _hot_parts(spark: SparkSession, hot: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From the snippets of hot anchors: their parts, the pieces to sort, and (shard, h, lo, hi) of starts known to repeat.
+
+    Parts of equal bytes are one piece with a count, and one that occurs twice repeats as a whole. A shard that still has
+    more than HOT different pieces (a passage that very many texts share and then leave in different ways) is not sorted:
+    its windows differ in a few bytes at their ends only, and are counted by 128-bit digests, one by one.
+    """
+    parts, _ = base.written(spark, hot.mapInArrow(_parts(length), _PARTS), "parts")
+    seen, _ = base.written(spark, parts.groupBy("shard", "h").agg(F.count("*").alias("k"), F.min(F.struct("a", "g", "at", "starts")).alias("x")), "part-kinds")
+    per, _ = base.written(spark, seen.groupBy("shard").agg(F.count("*").alias("kinds")).where("kinds > 1"), "part-shards")
+    want = F.struct("shard", "h", F.col("x.at").alias("at"), F.col("x.starts").alias("starts"), (F.col("kinds") > HOT).alias("crowded"))
+    wants = seen.join(per, "shard").select("x.a", "x.g", want.alias("want")).groupBy("a", "g").agg(F.collect_list("want").alias("wants"))
+    pieces, _ = base.written(spark, hot.join(wants, ["a", "g"]).select("bytes", "wants").mapInArrow(_pieces(length), _PIECES), "pieces")
+    windows = pieces.where("bytes is null")
+    twice, _ = base.written(spark, windows.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").select("w1", "w2"), "windows")
+    known = windows.join(twice, ["w1", "w2"], "left_semi").select("shard", "h", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
+    known = known.unionByName(seen.where("k > 1").select("shard", "h", F.lit(0).alias("lo"), F.col("x.starts").alias("hi")))
+    return parts, pieces.where("bytes is not null").select("shard", "h", "starts", "bytes"), known
 
 
 def repeated_ranges(spark: SparkSession, texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -297,31 +339,32 @@ def repeated_ranges(spark: SparkSession, texts: DataFrame, length: int = LENGTH)
     found, path = base.written(spark, found.join(often, "a", "left_semi"), "repeated-anchors")
     base.drop_path(spark, found_path)
     base.drop_path(spark, often_path)
-    _release(spark)
     kinds, kinds_path = base.written(spark, found.groupBy("a", "g").agg(F.count("*").alias("k"), F.min(F.struct("d", "t", "s", "n")).alias("x")), "kinds")
     # an anchor's snippets meet only if there are several kinds of them
     several, several_path = base.written(spark, kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
     wants = kinds.join(several, "a").select("x.d", "x.t", F.struct("a", "g", F.col("x.s").alias("s"), F.col("x.n").alias("n"), (F.col("kinds") > HOT).alias("hot")).alias("want"))
     wants = wants.groupBy("d", "t").agg(F.collect_list("want").alias("wants")).withColumnsRenamed({"d": "d2", "t": "t2"})
     one = texts.join(wants, (F.col("d") == F.col("d2")) & (F.col("t") == F.col("t2"))).dropDuplicates(["d", "t"])
-    cut, cut_path = base.written(spark, one.select("bytes", "wants").mapInArrow(_cut(length), _SHARDED), "shards")
+    cut, cut_path = base.written(spark, one.select("bytes", "wants").mapInArrow(_cut(length), _CUT), "cut")
     base.drop_path(spark, several_path)
-    _release(spark)
+    parts, pieces, known = _hot_parts(spark, cut.where("ahead >= 0"), length)
+    plain = cut.where("ahead < 0").select(F.col("a").alias("shard"), F.col("a").alias("u"), F.col("g").alias("v"), F.lit(False).alias("hot"), "starts", "bytes")
+    shards = plain.unionByName(pieces.select("shard", F.col("shard").alias("u"), F.col("h").alias("v"), F.lit(True).alias("hot"), "starts", "bytes"))
     # sorting costs far more than its bytes tell, so the number of tasks follows the bytes and not Spark's advice
-    size = cut.agg(F.sum(F.col("starts").cast("long") + length - 1)).first()[0] or 0
+    size = shards.agg(F.sum(F.col("starts").cast("long") + length - 1)).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK))
-    dealt = cut.repartition(tasks, "shard").sortWithinPartitions("shard")
-    hits, _ = base.written(spark, dealt.mapInArrow(_sorted_shards(length), "a long, g long, lo int, hi int"), "repeats")
+    dealt = shards.repartition(tasks, "shard").sortWithinPartitions("shard")
+    hits, _ = base.written(spark, dealt.mapInArrow(_sorted_shards(length), "u long, v long, hot boolean, lo int, hi int"), "repeats")
+    known, _ = base.written(spark, known.unionByName(hits.where("hot").select(F.col("u").alias("shard"), F.col("v").alias("h"), "lo", "hi")), "known-parts")
+    in_parts = parts.join(known, ["shard", "h"]).select("a", "g", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
     base.drop_path(spark, cut_path)
-    _release(spark)
     whole = kinds.where("k > 1").select("a", "g", F.lit(0).alias("lo"), F.col("x.n").alias("hi"))
-    part = hits.join(kinds.where("k > 1").select("a", "g"), ["a", "g"], "left_anti")
-    ranges = whole.unionByName(part)
+    part = hits.where("not hot").select(F.col("u").alias("a"), F.col("v").alias("g"), "lo", "hi").unionByName(in_parts)
+    ranges, ranges_path = base.written(spark, whole.unionByName(part.join(whole.select("a", "g"), ["a", "g"], "left_anti")), "snippet-ranges")
     out = found.join(ranges, ["a", "g"]).select("d", "t", (F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi")).alias("hi"))
     out, _ = base.written(spark, out.groupBy("d", "t").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
-    base.drop_path(spark, path)
-    base.drop_path(spark, kinds_path)
-    _release(spark)
+    for old in (path, kinds_path, ranges_path):
+        base.drop_path(spark, old)
     return out
 
 
@@ -368,5 +411,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_i
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the contract, then text: what is left, with U+FFFD for what a cut left of a character."""
     base.tune(spark)
-    return remove_repeats(spark, base.table(spark, sf_dir, "documents"))
+    got = remove_repeats(spark, base.table(spark, sf_dir, "documents"), texts=True)
+    return got.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")

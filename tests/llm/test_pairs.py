@@ -116,7 +116,7 @@ def removed_by_hand(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length,hot", [(40, 1000), (40, 1), (100, 2)])
+@pytest.mark.parametrize("length,hot", [(40, 1000), (40, 1), (40, 4), (100, 2)])
 def test_repeated_bytes(spark, monkeypatch, length, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = random.Random(length + hot)
@@ -131,6 +131,27 @@ def test_repeated_bytes(spark, monkeypatch, length, hot):
     assert got == removed_by_hand([(t or "").encode() for t in texts], length)
 
 
+def test_no_shard_grows_with_a_shared_passage(spark, monkeypatch):
+    rng = random.Random(12)
+    made = lambda n: "".join(rng.choice("abcdefgh ijklm") for _ in range(n))
+    shared = made(699)
+    texts = [made(rng.randint(0, 40)) + shared + made(30) for _ in range(3000)]
+    largest = []
+    kept = base.written
+
+    def written(s, df, name):
+        out = kept(s, df, name)
+        if name in ("cut", "pieces"):
+            key, some = ("a", "ahead < 0") if name == "cut" else ("shard", "bytes is not null")
+            largest.append(out[0].where(some).groupBy(key).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
+        return out
+
+    monkeypatch.setattr(base, "written", written)
+    got = [tuple(r)[1:] for r in suffix_dedup.remove_repeats(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert len(largest) == 2 and max(largest) <= suffix_dedup.HOT
+    assert got == removed_by_hand([t.encode() for t in texts], suffix_dedup.LENGTH)
+
+
 def test_suffix_order():
     rng = random.Random(0)
     for _ in range(150):
