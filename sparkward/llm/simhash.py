@@ -1,11 +1,15 @@
 """SimHash fingerprints, and their components by Burkhard-Keller trees over shards.
 
-A distinct fingerprint goes to one shard for each pair of its six bit blocks: two fingerprints that differ in at most
-four bits agree on at least two blocks, so they share a shard, and no link is lost. Each shard becomes a BK-tree, whose
-children are keyed by their integer Hamming distance to the parent; a search follows only the edges within the radius.
-Shards live where their rows are shuffled to. A shard of more than SHARD fingerprints is split into salted parts: each
-part is a tree of its own, and the other parts' fingerprints are sent to it as queries. Links leave a task as a spanning
-star for each connected set, at most one row for each row that came in, never as all pairs.
+A distinct fingerprint goes to one shard for each set of its bit blocks that two fingerprints with at most four differing
+bits are sure to share, so no link is lost; the blocks follow the number of fingerprints. Each shard becomes a BK-tree,
+whose children are keyed by their integer Hamming distance to the parent; a search follows only the edges within the
+radius. Shards live where their rows are shuffled to. A shard of more than SHARD fingerprints is dealt again by five
+interleaved blocks, one of which must agree as well, and what is still too large is split into salted parts: each part is
+a tree of its own, and the other parts' fingerprints are sent to it as queries. Links leave a task as a spanning star for
+each connected set, at most one row for each row that came in, never as all pairs.
+
+similar_components links texts by a likeness of 0.8 on shingles of five words as well: shards hold the texts that share
+one of their least shingle hashes, trees with a wide radius find who has a neighbour, and their shingle sets decide.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkward.llm import base
@@ -25,31 +29,46 @@ SHINGLE = 4
 SEED = 42
 #: Fingerprints of a tree at most, pairs in a search front at most, rows that a task gathers before it builds trees.
 SHARD, FRONT, GATHER = 4096, 1 << 21, 1 << 18
-#: (shift, bits) of the six blocks.
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Numbers of blocks: at four differing bits, four fewer agree. More blocks give finer shards and more copies of a row.
+BLOCKS = (6, 7, 8)
+#: Interleaved blocks by which a crowded shard is dealt again; at four differing bits one of them agrees.
+FINER = 5
+#: Links of similar texts: words of a shingle, likeness, least shingle hashes that make shards, radius, texts of a shard.
+WORDS, ALIKE, MARKS, WIDE, CROWD = 5, 0.8, 6, 16, 1024
 
 
-def simhash(text: str | None) -> int:
-    """The unsigned fingerprint of a whole text; 0 where it has no word."""
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """XXH64 of each run of so many words, repeats included; of all words together where there are fewer."""
     import xxhash
 
-    words = (text or "").encode().lower().split()
     if not words:
-        return 0
-    if len(words) < SHINGLE:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[: -SHINGLE]))
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)], np.uint64)
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) < size:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-size]))
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Unsigned: a bit is set where over half of the hashes have it; 0 without a hash."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def simhash(text: str | None) -> int:
+    """The unsigned fingerprint of a whole text; 0 where it has no word."""
+    return fingerprint_of(shingle_hashes(words_of(text), SHINGLE))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -137,53 +156,101 @@ def least_labels(n: int, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.n
     return label
 
 
-def _linked(radius: int):
-    def solve(task: np.ndarray, side: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        """Rows of whole tasks, ascending; side 0: in the tree and a query, 1: in the tree, 2: a query."""
-        trees, asks = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
-        has, shard = np.unique(task[trees], return_inverse=True)
-        forest = Forest(shard, fp[trees])
-        at = np.searchsorted(has, task[asks])
-        at[at == len(has)] = 0
-        met = has[at] == task[asks] if len(has) else np.zeros(len(asks), bool)
-        asks, roots = asks[met], forest.roots[at[met]]
-        label = least_labels(len(fp), ((asks[q], trees[n]) for q, n in forest.search(fp[asks], roots, radius)))
-        moved = np.flatnonzero(label != np.arange(len(fp)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[moved].view(np.int64)), pa.array(fp[label[moved]].view(np.int64))], ["u", "v"])
+def _tasks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Whole tasks (numbered by the first column, ascending) together, at least so many rows but for the last."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            some = pa.Table.from_batches(held)
+            task = some.column(0).to_numpy()
+            cut = int(np.searchsorted(task, task[-1]))
+            if cut:
+                yield some.slice(0, cut)
+            held, n = some.slice(cut).to_batches(), len(task) - cut
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _near(task: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within the radius. Tasks ascend; side 0: in the tree and a query, 1: in the tree, 2: a query.
+
+    The fingerprints in a tree are distinct.
+    """
+    trees, asks = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
+    has, shard = np.unique(task[trees], return_inverse=True)
+    forest = Forest(shard, fp[trees])
+    at = np.searchsorted(has, task[asks])
+    at[at == len(has)] = 0
+    met = has[at] == task[asks] if len(has) else np.zeros(len(asks), bool)
+    asks, roots = asks[met], forest.roots[at[met]]
+    for q, n in forest.search(fp[asks], roots, radius):
+        yield asks[q], trees[n]
 
+
+def _linked(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        rows = 0
-        for b in batches:
-            held.append(np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]))
-            rows += b.num_rows
-            if rows >= GATHER:
-                x = np.concatenate(held, axis=1)
-                cut = int(np.searchsorted(x[0], x[0, -1]))
-                if cut:
-                    yield solve(x[0, :cut], x[1, :cut], x[2, :cut].view(np.uint64))
-                held, rows = [x[:, cut:]], x.shape[1] - cut
-        if rows:
-            x = np.concatenate(held, axis=1)
-            yield solve(x[0], x[1], x[2].view(np.uint64))
+        for some in _tasks(batches, GATHER):
+            task, side, fp = (some.column(i).to_numpy() for i in range(3))
+            fp = fp.view(np.uint64)
+            label = least_labels(len(fp), _near(task, side, fp, radius))
+            moved = np.flatnonzero(label != np.arange(len(fp)))
+            yield pa.RecordBatch.from_arrays([pa.array(fp[moved].view(np.int64)), pa.array(fp[label[moved]].view(np.int64))], ["u", "v"])
 
     return run
 
 
+def _finer(spark: SparkSession, shards: DataFrame, most: int, keys: Column) -> DataFrame:
+    """shards, those of more than so many rows dealt again by the finer keys of each row; other columns stay."""
+    crowded, _ = base.written(spark, shards.groupBy("key").count().where(F.col("count") > most).select("key", F.lit(True).alias("crowded")), "crowded")
+    if not crowded.head(1):
+        return shards
+    both = shards.join(crowded, "key", "left")  # a written table: broadcast by its size, else both sides can be split
+    others = [c for c in shards.columns if c != "key"]
+    return both.where("crowded is null").select(*shards.columns).unionByName(both.where("crowded").select(*others, F.explode(keys).alias("key")))
+
+
+def _dealt(spark: SparkSession, shards: DataFrame, most: int, salt: str) -> DataFrame:
+    """(task, side, other columns) of shards; one of more than so many rows is split into salted parts that all meet."""
+    hot, _ = base.written(spark, shards.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("parts")), "hot")
+    others = [c for c in shards.columns if c != "key"]
+    dealt = shards.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(salt), F.col("parts")).cast("int"))
+    # a part's tree meets its own rows (side 0) and, as queries (side 2), those of every later part
+    side = F.when(F.col("other") == F.col("own"), F.lit(0)).when(F.col("other") > F.col("own"), F.lit(1)).otherwise(F.lit(2))
+    pairs = dealt.select(*others, "key", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return pairs.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), side.cast("long").alias("side"), *others)
+
+
+def block_plan(n: int) -> tuple[list[tuple[int, int]], int]:
+    """((shift, bits) of each block, how many agree) for n fingerprints: the fewest blocks whose shards stay small."""
+    for blocks in BLOCKS:
+        cuts = [64 * k // blocks for k in range(blocks + 1)]
+        agree = blocks - RADIUS
+        if n <= SHARD // 2 << 64 * agree // blocks:
+            break
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])], agree
+
+
 def link_edges(spark: SparkSession, fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (column fp) that span every set connected at the radius (4 at most)."""
-    if not 0 <= radius <= 4:
-        raise ValueError("six blocks taken two at a time hold for up to four differing bits")
-    block = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << n) - 1)) for s, n in BLOCKS]
-    keys = [F.lit(k << 22) + F.shiftleft(block[i], 11) + block[j] for k, (i, j) in enumerate(combinations(range(6), 2))]
-    shards = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    hot = shards.groupBy("key").count().where(F.col("count") > SHARD).select("key", F.ceil(F.col("count") / SHARD).cast("int").alias("parts"))
-    dealt = shards.join(hot, "key", "left").select("fp", "key", F.coalesce("parts", F.lit(1)).alias("parts"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    # a part's tree meets its own fingerprints (side 0) and, as queries (side 2), those of every later part
-    task = F.when(F.col("other") == F.col("own"), F.lit(0)).when(F.col("other") > F.col("own"), F.lit(1)).otherwise(F.lit(2))
-    pairs = dealt.select("fp", "key", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    rows = pairs.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), task.cast("long").alias("side"), "fp")
+    if not 0 <= radius <= RADIUS:
+        raise ValueError("the blocks hold for up to four differing bits")
+    blocks, agree = block_plan(fps.count())
+    block = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << n) - 1)) for s, n in blocks]
+
+    def key(k: int, chosen: tuple[int, ...]) -> Column:
+        out = F.lit(k).cast("long")
+        for i in chosen:
+            out = F.shiftleft(out, blocks[i][1]) + block[i]
+        return out
+
+    shards = fps.select("fp", F.explode(F.array(*(key(k, c) for k, c in enumerate(combinations(range(len(blocks)), agree))))).alias("key"))
+    masks = [_signed(sum(1 << b for b in range(64) if b % FINER == j)) for j in range(FINER)]
+    shards = _finer(spark, shards, SHARD, F.array(*(F.xxhash64("key", F.lit(j), F.col("fp").bitwiseAND(F.lit(m))) for j, m in enumerate(masks))))
+    rows = _dealt(spark, shards, SHARD, "fp").select("task", "side", "fp")
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_linked(radius), "u long, v long")
 
 
@@ -213,10 +280,137 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text: fingerprint, hash of its words, least hashes of its shingles, and all of them in four bytes each."""
+    import xxhash
+
+    for b in batches:
+        rows: list[list] = [[], [], [], []]
+        for text in b.column(1).to_pylist():
+            words = words_of(text)
+            found = np.unique(shingle_hashes(words, WORDS))
+            sets = np.unique((found >> np.uint64(32)).astype(np.uint32))
+            row = (_signed(fingerprint_of(shingle_hashes(words, SHINGLE))), _signed(xxhash.xxh64_intdigest(b" ".join(words))), found[:MARKS].view(np.int64).tolist(), sets.tobytes())
+            for c, v in zip(rows, row, strict=True):
+                c.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], ["doc_id", "text_hash", "fp", "node", "marks", "grams"])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(task, side, node) of the rows that have another within the wide radius in their task; equal fingerprints do."""
+    for some in _tasks(batches, GATHER):
+        task, side, node, fp = (some.column(i).to_numpy() for i in range(4))
+        _, first, inverse = np.unique(np.stack((task, side, fp)), axis=1, return_index=True, return_inverse=True)
+        inverse = inverse.ravel()
+        seen = np.bincount(inverse) > 1
+        seen &= side[first] == 0  # equal rows of one side don't meet
+        for a, b in _near(task[first], side[first], fp[first].view(np.uint64), WIDE):
+            apart = a != b
+            seen[a[apart]] = True
+            seen[b[apart]] = True
+        keep = np.flatnonzero(seen[inverse])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (task, side, node)], ["task", "side", "node"])
+
+
+def alike_pairs(side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of rows with a Jaccard likeness of ALIKE or more that span each set so connected; sides as in _near.
+
+    Rows are compared if they share one of their rarest grams: of a row with n grams the n - ceil(ALIKE * n) + 1 rarest
+    hold one of any row as like it as that. Pairs in one set already are not compared.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, gram, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((gram, count[gram], owner))
+    owner, gram = owner[order], gram[order]
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    rare = (place < (size - np.ceil(ALIKE * size - 1e-9).astype(np.int64) + 1)[owner]) & (count[gram] > 1)
+    owner, gram = owner[rare], gram[rare]
+    by = np.lexsort((owner, gram))
+    groups = np.split(owner[by], np.flatnonzero(np.diff(gram[by])) + 1)
+    label = np.arange(len(sets))
+    out, known = [], set()
+    for group in sorted((g for g in groups if len(g) > 1), key=len):
+        for k, i in enumerate(group[:-1].tolist()):
+            rest = group[k + 1 :]
+            n = size[i]
+            may = (label[rest] != label[i]) & (np.minimum(size[rest], n) >= ALIKE * np.maximum(size[rest], n) - 1e-9) & ((side[rest] != side[i]) | (side[i] == 0))
+            for j in rest[may].tolist():
+                if label[i] == label[j] or (i, j) in known:
+                    continue
+                known.add((i, j))
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= ALIKE * (size[i] + size[j] - both) - 1e-9:
+                    out.append((i, j))
+                    a, b = sorted((label[i], label[j]))
+                    label[label == b] = a
+    return out
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for some in _tasks(batches, 2 * CROWD):
+        task, side, node = (some.column(i).to_numpy() for i in range(3))
+        grams = some.column(3).to_pylist()
+        cuts = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
+        u, v = [], []
+        for lo, hi in zip(cuts, cuts[1:]):
+            for a, b in alike_pairs(side[lo:hi], [np.frombuffer(x, np.uint32) for x in grams[lo:hi]]):
+                u.append(int(node[lo + a]))
+                v.append(int(node[lo + b]))
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def similar_edges(spark: SparkSession, nodes: DataFrame, prints: DataFrame) -> DataFrame:
+    """Edges (u, v) that span the texts connected by a likeness of ALIKE or more on sets of five-word shingles.
+
+    nodes has (node, keep, fp, marks), a row for each different text, prints (node, doc_id, text_hash, grams). Two texts of
+    that likeness share one of their MARKS least hashes but in one case of 5 ** MARKS, and are within WIDE bits but in
+    under one of a hundred. A mark that more than CROWD texts share is dealt again by a second mark, and then in salted
+    parts. Only the shingle sets of texts that have a neighbour are shuffled.
+    """
+    shards = nodes.select("node", "fp", "marks", F.explode("marks").alias("key"))
+    second = F.transform(F.filter("marks", lambda m: m != F.col("key")), lambda m: F.xxhash64(F.least("key", m), F.greatest("key", m)))
+    second = F.when(F.size("marks") > 1, second).otherwise(F.array("key"))
+    rows = _dealt(spark, _finer(spark, shards, CROWD, second).drop("marks"), CROWD, "node").select("task", "side", "node", "fp")
+    near = rows.repartition("task").sortWithinPartitions("task").mapInArrow(_neighbours, "task long, side long, node long")
+    near, _ = base.written(spark, near, "neighbours")
+    stand, _ = base.written(spark, near.select("node").distinct().join(nodes, "node").select(F.col("node").alias("m"), F.col("keep.doc_id").alias("d"), F.col("keep.text_hash").alias("t")), "near-nodes")
+    one = (F.col("node") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
+    sets = prints.select("node", "doc_id", "text_hash", "grams").join(stand, one, "left_semi").groupBy("node").agg(F.min("grams").alias("grams"))
+    sets, _ = base.written(spark, sets, "near-sets")
+    told = near.join(sets, "node").select("task", "side", "node", "grams")
+    return told.repartition("task").sortWithinPartitions("task").mapInArrow(_verified, "u long, v long")
+
+
+def similar_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, node) of each row, and (node, component, keep) of each different text.
+
+    Texts of equal words are one node. Nodes are linked where their fingerprints are (within the radius, as op8 links
+    them) and where they are alike (similar_edges). keep is the least (doc_id, text_hash) of the component.
+    """
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    prints, _ = base.written(spark, rows.mapInArrow(_marked, "doc_id long, text_hash long, fp long, node long, marks array<long>, grams binary"), "marked")
+    nodes, _ = base.written(spark, prints.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("keep"), F.min("fp").alias("fp"), F.min("marks").alias("marks")), "nodes")
+    alike, _ = base.written(spark, similar_edges(spark, nodes.where("size(marks) > 0"), prints), "alike")
+    fps, _ = base.written(spark, nodes.groupBy("fp").agg(F.min("node").alias("stands")), "fps")
+    linked, _ = base.written(spark, link_edges(spark, fps.select("fp"), radius), "links")
+    by_print = nodes.join(fps, "fp").select(F.col("node").alias("u"), F.col("stands").alias("v"))
+    ends = [fps.select(F.col("fp").alias(x), F.col("stands").alias(f"node_{x}")) for x in "uv"]
+    between = linked.join(ends[0], "u").join(ends[1], "v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+    sets = base.components(spark, by_print.unionByName(between).unionByName(alike))
+    members, _ = base.written(spark, nodes.join(sets, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "keep"), "members")
+    least, _ = base.written(spark, members.groupBy("component").agg(F.min("keep").alias("keep")), "least")
+    found, _ = base.written(spark, members.select("node", "component").join(least, "component"), "similar")
+    return prints.select("doc_id", "text_hash", "node"), found
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: that of the least doc_id (of repeated ids, the least text hash)."""
-    prints, _ = base.written(spark, fingerprints(docs, id_col, text_col), "prints")
-    keep = fingerprint_components(spark, prints, radius).select("keep.doc_id", "keep.text_hash")
+    """docs with one row of each component of similar_components: that of the least doc_id (of repeated ids, the least
+    text hash, and of repeated rows one). Null and empty texts are one component."""
+    prints, found = similar_components(spark, docs, id_col=id_col, text_col=text_col, radius=radius)
+    keep, _ = base.written(spark, found.select("keep").distinct().select("keep.doc_id", "keep.text_hash"), "kept")
     rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__hash": F.xxhash64(F.col(text_col).cast("string"))})
     stays = rows.join(keep.select(F.col("doc_id").alias("__id2"), F.col("text_hash").alias("__hash2")), (F.col("__id").eqNullSafe(F.col("__id2"))) & (F.col("__hash") == F.col("__hash2")), "left_semi")
     again = prints.join(keep, (prints["doc_id"].eqNullSafe(keep["doc_id"])) & (prints["text_hash"] == keep["text_hash"]), "left_semi")

@@ -204,17 +204,66 @@ def test_simhash_salted_shards(spark, monkeypatch):
     fp = np.unique((centre[:, None] ^ flips[..., 0] ^ flips[..., 1] ^ flips[..., 2]).ravel())
     label = simhash.least_labels(len(fp), ((np.full(len(n), i), n) for i, n in ((i, np.flatnonzero(np.bitwise_count(fp ^ x) <= 4)) for i, x in enumerate(fp))))
     df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
-    for shard, front in ((4096, 1 << 21), (8, 64)):
+    for shard, front, blocks in ((4096, 1 << 21, (6, 7, 8)), (8, 64, (6, 7, 8)), (64, 64, (7,)), (64, 64, (8,))):
         monkeypatch.setattr(simhash, "SHARD", shard)
         monkeypatch.setattr(simhash, "FRONT", front)
+        monkeypatch.setattr(simhash, "BLOCKS", blocks)
         edges = simhash.link_edges(spark, df).toPandas()
         at = lambda c: np.searchsorted(fp, c.to_numpy().view(np.uint64))
         assert (simhash.least_labels(len(fp), iter([(at(edges.u), at(edges.v))])) == label).all()
 
 
+def test_blocks_follow_the_number():
+    assert [(len(b), k) for b, k in map(simhash.block_plan, (0, 1 << 30, 1 << 35, 1 << 40, 1 << 50))] == [(6, 2), (6, 2), (7, 3), (8, 4), (8, 4)]
+    assert all(sum(n for _, n in simhash.block_plan(n)[0]) == 64 for n in (1, 1 << 35, 1 << 40))
+
+
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def components_by_hand(texts, radius=4):
+    """Least index of each text's component: links at four bits, or a Jaccard likeness of 0.8."""
+    fp = np.array([simhash.simhash(t) for t in texts], np.uint64)
+    sets = [shingle_set(t) for t in texts]
+    pairs = [(i, int(j)) for i in range(len(texts)) for j in np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]) <= radius)]
+    pairs += [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+    return simhash.least_labels(len(texts), iter([(a, b)]))
+
+
+@pytest.mark.parametrize("crowd", [1024, 6])
+def test_similar_texts_by_hand(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = random.Random(21)
+    made = lambda n: [rng.choice("abcdefghijklm") + str(rng.randint(0, 99)) for _ in range(n)]
+    shared, texts = made(60), [None, "", " ", "one two", "One  two", "a a a a a", "a a a a a a"]
+    for n in (30, 60, 200, 1200):
+        for _ in range(6):
+            words = shared[:n] + made(n) if rng.random() < 0.5 else made(n)
+            for share in (0, 0.005, 0.01, 0.015, 0.02, 0.03, 0.08):
+                copy = [w if rng.random() >= share else "x" + str(rng.randint(0, 9)) for w in words]
+                texts.append(" ".join(copy[: len(copy) - rng.choice([0, 0, 3])]))
+    texts = rng.sample(texts, len(texts))
+    label = components_by_hand(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    prints, found = simhash.similar_components(spark, docs)
+    got = {r["doc_id"]: r["keep"]["doc_id"] for r in prints.join(found, "node").collect()}
+    assert len(set(label.tolist())) < len(set(components_by_hand(texts, 0).tolist())) <= len(texts) - 60
+    assert got == {i: int(x) for i, x in enumerate(label)}
+
+
+def test_similar_texts_of_the_tables(spark):
+    docs = base.table(spark, "/root/testdata/sf0.01", "documents")
+    rows = sorted(docs.select("doc_id", "text").collect())
+    label = components_by_hand([r["text"] for r in rows])
+    assert {r["doc_id"] for r in simhash.keep_one(spark, docs).collect()} == {rows[x]["doc_id"] for x in set(label.tolist())}
+
+
 def test_simhash_keeps_one(spark, hard, empty):
     kept = simhash.keep_one(spark, hard)
-    comps = simhash.near_duplicates(spark, hard).select("component_id").distinct().count()
+    comps = simhash.similar_components(spark, hard)[1].select("component").distinct().count()
     assert kept.count() == comps and kept.columns == hard.columns and simhash.keep_one(spark, empty).count() == 0
 
 
@@ -298,8 +347,9 @@ def test_pipeline(spark):
         if name != "mixture":
             assert kept.columns == docs.columns
         if name == "near_duplicates":
-            comps = simhash.near_duplicates(spark, before)
-            assert {r[0] for r in kept.select("doc_id").collect()} == {r[0] for r in comps.select("component_id").distinct().collect()}
+            rows = sorted(before.select("doc_id", "text").collect())
+            label = components_by_hand([r["text"] for r in rows])
+            assert {r[0] for r in kept.select("doc_id").collect()} == {rows[x]["doc_id"] for x in set(label.tolist())}
         if name in ("secrets", "mixture"):
             assert kept.count() == before.count()
     assert kept.where("taken = copies * size and copies between 0 and 3").count() == kept.count() > 0
