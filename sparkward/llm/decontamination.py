@@ -4,8 +4,13 @@ Numbers, names and units become typed placeholders; windows of five template wor
 Of a document's hits on an item, those that lie on nearly the same alignment count together: the document is contaminated
 if they cover at least four fifths of the item's words and the values in the placeholders map consistently from the item
 to the document, as they do in a question with new parameters. Where an item repeats a template, hits of other alignments
-compete for the same words; each exact alignment and the best chain of hits in order are judged without them. A bitmap of the benchmark's hashes, of bounded size
-whatever the benchmark, keeps windows that cannot match from leaving the scan; the join decides.
+compete for the same words; each exact alignment and the best chain of hits in order are judged without them.
+
+An item without a window that says something (it has fewer than five words, or hardly any but placeholders) is matched by
+its exact words. Items with the same template and the same pattern of equal values are one class and judged once. A class
+takes its candidates from its rarer windows only, so many that no document that passes can lack all of them; a window
+that very many documents and items share finds nothing alone. A bitmap of the benchmark's hashes, of bounded size whatever
+the benchmark, keeps windows that cannot match from leaving the scan; the joins decide.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ LITERAL, TITLE, NUMBER, UNIT, STOP = range(5)
 MARKS = np.array([0, 0x6E616D65, 0x6E756D62, 0x756E6974, 0], np.uint64)
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 HITS = "h long, position int, slots array<string>"
+#: Items of up to so many words without a template window match only a document that holds no other word.
+WHOLE = 2
 
 
 class Tokens(dict):
@@ -60,8 +67,18 @@ class Tokens(dict):
         return out
 
 
-def windows(text: str | None, memo: Tokens) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Hash of each window, whether it has enough literal words, the words, and their kinds as canonicalised."""
+def _hashes(value: np.ndarray, size: int, start: int = 0) -> np.ndarray:
+    """A hash of each run of so many values."""
+    n = max(0, len(value) - size + 1)
+    h = np.full(n, start, np.uint64)
+    for k in range(size):
+        h = (h + value[k : k + n]) * FACTORS[k]
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def canonical(text: str | None, memo: Tokens) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of each word: its hash, its kind as canonicalised, and the word."""
     found = TOKEN.findall(text or "")
     packed = np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
     kind = (packed & np.uint64(7)).astype(np.int64)
@@ -71,51 +88,101 @@ def windows(text: str | None, memo: Tokens) -> tuple[np.ndarray, np.ndarray, lis
     kind = np.where((kind == UNIT) & ~beside, LITERAL, kind)
     word = kind != STOP
     words = [w for w, k in zip(found, word.tolist(), strict=True) if k] if not word.all() else found
-    packed, kind = packed[word], kind[word]
-    value = np.where(kind == LITERAL, packed & ~np.uint64(7), MARKS[kind])
-    n = len(value) - WINDOW + 1
-    if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, bool), words, kind
-    h = np.zeros(n, np.uint64)
-    enough = np.zeros(n, np.int64)
-    for k in range(WINDOW):
-        h = (h + value[k : k + n]) * FACTORS[k]
-        h ^= h >> np.uint64(29)
-        enough += kind[k : k + n] == LITERAL
-    return h, enough >= LITERALS, words, kind
+    return packed[word] & ~np.uint64(7), kind[word], words
+
+
+def windows(packed: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each template window, and whether it has enough literal words."""
+    h = _hashes(np.where(kind == LITERAL, packed, MARKS[kind]), WINDOW)
+    total = np.concatenate(([0], np.cumsum(kind == LITERAL)))
+    return h, (total[WINDOW:] - total[:-WINDOW])[: len(h)] >= LITERALS if len(h) else np.empty(0, bool)
+
+
+def exact_windows(packed: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of so many exact words; of up to WHOLE words only if there is no other."""
+    return _hashes(packed, size, 1000 + size) if size > WHOLE or len(packed) == size else np.empty(0, np.uint64)
+
+
+def _emitted(rows: list, first: list, h: list, at: list, slots: list, names: list[str]) -> pa.RecordBatch:
+    take = pa.array(rows, pa.int64())
+    every = np.concatenate(h) if h else np.empty(0, np.uint64)
+    return pa.RecordBatch.from_arrays([*(c.take(take) for c in first), pa.array(every.view(np.int64)), pa.array(at, pa.int32()), pa.array(slots, pa.list_(pa.string()))], [*names, "h", "position", "slots"])
+
+
+def _slots(words: list[str], kind: np.ndarray, p: int) -> list[str]:
+    return [words[k].lower() for k in range(p, p + WINDOW) if kind[k] != LITERAL]
+
 
+def _scan(bitmap: np.ndarray, bits: int, sizes: list[int]):
+    """Windows of the documents that the bitmap holds: of templates, and of exact words for the sizes that items need."""
 
-def _emit(bitmap: np.ndarray | None, bits: int, keys: int):
-    """Windows (all, or those that the bitmap holds) with their slots, after the first columns of the row."""
+    def held(h: np.ndarray) -> np.ndarray:
+        low = h & np.uint64(bits - 1)
+        return (bitmap[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 != 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Tokens()
         for b in batches:
             rows, hs, at, slots = [], [], [], []
-            for i, text in enumerate(b.column(keys).to_pylist()):
-                h, good, words, kind = windows(text, memo)
-                if bitmap is not None:
-                    low = h & np.uint64(bits - 1)
-                    good &= (bitmap[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 != 0
-                for p in np.flatnonzero(good).tolist():
-                    rows.append(i)
-                    at.append(p)
-                    slots.append([words[k].lower() for k in range(p, p + WINDOW) if kind[k] != LITERAL])
-                hs.append(h[good])
-            h = np.concatenate(hs) if hs else np.empty(0, np.uint64)
-            take = pa.array(rows, pa.int64())
-            first = [b.column(i).take(take) for i in range(keys)]
-            yield pa.RecordBatch.from_arrays([*first, pa.array(h.view(np.int64)), pa.array(at, pa.int32()), pa.array(slots, pa.list_(pa.string()))], [*b.schema.names[:keys], "h", "position", "slots"])
+            for i, text in enumerate(b.column(2).to_pylist()):
+                packed, kind, words = canonical(text, memo)
+                h, good = windows(packed, kind)
+                for found, keep in [(h, good & held(h)), *((e, held(e)) for e in (exact_windows(packed, n) for n in sizes))]:
+                    for p in np.flatnonzero(keep).tolist():
+                        rows.append(i)
+                        at.append(p)
+                        slots.append(_slots(words, kind, p) if found is h else [])
+                    hs.append(found[keep])
+            yield _emitted(rows, [b.column(0), b.column(1)], hs, at, slots, b.schema.names[:2])
 
     return run
 
 
-def item_windows(spark: SparkSession, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, h, position, slots, words): windows of every item; words is how many of its words they cover."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.xxhash64(text_col).alias("item_hash"), F.col(text_col).cast("string").alias("text"))
-    every, _ = base.written(spark, items.mapInArrow(_emit(None, 0, 2), f"item_id long, item_hash long, {HITS}"), "item-windows")
-    words = every.groupBy("item_id", "item_hash").agg(_covered("position").alias("words"))
-    return every.join(words.withColumnsRenamed({"item_id": "i", "item_hash": "j"}), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("j"))).drop("i", "j")
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of items, with the item's class and the size of its exact windows (null for template windows).
+
+    Slots are numbered by their value's first place, so items that differ in their values only are of one class.
+    """
+    import xxhash
+
+    memo = Tokens()
+    for b in batches:
+        rows, hs, at, slots, kinds, sizes = [], [], [], [], [], []
+        for i, text in enumerate(b.column(1).to_pylist()):
+            packed, kind, words = canonical(text, memo)
+            h, good = windows(packed, kind)
+            size = None if good.any() else min(len(words), WINDOW)
+            if size == 0:
+                continue
+            if size is not None:
+                h = exact_windows(packed, size)
+                good = np.ones(len(h), bool)
+            places = np.flatnonzero(good).tolist()
+            number: dict[str, str] = {}
+            own = [[number.setdefault(x, str(len(number))) for x in _slots(words, kind, p)] if size is None else [] for p in places]
+            name = xxhash.xxh64_intdigest(repr((h[good].tolist(), places, own)).encode())
+            rows += [i] * len(places)
+            at += places
+            slots += own
+            hs.append(h[good])
+            kinds += [name - (1 << 64) if name >> 63 else name] * len(places)
+            sizes += [size] * len(places)
+        out = _emitted(rows, [b.column(0)], hs, at, slots, b.schema.names[:1])
+        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(kinds, pa.int64()), pa.array(sizes, pa.int32())], [*out.schema.names, "class", "size"])
+
+
+def item_windows(spark: SparkSession, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, list[int]]:
+    """Windows (class, h, position, slots, words) of every class of items, its items (class, n_items, item_id), and the
+    sizes of exact windows that occur. words is how many words the windows cover."""
+    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    every, _ = base.written(spark, items.mapInArrow(_items, f"item_id long, {HITS}, class long, size int"), "item-windows")
+    known = every.select("item_id", "class", "position").groupBy("class", "item_id").agg(F.count("*").alias("k"), F.countDistinct("position").alias("d"))
+    # rows that repeat an item's id and text are items of their own
+    known = known.groupBy("class").agg(F.sum((F.col("k") / F.col("d")).cast("long")).alias("n_items"), F.min("item_id").alias("item_id"))
+    words = every.groupBy("class").agg(_covered("position").alias("words"))
+    one = every.select("class", "h", "position", "slots").distinct().join(words, "class")
+    sizes = sorted(r["size"] for r in every.where("size is not null").select("size").distinct().collect())
+    return one, known, sizes
 
 
 def _covered(position: str):
@@ -125,15 +192,17 @@ def _covered(position: str):
 
 
 def _bitmap(items: DataFrame) -> tuple[np.ndarray, int]:
-    """Bits of the items' hashes: a power of two by their number, MOST_BITS at most."""
+    """Bits of the items' hashes: a power of two by their number, MOST_BITS at most. Comes to the driver in words of 64."""
     distinct = items.select("h").distinct()
     bits = 1 << 16
     while bits < BITS * distinct.count() and bits < MOST_BITS:
         bits *= 2
-    out = np.zeros(bits // 8, np.uint8)
-    places = distinct.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("p")).distinct().toArrow().column("p").to_numpy().astype(np.uint64)
-    np.bitwise_or.at(out, places >> np.uint64(3), np.uint8(1) << (places & np.uint64(7)).astype(np.uint8))
-    return out, bits
+    place = F.col("h").bitwiseAND(F.lit(bits - 1))
+    word = F.shiftright(place, 6).alias("w")
+    some = distinct.groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((h & {bits - 1}) & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[some.column("w").to_numpy()] = some.column("b").to_numpy().view(np.uint64)
+    return out.view(np.uint8), bits
 
 
 def _judged(hits: list[tuple], words: int) -> tuple[float, int, float]:
@@ -145,20 +214,19 @@ def _judged(hits: list[tuple], words: int) -> tuple[float, int, float]:
 
 
 def _chain(hits: list[tuple]) -> list[tuple]:
-    """The hits of rising position and at that cover most words; of equal ones that of fewest shifts, then most equal values."""
+    """The hits of rising position and at that cover most words; of equal ones that of fewest shifts."""
     hits = sorted(hits, key=lambda h: (h[1], h[0]))
     shifts: dict[int, tuple[list, list]] = {}  # positions of the hits on each shift, and their numbers
-    scores: list[tuple[int, int, int]] = []
+    scores: list[tuple[int, int]] = []
     back: list[int] = []
-    for i, (p, at, a, b) in enumerate(hits):
-        same = sum(x == y for x, y in zip(a, b, strict=True))
-        score, before = (WINDOW, 0, same), -1
+    for i, (p, at, _, _) in enumerate(hits):
+        score, before = (WINDOW, 0), -1
         for shift, (places, numbers) in shifts.items():
             # of the hits on one shift that may come before, the latest ends a chain at least as good as any
             k = bisect_left(places, min(p, at - shift)) - 1
             if k >= 0:
                 s = scores[numbers[k]]
-                new = (s[0] + min(WINDOW, p - places[k]), s[1] - (shift != at - p), s[2] + same)
+                new = (s[0] + min(WINDOW, p - places[k]), s[1] - (shift != at - p))
                 if new > score:
                     score, before = new, numbers[k]
         places, numbers = shifts.setdefault(at - p, ([], []))
@@ -200,24 +268,63 @@ def _best(hits: list[tuple], words: int, coverage: float, consistent: float) ->
     return tuple(max(c) for c in zip(*passed, strict=True)) if passed else None
 
 
+def _rarest(coverage: float):
+    """From (class, words, found: n, position, h): the windows but for the most frequent, which cover too little alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds, hs = [], []
+            for name, words, found in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                covered: set[int] = set()
+                for w in sorted(found, key=lambda w: (-w["n"], w["position"])):
+                    more = covered.union(range(w["position"], w["position"] + WINDOW))
+                    if len(more) < coverage * words - 1e-9:
+                        covered = more
+                    elif w["n"]:
+                        kinds.append(name)
+                        hs.append(w["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(hs, pa.int64())], ["class", "h"])
+
+    return run
+
+
+def candidates(spark: SparkSession, hits: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
+    """(doc_id, text_hash, class) of the documents that hold one of a class's rarer windows.
+
+    The most frequent windows in the documents are left out as long as all of them together cover less than a document
+    must to pass; so one that passes holds one of the others, and no document is lost.
+    """
+    often, _ = base.written(spark, hits.groupBy("h").agg(F.count("*").alias("n")), "window-counts")
+    counted = items.join(often, "h", "left").select("class", "words", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "position", "h").alias("w"))
+    every = counted.groupBy("class", "words").agg(F.collect_list("w").alias("found"))
+    rare, _ = base.written(spark, every.mapInArrow(_rarest(coverage), "class long, h long").distinct(), "rare-windows")
+    return hits.select("doc_id", "text_hash", "h").join(rare, "h").select("doc_id", "text_hash", "class").distinct()
+
+
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE, consistent: float = CONSISTENT) -> DataFrame:
-    """(doc_id, text_hash, item_id, coverage, slots, consistency) of every contaminated text and item.
+    """(doc_id, text_hash, item_id, n_items, coverage, slots, consistency) of every contaminated text and class of items.
 
-    coverage is the share of the item's words under matching windows of one alignment or chain, consistency the number of distinct
-    slot values of the item over the distinct pairs of values (1 where there is none). Items of fewer than five words, or
-    of hardly anything but placeholders, are no evidence and match nothing; so do null and empty texts.
+    coverage is the share of the item's words under matching windows of one alignment or chain, consistency the number of
+    distinct slot values of the item over the distinct pairs of values (1 where there is none). An item without a window
+    of at least two literal words matches by its exact words: by runs of five, whole if it has three or four, and if it
+    has one or two only a document that has no other word. Null and empty items and texts match nothing.
     """
-    items, _ = base.written(spark, item_windows(spark, benchmark), "items")
+    items, known, sizes = item_windows(spark, benchmark)
+    items, _ = base.written(spark, items, "items")
     bitmap, bits = _bitmap(items)
     shared = spark.sparkContext.broadcast(bitmap)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _emit(shared.value, bits, 2)(batches)
+        return _scan(shared.value, bits, sizes)(batches)
 
     hits = texts.mapInArrow(scan, f"doc_id long, text_hash long, {HITS}").withColumnsRenamed({"position": "at", "slots": "values"})
-    met = hits.join(items, "h")
-    placed = met.groupBy("doc_id", "text_hash", "item_id", "item_hash", "words").agg(F.collect_set(F.struct("position", "at", "slots", "values")).alias("hits"))
+    hits, _ = base.written(spark, hits, "window-hits")
+    near, _ = base.written(spark, candidates(spark, hits, items, coverage), "candidates")
+    wanted = near.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}).join(items, "class").withColumnRenamed("h", "hh")
+    met = hits.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("h") == F.col("hh")))
+    placed = met.groupBy("doc_id", "text_hash", "class", "words").agg(F.collect_set(F.struct("position", "at", "slots", "values")).alias("hits"))
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,16 +336,16 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
                     for c, v in zip(cols, best, strict=True):
                         c.append(v)
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(3)), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64())], ["doc_id", "text_hash", "item_id", "coverage", "slots", "consistency"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(3)), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64())], ["doc_id", "text_hash", "class", "coverage", "slots", "consistency"])
 
-    good = placed.select("doc_id", "text_hash", "item_id", "words", "hits").mapInArrow(tell, "doc_id long, text_hash long, item_id long, coverage double, slots int, consistency double")
-    return good.groupBy("doc_id", "text_hash", "item_id").agg(F.max("coverage").alias("coverage"), F.max("slots").alias("slots"), F.max("consistency").alias("consistency"))
+    good = placed.select("doc_id", "text_hash", "class", "words", "hits").mapInArrow(tell, "doc_id long, text_hash long, class long, coverage double, slots int, consistency double")
+    return good.join(known, "class").select("doc_id", "text_hash", "item_id", "n_items", "coverage", "slots", "consistency")
 
 
 def judge(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, contaminated, n_items, item_id (that of best coverage, then least id) and coverage (0 if none) for each row."""
     found, _ = base.written(spark, contamination(spark, docs, benchmark, id_col=id_col, text_col=text_col), "contaminated")
-    best = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_items"), F.max(F.struct("coverage", (-F.col("item_id")).alias("m"))).alias("best"))
+    best = found.groupBy("doc_id", "text_hash").agg(F.sum("n_items").alias("n_items"), F.max(F.struct("coverage", (-F.col("item_id")).alias("m"))).alias("best"))
     best = best.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "n_items", F.col("best.coverage").alias("coverage"), (-F.col("best.m")).alias("item_id"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
     all_ = rows.join(best, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left")
