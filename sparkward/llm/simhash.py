@@ -33,8 +33,9 @@ SHARD, FRONT, GATHER = 4096, 1 << 21, 1 << 18
 BLOCKS = (6, 7, 8)
 #: Interleaved blocks by which a crowded shard is dealt again; at four differing bits one of them agrees.
 FINER = 5
-#: Links of similar texts: words of a shingle, likeness, least shingle hashes that make shards, radius, texts of a shard.
-WORDS, ALIKE, MARKS, WIDE, CROWD = 5, 0.8, 6, 16, 1024
+#: Links of similar texts: words of a shingle, likeness, least shingle hashes that make shards, radius, texts of a tree,
+#: bytes of shingle sets that are compared in one task, a row counting for so many more.
+WORDS, ALIKE, MARKS, WIDE, CROWD, GRAMS, ROW = 5, 0.8, 4, 16, 4096, 32 << 20, 2048
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -114,12 +115,17 @@ class Forest:
         order = np.argsort(key, kind="stable")
         self.kids, self.key = kids[order], key[order]
 
-    def search(self, query: np.ndarray, node: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (position in query, node) within the radius, starting at the given roots; in pieces of bounded size."""
+    def search(self, query: np.ndarray, node: np.ndarray, radius: int, found: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (position in query, node) within the radius, starting at the given roots; in pieces of bounded size.
+
+        A query is not followed any further once the caller has set its flag in found.
+        """
         who = np.arange(len(query))
         stack = [(who[i : i + FRONT], node[i : i + FRONT]) for i in range(0, len(who), FRONT)]
         while stack:
             who, node = stack.pop()
+            if found is not None:
+                who, node = who[~found[who]], node[~found[who]]
             d = np.bitwise_count(query[who] ^ self.fp[node]).astype(np.int64)
             near = d <= radius
             if near.any():
@@ -174,49 +180,43 @@ def _tasks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _near(task: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows within the radius. Tasks ascend; side 0: in the tree and a query, 1: in the tree, 2: a query.
-
-    The fingerprints in a tree are distinct.
-    """
-    trees, asks = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
-    has, shard = np.unique(task[trees], return_inverse=True)
-    forest = Forest(shard, fp[trees])
-    at = np.searchsorted(has, task[asks])
-    at[at == len(has)] = 0
-    met = has[at] == task[asks] if len(has) else np.zeros(len(asks), bool)
-    asks, roots = asks[met], forest.roots[at[met]]
-    for q, n in forest.search(fp[asks], roots, radius):
-        yield asks[q], trees[n]
-
-
 def _linked(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _tasks(batches, GATHER):
+            # tasks ascend; side 0: in the tree and a query, 1: in the tree, 2: a query
             task, side, fp = (some.column(i).to_numpy() for i in range(3))
             fp = fp.view(np.uint64)
-            label = least_labels(len(fp), _near(task, side, fp, radius))
+            trees, asks = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
+            has, shard = np.unique(task[trees], return_inverse=True)
+            forest = Forest(shard, fp[trees])
+            at = np.searchsorted(has, task[asks])
+            at[at == len(has)] = 0
+            met = has[at] == task[asks] if len(has) else np.zeros(len(asks), bool)
+            asks, roots = asks[met], forest.roots[at[met]]
+            label = least_labels(len(fp), ((asks[q], trees[n]) for q, n in forest.search(fp[asks], roots, radius)))
             moved = np.flatnonzero(label != np.arange(len(fp)))
             yield pa.RecordBatch.from_arrays([pa.array(fp[moved].view(np.int64)), pa.array(fp[label[moved]].view(np.int64))], ["u", "v"])
 
     return run
 
 
+def _with_size(spark: SparkSession, shards: DataFrame, most: int, amount: Column) -> DataFrame:
+    """shards with column parts: into how many its shard must be split, so that none has more than most of the amount."""
+    hot, _ = base.written(spark, shards.groupBy("key").agg(amount.alias("n")).where(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("parts")), "hot")
+    # a written table: broadcast by its size, else both sides of the join can be split
+    return shards.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+
 def _finer(spark: SparkSession, shards: DataFrame, most: int, keys: Column) -> DataFrame:
     """shards, those of more than so many rows dealt again by the finer keys of each row; other columns stay."""
-    crowded, _ = base.written(spark, shards.groupBy("key").count().where(F.col("count") > most).select("key", F.lit(True).alias("crowded")), "crowded")
-    if not crowded.head(1):
-        return shards
-    both = shards.join(crowded, "key", "left")  # a written table: broadcast by its size, else both sides can be split
+    sized = _with_size(spark, shards, most, F.count("*"))
     others = [c for c in shards.columns if c != "key"]
-    return both.where("crowded is null").select(*shards.columns).unionByName(both.where("crowded").select(*others, F.explode(keys).alias("key")))
+    return sized.select(*others, F.explode(F.when(F.col("parts") == 1, F.array("key")).otherwise(keys)).alias("key"))
 
 
-def _dealt(spark: SparkSession, shards: DataFrame, most: int, salt: str) -> DataFrame:
-    """(task, side, other columns) of shards; one of more than so many rows is split into salted parts that all meet."""
-    hot, _ = base.written(spark, shards.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("parts")), "hot")
-    others = [c for c in shards.columns if c != "key"]
-    dealt = shards.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+def _dealt(dealt: DataFrame, salt: str) -> DataFrame:
+    """(task, side, other columns) of shards with their parts: the salted parts of a shard all meet."""
+    others = [c for c in dealt.columns if c not in ("key", "parts")]
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(salt), F.col("parts")).cast("int"))
     # a part's tree meets its own rows (side 0) and, as queries (side 2), those of every later part
     side = F.when(F.col("other") == F.col("own"), F.lit(0)).when(F.col("other") > F.col("own"), F.lit(1)).otherwise(F.lit(2))
@@ -250,7 +250,7 @@ def link_edges(spark: SparkSession, fps: DataFrame, radius: int = RADIUS) -> Dat
     shards = fps.select("fp", F.explode(F.array(*(key(k, c) for k, c in enumerate(combinations(range(len(blocks)), agree))))).alias("key"))
     masks = [_signed(sum(1 << b for b in range(64) if b % FINER == j)) for j in range(FINER)]
     shards = _finer(spark, shards, SHARD, F.array(*(F.xxhash64("key", F.lit(j), F.col("fp").bitwiseAND(F.lit(m))) for j, m in enumerate(masks))))
-    rows = _dealt(spark, shards, SHARD, "fp").select("task", "side", "fp")
+    rows = _dealt(_with_size(spark, shards, SHARD, F.count("*")), "fp").select("task", "side", "fp")
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_linked(radius), "u long, v long")
 
 
@@ -298,58 +298,69 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(task, side, node) of the rows that have another within the wide radius in their task; equal fingerprints do."""
+    """(key, node) of the rows that have another within the wide radius in their shard."""
     for some in _tasks(batches, GATHER):
-        task, side, node, fp = (some.column(i).to_numpy() for i in range(4))
-        _, first, inverse = np.unique(np.stack((task, side, fp)), axis=1, return_index=True, return_inverse=True)
-        inverse = inverse.ravel()
-        seen = np.bincount(inverse) > 1
-        seen &= side[first] == 0  # equal rows of one side don't meet
-        for a, b in _near(task[first], side[first], fp[first].view(np.uint64), WIDE):
-            apart = a != b
-            seen[a[apart]] = True
-            seen[b[apart]] = True
-        keep = np.flatnonzero(seen[inverse])
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (task, side, node)], ["task", "side", "node"])
+        key, node, fp = (some.column(i).to_numpy() for i in range(3))
+        _, first, inverse, count = np.unique(np.stack((key, fp)), axis=1, return_index=True, return_inverse=True, return_counts=True)
+        seen = count > 1  # equal fingerprints are neighbours
+        _, shard = np.unique(key[first], return_inverse=True)
+        forest = Forest(shard, fp[first].view(np.uint64))
+        for a, b in forest.search(forest.fp, forest.roots[shard], WIDE, seen):
+            seen[a[a != b]] = True
+        keep = np.flatnonzero(seen[inverse.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, node)], ["key", "node"])
 
 
 def alike_pairs(side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Pairs of rows with a Jaccard likeness of ALIKE or more that span each set so connected; sides as in _near.
+    """Pairs of rows with a Jaccard likeness of ALIKE or more that span each set so connected.
+
+    Rows of side 0 are compared among themselves, those of side 1 with those of side 2.
 
     Rows are compared if they share one of their rarest grams: of a row with n grams the n - ceil(ALIKE * n) + 1 rarest
     hold one of any row as like it as that. Pairs in one set already are not compared.
     """
     size = np.array([len(x) for x in sets], np.int64)
+    start = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(sets)), size)
-    _, gram, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    order = np.lexsort((gram, count[gram], owner))
-    owner, gram = owner[order], gram[order]
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    grams, every, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((every, count[every], owner))
+    gram = every[order]
+    place = np.arange(len(owner)) - start[owner]
     rare = (place < (size - np.ceil(ALIKE * size - 1e-9).astype(np.int64) + 1)[owner]) & (count[gram] > 1)
-    owner, gram = owner[rare], gram[rare]
-    by = np.lexsort((owner, gram))
-    groups = np.split(owner[by], np.flatnonzero(np.diff(gram[by])) + 1)
-    label = np.arange(len(sets))
-    out, known = [], set()
-    for group in sorted((g for g in groups if len(g) > 1), key=len):
-        for k, i in enumerate(group[:-1].tolist()):
-            rest = group[k + 1 :]
-            n = size[i]
-            may = (label[rest] != label[i]) & (np.minimum(size[rest], n) >= ALIKE * np.maximum(size[rest], n) - 1e-9) & ((side[rest] != side[i]) | (side[i] == 0))
-            for j in rest[may].tolist():
-                if label[i] == label[j] or (i, j) in known:
-                    continue
-                known.add((i, j))
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if both >= ALIKE * (size[i] + size[j] - both) - 1e-9:
-                    out.append((i, j))
-                    a, b = sorted((label[i], label[j]))
-                    label[label == b] = a
+    row, gram = owner[rare], gram[rare]  # rows ascend
+    by = np.argsort(gram, kind="stable")
+    lists, low = np.unique(gram[by], return_index=True)
+    groups = np.split(row[by], low[1:])
+    group_of = np.searchsorted(lists, gram)
+    cuts = np.searchsorted(row, np.arange(len(sets) + 1))
+    label, done, own = np.arange(len(sets)), np.zeros(len(groups), bool), np.zeros(len(grams), bool)
+    out = []
+    for i in range(len(sets)):
+        met = np.zeros(len(sets), bool)
+        for g in group_of[cuts[i] : cuts[i + 1]].tolist():
+            if not done[g]:
+                met[groups[g]] = True
+                done[g] = groups[g][-1] <= i + 1 or (label[groups[g]] == label[i]).all()
+        may = np.flatnonzero(met[i + 1 :]) + i + 1
+        n = size[i]
+        may = may[(label[may] != label[i]) & (np.minimum(size[may], n) >= ALIKE * np.maximum(size[may], n) - 1e-9) & ((side[may] != side[i]) | (side[i] == 0))]
+        if not len(may):
+            continue
+        own[every[start[i] : start[i] + n]] = True
+        ends = np.cumsum(size[may])
+        at = np.arange(ends[-1]) + np.repeat(start[may] - ends + size[may], size[may])
+        both = np.add.reduceat(own[every[at]].astype(np.int64), ends - size[may])
+        own[every[start[i] : start[i] + n]] = False
+        for j in may[both >= ALIKE * (n + size[may] - both) - 1e-9].tolist():
+            if label[i] != label[j]:
+                out.append((i, j))
+                a, b = sorted((label[i], label[j]))
+                label[label == b] = a
     return out
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for some in _tasks(batches, 2 * CROWD):
+    for some in _tasks(batches, 2048):
         task, side, node = (some.column(i).to_numpy() for i in range(3))
         grams = some.column(3).to_pylist()
         cuts = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
@@ -366,20 +377,25 @@ def similar_edges(spark: SparkSession, nodes: DataFrame, prints: DataFrame) -> D
 
     nodes has (node, keep, fp, marks), a row for each different text, prints (node, doc_id, text_hash, grams). Two texts of
     that likeness share one of their MARKS least hashes but in one case of 5 ** MARKS, and are within WIDE bits but in
-    under one of a hundred. A mark that more than CROWD texts share is dealt again by a second mark, and then in salted
-    parts. Only the shingle sets of texts that have a neighbour are shuffled.
+    under one of a hundred. A mark that more than CROWD texts share is dealt again by a second mark; what is crowded even
+    so has no tree, and all of it is compared. Texts that have a neighbour meet with their shingle sets, and only these
+    sets are shuffled: all of a shard in one task, or in salted parts that meet where they have more than GRAMS bytes.
     """
     shards = nodes.select("node", "fp", "marks", F.explode("marks").alias("key"))
-    second = F.transform(F.filter("marks", lambda m: m != F.col("key")), lambda m: F.xxhash64(F.least("key", m), F.greatest("key", m)))
+    second = F.transform(F.filter("marks", lambda m: m > F.col("key")), lambda m: F.xxhash64("key", m))
     second = F.when(F.size("marks") > 1, second).otherwise(F.array("key"))
-    rows = _dealt(spark, _finer(spark, shards, CROWD, second).drop("marks"), CROWD, "node").select("task", "side", "node", "fp")
-    near = rows.repartition("task").sortWithinPartitions("task").mapInArrow(_neighbours, "task long, side long, node long")
+    rows = _with_size(spark, _finer(spark, shards, CROWD, second).drop("marks"), CROWD, F.count("*"))
+    rows, _ = base.written(spark, rows.select("key", "node", "fp", (F.col("parts") > 1).alias("crowded")), "similar-shards")
+    trees = rows.where("not crowded").select("key", "node", "fp").repartition("key").sortWithinPartitions("key")
+    near = trees.mapInArrow(_neighbours, "key long, node long").unionByName(rows.where("crowded").select("key", "node"))
     near, _ = base.written(spark, near, "neighbours")
     stand, _ = base.written(spark, near.select("node").distinct().join(nodes, "node").select(F.col("node").alias("m"), F.col("keep.doc_id").alias("d"), F.col("keep.text_hash").alias("t")), "near-nodes")
     one = (F.col("node") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
     sets = prints.select("node", "doc_id", "text_hash", "grams").join(stand, one, "left_semi").groupBy("node").agg(F.min("grams").alias("grams"))
     sets, _ = base.written(spark, sets, "near-sets")
-    told = near.join(sets, "node").select("task", "side", "node", "grams")
+    sized = near.join(sets.select("node", (F.octet_length("grams").cast("long") + ROW).alias("n")), "node")
+    dealt = _dealt(_with_size(spark, sized, GRAMS, F.sum("n")), "node").select("task", "side", "node")
+    told = dealt.join(sets, "node").select("task", "side", "node", "grams")
     return told.repartition("task").sortWithinPartitions("task").mapInArrow(_verified, "u long, v long")
 
 
