@@ -233,9 +233,10 @@ def components_by_hand(texts, radius=4):
     return simhash.least_labels(len(texts), iter([(a, b)]))
 
 
-@pytest.mark.parametrize("crowd", [1024, 6])
-def test_similar_texts_by_hand(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd,grams", [(4096, 1 << 25), (6, 1 << 25), (6, 20_000)])
+def test_similar_texts_by_hand(spark, monkeypatch, crowd, grams):
     monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "GRAMS", grams)
     rng = random.Random(21)
     made = lambda n: [rng.choice("abcdefghijklm") + str(rng.randint(0, 99)) for _ in range(n)]
     shared, texts = made(60), [None, "", " ", "one two", "One  two", "a a a a a", "a a a a a a"]
@@ -278,7 +279,9 @@ def test_decontamination(spark, hard, empty):
         (5, filler + ITEMS[0][1].replace("120", "450").replace("Paris", "Rome").replace("Lyon", "Milan") + ".", True),  # new parameters
         (6, filler + ITEMS[5][1].replace("5 red", "7 red").replace("5 blue", "7 blue"), True),  # 5 became 7 both times
         (7, filler + ITEMS[5][1].replace("5 red", "7 red").replace("5 blue", "9 blue"), False),  # one value became two
-        (8, " ".join(str(i) for i in range(3000)), False), (9, "short one", False), (10, ITEMS[0][1][:60], False), (1, filler, False),
+        (8, " ".join(str(i) for i in range(3000)), True),  # holds item 5 by its exact words
+        (9, "Short one!", True), (12, "the short one is here", False), (13, " ".join(str(2 * i) for i in range(3000)), False),  # two words match a whole document only
+        (10, ITEMS[0][1][:60], False), (1, filler, False),
         (None, ITEMS[0][1], True), (11, (filler * 400) + ITEMS[0][1], True),
     ]
     df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").withColumn("position", F.lit(0)).withColumn("item_id", F.lit(0))
@@ -299,6 +302,67 @@ def test_decontamination_finds_planted_items(spark):
     assert {r["doc_id"] for r in got} == {i for i, t in docs.items() if any(x in t for x in items)}
 
 
+def plain_words(text):
+    import re
+
+    return [w.lower() for w in re.findall(r"[^\W_]+", text or "")]
+
+
+def test_decontamination_by_brute_force(spark):
+    """Short, numeric, verbatim and re-parameterised items in filler; expected by plain search, not by the operator's parts."""
+    rng = random.Random(3)
+    letters = lambda: "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(3))
+    vocabulary = [letters() for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items, reworded = [], {}
+    for i in range(120):
+        kind = i % 4
+        if kind == 0:  # three or four words
+            items.append(prose(rng.choice([3, 4])))
+        elif kind == 1:  # numbers only
+            items.append(" ".join(str(rng.randint(10, 99)) for _ in range(rng.randint(4, 9))))
+        elif kind == 2:
+            items.append(prose(rng.randint(8, 40)))
+        else:  # a template whose numbers and names change together
+            words = prose(rng.randint(12, 25)).split()
+            slots = {k: 0 for k in range(2, len(words) - 1, 5)}
+            old = [str(rng.randint(100, 999)) if k in slots else w for k, w in enumerate(words)]
+            swap = {x: str(int(x) + 1000) for x in old if x.isdigit()}
+            items.append(" ".join(old))
+            reworded[i] = " ".join(swap.get(x, x) for x in old)
+    docs, expected = [], []
+    for d in range(600):
+        text = prose(rng.randint(5, 120))
+        if d % 3 == 0:
+            i = rng.randrange(len(items))
+            put = reworded[i] if i in reworded and rng.random() < 0.6 else items[i]
+            text = f"{text}. {put}. {prose(9)}"
+        docs.append(text)
+        found = f" {' '.join(plain_words(text))} "
+        expected.append(any(f" {' '.join(plain_words(x))} " in found for x in [*items, *reworded.values()]))
+    bench = spark.createDataFrame(list(enumerate(items)) + [(0, items[0])], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontamination.judge(spark, spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench).collect()}
+    said = [got[d]["contaminated"] for d in range(len(docs))]
+    hit, wrong = sum(a and b for a, b in zip(said, expected)), sum(a and not b for a, b in zip(said, expected))
+    print("recall", hit / sum(expected), "false", wrong)
+    assert said == expected and sum(expected) > 150
+    twice = [d for d in range(len(docs)) if f" {items[0]} " in f" {' '.join(plain_words(docs[d]))} "]
+    assert all(got[d]["n_items"] == 2 for d in twice)
+
+
+def test_frequent_windows_make_no_candidates(spark):
+    rng = random.Random(5)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)]
+    head = "which of the following words is the one"
+    items = [f"{head} {' '.join(rng.sample(words, 14))}" for _ in range(60)]
+    docs = [f"{head} {' '.join(rng.sample(words, 30))}" for _ in range(400)] + items[:7]
+    bench, df = spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found, _, sizes = decontamination.item_windows(spark, bench)
+    hits = df.select("doc_id", F.lit(0).alias("text_hash"), F.col("doc_id").alias("x")).crossJoin(found.groupBy("h").count().where("count > 50").select("h"))
+    assert sizes == [] and decontamination.candidates(spark, hits, found, 0.8).count() == 0  # hot windows alone name nobody
+    assert {r["doc_id"] for r in decontamination.judge(spark, df, bench).where("contaminated").collect()} == set(range(400, 407))
+
+
 TRIP = "A car travels 20 km in 2 hours and a bus travels 30 km in 3 hours and a train travels 40 km in 5 hours, so which of them is the fastest"
 
 
