@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,6 +114,15 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(own)
 
 
+def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
+    """Least of each w values in a row."""
+    n = len(v)
+    rows = np.concatenate((v, np.full(-n % w, v.max(), v.dtype))).reshape(-1, w)
+    ahead = np.minimum.accumulate(rows, axis=1).ravel()
+    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
+
+
 def executor_file_system(uri: str):
     """On an executor: pyarrow's file system of a shared folder and the path inside it."""
     from pyarrow import fs

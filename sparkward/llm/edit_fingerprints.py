@@ -1,30 +1,37 @@
 """Document fingerprints by a randomised embedding of edit distance into Hamming distance.
 
-A text is cut into segments; a walk goes through each segment's characters and, at every step, either stays or moves on
-as a shared random bit of (step, character) says. Two walks that differ by few edits fall into step again, so the letters
-read at equal steps differ in few places. The fingerprint keeps one shared random bit of the letter read at sampled steps,
-as many from every doubling of the step number, so short and long texts are both covered from end to end. Bands of sampled
-bits find candidates; the likeness of the whole fingerprints verifies them.
+A text is cut into segments where its content says so, so an insertion moves the borders along and later segments stay as
+they were. A walk goes through each segment's characters and, at every step, either stays or moves on as a shared random
+bit of (step, character) says. Two walks that differ by few edits fall into step again, so the letters read at equal steps
+differ in few places. The fingerprint keeps one shared random bit of the letter read at sampled steps, as many from every
+doubling of the step number, so short and long segments are covered from end to end. Segments of two texts are aligned by
+what stands at their borders. Bands of sampled bits find candidates; the likeness of the whole fingerprints verifies them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkward.llm import base
 
-#: Characters of a segment, letter classes, sampled steps in each doubling, seed of the shared bits.
+#: Characters of a segment at most, letter classes, sampled steps in each doubling, seed of the shared bits.
 SEGMENT, CLASSES, GROUP, SEED = 2048, 1024, 32, 20240607
-#: Bands and bits in each.
-BANDS, BAND_BITS = 16, 12
+#: A border is where the hash of so many characters is the least within so many places on both sides.
+MARK, REACH = 16, 320
+#: A key of which two texts have more pairs than this is aligned in order of occurrence.
+PAIRS = 64
+#: Bands, bits in each, and the likeness from which a candidate is a link.
+BANDS, BAND_BITS, THRESHOLD = 16, 12, 0.8
 #: Bits of a link band by the size of the corpus; share of equal bits at which a link is missed with the given chance; rows of a block.
 LINK_BITS, ALIKE, MISS, BLOCK = (20, 32), 0.9, 0.005, 1024
 #: Sampled bits between the ends of two levels of link bands.
@@ -36,6 +43,8 @@ def _end(length):
     return (2 * length + 4 * np.sqrt(2 * length) + 16).astype(np.int64) * (length > 0)
 
 
+#: Above any 64-bit hash.
+_ALL = 1 << 63
 STEPS = int(_end(np.array([SEGMENT]))[0])
 
 
@@ -55,6 +64,41 @@ SAMPLED, WEIGHT = _plan()
 WIDTH = len(SAMPLED)
 
 
+def segments(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of a text's segments, and a 32-bit hash of what each begins with. A text of SEGMENT characters is one."""
+    n = len(letters)
+    if n == 0:
+        return np.empty(0, np.int64), np.empty(0, np.uint32)
+    h = np.zeros(max(n - MARK + 1, 0), np.uint64)
+    for k in range(MARK):
+        h = (h + letters[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    starts = [0]
+    if n > SEGMENT:
+        least = base.sliding_min(h, 2 * REACH + 1)
+        at = np.flatnonzero(h[REACH : len(h) - REACH] == least)
+        # of equal hashes within reach none is a border, as their order says nothing
+        gaps = np.diff(at)
+        alone = np.ones(len(at), bool)
+        alone[1:] &= gaps > REACH
+        alone[:-1] &= gaps > REACH
+        for border in [*(at[alone] + REACH).tolist(), n]:
+            starts += range(starts[-1] + SEGMENT, border, SEGMENT)
+            starts.append(border)
+        starts.pop()
+    begin = np.array(starts, np.int64)
+    keys = h[np.minimum(begin, len(h) - 1)] if len(h) else np.zeros(len(begin), np.uint64)
+    return np.diff(begin, append=n), (keys >> np.uint64(32)).astype(np.uint32)
+
+
+class Print(NamedTuple):
+    """A fingerprint: sizes and keys of the segments, and their bits, a row for each."""
+
+    sizes: np.ndarray
+    keys: np.ndarray
+    bits: np.ndarray
+
+
 class Walks:
     """The shared bits: whether a walk moves on, and the bit that a letter shows at a sampled step."""
 
@@ -67,14 +111,12 @@ class Walks:
         # a band samples the bits of one doubling and those before it, so texts of every length have bands
         self.bands = [np.sort(rng.choice(GROUP * (2 + b % (WIDTH // GROUP - 1)), BAND_BITS, replace=False)) for b in range(BANDS)]
 
-    def bits(self, texts: list[str]) -> list[np.ndarray]:
-        """The bits of each text, a row for each segment."""
-        letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        n = np.array([len(t) for t in texts], np.int64)
-        parts = -(-n // SEGMENT)
-        owner = np.repeat(np.arange(len(texts)), parts)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-        size = np.minimum(SEGMENT, n[owner] - place * SEGMENT)
+    def prints(self, texts: list[str]) -> list[Print]:
+        """The fingerprint of each text. All segments walk together, the longest first."""
+        every = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+        cut = [segments(x) for x in every]
+        letters = np.concatenate(every) if every else np.empty(0, np.uint32)
+        size = np.concatenate([c[0] for c in cut]) if cut else np.empty(0, np.int64)
         flat = np.zeros(len(letters) + len(size), np.uint16)
         flat[np.arange(len(letters)) + np.repeat(np.arange(len(size)), size)] = 1 + letters % (CLASSES - 1)
         starts = np.cumsum(size + 1) - size - 1
@@ -92,18 +134,18 @@ class Walks:
             here += self.moves[step].take(c)
         back = np.empty_like(out)
         back[order] = out
-        return np.split(back, np.cumsum(parts)[:-1]) if len(texts) else []
+        parts = np.split(back, np.cumsum([len(c[0]) for c in cut])[:-1]) if cut else []
+        return [Print(n, k, bits) for (n, k), bits in zip(cut, parts, strict=True)]
 
-    def band_keys(self, bits: np.ndarray, n_chars: int) -> np.ndarray:
+    def band_keys(self, p: Print) -> np.ndarray:
         """A key for each segment and band; -1 where the segment ends before the band's bits."""
-        size = np.minimum(SEGMENT, n_chars - SEGMENT * np.arange(len(bits)))
-        keys = bits[:, np.stack(self.bands)].astype(np.int64) @ (1 << np.arange(BAND_BITS))
-        return np.where(SAMPLED[[b[-1] for b in self.bands]] < 2 * size[:, None], keys, -1)
-
-    def equal_bands(self, a: np.ndarray, n: int, b: np.ndarray, m: int) -> int:
-        """The number of bands whose key is the same in any segment of both texts."""
-        k = min(len(a), len(b))
-        x, y = self.band_keys(a, n)[:k], self.band_keys(b, m)[:k]
+        keys = p.bits[:, np.stack(self.bands)].astype(np.int64) @ (1 << np.arange(BAND_BITS))
+        return np.where(SAMPLED[[b[-1] for b in self.bands]] < 2 * p.sizes[:, None], keys, -1)
+
+    def equal_bands(self, a: Print, b: Print) -> int:
+        """The number of bands whose key is the same in any two segments that are aligned."""
+        i, j = aligned(a, b)
+        x, y = self.band_keys(a)[i], self.band_keys(b)[j]
         return int(((x == y) & (x >= 0)).any(axis=0).sum())
 
     def link_bands(self, segments: int) -> np.ndarray:
@@ -116,50 +158,82 @@ class Walks:
         n = math.ceil(math.log(MISS) / math.log1p(-(ALIKE**size)))
         return np.stack([rng.choice(2 * GROUP, size, replace=False) - 2 * GROUP for _ in range(n)])
 
-    def link_keys(self, bits: np.ndarray, n_chars: int, bands: np.ndarray) -> list[int]:
-        """Keys of level, band, segment and bits.
+    def link_keys(self, p: Print, bands: np.ndarray) -> list[int]:
+        """Keys of band, level and bits, from every segment wherever it stands.
 
         A level is a run of 64 sampled bits, three quarters of the steps up to its end, as the likeness weighs steps. A
-        full segment has the last level that it fills, the short one at a text's end the last three, so that texts of
+        segment has the last two levels that it fills, the one at a text's end the last three, so that segments of
         somewhat different length share one. A segment of under some 32 characters has none.
         """
         out = []
-        for k in range(len(bits)):
-            size = min(SEGMENT, n_chars - k * SEGMENT)
+        for k, size in enumerate(p.sizes.tolist()):
             top = int(np.searchsorted(SAMPLED, 2 * size)) // LEVEL
-            for level in range(max(2 * GROUP // LEVEL, top - (2 if size < SEGMENT else 0)), top + 1):
-                value = bits[k][level * LEVEL + bands].astype(np.uint64) @ (np.uint64(1) << np.arange(bands.shape[1], dtype=np.uint64))
-                place = np.arange(len(bands), dtype=np.uint64) << np.uint64(51) | np.uint64((level - 1) << 59 | (k & 0x7FFFF) << 32)
+            for level in range(max(2 * GROUP // LEVEL, top - (2 if k == len(p.sizes) - 1 else 1)), top + 1):
+                value = p.bits[k][level * LEVEL + bands].astype(np.uint64) @ (np.uint64(1) << np.arange(bands.shape[1], dtype=np.uint64))
+                place = np.arange(len(bands), dtype=np.uint64) << np.uint64(40) | np.uint64((level - 1) << 32)
                 out.extend((place | value).view(np.int64).tolist())
-        return out
-
-
-def printed(bits: np.ndarray, n_chars: int) -> str:
-    """The fingerprint as text: the number of characters, then 64 hex digits for each segment."""
-    return f"{n_chars:x}:{np.packbits(bits, axis=1).tobytes().hex() if len(bits) else ''}"
-
-
-def parsed(fingerprint: str) -> tuple[np.ndarray, int]:
-    n, _, rest = fingerprint.partition(":")
-    raw = np.frombuffer(bytes.fromhex(rest), np.uint8)
-    return np.unpackbits(raw.reshape(-1, WIDTH // 8), axis=1), int(n, 16)
-
-
-def likeness(a: np.ndarray, n: int, b: np.ndarray, m: int) -> float:
+        return sorted(set(out))
+
+
+def printed(p: Print) -> str:
+    """The fingerprint as text: the number of characters, then size, key and 64 hex digits of bits for each segment."""
+    rows = (f"{n:x}.{k:x}.{b.tobytes().hex()}" for n, k, b in zip(p.sizes.tolist(), p.keys.tolist(), np.packbits(p.bits, axis=1), strict=True))
+    return f"{int(p.sizes.sum()):x}:{','.join(rows)}"
+
+
+def parsed(fingerprint: str) -> Print:
+    rows = [x.split(".") for x in fingerprint.partition(":")[2].split(",") if x]
+    raw = np.frombuffer(bytes.fromhex("".join(r[2] for r in rows)), np.uint8)
+    return Print(np.array([int(r[0], 16) for r in rows], np.int64), np.array([int(r[1], 16) for r in rows], np.uint32), np.unpackbits(raw.reshape(-1, WIDTH // 8), axis=1))
+
+
+def aligned(a: Print, b: Print) -> tuple[np.ndarray, np.ndarray]:
+    """Segments of two texts that belong together, in order: the longest chain of equal keys, and what lies between its
+    links, first with first."""
+    if len(a.keys) == len(b.keys) and (a.keys == b.keys).all():
+        every = np.arange(len(a.keys))
+        return every, every
+    where: dict[int, list[list[int]]] = {}
+    for side, keys in enumerate((a.keys, b.keys)):
+        for k, key in enumerate(keys.tolist()):
+            where.setdefault(key, [[], []])[side].append(k)
+    pairs = [p for x, y in where.values() for p in (zip(x, y) if len(x) * len(y) > PAIRS else ((i, j) for i in x for j in y))]
+    tails: list[int] = []  # least end of a chain of each length, and the pair that ends it
+    ends: list[int] = []
+    before = [-1] * len(pairs)
+    pairs.sort(key=lambda p: (p[0], -p[1]))
+    for n, (_, j) in enumerate(pairs):
+        k = bisect_left(tails, j)
+        before[n] = ends[k - 1] if k else -1
+        tails[k : k + 1], ends[k : k + 1] = [j], [n]
+    chain = []
+    n = ends[-1] if ends else -1
+    while n >= 0:
+        chain.append(pairs[n])
+        n = before[n]
+    out, i, j = [], 0, 0
+    for x, y in [*reversed(chain), (len(a.keys), len(b.keys))]:
+        out += zip(range(i, x), range(j, y))
+        out.append((x, y))
+        i, j = x + 1, y + 1
+    x, y = np.array(out[:-1], np.int64).reshape(-1, 2).T
+    return x, y
+
+
+def likeness(a: Print, b: Print) -> float:
     """From 0 (as unrelated texts) to 1 (no sampled step differs); two empty texts are alike.
 
-    Unrelated letters agree in half of their bits. Steps beyond the end of both texts don't count; where one text has
-    ended or has no such segment, it counts as unrelated.
+    Unrelated letters agree in half of their bits. Aligned segments count by the longer one's characters, and steps beyond
+    the end of both not at all; a segment without a partner counts as unrelated.
     """
-    if n == 0 or m == 0:
-        return float(n == m)
-    k, most = min(len(a), len(b)), max(n, m)
-    last = max(len(a), len(b)) - 1
-    full = np.full(last + 1, SEGMENT)
-    full[-1] = most - last * SEGMENT
-    counts = np.where(SAMPLED[None, :] < 2 * full[:, None], WEIGHT[None, :], 0.0)
-    agree = float(counts[:k][a[:k] == b[:k]].sum()) + 0.5 * float(counts[k:].sum())
-    return max(0.0, 2 * agree / float(counts.sum()) - 1)
+    if not len(a.sizes) or not len(b.sizes):
+        return float(len(a.sizes) == len(b.sizes))
+    i, j = aligned(a, b)
+    longer = np.maximum(a.sizes[i], b.sizes[j])
+    counts = np.where(SAMPLED[None, :] < 2 * longer[:, None], WEIGHT[None, :], 0.0)
+    agree = (counts * (a.bits[i] == b.bits[j])).sum(axis=1) / counts.sum(axis=1)
+    alone = a.sizes.sum() - a.sizes[i].sum() + b.sizes.sum() - b.sizes[j].sum()
+    return max(0.0, float(((2 * agree - 1) * longer).sum() / (longer.sum() + alone)))
 
 
 def edited_text(text: str, other: str) -> str:
@@ -173,8 +247,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     walks = Walks()
     held: list[tuple[int | None, str]] = []
     ended = False
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "bands_edited"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32()]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "bands_edited", "linked_edited", "linked_next"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.bool_()]
     for b in batches:
         for i, text, look in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             if not (look and ended):
@@ -184,12 +258,13 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         texts = [t for _, t in held]
         edits = [edited_text(t, o) for t, o in zip(texts, texts[1:])]
-        bits = walks.bits(texts + edits)
-        own, other = bits[: len(texts)], bits[len(texts) :]
+        every = walks.prints(texts + edits)
+        own, other = every[: len(texts)], every[len(texts) :]
         cols: list[list] = [[] for _ in names]
         for k, e in enumerate(edits):
-            n, m = len(texts[k]), len(e)
-            row = (held[k][0], n, hashlib.sha256(e.encode()).hexdigest(), printed(own[k], n), printed(other[k], m), likeness(own[k], n, other[k], m), likeness(own[k], n, own[k + 1], len(texts[k + 1])), walks.equal_bands(own[k], n, other[k], m))
+            edited, after = likeness(own[k], other[k]), likeness(own[k], own[k + 1])
+            bands, next_bands = walks.equal_bands(own[k], other[k]), walks.equal_bands(own[k], own[k + 1])
+            row = (held[k][0], len(texts[k]), hashlib.sha256(e.encode()).hexdigest(), printed(own[k]), printed(other[k]), edited, after, bands, bands > 0 and edited >= THRESHOLD, next_bands > 0 and after >= THRESHOLD)
             for c, v in zip(cols, row, strict=True):
                 c.append(v)
         held = held[-1:]
@@ -208,15 +283,24 @@ def against_next(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = rows.where("doc_id is not null").stat.approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (8 * n)) if n > 1 else []
-    borders = np.unique(np.array(cuts, np.float64).astype(np.int64))[::-1] if cuts else np.empty(0, np.int64)
-    last = len(borders)  # ranges are numbered from the largest ids on; null ids go to the last one
+    points = [(False, -int(x), _ALL) for x in cuts]
+    # an id that very many rows have, and null, is cut into ranges of text hashes
+    total = rows.count()
+    often = rows.groupBy("doc_id").count().where(F.col("count") > max(1000, total // n)).collect()  # n rows at most
+    for r in often:
+        parts = -(-r["count"] * n // total)
+        points += [(r["doc_id"] is None, -(r["doc_id"] or 0), (_ALL * 2 * k // parts) - _ALL) for k in range(parts)]
+    points = sorted(set(points))
+
+    def placed(ids: pd.Series, none: pd.Series, hashes: pd.Series) -> pd.Series:
+        # ranges are numbered from the largest ids on; null ids go last
+        return pd.Series([bisect_right(points, (z, -d, h)) for d, z, h in zip(ids.tolist(), none.tolist(), hashes.tolist(), strict=True)], dtype="int32")
+
+    number = F.pandas_udf(placed, "int")
 
-    def placed(ids: pd.Series) -> pd.Series:
-        values = ids.to_numpy(dtype=np.float64, na_value=np.nan) if ids.isna().any() else ids.to_numpy()
-        out = np.searchsorted(-borders, -values, side="left") if not ids.isna().any() else np.array([last if x is None or x != x else int(np.searchsorted(-borders, -int(x), side="left")) for x in ids])
-        return pd.Series(out.astype(np.int32))
+    def range_of(name: str) -> Column:
+        return number(F.coalesce(name, F.lit(0).cast("long")), F.col(name).isNull(), F.col("h"))
 
-    range_of = F.pandas_udf(placed, "int")
     order = F.struct(F.col("doc_id").isNull().alias("z"), (-F.col("doc_id")).alias("d"), "h")
     heads = rows.select("doc_id", "h").withColumn("range", range_of("doc_id")).groupBy("range").agg(F.min(order).alias("head")).orderBy("range").collect()
     if not heads:
@@ -229,33 +313,31 @@ def against_next(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id"
     found = here.join(table, (F.col("doc_id").isNull() == F.col("z")) & (-F.col("doc_id")).eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh")), "left")
     targets = F.when(F.col("to").isNull(), F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("look")))).otherwise(F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("look")), F.struct(F.col("to").alias("range"), F.lit(True).alias("look"))))
     sent = found.select("doc_id", "text", "h", F.inline(targets))
-    dealt = sent.repartitionById(n, F.col("range")).sortWithinPartitions("look", F.desc_nulls_last("doc_id"), "h")
+    dealt = sent.repartitionById(len(points) + 1, F.col("range")).sortWithinPartitions("look", F.desc_nulls_last("doc_id"), "h")
     return dealt.select("doc_id", "text", "look").mapInArrow(_judge, _JUDGED)
 
 
-_JUDGED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands_edited int"
+_JUDGED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands_edited int, linked_edited boolean, linked_next boolean"
 
 
-def near_links(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+def near_links(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, likeness), a < b: verified links between all texts that share a band.
 
     The least id of a fingerprint stands for its texts; the others are linked to it alone, with likeness 1. Null and empty
     texts have no band, null ids no link. A band of more than BLOCK texts is dealt in salted blocks, and each two of its blocks meet in a task of their own.
     """
     text = F.col(text_col).cast("string")
-    segments = docs.agg(F.sum(F.ceil(F.length(text) / SEGMENT))).first()[0] or 0
+    pieces = docs.agg(F.sum(F.ceil(F.length(text) / REACH))).first()[0] or 0
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walks = Walks()
-        bands = walks.link_bands(int(segments))
+        bands = walks.link_bands(int(pieces))
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            bits = walks.bits(texts)
-            keys = [walks.link_keys(x, len(t), bands) for t, x in zip(texts, bits, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([printed(x, len(t)) for t, x in zip(texts, bits, strict=True)], pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fingerprint", "bands"])
+            found = walks.prints([t or "" for t in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(printed, found), pa.string()), pa.array([walks.link_keys(x, bands) for x in found], pa.list_(pa.int64()))], ["doc_id", "fingerprint", "bands"])
 
     def like(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([likeness(*parsed(x), *parsed(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+        return pd.Series([likeness(parsed(x), parsed(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(keyed, "doc_id long, fingerprint string, bands array<long>")
     rows, _ = base.written(spark, rows.where("doc_id is not null and fingerprint <> '0:'").withColumn("p", F.xxhash64("fingerprint")), "edit-rows")

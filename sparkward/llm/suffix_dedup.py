@@ -45,15 +45,6 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
-    """Least of each w values in a row."""
-    n = len(v)
-    rows = np.concatenate((v, np.full(-n % w, v.max(), v.dtype))).reshape(-1, w)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
-
-
 def anchors(piece: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window of the piece: the hash of its anchor and the anchor's place."""
     k = length // 2
@@ -65,7 +56,7 @@ def anchors(piece: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     low = np.uint64((1 << 20) - 1)
-    least = _sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), length - k + 1)
+    least = base.sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), length - k + 1)
     place = (least & low).astype(np.int64)
     return h[place], place
 
