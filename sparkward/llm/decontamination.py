@@ -31,6 +31,8 @@ WINDOW, COVERAGE, CONSISTENT = 5, 0.8, 0.8
 SLACK, LITERALS = 32, 2
 #: Bits of the bitmap for each benchmark window, and at most (32 MB); token hashes that a task remembers.
 BITS, MOST_BITS, MEMO = 64, 1 << 28, 1 << 19
+#: The second bit of a hash is that of its digits from here on.
+SECOND = 34
 #: Words that are units after a number, signs that are units, and number words.
 UNITS = frozenset("km m cm mm mile miles foot feet inch inches yard yards kg g mg pound pounds lb lbs ounce ounces litre litres liter liters ml hour hours minute minutes second seconds day days week weeks month months year years dollar dollars cent cents euro euros percent mph kmh degrees celsius fahrenheit watt watts volt volts".split())
 SIGNS = frozenset("%$€£")
@@ -116,9 +118,12 @@ def _slots(words: list[str], kind: np.ndarray, p: int) -> list[str]:
 def _scan(bitmap: np.ndarray, bits: int, sizes: list[int]):
     """Windows of the documents that the bitmap holds: of templates, and of exact words for the sizes that items need."""
 
+    def bit(place: np.ndarray) -> np.ndarray:
+        place = place & np.uint64(bits - 1)
+        return (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 != 0
+
     def held(h: np.ndarray) -> np.ndarray:
-        low = h & np.uint64(bits - 1)
-        return (bitmap[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 != 0
+        return bit(h) & bit(h >> np.uint64(SECOND))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Tokens()
@@ -192,14 +197,17 @@ def _covered(position: str):
 
 
 def _bitmap(items: DataFrame) -> tuple[np.ndarray, int]:
-    """Bits of the items' hashes: a power of two by their number, MOST_BITS at most. Comes to the driver in words of 64."""
+    """Two bits of each hash of the items, of a power of two by their number, MOST_BITS at most.
+
+    They come to the driver in words of 64, so in no more bytes than twice the bitmap has.
+    """
     distinct = items.select("h").distinct()
     bits = 1 << 16
     while bits < BITS * distinct.count() and bits < MOST_BITS:
         bits *= 2
-    place = F.col("h").bitwiseAND(F.lit(bits - 1))
-    word = F.shiftright(place, 6).alias("w")
-    some = distinct.groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((h & {bits - 1}) & 63 as int))")).alias("b")).toArrow()
+    places = distinct.select(F.explode(F.array("h", F.shiftrightunsigned("h", SECOND))).alias("h")).select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+    some = words.toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[some.column("w").to_numpy()] = some.column("b").to_numpy().view(np.uint64)
     return out.view(np.uint8), bits
