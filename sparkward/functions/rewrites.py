@@ -20,12 +20,10 @@ def _is_call(node: ast.AST) -> bool:
     return isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr in CALLS and bool(node.args)
 
 
-def _definitions(tree: ast.AST) -> dict[str, str]:
-    out = {}
-    for n in ast.walk(tree):
-        if isinstance(n, ast.Assign) and (sql := pyast.constant_sql(n.value)):
-            out.update({t.id: sql for t in n.targets if isinstance(t, ast.Name)})
-    return out
+def _known(tree: ast.Module) -> tuple[dict[str, str], dict[str, str]]:
+    """SQL texts by the name that they are assigned to, and by the function that returns them."""
+    assigned = {t.id: sql for n in ast.walk(tree) if isinstance(n, ast.Assign) and (sql := pyast.constant_sql(n.value)) for t in n.targets if isinstance(t, ast.Name)}
+    return assigned, pyast.returned_sql(tree)
 
 
 def _values(params: ast.AST | None) -> list[ast.expr]:
@@ -36,30 +34,54 @@ def _values(params: ast.AST | None) -> list[ast.expr]:
     return [params] if isinstance(params, ast.expr) else []
 
 
-def _built(sql: str, values: list[ast.expr], attack: str) -> ast.expr:
-    """An expression that puts the values into the SQL text in the way of the attack type."""
-    parts = PLACEHOLDER.split(sql)
-    if attack == "fstring":
-        joined: list[ast.expr] = []
-        for i, p in enumerate(parts):
-            joined.append(ast.Constant(p))
-            if i < len(parts) - 1:
-                joined.append(ast.FormattedValue(values[i], -1))
-        return ast.JoinedStr([p for p in joined if not (isinstance(p, ast.Constant) and p.value == "")])
-    if attack == "format_string":
-        escaped = [p.replace("{", "{{").replace("}", "}}") for p in parts]
-        text = escaped[0] + "".join(f"{{{i}}}{p}" for i, p in enumerate(escaped[1:]))
-        return ast.Call(ast.Attribute(ast.Constant(text), "format", ast.Load()), values, [])
+def _joined(parts: list[str], values: list[ast.expr]) -> ast.expr:
     out: ast.expr = ast.Constant(parts[0])
     for v, p in zip(values, parts[1:], strict=True):
-        if attack == "fake_sanitization":
-            v = ast.Call(ast.Attribute(ast.Call(ast.Name("str", ast.Load()), [v], []), "replace", ast.Load()), [ast.Constant("'"), ast.Constant("")], [])
         out = ast.BinOp(out, ast.Add(), v)
         if p:
             out = ast.BinOp(out, ast.Add(), ast.Constant(p))
     return out
 
 
+def _fstring(parts: list[str], values: list[ast.expr]) -> ast.expr:
+    pieces = [x for p, v in zip(parts, [*values, None], strict=True) for x in (ast.Constant(p) if p else None, v and ast.FormattedValue(v, -1)) if x is not None]
+    return ast.JoinedStr(pieces)
+
+
+def _formatted(parts: list[str], values: list[ast.expr]) -> ast.expr:
+    escaped = [p.replace("{", "{{").replace("}", "}}") for p in parts]
+    text = escaped[0] + "".join(f"{{{i}}}{p}" for i, p in enumerate(escaped[1:]))
+    return ast.Call(ast.Attribute(ast.Constant(text), "format", ast.Load()), values, [])
+
+
+def _percent(parts: list[str], values: list[ast.expr]) -> ast.expr:
+    text = "%s".join(p.replace("%", "%%") for p in parts)
+    return ast.BinOp(ast.Constant(text), ast.Mod(), values[0] if len(values) == 1 and isinstance(values[0], ast.Name) else ast.Tuple(values, ast.Load()))
+
+
+def _unquoted(v: ast.expr) -> ast.expr:
+    """str(v) without quotes: a clean-up that cleans nothing."""
+    text = ast.Call(ast.Name("str", ast.Load()), [v], [])
+    return ast.Call(ast.Attribute(text, "replace", ast.Load()), [ast.Constant("'"), ast.Constant("")], [])
+
+
+#: How the values get into the SQL text, by attack type.
+BUILT = {
+    "string_concat": _joined, "fstring": _fstring, "format_string": _formatted, "fake_sanitization": lambda parts, values: _joined(parts, [_unquoted(v) for v in values]),
+    "orm_misuse": _percent, "parameterized_query": _fstring, "indirect_injection": _joined,
+}
+
+
+def _before(tree: ast.Module, call: ast.Call, new: ast.stmt) -> None:
+    """Put a statement before the one that holds the call."""
+    for block in (b for n in ast.walk(tree) for b in (getattr(n, "body", None), getattr(n, "orelse", None), getattr(n, "finalbody", None)) if isinstance(b, list)):
+        for k, statement in enumerate(block):
+            inner = {x for part in ("body", "orelse", "finalbody", "handlers") for y in getattr(statement, part, []) for x in ast.walk(y)}
+            if any(x is call for x in ast.walk(statement)) and call not in inner:
+                block.insert(k, new)
+                return
+
+
 #: Texts whose results a worker remembers; generated code repeats.
 MEMO = 4096
 
@@ -68,23 +90,30 @@ MEMO = 4096
 def unsafe_variant(code: str | None, attack: str) -> str | None:
     """The program with the first bound query built as a string instead; None where there is no such query.
 
-    Definitions stay, so imports, signatures and names are those of the input.
+    Each attack type has a form of its own: joined, an f-string, format, joined values that pass a useless clean-up,
+    per cent signs (inside text() where the program uses it), an f-string beside an empty tuple of parameters, and a
+    query that is put together in a variable first. The SQL may stand in the call, in a name, or in a function that
+    returns it. Definitions stay, so imports, signatures and names are those of the input.
     """
     tree = pyast.parse(code)[0]
     if tree is None:
         return None
-    known = _definitions(tree)
+    assigned, returned = _known(tree)
     for call in ast.walk(tree):
         if not _is_call(call):
             continue
-        first, wrapped = call.args[0], False
-        sql = known.get(first.id) if isinstance(first, ast.Name) else pyast.constant_sql(first)
-        wrapped = isinstance(first, ast.Call)
+        first = call.args[0]
+        called = first.func.id if isinstance(first, ast.Call) and isinstance(first.func, ast.Name) else ""
+        sql = assigned.get(first.id) if isinstance(first, ast.Name) else returned.get(called) or pyast.constant_sql(first)
         values = _values(call.args[1]) if len(call.args) > 1 else []
         if sql is None or not values or len(PLACEHOLDER.findall(sql)) != len(values):
             continue
-        made = _built(sql, values, attack)
-        call.args = [ast.Call(ast.Name("text", ast.Load()), [made], []) if wrapped and attack != "fstring" else made]
+        made = BUILT[attack](PLACEHOLDER.split(sql), values)
+        if attack == "indirect_injection":
+            name = first.id if isinstance(first, ast.Name) else "query"
+            _before(tree, call, ast.Assign([ast.Name(name, ast.Store())], made, lineno=call.lineno))
+            made = ast.Name(name, ast.Load())
+        call.args = [ast.Call(ast.Name("text", ast.Load()), [made], []) if called == "text" else made, *([ast.Tuple([], ast.Load())] if attack == "parameterized_query" else [])]
         return ast.unparse(ast.fix_missing_locations(tree))
     return None
 
@@ -114,28 +143,58 @@ def _template(e: ast.expr) -> tuple[str, list[ast.expr]] | None:
     return "?", [e]
 
 
+def _assignments(tree: ast.Module) -> dict[str, list[ast.Assign]]:
+    """The statements that assign to each name, in the order of the text."""
+    seen: dict[str, list[ast.Assign]] = {}
+    for n in ast.walk(tree):
+        for t in n.targets if isinstance(n, ast.Assign) else ():
+            if isinstance(t, ast.Name):
+                seen.setdefault(t.id, []).append(n)
+    return {name: sorted(found, key=lambda n: n.lineno) for name, found in seen.items()}
+
+
+def _bound(made: tuple[str, list[ast.expr]] | None) -> tuple[str, ast.expr] | None:
+    """SQL with ? and the tuple of its values; None if there is no value, or nothing but one."""
+    if made is None or not made[1] or made[0] == "?":
+        return None
+    return re.sub(r"'(\?)'", r"\1", made[0]), ast.Tuple(made[1], ast.Load())
+
+
 @lru_cache(MEMO)
 def safe_fix(code: str | None) -> str | None:
-    """The program with every string-built query bound by parameters; None where nothing could be changed."""
+    """The program with every string-built query bound by parameters; None where nothing could be changed.
+
+    The string may be built in the call or in the last assignment to a name before it. Inside text() the parameters get
+    names.
+    """
     tree = pyast.parse(code)[0]
     if tree is None:
         return None
+    assigned = _assignments(tree)
     changed = False
     for call in ast.walk(tree):
-        if not _is_call(call) or len(call.args) > 1 or isinstance(call.args[0], (ast.Name, ast.Constant)):
-            continue
+        if not _is_call(call) or any(not isinstance(p, (ast.Tuple, ast.List)) or p.elts for p in call.args[1:]):
+            continue  # it has parameters
         first = call.args[0]
-        inner = first.args[0] if isinstance(first, ast.Call) and isinstance(first.func, ast.Name) and first.func.id == "text" and first.args else first
-        made = _template(inner)
-        if made is None or not made[1] or made[0] == "?":
+        in_text = isinstance(first, ast.Call) and isinstance(first.func, ast.Name) and first.func.id == "text" and bool(first.args)
+        if isinstance(first, ast.Name):
+            built = [n for n in assigned.get(first.id, ()) if n.lineno < call.lineno][-1:]
+            made = _bound(_template(built[0].value)) if built else None
+            if made is not None:
+                built[0].value = ast.Constant(made[0])
+                call.args = [first, made[1]]
+                changed = True
+            continue
+        made = None if isinstance(first, ast.Constant) else _bound(_template(first.args[0] if in_text else first))
+        if made is None:
             continue
-        sql = re.sub(r"'(\?)'", r"\1", made[0])
-        if inner is not first:  # named parameters inside text()
-            names = iter(f":p{i}" for i in range(len(made[1])))
-            sql = re.sub(r"\?", lambda _: next(names), sql)
-            call.args = [ast.Call(first.func, [ast.Constant(sql)], []), ast.Dict([ast.Constant(f"p{i}") for i in range(len(made[1]))], made[1])]
+        sql, values = made
+        if in_text:
+            names = [f"p{i}" for i in range(len(values.elts))]
+            numbered = iter(names)
+            call.args = [ast.Call(first.func, [ast.Constant(re.sub(r"\?", lambda _: f":{next(numbered)}", sql))], []), ast.Dict([ast.Constant(n) for n in names], values.elts)]
         else:
-            call.args = [ast.Constant(sql), ast.Tuple(made[1], ast.Load())]
+            call.args = [ast.Constant(sql), values]
         changed = True
     return ast.unparse(ast.fix_missing_locations(tree)) if changed else None
 

@@ -22,14 +22,19 @@ DETECTOR_RULES = (
     ("join_build_sql", r"""(?:execute|executemany)\s*\(\s*["'][^"']*["']\s*\.join"""),
 )
 HEURISTIC = "unsafe_execute_heuristic"
+# The patterns of the heuristic rule.
 HEURISTIC_PATTERNS = (r"execute\s*\(\s*[^)]*\+", r"""execute\s*\(\s*f["']""", r"""executemany\s*\(\s*f["']""")
-# The rules for training targets.
+# The rules for training targets, in their order.
 TARGET_RULES = (
-    *DETECTOR_RULES[:4],
+    ("fstring_sql", r"""(?:execute|executemany)\s*\(\s*f["']"""),
+    ("concat_plus_sql", r"""["']\s*(?:SELECT|INSERT|UPDATE|DELETE)\b[^"']*["']\s*\+"""),
+    ("format_sql", r"""(?:execute|executemany)\s*\(\s*["'][^"']*\{[^}]+\}[^"']*["']\s*\.format"""),
+    ("percent_format_sql", r"""(?:execute|executemany)\s*\(\s*["'][^"']*%[sd][^"']*["']\s*%"""),
     ("percent_format_sql_assigned", r"""["'][^"']*%[sd][^"']*["']\s*%\s*\("""),
-    *DETECTOR_RULES[4:6],
-    ("execute_plus_concat", HEURISTIC_PATTERNS[0]),
-    DETECTOR_RULES[6],
+    ("sqlalchemy_text_fstring", r"""text\s*\(\s*f["']"""),
+    ("sqlalchemy_text_format", r"""text\s*\(\s*["'][^"']*\{[^}]+\}"""),
+    ("execute_plus_concat", r"execute\s*\(\s*[^)]*\+"),
+    ("join_build_sql", r"""(?:execute|executemany)\s*\(\s*["'][^"']*["']\s*\.join"""),
 )
 
 

@@ -76,6 +76,13 @@ def driver_of(code: Column) -> Column:
     return out.otherwise(F.lit(DEFAULT_DRIVER))
 
 
+def framework_of(code: Column) -> Column:
+    """The generator's own reading of a chosen text: sqlalchemy, sqlite3 or pymysql. Not the rule of driver_of."""
+    low = F.lower(F.coalesce(code, F.lit("")))
+    has = lambda *words: F.array_contains(F.array(*(F.contains(low, F.lit(w)) for w in words)), True)
+    return F.when(has("sqlalchemy", "session.execute"), "sqlalchemy").when(has("sqlite"), "sqlite3").otherwise("pymysql")
+
+
 def structures_of(code: Column) -> Column:
     """All structure labels of a code text, in a fixed order."""
     code = F.coalesce(code, F.lit(""))

@@ -12,6 +12,13 @@ from sparkward.operators import metrics as M
 METHODS = ("baseline", "prompt_only", "lora_sft", "lora_dpo", "qlora_sft", "qlora_dpo")
 
 
+# Adapter folder, four-bit loading and result of each model.
+RUNS = {
+    "baseline": (None, False, "baseline_results"), "lora_only": ("lora_only_dir", False, "lora_only_results"), "lora_sft": ("lora_sft_dir", False, "lora_sft_results"), "lora_dpo": ("dpo_lora_dir", False, "lora_dpo_results"),
+    "qlora_only": ("qlora_only_dir", True, "qlora_only_results"), "qlora_sft": ("qlora_sft_dir", True, "qlora_sft_results"), "qlora_dpo": ("qlora_dpo_dir", True, "qlora_dpo_results"), "always_safe_model": (None, False, "always_safe_results"),
+}
+
+
 def method_order(method: Column, methods: tuple[str, ...] = METHODS) -> Column:
     return F.array_position(F.array(*map(F.lit, methods)), method)
 
@@ -50,9 +57,10 @@ def ablation_table(groups: DataFrame, results: DataFrame, kinds: tuple[str, ...]
     return groups.crossJoin(groups.sparkSession.createDataFrame([(k,) for k in kinds], "kind string")).join(results, ["group", "kind"], "left")
 
 
-def markdown_rows(table: DataFrame, labels: list[str], cells: list[str]) -> DataFrame:
-    """One text line of a Markdown table for each row."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("N/A")) for c in labels] + [T.metric_cell(F.col(c)) for c in cells]
+def markdown_rows(table: DataFrame, labels: list[str], cells: list[str], missing: str = "N/A") -> DataFrame:
+    """One text line of a Markdown table for each row. A missing figure is N/A, or 0.0000 in the second form of report."""
+    figures = [F.when(F.col(c).isNull(), missing).otherwise(T.metric_cell(F.col(c))) for c in cells]
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("N/A")) for c in labels] + figures
     return table.select(*labels, F.concat(F.lit("| "), F.concat_ws(" | ", *parts), F.lit(" |")).alias("line"))
 
 
@@ -62,5 +70,31 @@ def wide_summary(blocks: DataFrame, model: str, cells: list[str]) -> DataFrame:
     return blocks.agg(*(F.max(F.when(F.col(model) == n, F.col(c))).alias(f"{n}_{c}") for n in names for c in cells))
 
 
+def without(rows: DataFrame, method: str, excluded: tuple[str, ...]) -> DataFrame:
+    """Rows of the methods that are not named as excluded; a null method stays."""
+    return rows.where(~F.coalesce(F.col(method).isin(*excluded), F.lit(False))) if excluded else rows
+
+
+def recomputed(stored: DataFrame, verdicts: DataFrame, model: str, metrics: list[str], near: float = 1e-9) -> DataFrame:
+    """(model, metric, stored, recomputed, agrees): the stored figures against those of the verdict rows.
+
+    A model that only one side has is told with a null on the other; two nulls agree.
+    """
+    cast = lambda df, name: df.select(model, *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot([model], metrics, "metric", name)
+    both = cast(stored, "stored").join(cast(M.bundle(verdicts, model), "recomputed"), [model, "metric"], "full")
+    same = F.col("stored").eqNullSafe(F.col("recomputed")) | F.coalesce(F.abs(F.col("stored") - F.col("recomputed")) <= near, F.lit(False))
+    return both.withColumn("agrees", same)
+
+
+def run_plan(models: DataFrame, model: str = "model") -> DataFrame:
+    """Which adapter and output belong to each model and whether it is loaded in four bits; an unknown model raises."""
+    plan = F.lit(None)
+    for name, (adapter, four_bit, output) in RUNS.items():
+        row = F.struct(F.lit(adapter).cast("string").alias("adapter"), F.lit(four_bit).alias("four_bit"), F.lit(output).alias("output"))
+        plan = F.when(F.col(model) == name, row) if name == next(iter(RUNS)) else plan.when(F.col(model) == name, row)
+    told = models.withColumn("__plan", plan.otherwise(F.raise_error(F.concat(F.lit("unknown model: "), F.coalesce(F.col(model), F.lit("null"))))))
+    return told.select(*models.columns, "__plan.*")
+
+
 def missing(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return expected.join(found.select(key).distinct(), key, "left_anti")

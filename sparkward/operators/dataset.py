@@ -130,9 +130,60 @@ def first_of_group(rows: DataFrame, by: list[str], order: list[Column], n: int =
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def unused(rows: DataFrame, used: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not in use yet, and the first of those that share one."""
-    return rows.join(used.select(key).distinct(), key, "left_anti")
+def unused(rows: DataFrame, used: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows whose key is not in use yet, and of those that share one the first in order.
+
+    The first is a minimum, combined before the shuffle. Rows that share key and order are the same row to this.
+    """
+    free = rows.join(used.select(key).distinct(), key, "left_anti")
+    first = free.groupBy(key).agg(F.min(order).alias(order))
+    return free.join(first, [key, order], "left_semi")
+
+
+def uniform(hashed: Column) -> Column:
+    """A number from 0 to below 1 from a hex digest's first 13 digits."""
+    return F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def roulette(choices: tuple[tuple[str, float], ...], draw_: Column) -> Column:
+    """The first choice at which the weights so far reach the draw's share of their sum."""
+    total = sum(w for _, w in choices)
+    so_far, out = 0.0, None
+    for name, w in choices[:-1]:
+        so_far += w
+        out = F.when(draw_ * total <= so_far, name) if out is None else out.when(draw_ * total <= so_far, name)
+    return out.otherwise(choices[-1][0]) if out is not None else F.lit(choices[-1][0])
+
+
+def label_ratios(rows: DataFrame, truth: str = "expected_vulnerable", difficulty: str = "difficulty", *by: str) -> DataFrame:
+    """n, the share of rows that are expected to be vulnerable and the share of hard ones, by groups; 0 without a row."""
+    counts = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col(truth)).alias("t"), F.count_if(F.col(difficulty) == "hard").alias("h"))
+    share = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col("n").cast("double")), F.lit(0.0))
+    return counts.select(*by, "n", share("t").alias("vulnerable_share"), share("h").alias("hard_share"))
+
+
+def split_sizes_of(total: Column, ratio: float) -> tuple[Column, Column]:
+    """split_sizes as columns: (train, eval) of a column of totals."""
+    n = F.least(F.greatest(F.bround(total * ratio).cast("long"), F.lit(1).cast("long")), total - 1)
+    return total - n, n
+
+
+def eval_prompt_row(rows: DataFrame) -> DataFrame:
+    """Evaluation rows from generated ones: stable id, prompt, both names of the attack type; truth must be there."""
+    given = F.coalesce(F.col("input"), F.lit(""))
+    cols = [T.stable_id(F.col("task_type"), F.col("attack_type"), F.col("instruction"), given).alias("id"), T.prompt(F.col("instruction"), given).alias("prompt"), "instruction", given.alias("input"), F.col("attack_type").alias("vulnerability_type"), "attack_type", "difficulty", "task_type"]
+    truth = F.col("expected_vulnerable")
+    checked = F.when(truth.isNull(), F.raise_error(F.lit("expected_vulnerable is missing"))).otherwise(truth).alias("expected_vulnerable")
+    return rows.select(*cols, checked, *(["output"] if "output" in rows.columns else []))
+
+
+def normalised_rows(rows: DataFrame) -> DataFrame:
+    """Old rows with the columns that the schema asks for: those that are there stay as they are."""
+    have = set(rows.columns)
+    new = {"vulnerability_type": F.col("attack_type") if "attack_type" in have else F.lit(None).cast("string"), "task_type": F.lit("generation"), "difficulty": F.lit("medium"), "input_code": F.col("input") if "input" in have else F.lit(None).cast("string")}
+    truth = F.col("expected_vulnerable")
+    checked = F.when(truth.isNull(), F.raise_error(F.lit("expected_vulnerable is missing"))).otherwise(truth)
+    return rows.withColumns({n: c for n, c in new.items() if n not in have} | {"expected_vulnerable": checked})
 
 
 def research_record(rows: DataFrame, with_output: bool = True) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
 import shutil
 import subprocess
+import tempfile
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +16,8 @@ from sparkward.functions import rules, taint
 
 ISSUE = "array<struct<test_id: string, severity: string, confidence: string, text: string, line_number: int>>"
 TOOL = "bandit"
+#: Seconds that the tool may take for a text.
+TIMEOUT = 30
 SQL_TEST = "B608"
 
 
@@ -27,20 +33,45 @@ def normalised_issues(report: Column) -> Column:
     return F.coalesce(F.transform(raw, issue), F.array().cast(ISSUE))
 
 
+def _failed(why: str) -> str:
+    return json.dumps({"errors": [{"reason": why}], "results": []})
+
+
+def _of_one(tool: str, path: str) -> str:
+    try:
+        return subprocess.run([tool, "-q", "-f", "json", path], capture_output=True, text=True, check=False, timeout=TIMEOUT).stdout or _failed("no output")
+    except subprocess.TimeoutExpired:
+        return _failed(f"no report within {TIMEOUT} s")
+    except OSError as e:
+        return _failed(type(e).__name__)
+
+
 def _reports(codes: pd.Series) -> pd.Series:
+    """One run of the tool for a batch, its issues told apart by file; where that fails, one run for each row."""
     tool = shutil.which(TOOL)
-    out = []
-    for code in codes:
-        if tool is None:
-            out.append(None)
-            continue
-        given = code if isinstance(code, str) else ""
-        out.append(subprocess.run([tool, "-", "-f", "json"], input=given, capture_output=True, text=True, check=False).stdout)
-    return pd.Series(out, dtype=object)
+    if tool is None or not len(codes):
+        return pd.Series([None] * len(codes), dtype=object)
+    with tempfile.TemporaryDirectory() as folder:
+        paths = []
+        for i, code in enumerate(codes):
+            paths.append(os.path.join(folder, f"{i}.py"))
+            with open(paths[-1], "w", encoding="utf-8", errors="surrogatepass") as f:
+                f.write(code if isinstance(code, str) else "")
+        try:
+            told = json.loads(subprocess.run([tool, "-q", "-f", "json", *paths], capture_output=True, text=True, check=False, timeout=TIMEOUT * len(paths)).stdout)
+            by_file: dict[str, list] = {p: [] for p in paths}
+            for issue in told["results"]:
+                by_file[issue["filename"]].append(issue)
+            return pd.Series([json.dumps({"results": by_file[p]}) for p in paths], dtype=object)
+        except (subprocess.TimeoutExpired, OSError, ValueError, KeyError, TypeError):
+            return pd.Series([_of_one(tool, p) for p in paths], dtype=object)
 
 
 def analyser_report(code: Column) -> Column:
-    """The analyser's JSON; null where the tool is not installed on the worker, which reads as skipped."""
+    """The analyser's JSON; null where the tool is not installed on the worker, which reads as skipped.
+
+    A text on which it hangs or fails has a report without issues that says so; the task goes on.
+    """
     return F.pandas_udf(_reports, "string")(code)
 
 

@@ -60,5 +60,12 @@ def compliance(rows: DataFrame, output: Column, parses: Column, hits: Column) ->
     return got.select("*", passed("ast_parse_failed").alias("parse_pass_pct"), passed("unsafe_pattern").alias("rule_pass_pct"))
 
 
+def violations(rows: DataFrame, output: Column, parses: Column, hits: Column, ident: str) -> DataFrame:
+    """(ident, violation) for everything that compliance counts: empty_output, ast_parse_failed, or a rule's name."""
+    empty = T.strip(F.coalesce(output, F.lit(""))) == ""
+    found = F.concat(F.array_compact(F.array(F.when(empty, "empty_output"), F.when(~empty & ~parses, "ast_parse_failed"))), F.when(empty, F.array().cast("array<string>")).otherwise(hits))
+    return rows.select(ident, F.explode(found).alias("violation"))
+
+
 def repeated(rows: DataFrame, key: Column, least: int = 2) -> DataFrame:
     return rows.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where(F.col("n") >= least)

@@ -82,6 +82,13 @@ def assert_reliable(verdicts: DataFrame, gate: float = GATE) -> None:
         raise UnreliableEvaluation(f"mostly invalid: {bad} of {n} extractions failed. Evaluation unreliable")
 
 
+def reliability(verdicts: DataFrame, *by: str, gate: float = GATE) -> DataFrame:
+    """n, failure_rate and whether assert_reliable lets it pass, by groups."""
+    got = verdicts.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("invalid_extraction").alias("bad"))
+    rate = ratio(F.col("bad"), F.col("n"))
+    return got.select(*by, "n", rate.alias("failure_rate"), ((F.col("n") > 0) & (rate <= gate)).alias("reliable"))
+
+
 def group_rates(verdicts: DataFrame, keys: tuple[str, ...] = ("attack_type", "difficulty", "task_type")) -> DataFrame:
     """Injection rate of each value of each key: over valid rows, and over all rows; null where there is no valid row.
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
+from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +13,8 @@ from pyspark.sql import functions as F
 
 from sparkward.functions import pyast, rewrites, rules
 from sparkward.functions import text as T
-from sparkward.operators import dataset
+from sparkward.operators import dataset, detection
+from sparkward.operators.metrics import ratio
 from sparkward.sources.contracts import ContractError
 
 # Texts that a training target must not hold.
@@ -56,44 +59,46 @@ def prompt_completion(rows: DataFrame) -> DataFrame:
     return rows.select("*", T.prompt(T.strip(col("instruction")), T.strip(given)).alias("prompt"), F.when(done != "", F.concat(done, F.lit("\n"))).otherwise("").alias("completion"))
 
 
+def prompt_end(head: list[int], ids: list[int]) -> int:
+    """How many of the ids are the prompt's: as far as its own ids go on being a beginning of the whole.
+
+    A whole that is shorter than the prompt alone counts as prompt by half.
+    """
+    return len(commonprefix([head, ids])) if len(head) <= len(ids) else max(1, len(ids) // 2)
+
+
 def masked_ids(prompt: str, completion: str, encode: Encode, longest: int) -> tuple[list[int], list[int]]:
     """Ids of both texts together and 1 for those after the prompt; the last `longest` stay, at least one of them a 1.
 
     Where the prompt's own ids are no beginning of the whole, the longest common beginning is the prompt.
     """
-    head, ids = encode(prompt, True), encode(prompt + completion, True)
-    if len(ids) < len(head):
-        head = ids[: max(1, len(ids) // 2)]
-    n = next((i for i, (a, b) in enumerate(zip(head, ids)) if a != b), min(len(head), len(ids)))
-    mask = [0] * n + [1] * (len(ids) - n)
-    ids, mask = ids[-longest:], mask[-longest:]
-    if mask and not any(mask):
-        mask[-1] = 1
-    return ids, mask
+    ids = encode(prompt + completion, True)
+    cut = max(0, len(ids) - longest)
+    edge = min(max(prompt_end(encode(prompt, True), ids) - cut, 0), len(ids) - cut - 1)
+    return ids[cut:], [int(at >= edge) for at in range(len(ids) - cut)]
 
 
 def pair_ids(prompt: str, chosen: str, rejected: str, encode: Encode, end: str, longest_prompt: int | None, longest: int | None) -> tuple[list[int], list[int], list[int], str | None, int]:
     """(prompt, chosen, rejected ids, why dropped, end marks added). A long prompt keeps its first id and its end."""
-    added, parts = 0, []
-    for x in (chosen, rejected):
-        if end and x and not x.rstrip().endswith(end):
-            x, added = x + end, added + 1
-        parts.append(x)
+    answers = {x: x + end if end and x and not x.rstrip().endswith(end) else x for x in (chosen, rejected)}
+    added = sum(answers[x] != x for x in (chosen, rejected))
     head = encode(prompt, True)
-    tails = []
-    for x in parts:
-        ids = encode(prompt + x, True)
-        tails.append(ids[len(head) :] if len(ids) > len(head) else encode(x, False))
+
+    def ids_of(answer: str) -> list[int]:
+        # what the answer adds to the prompt's ids; an answer that adds none is read on its own
+        return encode(prompt + answer, True)[len(head) :] or encode(answer, False)
+
+    tails = [ids_of(answers[x]) for x in (chosen, rejected)]
     if longest_prompt is not None and len(head) > longest_prompt:
-        head = head[:1] + (head[-(longest_prompt - 1) :] if longest_prompt > 1 else [])
-    if longest is not None and len(head) + max(map(len, tails)) > longest:
-        room = longest - len(head)
+        head = [head[0], *head[len(head) - longest_prompt + 1 :]]
+    room = math.inf if longest is None else longest - len(head)
+    if max(map(len, tails)) > room:
         if room <= 0:
             return [], [], [], "prompt_too_long", added
         tails = [t[:room] for t in tails]
-    if not all(tails):
+    if [] in tails:
         return [], [], [], "empty_completion", added
-    return head, tails[0], tails[1], None, added
+    return head, *tails, None, added
 
 
 def tokenise(rows: DataFrame, encode: Encode, longest: int) -> DataFrame:
@@ -130,20 +135,73 @@ def pair_token_stats(ids: DataFrame) -> DataFrame:
 
 
 def build_pairs(rows: DataFrame, ordinal: str) -> DataFrame:
-    """Every (row, attack type) that was tried: chosen, rejected, tier, and outcome (ok, or why the pair is none).
+    """Every (row, attack type) that was tried: chosen, rejected, tier, outcome (ok, or why the pair is none) and steps.
 
-    Rows have instruction, input, output and expected_vulnerable; only rows that are expected to be vulnerable and whose
-    code parses and is safe give pairs. Keep outcome = 'ok', then quota_of_tiers.
+    Rows have instruction, input, output, expected_vulnerable and perhaps difficulty; only rows that are expected to be
+    vulnerable and whose code parses and is safe give pairs. steps names the tests that were passed, in order: a trace of
+    how far the pair came. Keep outcome = 'ok', then quota_of_tiers, then sampled_pairs.
     """
-    safe = rows.where("expected_vulnerable").withColumn("chosen", pyast.code_only_column(F.col("output"))).where("chosen is not null").where(rules.target_is_safe(F.col("chosen")))
+    difficulty = F.col("difficulty") if "difficulty" in rows.columns else F.lit("medium")
+    safe = rows.withColumn("__difficulty", difficulty).where("expected_vulnerable").withColumn("chosen", pyast.code_only_column(F.col("output"))).where("chosen is not null")
+    safe = safe.where(pyast.parse_column(F.col("chosen"))["ok"]).where(rules.target_is_safe(F.col("chosen")))
     tried = safe.withColumn("attack", F.explode(F.array(*(F.lit(a) for a, _ in dataset.ATTACKS))))
     made = tried.withColumn("rejected", rewrites.unsafe_column(F.col("chosen"), F.col("attack")))
     told = made.withColumn("iso", pyast.isomorphic_column(F.col("chosen"), F.col("rejected")))
-    outcome = F.when(F.col("rejected").isNull(), "no_variant").when(T.strip(F.col("chosen")) == T.strip(F.col("rejected")), "identical").when(rules.target_is_safe(F.col("rejected")), "not_unsafe").when(~F.col("iso.ok"), "not_isomorphic").otherwise("ok")
-    return told.select(ordinal, T.prompt(F.col("instruction"), F.col("input")).alias("prompt"), "chosen", "rejected", F.col("attack").alias("attack_type"), dataset.tier_of(F.col("attack")).alias("tier"), T.driver_of(F.col("chosen")).alias("driver"), outcome.alias("outcome"))
+    tests = {"no_variant": F.col("rejected").isNotNull(), "identical": T.strip(F.col("chosen")) != T.strip(F.col("rejected")), "not_unsafe": ~rules.target_is_safe(F.col("rejected")), "not_isomorphic": F.col("iso.ok")}
+    outcome = reduce(lambda out, t: out.when(~F.coalesce(t[1], F.lit(False)), t[0]), list(tests.items())[1:], F.when(~tests["no_variant"], "no_variant")).otherwise("ok")
+    told = told.withColumn("outcome", outcome)
+    names = F.array(F.lit("variant"), F.lit("differs"), F.lit("unsafe"), F.lit("isomorphic"))
+    reached = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, tests)), F.col("outcome")), F.lit(0)) - 1, F.lit(len(tests)))
+    schema = detection.schema_of(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("input"))
+    return told.select(
+        ordinal, T.prompt(F.col("instruction"), F.col("input")).alias("prompt"), "chosen", "rejected", F.col("attack").alias("attack_type"), dataset.tier_of(F.col("attack")).alias("tier"),
+        F.col("__difficulty").alias("difficulty"), *(c.alias(n) for c, n in zip(schema, ("schema_table", "schema_column"), strict=True)), T.framework_of(F.col("chosen")).alias("framework"),
+        T.driver_of(F.col("chosen")).alias("driver"), "outcome", F.slice(names, F.lit(1), reached.cast("int")).alias("steps"), F.col("iso.reason").alias("iso_reason"),
+    )
+
+
+def quota_of_tiers(pairs: DataFrame, ordinal: str, tier: str = "tier", total: int = 6000, shares: dict[str, float] = dataset.TIER_SHARES) -> DataFrame:
+    """pairs of the first rows of each tier, until int(share * total) pairs are reached.
+
+    The quota is looked at before a row, not before a pair, so the last row may pass it. A row of a tier has at least one
+    pair, so only as many rows as the quota has pairs are ranked; these limits are applied in each task before the shuffle.
+    """
+    quota = reduce(lambda q, s: q.when(F.col(tier) == s[0], int(s[1] * total)), shares.items(), F.when(F.lit(False), 0))
+    most = max(int(s * total) for s in shares.values())
+    order = Window.partitionBy(tier).orderBy(ordinal)
+    rows = pairs.groupBy(tier, ordinal).agg(F.count("*").alias("__n"))
+    first = rows.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= most)
+    before = F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = first.withColumn("__before", before).where(F.col("__before") < quota).select(tier, ordinal)
+    return pairs.join(kept, [tier, ordinal], "left_semi")
+
+
+def sampled_pairs(pairs: DataFrame, key: list[Column], total: int = 2000, seed: int = 42) -> DataFrame:
+    """At most total pairs: the tiers' shares by a seeded draw, topped up from the rest."""
+    drawn = pairs.withColumn("__draw", dataset.draw(seed, *key))
+    return dataset.tier_sample(drawn, "tier", [F.col("__draw")], total).drop("__draw", "picked")
 
 
 def pair_stats(pairs: DataFrame) -> DataFrame:
     """n by tier and outcome, with the share of its tier."""
     counts = pairs.groupBy("tier", "outcome").agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("tier")))
+
+
+def pair_report(pairs: DataFrame) -> DataFrame:
+    """By tier: pairs tried and kept, the share of the tier among the kept, and the share of isomorphic ones among those
+    that came to that test."""
+    kept, came = F.col("outcome") == "ok", F.col("outcome").isin("ok", "not_isomorphic")
+    got = pairs.groupBy("tier").agg(F.count("*").alias("tried"), F.count_if(kept).alias("kept"), F.count_if(came).alias("came"))
+    return got.select("tier", "tried", "kept", ratio(F.col("kept"), F.sum("kept").over(Window.partitionBy())).alias("share"), ratio(F.col("kept"), F.col("came")).alias("isomorphic_rate"))
+
+
+def outcome_counts(pairs: DataFrame) -> DataFrame:
+    """(scope, attack_type, difficulty, outcome, framework, n): pairs by attack, attack and difficulty, outcome, framework,
+    attack and framework. One pass: a grouping set for each."""
+    sets = {"attack_type": ["attack_type"], "attack_type,difficulty": ["attack_type", "difficulty"], "outcome": ["outcome"], "framework": ["framework"], "attack_type,framework": ["attack_type", "framework"]}
+    names = ["attack_type", "difficulty", "outcome", "framework"]
+    got = pairs.groupingSets(list(sets.values()), *names).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    numbers = {sum(1 << (3 - k) for k, n in enumerate(names) if n not in by): scope for scope, by in sets.items()}
+    scope = reduce(lambda w, x: w.when(F.col("g") == x[0], x[1]), numbers.items(), F.when(F.lit(False), ""))
+    return got.select(scope.alias("scope"), *names, "n")

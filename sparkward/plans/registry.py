@@ -2,70 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkward.functions import pyast, rewrites, rules, taint
+from sparkward.functions import rules
 from sparkward.functions import text as T
-from sparkward.operators import compare, dataset, detection, diversity, generate, preparation, trainlog
+from sparkward.operators import compare, dataset, detection, diversity, preparation, trainlog
 from sparkward.operators import metrics as M
-from sparkward.plans.views import table, view, with_views
+from sparkward.plans import code_queries, data_queries  # noqa: F401  they register their own
+from sparkward.plans.metric_sql import CELL as _CELL  # noqa: F401
+from sparkward.plans.metric_sql import FLAT as _FLAT
+from sparkward.plans.metric_sql import RATES as _RATES
+from sparkward.plans.metric_sql import bundle_sql as _bundle_sql
+from sparkward.plans.metric_sql import counts as _counts
+from sparkward.plans.metric_sql import prf as _prf
+from sparkward.plans.registering import ORACLE_SQL, QUERIES, register  # noqa: F401
+from sparkward.plans.registering import div as _div
+from sparkward.plans.views import table, view
 from sparkward.sources import contracts
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = with_views(sql)
-        return f
-
-    return add
-
-
-_CELL = {
-    "valid_only": ("ev AND NOT inv AND hit", "NOT ev AND NOT inv AND hit", "NOT ev AND NOT inv AND NOT hit", "ev AND NOT inv AND NOT hit"),
-    "conservative": ("ev AND NOT inv AND hit", "NOT ev AND NOT inv AND hit", "NOT ev AND (inv OR NOT hit)", "ev AND (inv OR NOT hit)"),
-    "strict": ("ev AND NOT inv AND hit", "NOT ev AND (inv OR hit)", "NOT ev AND NOT inv AND NOT hit", "ev AND (inv OR NOT hit)"),
-}
-_FLAT = "SELECT *, expected_vulnerable AS ev, invalid_extraction AS inv, coalesce(is_vulnerable, false) AS hit FROM verdicts"
-
-
-def _counts(policy: str, prefix: str = "") -> str:
-    return ", ".join(f"count(*) FILTER (WHERE {c}) AS {prefix}{k}" for k, c in zip(("tp", "fp", "tn", "fn"), _CELL[policy], strict=True))
-
-
-def _div(a: str, b: str) -> str:
-    return f"CASE WHEN ({b}) = 0 THEN 0.0::DOUBLE ELSE ({a})::DOUBLE / ({b})::DOUBLE END"
-
-
-def _prf(prefix: str = "", out: str = "") -> str:
-    tp, fp, fn = (f"{prefix}{k}" for k in ("tp", "fp", "fn"))
-    p, r = _div(tp, f"{tp} + {fp}"), _div(tp, f"{tp} + {fn}")
-    return f"{p} AS {out}precision, {r} AS {out}recall, {_div(f'2 * ({p}) * ({r})', f'({p}) + ({r})')} AS {out}f1"
-
-
-_RATES = f"{_prf()}, {_div('fp', 'fp + tn')} AS fpr, {_div('fn', 'fn + tp')} AS fnr, {_div('tp + tn', 'tp + fp + tn + fn')} AS accuracy"
-
-
-def _bundle_sql(by: str = "") -> str:
-    lead = f"{by}, " if by else ""
-    tail = f" GROUP BY {by}" if by else ""
-    cells = ", ".join(_counts(p, f"{p}_") for p in M.POLICIES)
-    per = ", ".join(f"{', '.join(f'{p}_{k}' for k in ('tp', 'fp', 'tn', 'fn'))}, {_prf(f'{p}_', f'{p}_')}" for p in M.POLICIES)
-    inj = _div("valid_only_tp + valid_only_fp", "n_valid")
-    return f"""WITH f AS ({_FLAT}), c AS (SELECT {lead}count(*) AS n_samples, count(*) FILTER (WHERE NOT inv) AS n_valid, count(*) FILTER (WHERE inv) AS n_invalid, {cells} FROM f{tail})
-SELECT {lead}n_samples, n_valid, n_invalid, {_div('n_invalid', 'n_samples')} AS extraction_failure_rate, {inj} AS sql_injection_rate_valid,
-CASE WHEN n_valid = 0 THEN 0.0 ELSE 1 - ({inj}) END AS safe_rate_valid, {_div('valid_only_fn', 'valid_only_tp + valid_only_fn')} AS defense_success_rate,
-{_div('valid_only_tn', 'valid_only_tn + valid_only_fp')} AS safe_rate_on_benign, {per} FROM c"""
-
-
 @register("bundle_overall", _bundle_sql())
 def bundle_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.bundle(view(spark, sf_dir, "verdicts"))
@@ -224,15 +179,7 @@ def split_by_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "verdicts").groupBy("task_type").agg(F.count("*").alias("n"), F.count_if("expected_vulnerable").alias("positives"))
 
 
-def _plan_sql(split: str, total: int) -> str:
-    values = lambda rows: ", ".join(f"({i}, '{n}', {w}::DOUBLE)" for i, (n, w) in enumerate(rows))
-    return f"""WITH a(ao, attack_type, aw) AS (VALUES {values(dataset.ATTACKS)}), d(do_, difficulty, dw) AS (VALUES {values(dataset.DIFFICULTIES[split])}), t(t_o, task_type, tw) AS (VALUES {values(dataset.TASKS)}),
-p AS (SELECT (ao * 3 + do_) * 2 + t_o AS bucket, attack_type, difficulty, task_type, {total} * (aw * dw * tw) / sum(aw * dw * tw) OVER () AS e FROM a, d, t),
-r AS (SELECT *, floor(e) AS low, row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, bucket) AS rk FROM p)
-SELECT bucket, attack_type, difficulty, task_type, CAST(low + CASE WHEN rk <= {total} - sum(low) OVER () THEN 1 ELSE 0 END AS BIGINT) AS n FROM r"""
-
-
-@register("bucket_plan", _plan_sql("train", 2200))
+@register("bucket_plan", data_queries.plan_sql("train", 2200))
 def bucket_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.bucket_plan(spark, 2200)
 
@@ -256,12 +203,6 @@ def first_of_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.first_of_group(rows, ["attack_type", "difficulty"], [F.col(k) for k in keys])
 
 
-@register("unused_prompts", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents u WHERE u.doc_id < 100 AND u.text = d.text)")
-def unused_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashed = table(spark, sf_dir, "documents").select("doc_id", T.prompt_hash(F.col("text")).alias("h"))
-    return dataset.unused(hashed, hashed.where("doc_id < 100"), "h").select("doc_id")
-
-
 @register("unique_outputs", r"""WITH s AS (SELECT regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, doc_id FROM documents), c AS (SELECT t, count(*) AS n, min(doc_id) AS f FROM s GROUP BY 1), k AS (SELECT n, row_number() OVER (ORDER BY n DESC, f) AS r FROM c)
 SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS "unique", round(count(*)::DOUBLE / sum(n) * 100, 6) AS uniqueness_pct, round((max(n) FILTER (WHERE r = 1))::DOUBLE / sum(n) * 100, 6) AS top1_pct, round((sum(n) FILTER (WHERE r <= 2))::DOUBLE / sum(n) * 100, 6) AS top2_pct FROM k""")
 def unique_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,15 +236,6 @@ def pct_drop_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.drop_against(blocks, F.col("model") == 0, "sql_injection_rate_valid")
 
 
-@register("degenerate_models", """WITH m AS (SELECT model, l_orderkey, l_linenumber, l_partkey, is_vulnerable FROM verdicts WHERE model < 3 UNION ALL SELECT 7, l_orderkey, l_linenumber, l_partkey, is_vulnerable FROM verdicts WHERE model = 1),
-s AS (SELECT model, string_agg(concat_ws(':', l_orderkey, l_linenumber, l_partkey, is_vulnerable), ',' ORDER BY l_orderkey, l_linenumber, l_partkey, is_vulnerable) AS g FROM m GROUP BY 1)
-SELECT b.model, min(a.model) AS same_as FROM s a JOIN s b ON a.g = b.g AND a.model < b.model GROUP BY 1""")
-def degenerate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "verdicts").select("model", "l_orderkey", "l_linenumber", "l_partkey", "is_vulnerable")
-    every = rows.unionByName(rows.where("model = 1").withColumn("model", F.lit(7).cast("long")))
-    return compare.degenerate(every, "model", ["l_orderkey", "l_linenumber", "l_partkey"], ["is_vulnerable"], F.col("model")).select("model", "same_as")
-
-
 @register("ablation_report", f"""WITH f AS ({_FLAT}), c AS (SELECT model, task_type, {_counts('valid_only')} FROM f GROUP BY ALL), m AS (SELECT model, task_type, {_prf()} FROM c), g AS (SELECT range AS model FROM range(0, 7)), k(kind) AS (VALUES ('fix'), ('generation'))
 SELECT g.model AS "group", k.kind, '| ' || concat_ws(' | ', CAST(g.model AS VARCHAR), k.kind, coalesce(printf('%.4f', m.precision), 'N/A'), coalesce(printf('%.4f', m.recall), 'N/A'), coalesce(printf('%.4f', m.f1), 'N/A')) || ' |' AS line FROM g CROSS JOIN k LEFT JOIN m ON m.model = g.model AND m.task_type = k.kind""")
 def ablation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,68 +316,6 @@ def sequence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").agg(F.count("*").alias("total"), F.max(n).cast("long").alias("longest"), F.count_if(n > 512).alias("over_limit"))
 
 
-@register("synthetic_splits")
-def synthetic_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.synthetic_rows(spark, 1000)
-
-
-@register("extract_code")
-def extract_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "code_samples").select("o_orderkey", pyast.extract_column(F.col("code")).alias("x")).select("o_orderkey", "x.*")
-
-
-@register("parse_check")
-def parse_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "code_samples").select("o_orderkey", pyast.parse_column(F.col("code")).alias("x")).select("o_orderkey", "x.*")
-
-
-@register("compliance_report")
-def compliance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "code_samples").select("code", pyast.parse_column(F.col("code"))["ok"].alias("ok"))
-    return diversity.compliance(rows, F.col("code"), F.col("ok"), rules.rule_hits(F.col("code"), rules.TARGET_RULES, False))
-
-
-@register("taint_static")
-def taint_static(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.lit("import sqlite3\nc = sqlite3.connect(':memory:')\nv = taint_input('x')\n")
-    call = F.when(F.col("o_orderkey") % 2 == 0, "c.execute(f'SELECT {v}')").otherwise("c.execute('SELECT ?', (v,))")
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(head, call).alias("code"))
-    return rows.select("o_orderkey", taint.taint_column(F.col("code")).alias("x")).select("o_orderkey", "x.is_vulnerable", "x.taint_flows_detected", "x.error")
-
-
-@register("unsafe_variant")
-def unsafe_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "code_samples").select("o_orderkey", "code", F.explode(F.array(*(F.lit(a) for a, _ in dataset.ATTACKS))).alias("attack"))
-    return rows.select("o_orderkey", "attack", rewrites.unsafe_column(F.col("code"), F.col("attack")).alias("rejected")).where("rejected is not null")
-
-
-@register("pair_isomorphism")
-def pair_isomorphism(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Preference pairs that were tried over the code table, with their outcome."""
-    rows = view(spark, sf_dir, "code_samples").select("o_orderkey", F.lit("say").alias("instruction"), F.lit("").alias("input"), F.col("code").alias("output"), F.lit(True).alias("expected_vulnerable"))
-    return preparation.build_pairs(rows, "o_orderkey").select("o_orderkey", "attack_type", "tier", "driver", "outcome")
-
-
-@register("pair_statistics")
-def pair_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preparation.pair_stats(pair_isomorphism(spark, sf_dir))
-
-
-@register("bucket_fill")
-def bucket_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate.fill_plan(spark, 2200)
-
-
-@register("bucket_fill_shape", "WITH p AS (" + _plan_sql("eval", 300) + ") SELECT attack_type, difficulty, task_type, sum(n)::BIGINT AS n FROM p WHERE n > 0 GROUP BY ALL")
-def bucket_fill_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate.fill_plan(spark, 300, "eval").groupBy("attack_type", "difficulty", "task_type").agg(F.count("*").alias("n"))
-
-
-@register("four_categories")
-def four_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate.four_categories(spark, 100)
-
-
 @register("detect_merged", f"""WITH r AS (SELECT o_orderkey, {' OR '.join("regexp_matches(code, '(?im)" + p.replace("'", "''") + "')" for _, p in rules.DETECTOR_RULES)} OR {' OR '.join("regexp_matches(code, '(?im)" + p.replace("'", "''") + "')" for p in rules.HEURISTIC_PATTERNS)} AS hit FROM code_samples)
 SELECT o_orderkey, hit AS rule_based_detected, o_orderkey % 5 = 0 AS analyser_b608, hit OR o_orderkey % 5 = 0 AS is_vulnerable, concat_ws('|', CASE WHEN o_orderkey % 5 = 0 THEN 'bandit_b608' END, CASE WHEN hit THEN 'rule_based' END) AS sources FROM r""")
 def detect_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -459,11 +329,6 @@ def scaffold_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", preparation.has_scaffold(F.col("text")).alias("scaffold"))
 
 
-@register("code_only_targets")
-def code_only_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preparation.code_only_targets(view(spark, sf_dir, "code_samples"), "code").select("o_orderkey", "code", "dropped_reason")
-
-
 def _bytes(text: str, special: bool) -> list[int]:
     """A stand-in for a tokenizer: a start mark and the text's bytes."""
     return [256] * special + list(text.encode())
@@ -483,35 +348,3 @@ def masked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield f[["doc_id"]].assign(n_ids=[len(i) for i, _ in made], n_completion=[sum(m) for _, m in made])
 
     return rows.select("doc_id", "prompt", "completion").mapInPandas(run, "doc_id long, n_ids long, n_completion long")
-
-
-@register("pair_token_stats")
-def pair_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.lit("say\n").alias("prompt"), F.col("text").alias("chosen"), F.lower("text").alias("rejected"))
-    return preparation.pair_token_stats(preparation.tokenise_pairs(rows, _bytes, "</s>", 64, 1024))
-
-
-@register("safe_fix")
-def safe_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "code_samples").select("o_orderkey", rewrites.fix_column(F.col("code")).alias("fixed"))
-    return rows.where("fixed is not null")
-
-
-@register("sql_locations")
-def sql_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "code_samples").select("o_orderkey", F.inline(pyast.locate_column(F.col("code"))))
-
-
-@register("undefined_names")
-def undefined_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "code_samples").select(F.explode(pyast.undefined_column(F.col("code"))).alias("name"))
-    return rows.groupBy("name").agg(F.count("*").alias("n"))
-
-
-@register("end_to_end_verdicts")
-def end_to_end_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers to verdicts: extraction, rules, taint and merge in one plan, then the metrics."""
-    rows = view(spark, sf_dir, "code_samples").select("o_orderkey", (F.col("o_custkey") % 2 == 0).alias("expected_vulnerable"), pyast.extract_column(F.col("code"))["code"].alias("code"))
-    flagged = rows.select("expected_vulnerable", F.col("code").isNull().alias("invalid_extraction"), (F.size(rules.rule_hits(F.col("code"))) > 0).alias("hit"), taint.taint_column(F.col("code"))["is_vulnerable"].alias("flow"))
-    said = F.when(~F.col("invalid_extraction"), rules.merged_verdict("or", F.lit(False), F.lit(False), F.col("hit"), F.col("flow")))
-    return M.bundle(flagged.withColumn("is_vulnerable", said))

@@ -24,17 +24,31 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
 FROM lineitem
 """
 
-# Eight short programs, each a line of Python with line ends as \n.
+# Answers of a model, each in a way of its own. FIND, TBL and COL stand for names that change from row to row.
 SNIPPETS = (
-    'import sqlite3\ndef find(conn, value):\n    cur = conn.cursor()\n    cur.execute("SELECT * FROM users WHERE name = ?", (value,))\n    return cur.fetchall()',
-    'import pymysql\ndef find(cur, value):\n    sql = "SELECT * FROM users WHERE name = " + value\n    cur.execute(sql)\n    return cur.fetchall()',
-    'import psycopg2\ndef find(cur, value):\n    cur.execute(f"SELECT * FROM users WHERE name = {value}")\n    return cur.fetchall()',
-    'import pymysql\ndef find(cur, value):\n    cur.execute("SELECT * FROM users WHERE name = %s" % value)\n    return cur.fetchall()',
-    'from sqlalchemy import text\nclass Repo:\n    def find(self, session, value):\n        return session.execute(text("SELECT * FROM users WHERE name = {}".format(value)))',
-    'import asyncpg\nasync def find(conn, value):\n    return await conn.fetch("SELECT * FROM users WHERE name = $1", value)',
-    'import sqlite3\ndef find(conn, value:\n    return conn.execute("SELECT 1")',
-    'Here is the fix:\n```python\nimport sqlite3\ndef find(conn, value):\n    with conn.cursor() as cur:\n        cur.execute("SELECT * FROM users WHERE id = ?", (value,))\n        return cur.fetchone()\n```\nDone.',
+    'import sqlite3\ndef FIND(conn, value):\n    cur = conn.cursor()\n    cur.execute("SELECT * FROM TBL WHERE COL = ?", (value,))\n    return cur.fetchall()',
+    'import pymysql\ndef FIND(cur, value):\n    sql = "SELECT * FROM TBL WHERE COL = " + value\n    cur.execute(sql)\n    return cur.fetchall()',
+    'import psycopg2\ndef FIND(cur, value):\n    cur.execute(f"SELECT * FROM TBL WHERE COL = {value}")\n    return cur.fetchall()',
+    'import pymysql\ndef FIND(cur, value):\n    cur.execute("SELECT * FROM TBL WHERE COL = %s" % value)\n    return cur.fetchall()',
+    'from sqlalchemy import text\nclass Repo:\n    def FIND(self, session, value):\n        return session.execute(text("SELECT * FROM TBL WHERE COL = {}".format(value)))',
+    'import asyncpg\nasync def FIND(conn, value):\n    return await conn.fetch("SELECT * FROM TBL WHERE COL = $1", value)',
+    'import sqlite3\ndef FIND(conn, value:\n    return conn.execute("SELECT 1")',
+    'Here is the fix:\n```python\nimport sqlite3\ndef FIND(conn, value):\n    with conn.cursor() as cur:\n        cur.execute("SELECT * FROM TBL WHERE COL = ?", (value,))\n        return cur.fetchone()\n```\nDone.',
+    'Sure.\n```python\nimport sqlite3\n\ndef FIND(conn, value):\n    return conn.execute("SELECT COL FROM TBL WHERE id = ?", (value,)).fetchall()',
+    'I cannot help with the TBL table today.',
+    'COL = "TBL";COL = "TBL";',
+    'import pymysql\nNAME = "TBL"\ndef FIND(cur):\n    return cur.execute("SELECT COL FROM TBL")\n\nimport pymysql\nNAME = "TBL"\ndef FIND(cur):\n    return cur.execute("SELECT COL FROM TBL")\n\nimp',
+    'import sqlite3\nc = sqlite3.connect(":memory:")\nv = taint_input("COL")\nc.execute(f"SELECT * FROM TBL WHERE COL = {v}")',
+    'import sqlite3\nc = sqlite3.connect(":memory:")\nv = taint_input("COL")\nc.execute("SELECT * FROM TBL WHERE COL = ?", (v,))',
+    'import requests\nrequests.get("TBL")',
+    'def FIND(cur):\n    cur.execute("SELECT * FROM TBL WHERE COL = ?", (wanted,))\n    return cur.fetchall()',
+    'First:\n```python\nvalue = "COL"\n```\nThen:\n```python\ndef FIND(:\n```',
+    'def FIND(cur):\n    return cur.fetchone()\nInstruction:\nuse the TBL table',
+    'import sqlite3\n\n\ndef sql_of():\n    return "SELECT * FROM TBL WHERE COL = ?"\n\n\ndef FIND(cur, value):\n    cur.execute(sql_of(), (value,))\n    return cur.fetchall()',
+    'import psycopg2\n\n\ndef FIND(cur, value, other):\n    query = "SELECT * FROM TBL WHERE COL = %s AND state = %s"\n    cur.execute(query, (value, other))\n    return cur.fetchall()',
 )
+NAMES = {"TBL": ("users", "orders", "products", "accounts", "sessions", "payments", "reviews", "tickets", "inventory"), "COL": ("name", "email", "status", "username", "token", "city", "price")}
+KIND = f"o_orderkey % {len(SNIPPETS)}"
 
 
 def _literal(text: str, engine: str) -> str:
@@ -42,9 +56,22 @@ def _literal(text: str, engine: str) -> str:
     return f"E{quoted}" if engine == "duckdb" else quoted
 
 
+def by_kind(texts: dict[int, str | None], engine: str = "duckdb") -> str:
+    """SQL over orders: the text of the row's kind with the row's names in it, null where the kind has none."""
+    some = {i: t for i, t in texts.items() if t is not None}
+    return named(f"CASE {KIND} {' '.join(f'WHEN {i} THEN {_literal(t, engine)}' for i, t in some.items())} END", engine)
+
+
+def named(text: str, engine: str = "duckdb") -> str:
+    """SQL over orders: the text (an SQL expression) with the row's names in it."""
+    out = f"replace({text}, 'FIND', concat('find_', CAST(o_custkey % 97 AS STRING)))"
+    for mark, names in NAMES.items():
+        out = f"replace({out}, '{mark}', CASE o_custkey % {len(names)} {' '.join(f'WHEN {i} THEN {_literal(n, engine)}' for i, n in enumerate(names))} END)"
+    return out
+
+
 def code_samples(engine: str) -> str:
-    cases = " ".join(f"WHEN {i} THEN {_literal(s, engine)}" for i, s in enumerate(SNIPPETS))
-    return f"SELECT o_orderkey, o_custkey, CASE o_orderkey % {len(SNIPPETS)} {cases} END AS code FROM orders"
+    return f"SELECT o_orderkey, o_custkey, {KIND} AS kind, {by_kind(dict(enumerate(SNIPPETS)), engine)} AS code FROM orders"
 
 
 TRAINLOG = """

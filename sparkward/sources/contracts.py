@@ -72,6 +72,13 @@ def require(found: DataFrame, what: str, order: str = "ord") -> None:
         raise ContractError(f"{what}: " + "; ".join(f"row {r['ord']} ({r['id']!r}): {r['field']}: {r['reason']}" for r in first))
 
 
+def sample_report(rows: DataFrame, truth: str = "expected_vulnerable") -> DataFrame:
+    """total, valid, pct_valid, pos and neg of evaluation rows; a row is valid if it breaks no rule."""
+    good = reduce(lambda a, b: a & F.coalesce(b, F.lit(False)), sample_rules(rows).values(), F.lit(True))
+    got = rows.agg(F.count("*").alias("total"), F.count_if(good).alias("valid"), F.count_if(good & F.col(truth)).alias("pos"), F.count_if(good & ~F.col(truth)).alias("neg"))
+    return got.select("total", "valid", F.coalesce(F.try_divide(100.0 * F.col("valid"), F.col("total").cast("double")), F.lit(0.0)).alias("pct_valid"), "pos", "neg")
+
+
 def require_both_classes(rows: DataFrame, truth: str = "expected_vulnerable") -> dict[str, int]:
     """Row counts; raises if the table is empty or has one class only."""
     n, pos, neg = rows.agg(F.count("*"), F.count_if(F.col(truth)), F.count_if(~F.col(truth))).first()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,14 +58,93 @@ def legacy_sections(rows: DataFrame, prompt: str = "prompt") -> DataFrame:
     return rows.select("*", F.when(has, cut("Instruction")).otherwise(F.col(prompt)).alias("instruction"), F.when(has, cut("Input")).otherwise("").alias("input"), F.when(has, cut("Response")).otherwise("").alias("response"))
 
 
-def load_result(spark: SparkSession, path: str) -> dict:
-    """A result document {meta, summary, per_sample}; one without the current summary keys is refused."""
-    text = spark.read.text(path, wholetext=True).first()[0]
-    doc = json.loads(text.lstrip(BOM))
-    missing = [k for k in ("n_samples", "n_valid", "n_invalid", "extraction_failure_rate", "sql_injection_rate_valid") if k not in doc.get("summary", {})]
-    if missing:
-        raise ContractError(f"{path}: summary lacks {', '.join(missing)}")
-    return doc
+def records_only(rows: DataFrame) -> DataFrame:
+    """Rows whose value is an object; old files hold other things in between, which are dropped."""
+    return rows.where(F.coalesce(F.startswith(F.schema_of_variant("value"), F.lit("OBJECT")), F.lit(False)))
+
+
+#: Columns of a preference file: three that must be there and seven that may. Others, such as the tier, are not read.
+PREFERENCE = ("prompt", "chosen", "rejected")
+PREFERENCE_TAGS = {"attack_type": "string", "difficulty": "string", "task_type": "string", "expected_vulnerable": "boolean", "schema_table": "string", "schema_column": "string", "chosen_framework": "string"}
+
+
+def load_preferences(spark: SparkSession, path: str) -> DataFrame:
+    """Preference pairs from JSON lines. Raises if a line is no JSON or lacks one of the three texts."""
+    rows = load_rows(spark, path)
+    got = fields(rows, dict.fromkeys(PREFERENCE, "string") | PREFERENCE_TAGS)
+    lacking = [F.count_if(F.col(n).isNull()).alias(n) for n in PREFERENCE]
+    counts = got.agg(*lacking).first().asDict()
+    if any(counts.values()):
+        raise ContractError(f"{path}: rows without " + ", ".join(f"{n} ({k})" for n, k in counts.items() if k))
+    return got.drop("ord")
+
+
+#: Keys that the summary of a result document must have.
+SUMMARY_KEYS = ("n_samples", "n_valid", "n_invalid", "extraction_failure_rate", "sql_injection_rate_valid", "safe_rate_valid", "valid_only_metrics", "conservative_metrics", "strict_metrics")
+PLOT_KEYS = SUMMARY_KEYS[3:6]
+
+
+def load_results(spark: SparkSession, *paths: str, required: tuple[str, ...] = SUMMARY_KEYS, tolerant: bool = False) -> DataFrame:
+    """(path, doc): result documents {meta, summary, per_sample} as variants, a row for each file.
+
+    A file that is no JSON or whose summary lacks a required key raises; with tolerant it is left out, and so is a path
+    where no file is. Documents are read by tasks, one for each file; nothing of them comes to the driver but missing keys.
+    """
+    there = [p for p in paths if not tolerant or _exists(spark, p)]
+    if not there:
+        return spark.range(0).select(F.lit("").alias("path"), F.try_parse_json(F.lit("null")).alias("doc"))
+    read = spark.read.text(list(there), wholetext=True).select(F.input_file_name().alias("path"), F.try_parse_json(F.regexp_replace("value", f"^{BOM}", "")).alias("doc"))
+    lacks = F.array_compact(F.array(*(F.when(F.try_variant_get("doc", f"$.summary.{k}", "variant").isNull(), F.lit(k)) for k in required)))
+    told = read.withColumn("lacks", F.when(F.col("doc").isNull(), F.array(F.lit("JSON"))).otherwise(lacks))
+    if tolerant:
+        return told.where(F.size("lacks") == 0).drop("lacks")
+    bad = told.where(F.size("lacks") > 0).select("path", "lacks").limit(5).collect()
+    if bad:
+        raise ContractError("; ".join(f"{r['path']}: summary lacks {', '.join(r['lacks'])}" for r in bad))
+    return told.drop("lacks")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def summaries(results: DataFrame, **columns: str) -> DataFrame:
+    """Columns from the summaries: name = 'path type', as in n='n_samples bigint'; what is missing or no such value is null."""
+    return results.select("path", *(F.try_variant_get("doc", f"$.summary.{spec.split()[0]}", spec.split()[1]).alias(n) for n, spec in columns.items()))
+
+
+def per_sample(results: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(path, pos, columns): a row for each element of per_sample, which must be a list."""
+    listed = F.try_variant_get("doc", "$.per_sample", "array<variant>")
+    checked = F.when(listed.isNull(), F.raise_error(F.concat("path", F.lit(": per_sample is no list")))).otherwise(listed)
+    rows = results.select("path", F.posexplode(checked).alias("pos", "value"))
+    return rows.select("path", "pos", *(F.try_variant_get("value", f"$.{n}", kind).alias(n) for n, kind in names.items()))
+
+
+def load_config(path: str, over: str | None = None) -> dict:
+    """A YAML configuration, with that of a second file on top of it. A driver-side file."""
+    import yaml  # only where configurations are read
+
+    docs = []
+    for p in (path, over):
+        if p is not None:
+            with open(p, encoding="utf-8-sig") as f:
+                docs.append(yaml.safe_load(f) or {})
+    return deep_merge(docs[0], docs[1]) if len(docs) > 1 else docs[0]
+
+
+def best_checkpoint(folder: str) -> tuple[str, dict | None]:
+    """(folder of the best checkpoint, its marker); the folder itself and None if there is no marker, the marker cannot be
+    read, or the folder that it names is missing or empty."""
+    root = Path(folder)
+    try:
+        marker = json.loads((root / "best_checkpoint.json").read_text(encoding="utf-8"))
+        best = Path(marker["output_dir"])
+        filled = any(best.iterdir())
+    except (OSError, ValueError, KeyError, TypeError):
+        return folder, None
+    return (str(best), marker) if filled else (folder, None)
 
 
 def deep_merge(base: dict, over: dict) -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkward.sources import contracts
@@ -37,24 +37,52 @@ def write_checked(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
 
 
 def write_result(meta: dict, summary: DataFrame, per_sample: DataFrame, path: str) -> None:
-    """{meta, summary} as one JSON text and the rows as JSON lines beside it."""
-    row = json.loads(summary.select(F.to_json(F.struct("*"))).first()[0])
-    text = json.dumps({"meta": meta, "summary": row}, ensure_ascii=False)
-    per_sample.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/document")
+    """{meta, summary} as one JSON text and the rows as JSON lines beside it: the form for rows of any number."""
+    per_sample.sparkSession.createDataFrame([(json.dumps(meta, ensure_ascii=False),)], "meta string").crossJoin(summary.select(F.to_json(F.struct("*")).alias("s"))).select(
+        F.concat(F.lit('{"meta": '), "meta", F.lit(', "summary": '), "s", F.lit("}")).alias("value")
+    ).coalesce(1).write.mode("overwrite").text(f"{path}/document")
     per_sample.write.mode("overwrite").json(f"{path}/per_sample")
 
 
+def nested_summary(bundle: DataFrame) -> Column:
+    """The summary of a result document from the columns of a bundle row: headline figures, and a block for each policy."""
+    heads = [c for c in bundle.columns if not c.startswith(("valid_only_", "conservative_", "strict_"))]
+    blocks = [F.struct(*(F.col(c).alias(c.removeprefix(f"{p}_")) for c in bundle.columns if c.startswith(f"{p}_"))).alias(f"{p}_metrics") for p in ("valid_only", "conservative", "strict")]
+    return F.struct(*heads, *blocks)
+
+
+def write_document(meta: dict, bundle: DataFrame, per_sample: DataFrame, path: str, order: str) -> None:
+    """One JSON document {meta, summary, per_sample}, as the loaders of results read it. per_sample is one value of one
+    row here, so this form is for the rows of an evaluation, not for tables."""
+    item = F.struct(F.col(order).alias("o"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))
+    rows = per_sample.agg(F.array_sort(F.collect_list(item)).alias("all")).select(F.array_join(F.transform("all", lambda x: x["j"]), ",\n").alias("rows"))
+    head = bundle.select(F.to_json(nested_summary(bundle)).alias("summary")).limit(1)
+    text = F.concat(F.lit('{"meta": ' + json.dumps(meta, ensure_ascii=False) + ', "summary": '), "summary", F.lit(', "per_sample": ['), "rows", F.lit("]}"))
+    head.crossJoin(rows).select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_training(train: DataFrame, evaluation: DataFrame, pairs: DataFrame, path: str, order: str) -> None:
+    """The three files of a build: train and eval as JSON arrays, preference pairs as JSON lines."""
+    write_array(train, f"{path}/train", order)
+    write_array(evaluation, f"{path}/eval", order)
+    write_lines(pairs, f"{path}/pairs")
+
+
 def write_rejects(rows: DataFrame, reject: str, order: str, path: str, limit: int, mode: str = "overwrite") -> None:
     """The first rows that are rejected, at most so many: a debugging aid, not data."""
     rows.where(reject).orderBy(order).limit(limit).write.mode(mode).json(path)
 
 
-def text_table(rows: DataFrame, label: str, cells: list[str], order: str) -> list[str]:
-    """Fixed-width lines: a label and per cent cells; N/A for null."""
+def table_lines(rows: DataFrame, label: str, cells: list[str], width: int = 10) -> DataFrame:
+    """(label, line): fixed-width lines of a label and per cent cells; N/A for null."""
     from sparkward.functions.text import percent_cell
 
-    line = F.concat(F.rpad(F.col(label).cast("string"), 20, " "), *(percent_cell(F.col(c), 10) for c in cells))
-    return [r[0] for r in rows.orderBy(order).select(line).collect()]
+    return rows.select(label, F.concat(F.rpad(F.col(label).cast("string"), 20, " "), *(percent_cell(F.col(c), width) for c in cells)).alias("line"))
+
+
+def text_table(rows: DataFrame, label: str, cells: list[str], order: str) -> list[str]:
+    """The lines of a report, in order."""
+    return [r["line"] for r in table_lines(rows.orderBy(order), label, cells).collect()]
 
 
 def chart_table(blocks: DataFrame, model: str, cells: list[str]) -> DataFrame:

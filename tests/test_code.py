@@ -84,7 +84,10 @@ def test_taint():
 PROGRAM = 'import sqlite3\n\ndef find(conn, value):\n    sql = "SELECT * FROM t WHERE a = ?"\n    return conn.execute(sql, (value,)).fetchall()\n'
 
 
-@pytest.mark.parametrize("attack", ["string_concat", "fstring", "format_string", "fake_sanitization", "parameterized_query", "indirect_injection"])
+ATTACKS = ["string_concat", "fstring", "format_string", "fake_sanitization", "orm_misuse", "parameterized_query", "indirect_injection"]
+
+
+@pytest.mark.parametrize("attack", ATTACKS)
 def test_unsafe_variants_and_back(spark, attack):
     made = rewrites.unsafe_variant(PROGRAM, attack)
     assert pyast.isomorphic(PROGRAM, made) == (True, "ok")
@@ -93,6 +96,27 @@ def test_unsafe_variants_and_back(spark, attack):
     assert hits(spark, [fixed]) == [[]] and "?" in fixed
 
 
+def test_variants_differ_and_follow_indirect_sql():
+    assert len({rewrites.unsafe_variant(PROGRAM, a) for a in ATTACKS}) == len(ATTACKS)
+    chain = 'def sql_of():\n    return "SELECT * FROM t WHERE a = ?"\n\ndef find(cur, value):\n    if value:\n        cur.execute(sql_of(), (value,))\n'
+    assert ("indirect", "sql_of", 6, "SELECT * FROM t WHERE a = ?") in pyast.locate(chain)
+    made = rewrites.unsafe_variant(chain, "indirect_injection")
+    assert "        query = 'SELECT * FROM t WHERE a = ' + value\n        cur.execute(query)" in made
+    assert rewrites.safe_fix('q = "SELECT a FROM t WHERE b = " + v\ncur.execute(q)') == "q = 'SELECT a FROM t WHERE b = ?'\ncur.execute(q, (v,))"
+
+
+@given(st.text(alphabet="ab", max_size=12), st.integers(0, 3))
+def test_pieces(piece, doublings):
+    got = pyast.smallest_piece(piece * 2**doublings)
+    assert got * (len(piece * 2**doublings) // max(1, len(got))) == piece * 2**doublings and len(got) <= max(len(piece), len(got) * (not piece))
+
+
+def test_shortened_texts():
+    assert list(pyast.shortened("a\nb\nc")) == ["a\nb\nc", "a\nb", "a"] and list(pyast.shortened("a")) == ["a"]
+    assert len(list(pyast.shortened("\n".join("abcdefgh")))) == 5 and list(pyast.shortened("\n\nx")) == ["\n\nx"]
+    assert pyast.parse_or_shorten("x = 1\ny = (") == (True, "x = 1", "ok_truncated_last_1_lines")
+
+
 def test_isomorphism_reasons():
     assert pyast.isomorphic("import os", "import re")[1] == "imports differ"
     assert pyast.isomorphic("def f(a): pass", "def f(b): pass")[1] == "signatures differ"

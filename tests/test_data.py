@@ -138,6 +138,66 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r")).count() == 1
     assert sinks.text_table(spark.createDataFrame([("m", 0.5, None)], "m string, a double, b double"), "m", ["a", "b"], "m") == ["m" + " " * 19 + "     50.0%" + "       N/A"]
     sinks.write_result({"model": "m"}, spark.createDataFrame([(1, 1, 0, 0.0, 0.0)], "n_samples int, n_valid int, n_invalid int, extraction_failure_rate double, sql_injection_rate_valid double"), rows, str(tmp_path / "d"))
-    assert json_tables.load_result(spark, str(tmp_path / "d/document"))["meta"] == {"model": "m"}
+    keys = ("n_samples", "n_valid", "n_invalid")
+    told = json_tables.load_results(spark, str(tmp_path / "d/document"), required=keys)
+    assert told.select(F.try_variant_get("doc", "$.meta.model", "string")).first()[0] == "m" and spark.read.json(str(tmp_path / "d/per_sample")).count() == 2
+    with pytest.raises(contracts.ContractError, match="safe_rate_valid"):
+        json_tables.load_results(spark, str(tmp_path / "d/document"))
+    assert json_tables.load_results(spark, str(tmp_path / "d/document"), str(tmp_path / "none"), tolerant=True).count() == 0
+    sinks.write_training(rows, rows, rows.select("id"), str(tmp_path / "w"), "id")
+    assert spark.read.json(str(tmp_path / "w/pairs")).count() == 2 and json_tables.load_array(spark, str(tmp_path / "w/eval")).count() == 2
+
+
+def test_preferences_and_markers(spark, tmp_path):
+    good = {"prompt": "p", "chosen": "c", "rejected": "r", "expected_vulnerable": True, "dpo_difficulty_tier": "hard"}
+    (tmp_path / "p.jsonl").write_text(json.dumps(good) + "\n\n" + json.dumps({**good, "attack_type": "fstring"}))
+    got = json_tables.load_preferences(spark, str(tmp_path / "p.jsonl"))
+    assert len(got.columns) == 10 and "dpo_difficulty_tier" not in got.columns and sorted(r["attack_type"] or "" for r in got.collect()) == ["", "fstring"]
+    (tmp_path / "bad.jsonl").write_text(json.dumps({"prompt": "p"}))
+    with pytest.raises(contracts.ContractError, match="chosen"):
+        json_tables.load_preferences(spark, str(tmp_path / "bad.jsonl"))
+    run = tmp_path / "run"
+    (run / "best").mkdir(parents=True)
+    assert json_tables.best_checkpoint(str(run)) == (str(run), None)
+    (run / "best_checkpoint.json").write_text(json.dumps({"output_dir": str(run / "best"), "best_step": 3}))
+    assert json_tables.best_checkpoint(str(run)) == (str(run), None)  # empty
+    (run / "best" / "x").write_text("")
+    assert json_tables.best_checkpoint(str(run))[0] == str(run / "best") and json_tables.best_checkpoint(str(run))[1]["best_step"] == 3
+    (run / "best_checkpoint.json").write_text("{")
+    assert json_tables.best_checkpoint(str(run)) == (str(run), None)
+
+
+def test_yaml_overlay(tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "a.yaml").write_text("train:\n  steps: 5\n  rate: 0.1\nname: base\n")
+    (tmp_path / "b.yaml").write_text("train:\n  steps: 9\n")
+    assert json_tables.load_config(str(tmp_path / "a.yaml"), str(tmp_path / "b.yaml")) == {"train": {"steps": 9, "rate": 0.1}, "name": "base"}
+
+
+def test_log_files(tmp_path):
+    import logging
+
+    from sparkward import logs
+
+    path = logs.file_logging(str(tmp_path / "logs"), "try")
+    logging.getLogger("x").info("said")
+    logging.getLogger().handlers[-1].close()
+    logging.getLogger().removeHandler(logging.getLogger().handlers[-1])
+    assert path.name.startswith("try_") and "INFO [x] said" in path.read_text()
+
+
+def test_unused_keeps_the_first(spark):
+    rows = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b"), (5, "c")], "id int, k string")
+    assert {r["id"] for r in dataset.unused(rows, spark.createDataFrame([("b",), ("b",)], "k string"), "k", "id").collect()} == {1, 5}
+
+
+def test_plans_and_recomputed(spark):
+    models = spark.createDataFrame([("baseline",), ("qlora_dpo",)], "model string")
+    assert {tuple(r) for r in compare.run_plan(models).collect()} == {("baseline", None, False, "baseline_results"), ("qlora_dpo", "qlora_dpo_dir", True, "qlora_dpo_results")}
+    with pytest.raises(Exception, match="unknown model"):
+        compare.run_plan(spark.createDataFrame([("x",)], "model string")).collect()
+    assert compare.without(models, "model", ("baseline",)).count() == 1 and compare.without(models, "model", ()).count() == 2
+    with pytest.raises(Exception, match="expected_vulnerable"):
+        dataset.normalised_rows(spark.createDataFrame([(None,)], "expected_vulnerable boolean")).collect()
 
 

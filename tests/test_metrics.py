@@ -83,9 +83,9 @@ def test_issue_levels_do_not_multiply_rows(spark):
 
 
 def test_degenerate_models_looks_at_every_model(spark, monkeypatch):
-    from sparkward.plans import registry
+    from sparkward.plans import data_queries, registry
 
     rows = spark.createDataFrame([(m, o, 1, 1, (o + min(m, 3)) % 4 == 0) for m in range(5) for o in range(8)], "model long, l_orderkey long, l_linenumber long, l_partkey long, is_vulnerable boolean")
-    monkeypatch.setattr(registry, "view", lambda *_: rows)  # models 3 and 4 are the same
+    monkeypatch.setattr(data_queries, "view", lambda *_: rows)  # models 3 and 4 are the same
     got = {tuple(r) for r in registry.QUERIES["degenerate_models"](spark, "").collect()}
     assert got == {(4, 3), (7, 1)}
