@@ -81,7 +81,7 @@ def test_verdicts_from_answers(spark, tmp_path):
     control = M.bundle(evaluate.verdict_rows(evaluate.constant_answers(samples), samples, use_taint=True)).first()
     assert (control["valid_only_tp"], control["valid_only_fp"], control["valid_only_fn"], control["valid_only_tn"]) == (0, 0, 3, 3)
     with pytest.raises(M.UnreliableEvaluation):
-        evaluate.run(spark, spark.createDataFrame([(i, "no") for i in range(6)], "sample_ord int, raw_output string"), samples, str(tmp_path / "bad"), model="m")
+        evaluate.run(spark, spark.createDataFrame([(i, "no code here, sorry") for i in range(6)], "sample_ord int, raw_output string"), samples, str(tmp_path / "bad"), model="m")
 
 
 TOOL = """#!/usr/bin/env python3
