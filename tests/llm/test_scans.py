@@ -234,3 +234,24 @@ def test_hot_payload_is_split(skewed, monkeypatch):
     assert "skew=true" in plans[0]
     got = warc.read_records(index, root)
     assert got.count() == 6000 and got.where("record_type = 'response' and payload_bytes = 0").count() == 1
+
+
+def test_recall_of_confirmed_secrets():
+    """Keys and tokens of all kinds, planted in prose, and random strings of the same alphabets and lengths."""
+    rng = random.Random(31)
+    made = lambda n: bytes(rng.randrange(1, 256) for _ in range(n))
+    url = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    found, planted, wrong = {}, {}, 0
+    for _ in range(200):
+        key = der(0x30, der(0x02, b"\x00") + b"".join(der(0x02, b"\x01" + made(rng.choice([64, 100, 120]))) for _ in range(8)))
+        body = base64.b64encode(key).decode()
+        token = f"{url(json.dumps({'alg': rng.choice(['HS256', 'RS256'])}).encode())}.{url(json.dumps({'sub': str(rng.random())}).encode())}.{url(made(32))}"
+        secrets = {"pem_key": "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(body[i : i + 64] for i in range(0, len(body), 64)) + "\n-----END RSA PRIVATE KEY-----", "der_key": rng.choice([body, key.hex()]), "signed_token": token}
+        for kind, secret in secrets.items():
+            text = "some words before it " + secret + " and some after it"
+            planted[kind] = planted.get(kind, 0) + 1
+            found[kind] = found.get(kind, 0) + ((21, kind, 21 + len(secret)) in secret_scans.confirmed_spans(text))
+        noise = rng.choice([base64.b64encode(made(900)).decode(), made(900).hex(), f"{url(made(30))}.{url(made(40))}.{url(made(32))}"])
+        wrong += bool(secret_scans.confirmed_spans(f"words {noise} words"))
+    print("confirmed", found, "of", planted, "false", wrong)
+    assert found == planted and wrong == 0
