@@ -11,6 +11,7 @@ from sparkward.operators import metrics as M
 from sparkward.plans.metric_sql import bundle_sql
 from sparkward.plans.registering import div, matches_any, register, values
 from sparkward.plans.views import KIND, SNIPPETS, by_kind, named, table, view
+from sparkward.scratch import scratch_path
 
 ATTACKS = tuple(a for a, _ in dataset.ATTACKS)
 WHOLE = dict(enumerate(SNIPPETS))
@@ -204,6 +205,14 @@ def fallback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preparation.outcome_counts(_pairs(spark, sf_dir))
 
 
+def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs that passed, written once: the quota reads them twice, and making them is the costly part."""
+    path = scratch_path(spark, "pairs")
+    good = _pairs(spark, sf_dir).where("outcome = 'ok'").select("o_orderkey", "attack_type", "tier")
+    good.write.parquet(path)
+    return spark.read.schema(good.schema).parquet(path)
+
+
 _QUOTA = f"""{_PAIRS}, good AS (SELECT * FROM pairs WHERE outcome = 'ok'), r AS (SELECT tier, o_orderkey, count(*) AS n FROM good GROUP BY 1, 2),
 b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY tier ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far FROM r),
 quota AS (SELECT g.* FROM good g JOIN b USING (tier, o_orderkey) WHERE so_far < CASE tier WHEN 'medium' THEN 2400 ELSE 1800 END)"""
@@ -211,13 +220,13 @@ quota AS (SELECT g.* FROM good g JOIN b USING (tier, o_orderkey) WHERE so_far <
 
 @register("pair_quota", f"WITH {_QUOTA} SELECT o_orderkey, attack_type, tier FROM quota")
 def pair_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preparation.quota_of_tiers(_pairs(spark, sf_dir).where("outcome = 'ok'"), "o_orderkey").select("o_orderkey", "attack_type", "tier")
+    return preparation.quota_of_tiers(_kept(spark, sf_dir), "o_orderkey").select("o_orderkey", "attack_type", "tier")
 
 
 @register("final_pairs", f"""WITH {_QUOTA}, d AS (SELECT *, sha256('42|' || o_orderkey || '|' || attack_type) AS h FROM quota), p AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY h) <= CASE tier WHEN 'medium' THEN 800 ELSE 600 END AS picked FROM d),
 f AS (SELECT *, row_number() OVER (ORDER BY picked DESC, h) AS f FROM p) SELECT o_orderkey, attack_type, tier FROM f WHERE f <= 2000""")
 def final_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quota = preparation.quota_of_tiers(_pairs(spark, sf_dir).where("outcome = 'ok'"), "o_orderkey")
+    quota = preparation.quota_of_tiers(_kept(spark, sf_dir), "o_orderkey")
     return preparation.sampled_pairs(quota, [F.col("o_orderkey"), F.col("attack_type")]).select("o_orderkey", "attack_type", "tier")
 
 
