@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkward.llm import decontamination, edit_fingerprints, mixing, secret_scans, simhash, suffix_dedup, token_counts, toxicity, url_filters, warc
+from sparkward.llm import decontamination, edit_fingerprints, embedding_dedup, hard_negatives, mixing, secret_scans, simhash, suffix_dedup, token_counts, toxicity, url_filters, warc, whitening
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op11_embedding_dedup": embedding_dedup.op11_embedding_dedup,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_whitening": whitening.op13_whitening,
 }
 ORACLE_SQL = {"op1_warc": warc.OP1_SQL, "op4_url_filters": url_filters.OP4_SQL}
