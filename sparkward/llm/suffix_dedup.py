@@ -2,7 +2,8 @@
 
 Every 400-byte window has an anchor, the 200-byte string in it of least hash (leftmost of equals). Equal windows have
 equal anchors at equal places, so the suffixes that start in the windows of one anchor can be sorted apart from all
-others. Windows of one anchor that follow one another form a snippet. Anchors that occur once are dropped; snippets that
+others. Windows of one anchor that follow one another form a snippet; snippets that follow one another and are equal (a
+text with a short period) are given twice, and the starts of the rest are known to repeat. Anchors that occur once are dropped; snippets that
 are equal as a whole are repeated without further ado and are kept once. The different snippets of an anchor go to one
 shard, whose text gets a suffix array: triples at two of three positions are sorted and named, the names' string is
 sorted by recursion, the remaining suffixes are sorted by it and merged in, and the first 400 bytes of suffixes that are
@@ -29,6 +30,8 @@ LENGTH = 400
 #: Bytes of a piece that is hashed at once (20 bits hold a place in it), of a suffix array; snippets of an anchor beyond
 #: which its windows are dealt on, in groups of so many starts.
 PIECE, SHARD, HOT, FEW = 1 << 20, 1 << 19, 1000, 8
+#: Rows of a batch of snippets.
+ROWS = 1 << 14
 #: Bytes of snippets that a sorting task gets on average.
 TASK = 4 << 20
 FACTOR = 0x9E3779B97F4A7C15
@@ -61,8 +64,28 @@ def anchors(piece: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return h[place], place
 
 
-def snippets(data: bytes, bounds: list[tuple[int, int]], length: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, first start, number of starts, anchor hash, digest) of every snippet of the texts data[a:b] in bounds."""
+def _folded(view: np.ndarray, begins: np.ndarray, ends: np.ndarray, h: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Runs (first, last + 1) of three or more snippets that are the same bytes, each beginning where the one before ends.
+
+    Such a run is a text with a period: a rule of dashes, blanks, a repeated word.
+    """
+    n = ends - begins
+    same = np.concatenate(([False], (h[1:] == h[:-1]) & (n[1:] == n[:-1]), [False]))
+    edge = np.flatnonzero(same[1:] != same[:-1])
+    out = []
+    for i, j in zip(edge[::2].tolist(), (edge[1::2] + 1).tolist(), strict=True):
+        x, y, step = int(begins[i]), int(ends[j - 1]) + length - 1, int(n[i])
+        if j - i > 2 and (view[x : y - step] == view[x + step : y]).all():
+            out.append((i, j))
+    return out
+
+
+def snippets(data: bytes, bounds: list[tuple[int, int]], length: int) -> Iterator[tuple[int, int, int, int | None, int]]:
+    """(text, first start, number of starts, anchor hash, digest) of every snippet of the texts data[a:b] in bounds.
+
+    Of a run of equal snippets two are given as such; the starts of the others, which repeat for certain, follow as one
+    row without an anchor. So a text with a short period has few rows, however long it is.
+    """
     import xxhash
 
     view = np.frombuffer(data, np.uint8)
@@ -93,8 +116,14 @@ def snippets(data: bytes, bounds: list[tuple[int, int]], length: int) -> Iterato
                 if y <= x:
                     continue
                 cuts = np.flatnonzero(new[x + 1 : y]) + x + 1
-                begins, ends = [x, *cuts.tolist()], [*cuts.tolist(), y]
-                for s, e, name in zip(begins, ends, h[begins].tolist(), strict=True):
+                begins, ends = np.concatenate(([x], cuts)), np.concatenate((cuts, [y]))
+                names = h[begins]
+                single = np.ones(len(begins), bool)
+                for a2, b2 in _folded(view[lo:hi], begins, ends, names, length):
+                    single[a2 + 2 : b2] = False
+                    start = lo + int(begins[a2 + 2])
+                    yield t, start - bounds[t][0], int(ends[b2 - 1] - begins[a2 + 2]), None, 0
+                for s, e, name in zip(begins[single].tolist(), ends[single].tolist(), names[single].tolist(), strict=True):
                     start = lo + s
                     yield t, start - bounds[t][0], e - s, name, digest(data[start : start + e - s + length - 1], int(place[s]) - s)
 
@@ -184,20 +213,23 @@ def _signed(x: int) -> int:
 
 
 def _scan(length: int):
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, t = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[tuple] = []
             texts = batch.column(2).to_pylist()
             bounds, at = [], 0
             for x in texts:
                 bounds.append((at, at + len(x)))
                 at += len(x)
             for i, s, n, a, g in snippets(b"".join(texts), bounds, length):
-                for c, v in zip(rows, (d[i], t[i], s, n, _signed(a), _signed(g)), strict=True):
-                    c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["d", "t", "s", "n", "a", "g"])
+                rows.append((d[i], t[i], s, n, None if a is None else _signed(a), _signed(g)))
+                if len(rows) == ROWS:
+                    yield _batch(rows, "d t s n a g", kinds)
+                    rows = []
+            yield _batch(rows, "d t s n a g", kinds)
 
     return run
 
@@ -326,7 +358,8 @@ def repeated_ranges(spark: SparkSession, texts: DataFrame, length: int = LENGTH)
     """From (d, t, bytes), the key of a text and its bytes: (d, t, lo, hi) of starts of repeated windows, per snippet."""
     found, found_path = base.written(spark, texts.mapInArrow(_scan(length), _FOUND), "snippets")
     # counts are written tables: what is joined with them is an exchange of its own, which AQE can split at a hot anchor
-    often, often_path = base.written(spark, found.groupBy("a").count().where("count > 1").select("a"), "often")
+    sure, _ = base.written(spark, found.where("a is null").select("d", "t", F.col("s").alias("lo"), (F.col("s") + F.col("n")).alias("hi")), "periodic")
+    often, often_path = base.written(spark, found.where("a is not null").groupBy("a").count().where("count > 1").select("a"), "often")
     found, path = base.written(spark, found.join(often, "a", "left_semi"), "repeated-anchors")
     base.drop_path(spark, found_path)
     base.drop_path(spark, often_path)
@@ -352,7 +385,7 @@ def repeated_ranges(spark: SparkSession, texts: DataFrame, length: int = LENGTH)
     whole = kinds.where("k > 1").select("a", "g", F.lit(0).alias("lo"), F.col("x.n").alias("hi"))
     part = hits.where("not hot").select(F.col("u").alias("a"), F.col("v").alias("g"), "lo", "hi").unionByName(in_parts)
     ranges, ranges_path = base.written(spark, whole.unionByName(part.join(whole.select("a", "g"), ["a", "g"], "left_anti")), "snippet-ranges")
-    out = found.join(ranges, ["a", "g"]).select("d", "t", (F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi")).alias("hi"))
+    out = found.join(ranges, ["a", "g"]).select("d", "t", (F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi")).alias("hi")).unionByName(sure)
     out, _ = base.written(spark, out.groupBy("d", "t").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
     for old in (path, kinds_path, ranges_path):
         base.drop_path(spark, old)

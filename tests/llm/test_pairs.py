@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import resource
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +238,25 @@ def test_no_shard_grows_with_a_shared_passage(spark, monkeypatch):
     assert got == removed_by_hand([t.encode() for t in texts], suffix_dedup.LENGTH)
 
 
+def test_texts_with_a_period(spark):
+    """Rules of dashes, blanks and repeated words, long and short, alone and within other text."""
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    rule = ("-" * 80 + "\n") * 30
+    texts = ["-" * 3000, "-" * 400, "-" * 401, "=" * 399, " " * 5000, "abc" * 700, "abc" * 134, noise(500) + rule + noise(500), rule, noise(300) + "xy" * 900 + noise(300) + "xy" * 300, (noise(199) + "\n") * 9, (noise(250) + "\n") * 9, "-" * 700 + "+" + "-" * 700, noise(900)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [tuple(r)[1:] for r in suffix_dedup.remove_repeats(spark, df).orderBy("doc_id").collect()]
+    assert got == removed_by_hand([t.encode() for t in texts], suffix_dedup.LENGTH)
+
+
+@pytest.mark.parametrize("text", [b"-" * 20_000_000, b"abc" * 3_000_000, (b"-" * 80 + b"\n") * 60_000])
+def test_long_texts_with_a_period_have_few_rows(text):
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text], pa.binary())], ["d", "t", "bytes"])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    rows = sum(b.num_rows for b in suffix_dedup._scan(suffix_dedup.LENGTH)(iter([batch])))
+    assert rows < 2000 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500 * 1024
+
+
 def test_suffix_order():
     rng = random.Random(0)
     for _ in range(150):
