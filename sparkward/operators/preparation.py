@@ -139,20 +139,20 @@ def build_pairs(rows: DataFrame, ordinal: str) -> DataFrame:
 
     Rows have instruction, input, output, expected_vulnerable and perhaps difficulty; only rows that are expected to be
     vulnerable and whose code parses and is safe give pairs. steps names the tests that were passed, in order: a trace of
-    how far the pair came. Keep outcome = 'ok', then quota_of_tiers, then sampled_pairs.
+    how far the pair came. A text without a bound query of its own gets the aligned variant of its main function. Keep outcome = 'ok', then quota_of_tiers, then sampled_pairs.
     """
     difficulty = F.col("difficulty") if "difficulty" in rows.columns else F.lit("medium")
     safe = rows.withColumn("__difficulty", difficulty).where("expected_vulnerable").withColumn("chosen", pyast.code_only_column(F.col("output"))).where("chosen is not null")
     safe = safe.where(pyast.parse_column(F.col("chosen"))["ok"]).where(rules.target_is_safe(F.col("chosen")))
     tried = safe.withColumn("attack", F.explode(F.array(*(F.lit(a) for a, _ in dataset.ATTACKS))))
-    made = tried.withColumn("rejected", rewrites.unsafe_column(F.col("chosen"), F.col("attack")))
+    schema = detection.schema_of(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("input"))
+    made = tried.withColumn("rejected", rewrites.variant_column(F.col("chosen"), F.col("attack"), *schema))
     told = made.withColumn("iso", pyast.isomorphic_column(F.col("chosen"), F.col("rejected")))
     tests = {"no_variant": F.col("rejected").isNotNull(), "identical": T.strip(F.col("chosen")) != T.strip(F.col("rejected")), "not_unsafe": ~rules.target_is_safe(F.col("rejected")), "not_isomorphic": F.col("iso.ok")}
     outcome = reduce(lambda out, t: out.when(~F.coalesce(t[1], F.lit(False)), t[0]), list(tests.items())[1:], F.when(~tests["no_variant"], "no_variant")).otherwise("ok")
     told = told.withColumn("outcome", outcome)
     names = F.array(F.lit("variant"), F.lit("differs"), F.lit("unsafe"), F.lit("isomorphic"))
     reached = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, tests)), F.col("outcome")), F.lit(0)) - 1, F.lit(len(tests)))
-    schema = detection.schema_of(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("input"))
     return told.select(
         ordinal, T.prompt(F.col("instruction"), F.col("input")).alias("prompt"), "chosen", "rejected", F.col("attack").alias("attack_type"), dataset.tier_of(F.col("attack")).alias("tier"),
         F.col("__difficulty").alias("difficulty"), *(c.alias(n) for c, n in zip(schema, ("schema_table", "schema_column"), strict=True)), T.framework_of(F.col("chosen")).alias("framework"),

@@ -10,7 +10,7 @@ from sparkward.operators import dataset, diversity, evaluate, preparation
 from sparkward.operators import metrics as M
 from sparkward.plans.metric_sql import bundle_sql
 from sparkward.plans.registering import div, matches_any, register, values
-from sparkward.plans.views import KIND, SNIPPETS, by_kind, named, table, view
+from sparkward.plans.views import BUILD_KIND, FLOW_KIND, KIND, SNIPPETS, by_kind, named, table, view
 from sparkward.scratch import scratch_path
 
 ATTACKS = tuple(a for a, _ in dataset.ATTACKS)
@@ -23,7 +23,9 @@ EXTRACTED = WHOLE | {
 }
 SOURCE = f"CASE {KIND} WHEN 7 THEN 'python_fence' WHEN 16 THEN 'python_fence' WHEN 8 THEN 'incomplete_fence' WHEN 9 THEN 'full_text_fallback' WHEN 10 THEN 'full_text_fallback' ELSE 'keyword_start' END"
 _BROKEN = {6: "SyntaxError: '(' was never closed", **dict.fromkeys((7, 8, 9, 16, 17), "SyntaxError: invalid syntax")}
-_FOREIGN = {k: f"module '{m}' is not allowed" for m, ks in (("pymysql", (1, 3, 11)), ("psycopg2", (2, 19)), ("sqlalchemy", (4,)), ("asyncpg", (5,)), ("requests", (14,))) for k in ks}
+_FOREIGN = {k: f"ImportError: module '{m}' is not allowed in taint sandbox" for m, ks in (("pymysql", (1, 3, 11)), ("psycopg2", (2, 19)), ("sqlalchemy", (4,)), ("asyncpg", (5,)), ("requests", (14,))) for k in ks}
+#: What ends the analysis of flows, where something does.
+_ENDED = _FOREIGN | {6: "transform_syntax_error: '(' was never closed (<unknown>, line 2)", **{k: f"transform_syntax_error: invalid syntax (<unknown>, line {n})" for k, n in ((7, 1), (8, 1), (9, 1), (16, 1), (17, 4))}, 13: "OperationalError: no such table: TBL"}
 #: What a training target keeps of each text: the first fence, or the whole text if it parses.
 TARGET = {k: t for k, t in WHOLE.items() if k not in _BROKEN} | {7: _FENCED, 10: 'COL = "TBL";', 16: 'value = "COL"'}
 
@@ -77,12 +79,33 @@ def code_only_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preparation.code_only_targets(view(spark, sf_dir, "code_samples"), "code").select("o_orderkey", "code", "dropped_reason")
 
 
-@register("taint_static", f"SELECT o_orderkey, {KIND} = 12 AS is_vulnerable, CASE WHEN {KIND} = 12 THEN 1 ELSE 0 END AS taint_flows_detected, {by_kind(_FOREIGN | _BROKEN)} AS error, CASE WHEN {KIND} = 12 THEN {by_kind({12: 'SELECT * FROM TBL WHERE COL = COL'})} END AS preview FROM orders")
+@register("taint_static", f"SELECT o_orderkey, {KIND} = 12 AS is_vulnerable, CASE WHEN {KIND} = 12 THEN 1 ELSE 0 END AS taint_flows_detected, {by_kind(_ENDED)} AS error, CASE WHEN {KIND} = 12 THEN {by_kind({12: 'SELECT * FROM TBL WHERE COL = COL'})} END AS preview FROM orders")
 def taint_static(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "code_samples").select("o_orderkey", taint.taint_column(F.col("code")).alias("x"))
     return rows.select("o_orderkey", "x.is_vulnerable", "x.taint_flows_detected", "x.error", F.get("x.details", F.lit(0))["sql_preview"].alias("preview"))
 
 
+_CONNECTION, _CURSOR = "sqlite3.Connection.execute", "sqlite3.Cursor.execute"
+_FLOWED = [
+    (0, 1, None, _CONNECTION, "SELECT * FROM TBL WHERE COL = COL"), (1, 1, None, _CONNECTION, "SELECT * FROM TBL WHERE COL = COL"), (2, 2, None, _CONNECTION, "SELECT 1COL"), (3, 3, None, _CONNECTION, "SELECT COLCOL"),
+    (4, 1, None, _CONNECTION, "no such table: TBL COL"), (5, 1, None, _CURSOR, "SELECT * FROM TBL WHERE COL = COL"), (7, 1, "NameError: __build_class__ not found", _CONNECTION, "SELECT COL"),
+    (8, 1, "ImportError: module 'os' is not allowed in taint sandbox", _CONNECTION, "SELECT COL"), (9, 0, None, None, None), (10, 1, "limit", _CONNECTION, "SELECT COL"), (11, 1, None, _CONNECTION, "SELECT COL"),
+    (12, 1, "ZeroDivisionError: division by zero", _CONNECTION, "SELECT COL"), (13, 2, None, _CONNECTION, "SELECT COL"), (14, 1, None, _CONNECTION, "SELECT COL"), (15, 1, None, _CONNECTION, "SELECT 1 COL"),
+    (16, 1, "limit", _CONNECTION, "SELECT COL"),
+]
+_SHOWN = f"concat(chr(39), {named(repr('COL'))}, chr(39))"
+
+
+@register("taint_flows", f"""WITH f AS (SELECT o_orderkey, p.n, p.error, p.sink, {named('p.preview')} AS preview FROM orders JOIN ({values(_FLOWED)}) p(k, n, error, sink, preview) ON p.k = {FLOW_KIND}
+UNION ALL SELECT o_orderkey, 1, NULL, '{_CONNECTION}', 'SELECT ' || lpad({_SHOWN}, greatest(12, length({_SHOWN}))::INT, ' ') FROM orders WHERE {FLOW_KIND} = 6)
+SELECT o_orderkey, n > 0 AS is_vulnerable, n::INT AS taint_flows_detected, error, sink, preview FROM f""")
+def taint_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows through containers, comprehensions, loops, branches, functions and errors, with the first one's preview."""
+    rows = view(spark, sf_dir, "flow_samples").select("o_orderkey", taint.taint_column(F.col("code")).alias("x"))
+    first = F.get("x.details", F.lit(0))
+    return rows.select("o_orderkey", "x.is_vulnerable", "x.taint_flows_detected", "x.error", first["sink"].alias("sink"), first["sql_preview"].alias("preview"))
+
+
 _BOUND_SQL = 'SELECT * FROM TBL WHERE COL = ?'
 _PLACES = [
     (0, "execute", "", 4, _BOUND_SQL), (1, "execute", "sql", 4, ""), (2, "execute", "", 3, ""), (3, "execute", "", 3, ""), (4, "execute", "", 4, ""), (10, "definition", "COL", 1, "TBL"), (10, "definition", "COL", 1, "TBL"),
@@ -128,16 +151,21 @@ _FRAMES = {
 _VALUE = {0: "value", 13: "v", 15: "wanted", 18: "value", 19: "value"}
 
 
-def _unsafe_text(kind: int, attack: str) -> str:
-    """The text that an attack makes of a kind, written out."""
-    v, two = _VALUE[kind], kind == 19
-    head, tail = "SELECT * FROM TBL WHERE COL = ", " AND state = "
+def _attack(attack: str, v: str, two: bool = False, head: str = "SELECT * FROM TBL WHERE COL = ") -> tuple[str, str]:
+    """What an attack puts into the call, and the query that is put together."""
+    tail = " AND state = "
     joined = f"'{head}' + {v}" + (f" + '{tail}' + other" if two else "")
     call = {
         "string_concat": joined, "fstring": f"f'{head}{{{v}}}" + (f"{tail}{{other}}'" if two else "'"), "format_string": f"'{head}{{0}}" + (f"{tail}{{1}}'.format(value, other)" if two else f"'.format({v})"),
         "fake_sanitization": f"""'{head}' + str({v}).replace("'", '')""" + (f""" + '{tail}' + str(other).replace("'", '')""" if two else ""),
         "orm_misuse": f"'{head}%s" + (f"{tail}%s' % (value, other)" if two else f"' % {v}"), "parameterized_query": f"f'{head}{{{v}}}" + (f"{tail}{{other}}', ()" if two else "', ()"), "indirect_injection": "query",
     }[attack]
+    return call, joined
+
+
+def _unsafe_text(kind: int, attack: str) -> str:
+    """The text that an attack makes of a kind, written out."""
+    call, joined = _attack(attack, _VALUE[kind], kind == 19)
     text = _FRAMES[kind]
     for indent in ("    ", ""):
         text = text.replace(f"{{before:{indent}}}", f"{indent}query = {joined}\n" if attack == "indirect_injection" else "")
@@ -150,10 +178,51 @@ def unsafe_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", "attack", rewrites.unsafe_column(F.col("code"), F.col("attack")).alias("rejected")).where("rejected is not null")
 
 
+#: Programs without a bound query that have a function with a handle and a value: the aligned text is that function's.
+_ALIGNED = {
+    **{k: f"import {m}\n\ndef FIND(cur, value):\n{{before:    }}    cur.execute({{call}})\n    return cur.fetchall()" for k, m in ((1, "pymysql"), (2, "psycopg2"), (3, "pymysql"))},
+    4: "from sqlalchemy import text\n\nclass Repo:\n\n    def FIND(self, session, value):\n{before:        }        return session.execute(text({call})).fetchall()",
+    5: "import asyncpg\n\nasync def FIND(conn, value):\n{before:    }    return await conn.fetch({call})",
+}
+
+
+def _aligned_text(kind: int, attack: str) -> str:
+    call, joined = _attack(attack, "value", head="SELECT * FROM t WHERE c = ")
+    text = _ALIGNED[kind]
+    for indent in ("        ", "    "):
+        text = text.replace(f"{{before:{indent}}}", f"{indent}query = {joined}\n" if attack == "indirect_injection" else "")
+    return text.replace("text({call})", "text({call}), ()" if attack == "parameterized_query" else "text({call})").replace("{call}", call.removesuffix(", ()") if kind == 4 else call)
+
+
+@register("aligned_variant", f"SELECT o_orderkey, a.attack, {named('a.rejected')} AS rejected FROM orders JOIN ({values([(k, a, _aligned_text(k, a)) for k in _ALIGNED for a in ATTACKS])}) a(k, attack, rejected) ON a.k = {KIND}")
+def aligned_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants of programs that have no bound query of their own."""
+    rows = view(spark, sf_dir, "code_samples").select("o_orderkey", "code", F.explode(F.array(*map(F.lit, ATTACKS))).alias("attack"))
+    own = rewrites.unsafe_column(F.col("code"), F.col("attack"))
+    without = rows.withColumn("own", own).where("own is null")
+    return without.select("o_orderkey", "attack", rewrites.aligned_column(F.col("code"), F.col("attack"), F.lit("t"), F.lit("c")).alias("rejected")).where("rejected is not null")
+
+
+_REBOUND = {
+    0: "def FIND(cur, a, b):\n    sql = 'SELECT * FROM TBL WHERE COL = ?'\n    params = [a]\n    if b:\n        sql += ' AND state = ?'\n        params += [b]\n    cur.execute(sql, params)\n    return cur.fetchall()",
+    1: "def FIND(cur, a):\n    if a:\n        q = 'SELECT * FROM TBL WHERE COL = ?'\n        params = [a]\n    else:\n        q = 'SELECT * FROM TBL'\n        params = []\n    cur.execute(q, params)\n    return cur.fetchall()",
+    2: "import pymysql\n\ndef FIND(cur, items):\n    q = 'SELECT * FROM TBL WHERE 1 = 0'\n    params = []\n    for item in items:\n        q += ' OR COL = %s'\n        params += [item]\n    cur.execute(q, params)",
+    4: "BASE = 'SELECT * FROM TBL'\n\ndef FIND(cur, a):\n    cur.execute('SELECT * FROM TBL WHERE COL LIKE ?', (f'%{a}%',))",
+    5: "def FIND(cur, a):\n    q = 'SELECT * FROM TBL WHERE COL = ?'\n    params = [a]\n    a = None\n    cur.execute(q, params)",
+    7: "def FIND(cur, a):\n    try:\n        q = 'SELECT COL FROM TBL WHERE COL = ?'\n        params = [a]\n    except TypeError:\n        q = 'SELECT COL FROM TBL'\n        params = []\n    while a:\n        cur.execute(q, params)\n        q += ' OR COL = ?'\n        params += [a]",
+}
+
+
+@register("safe_fix_flows", f"SELECT o_orderkey, {by_kind(_REBOUND, kind=BUILD_KIND)} AS fixed FROM orders")
+def safe_fix_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries built by +=, in branches and loops; null where a piece is unknown, or the value is a table's name."""
+    return view(spark, sf_dir, "build_samples").select("o_orderkey", rewrites.fix_column(F.col("code")).alias("fixed"))
+
+
 _FIXED = {
-    1: "import pymysql\n\ndef FIND(cur, value):\n    sql = 'SELECT * FROM TBL WHERE COL = ?'\n    cur.execute(sql, (value,))\n    return cur.fetchall()",
-    2: "import psycopg2\n\ndef FIND(cur, value):\n    cur.execute('SELECT * FROM TBL WHERE COL = ?', (value,))\n    return cur.fetchall()",
-    3: "import pymysql\n\ndef FIND(cur, value):\n    cur.execute('SELECT * FROM TBL WHERE COL = ?', (value,))\n    return cur.fetchall()",
+    1: "import pymysql\n\ndef FIND(cur, value):\n    sql = 'SELECT * FROM TBL WHERE COL = %s'\n    cur.execute(sql, (value,))\n    return cur.fetchall()",
+    2: "import psycopg2\n\ndef FIND(cur, value):\n    cur.execute('SELECT * FROM TBL WHERE COL = %s', (value,))\n    return cur.fetchall()",
+    3: "import pymysql\n\ndef FIND(cur, value):\n    cur.execute('SELECT * FROM TBL WHERE COL = %s', (value,))\n    return cur.fetchall()",
     4: "from sqlalchemy import text\n\nclass Repo:\n\n    def FIND(self, session, value):\n        return session.execute(text('SELECT * FROM TBL WHERE COL = :p0'), {'p0': value})",
     12: "import sqlite3\nc = sqlite3.connect(':memory:')\nv = taint_input('COL')\nc.execute('SELECT * FROM TBL WHERE COL = ?', (v,))",
 }
@@ -169,17 +238,30 @@ def safe_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OK, _NO, _LOST = ("ok", "variant|differs|unsafe|isomorphic"), ("no_variant", ""), ("not_isomorphic", "variant|differs|unsafe")
 _TRIED = [
     (0, "sqlite3", "sqlite3", *_OK), (7, "sqlite3", "sqlite3", *_OK), (13, "sqlite3", "sqlite3", *_OK), (15, "pymysql", "pymysql", *_OK), (19, "psycopg2", "pymysql", *_OK), (18, "sqlite3", "sqlite3", *_LOST),
-    (4, "sqlalchemy", "sqlalchemy", *_NO),  # the rules ask for something between the braces, so they take it for safe
-    (5, "asyncpg", "pymysql", *_NO), (10, "pymysql", "pymysql", *_NO), (11, "pymysql", "pymysql", *_NO), (14, "pymysql", "pymysql", *_NO), (16, "pymysql", "pymysql", *_NO),
+    (4, "sqlalchemy", "sqlalchemy", *_OK),  # the rules ask for something between the braces, so they take it for safe
+    (5, "asyncpg", "pymysql", *_OK), (10, "pymysql", "pymysql", *_NO), (11, "pymysql", "pymysql", *_NO), (14, "pymysql", "pymysql", *_NO), (16, "pymysql", "pymysql", *_NO),
 ]
+#: Aligned variants that the rules don't notice: text() around %, and calls that are no execute.
+_UNNOTICED = {(4, "orm_misuse"), *((5, a) for a in ("fstring", "format_string", "orm_misuse", "parameterized_query"))}
+_OUTCOMES = [(k, a, driver, framework, *(("not_unsafe", "variant|differs") if (k, a) in _UNNOTICED else told)) for k, driver, framework, *told in _TRIED for a in ATTACKS]
 _TIER = "CASE a.attack_type WHEN 'string_concat' THEN 'easy' WHEN 'fstring' THEN 'medium' WHEN 'format_string' THEN 'medium' ELSE 'hard' END"
-_PAIRS = f"""tagged AS (SELECT {_TAGS}, {KIND} AS k FROM orders), pairs AS (SELECT o_orderkey, a.attack_type, {_TIER} AS tier, t.difficulty, p.driver, p.framework, p.outcome, p.steps
-FROM tagged t JOIN ({values(_TRIED)}) p(k, driver, framework, outcome, steps) USING (k), ({values([(a,) for a in ATTACKS])}) a(attack_type))"""
+_PAIRS = f"""tagged AS (SELECT {_TAGS}, {KIND} AS k FROM orders), pairs AS (SELECT o_orderkey, a.attack_type, {_TIER} AS tier, t.difficulty, a.driver, a.framework, a.outcome, a.steps
+FROM tagged t JOIN ({values(_OUTCOMES)}) a(k, attack_type, driver, framework, outcome, steps) USING (k))"""
+
+
+_written: dict[tuple[str, str], str] = {}
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs that were tried, written once for all queries of an application: making them is the costly part."""
     rows = tagged(spark, sf_dir).select("o_orderkey", F.lit("say").alias("instruction"), F.lit("DB table `t`, column `c`").alias("input"), F.col("code").alias("output"), F.lit(True).alias("expected_vulnerable"), "difficulty")
-    return preparation.build_pairs(rows, "o_orderkey")
+    made = preparation.build_pairs(rows, "o_orderkey")
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        path = scratch_path(spark, "pairs")
+        made.write.parquet(path)
+        _written[key] = path
+    return spark.read.schema(made.schema).parquet(_written[key])
 
 
 @register("pair_isomorphism", f"WITH {_PAIRS} SELECT o_orderkey, attack_type, tier, driver, framework, outcome, steps, 't' AS schema_table, 'c' AS schema_column FROM pairs")
@@ -206,11 +288,7 @@ def fallback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs that passed, written once: the quota reads them twice, and making them is the costly part."""
-    path = scratch_path(spark, "pairs")
-    good = _pairs(spark, sf_dir).where("outcome = 'ok'").select("o_orderkey", "attack_type", "tier")
-    good.write.parquet(path)
-    return spark.read.schema(good.schema).parquet(path)
+    return _pairs(spark, sf_dir).where("outcome = 'ok'").select("o_orderkey", "attack_type", "tier")
 
 
 _QUOTA = f"""{_PAIRS}, good AS (SELECT * FROM pairs WHERE outcome = 'ok'), r AS (SELECT tier, o_orderkey, count(*) AS n FROM good GROUP BY 1, 2),

@@ -32,6 +32,17 @@ def json_array_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_tables.fields(json_tables.load_array(spark, path), {"s_suppkey": "bigint", "s_name": "string"})
 
 
+@register("positional_join", "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS ord, c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS answer FROM customer")
+def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources of many files each, one of lines and one an array, joined by the position of their records."""
+    rows, samples, outputs = table(spark, sf_dir, "customer"), scratch_path(spark, "samples"), scratch_path(spark, "outputs")
+    rows.select("c_custkey", "c_name").repartitionByRange(5, "c_custkey").sortWithinPartitions("c_custkey").write.json(samples)
+    sinks.write_array(rows.select("c_custkey", "c_acctbal", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("answer")).repartition(3), outputs, "c_custkey")
+    left = json_tables.fields(json_tables.load_rows(spark, samples), {"c_custkey": "bigint", "c_name": "string"})
+    right = json_tables.fields(json_tables.load_array(spark, outputs), {"c_acctbal": "double", "answer": "string"})
+    return left.join(right, "ord")
+
+
 @register("legacy_rows", r"""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'find ' || s_name ELSE 'whole ' || s_name END AS instruction, CASE s_suppkey % 3 WHEN 0 THEN 'in' ELSE '' END AS input, CASE s_suppkey % 3 WHEN 0 THEN 'out' ELSE '' END AS response FROM supplier WHERE s_suppkey % 3 <> 1""")
 def legacy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old files: elements that are no objects go, prompts with sections are split."""

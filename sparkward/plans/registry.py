@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkward import scratch
 from sparkward.functions import rules
 from sparkward.functions import text as T
 from sparkward.operators import compare, dataset, detection, diversity, preparation, trainlog
@@ -19,7 +20,9 @@ from sparkward.plans.metric_sql import prf as _prf
 from sparkward.plans.registering import ORACLE_SQL, QUERIES, register  # noqa: F401
 from sparkward.plans.registering import div as _div
 from sparkward.plans.views import table, view
+from sparkward.scratch import scratch_path
 from sparkward.sources import contracts
+from sparkward.streaming import early_stop as streams
 
 @register("bundle_overall", _bundle_sql())
 def bundle_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,6 +286,34 @@ def early_stop_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trainlog.early_stop(view(spark, sf_dir, "trainlog"))
 
 
+#: Pieces of a log that come one after the other.
+PIECES = 4
+
+
+def _arriving(spark: SparkSession, log: DataFrame) -> tuple[str, object]:
+    """A folder of files to stream: the log in pieces by time, written one after the other; a run's rows of a piece are one file's."""
+    path = scratch_path(spark, "arriving")
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    first, last = log.agg(F.min(at), F.max(at)).first()
+    rows = log.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("piece", F.least(F.lit(PIECES - 1), ((at - first) * PIECES / max(1, (last or 0) - (first or 0))).cast("int")))
+    cut = scratch.written(spark, rows, "pieces")
+    for i in range(PIECES):
+        cut.where(f"piece = {i}").drop("piece").repartition("run_id").write.mode("append").parquet(path)
+    return path, cut.drop("piece").schema
+
+
+@register("early_stop_streamed")
+def early_stop_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold as a stream with state for each run, over a log that comes in pieces."""
+    log = view(spark, sf_dir, "trainlog").select("run_id", "step", "val_loss", "ts")
+    path, schema = _arriving(spark, log)
+    rows = streams.run_available(spark, path, schema, streams.early_stop_stream, scratch_path(spark, "stops"), scratch_path(spark, "stops-checkpoint"), files=64)
+    return streams.last_states(rows)
+
+
+ORACLE_SQL["early_stop_streamed"] = ORACLE_SQL["early_stop_fold"]
+
+
 _STREAK = """WITH l AS (SELECT *, last_value(train_loss IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS last_train_loss FROM trainlog), r AS (SELECT *, CASE WHEN last_train_loss IS NOT NULL AND val_loss > 0 THEN last_train_loss / val_loss END AS overfit_ratio FROM l),
 i AS (SELECT *, sum(CASE WHEN overfit_ratio >= 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS isl FROM r), s AS (SELECT *, CAST(sum(CASE WHEN overfit_ratio < 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, isl ORDER BY step ROWS UNBOUNDED PRECEDING) AS BIGINT) AS streak FROM i)"""
 
@@ -305,6 +336,17 @@ def collapse_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trainlog.collapse_guard(log)
 
 
+@register("collapse_streamed")
+def collapse_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The guard as a stream that tells the first sign of each run, over a log that comes in pieces."""
+    log = view(spark, sf_dir, "trainlog").select("run_id", "step", F.col("val_loss").alias("entropy"), (F.col("val_loss") * 30).alias("logps"), (F.col("val_loss") - 40).alias("logits"), "ts")
+    path, schema = _arriving(spark, log)
+    return streams.run_available(spark, path, schema, streams.collapse_stream, scratch_path(spark, "collapses"), scratch_path(spark, "collapses-checkpoint"), files=64)
+
+
+ORACLE_SQL["collapse_streamed"] = ORACLE_SQL["collapse_guard"]
+
+
 @register("fence_cleanup", "SELECT o_orderkey, sha256(trim(array_to_string(list_filter(string_split(code, E'\\n'), lambda x: trim(x) NOT IN ('```', '```python', '```sql', '```text')), E'\\n'))) AS cleaned FROM code_samples")
 def fence_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "code_samples").select("o_orderkey", F.sha2(T.drop_fence_lines(F.col("code")), 256).alias("cleaned"))

@@ -47,6 +47,41 @@ SNIPPETS = (
     'import sqlite3\n\n\ndef sql_of():\n    return "SELECT * FROM TBL WHERE COL = ?"\n\n\ndef FIND(cur, value):\n    cur.execute(sql_of(), (value,))\n    return cur.fetchall()',
     'import psycopg2\n\n\ndef FIND(cur, value, other):\n    query = "SELECT * FROM TBL WHERE COL = %s AND state = %s"\n    cur.execute(query, (value, other))\n    return cur.fetchall()',
 )
+_START = 'import sqlite3\nc = sqlite3.connect(":memory:")\nv = taint_input("COL")\n'
+# Programs whose flows pass through containers, functions, loops, branches and errors.
+FLOWS = tuple(_START + text for text in (
+    'parts = []\nparts.append("SELECT * FROM TBL WHERE COL = ")\nparts.append(v)\nc.execute(parts[0] + parts[1])',
+    'given = {"sql": "SELECT * FROM TBL WHERE COL = " + v}\nc.execute(given["sql"])',
+    'for sql in ["SELECT %d" % i + v for i in range(3) if i]:\n    c.execute(sql)',
+    'i = 0\nwhile True:\n    i += 1\n    if i == 2:\n        continue\n    c.execute("SELECT COL" + v)\n    if i > 3:\n        break',
+    'try:\n    c.execute("SELECT COL FROM TBL")\nexcept sqlite3.Error as e:\n    c.execute(f"{e} {v}")',
+    'cur = c.cursor()\nsql_of = lambda x, head="SELECT * FROM TBL WHERE COL = ": head + x\ncur.execute(sql_of(v))',
+    'c.execute(f"SELECT {v!r:>12}")',
+    'c.execute("SELECT " + v)\nclass Repo:\n    pass',
+    'c.execute("SELECT " + v)\nimport os\nc.execute("DELETE " + v)',
+    'c.execute("SELECT \'" + v.strip() + "\'")',
+    'c.execute("SELECT " + v)\nx = "TBL"\nfor i in range(60):\n    x = x + x',
+    'def find():\n    return 1\nfind.sql = "SELECT " + v\nc.execute(find.sql)',
+    'try:\n    1 / 0\nfinally:\n    c.execute("SELECT " + v)',
+    'def queries(*names, **more):\n    for n in names:\n        yield "SELECT " + n\nfirst, *rest = queries("1", v, v)\nc.execute(first)\nfor q in rest:\n    c.execute(q)',
+    'c.execute("CREATE TABLE TBL (COL)")\nc.execute("INSERT INTO TBL VALUES (?)", (v,))\nif c.execute("SELECT count(*) FROM TBL").fetchone()[0]:\n    c.execute("SELECT " + v)',
+    'c.execute(f"SELECT {1} %s" % v)\nc.execute("SELECT \'%s\'" % v)',
+    'def deep(n):\n    global found\n    found = v if n == 0 else deep(n - 1)\n    return found\nc.execute("SELECT " + deep(5))\nfor x in range(10 ** 12):\n    pass',
+))
+# Queries that are put together over several statements.
+BUILDS = (
+    'def FIND(cur, a, b):\n    sql = "SELECT * FROM TBL WHERE COL = " + a\n    if b:\n        sql += " AND state = \'" + b + "\'"\n    cur.execute(sql)\n    return cur.fetchall()',
+    'def FIND(cur, a):\n    if a:\n        q = f"SELECT * FROM TBL WHERE COL = {a}"\n    else:\n        q = "SELECT * FROM TBL"\n    cur.execute(q)\n    return cur.fetchall()',
+    'import pymysql\n\ndef FIND(cur, items):\n    q = "SELECT * FROM TBL WHERE 1 = 0"\n    for item in items:\n        q += " OR COL = %s" % item\n    cur.execute(q)',
+    'def show(v):\n    sql = "COL " + v\n    return sql\n\ndef FIND(cur, sql):\n    cur.execute(sql)',
+    'BASE = "SELECT * FROM TBL"\n\ndef FIND(cur, a):\n    cur.execute(BASE + f" WHERE COL LIKE \'%{a}%\'")',
+    'def FIND(cur, a):\n    q = "SELECT * FROM TBL WHERE COL = " + a\n    a = None\n    cur.execute(q)',
+    'def FIND(cur, a):\n    cur.execute("SELECT * FROM " + a)',
+    'def FIND(cur, a):\n    try:\n        q = "SELECT COL FROM TBL WHERE COL = " + a\n    except TypeError:\n        q = "SELECT COL FROM TBL"\n    while a:\n        cur.execute(q)\n        q += " OR COL = " + a',
+    'def FIND(cur, a):\n    q = make(a)\n    q += " WHERE COL = " + a\n    cur.execute(q)',
+)
+BUILD_KIND = f"o_orderkey % {len(BUILDS)}"
+FLOW_KIND = f"o_orderkey % {len(FLOWS)}"
 NAMES = {"TBL": ("users", "orders", "products", "accounts", "sessions", "payments", "reviews", "tickets", "inventory"), "COL": ("name", "email", "status", "username", "token", "city", "price")}
 KIND = f"o_orderkey % {len(SNIPPETS)}"
 
@@ -56,10 +91,10 @@ def _literal(text: str, engine: str) -> str:
     return f"E{quoted}" if engine == "duckdb" else quoted
 
 
-def by_kind(texts: dict[int, str | None], engine: str = "duckdb") -> str:
+def by_kind(texts: dict[int, str | None], engine: str = "duckdb", kind: str = KIND) -> str:
     """SQL over orders: the text of the row's kind with the row's names in it, null where the kind has none."""
     some = {i: t for i, t in texts.items() if t is not None}
-    return named(f"CASE {KIND} {' '.join(f'WHEN {i} THEN {_literal(t, engine)}' for i, t in some.items())} END", engine)
+    return named(f"CASE {kind} {' '.join(f'WHEN {i} THEN {_literal(t, engine)}' for i, t in some.items())} END", engine)
 
 
 def named(text: str, engine: str = "duckdb") -> str:
@@ -74,9 +109,17 @@ def code_samples(engine: str) -> str:
     return f"SELECT o_orderkey, o_custkey, {KIND} AS kind, {by_kind(dict(enumerate(SNIPPETS)), engine)} AS code FROM orders"
 
 
+def flow_samples(engine: str) -> str:
+    return f"SELECT o_orderkey, o_custkey, {FLOW_KIND} AS kind, {by_kind(dict(enumerate(FLOWS)), engine, FLOW_KIND)} AS code FROM orders"
+
+
+def build_samples(engine: str) -> str:
+    return f"SELECT o_orderkey, o_custkey, {BUILD_KIND} AS kind, {by_kind(dict(enumerate(BUILDS)), engine, BUILD_KIND)} AS code FROM orders"
+
+
 TRAINLOG = """
 SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, value AS val_loss,
-  CASE WHEN event_type = 'click' THEN value * 0.4 END AS train_loss
+  CASE WHEN event_type = 'click' THEN value * 0.4 END AS train_loss, ts
 FROM events
 """
 
@@ -87,7 +130,7 @@ WHERE u.role = 'user' AND a.role = 'assistant'
 """
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-_NAMES = {"verdicts": ("lineitem", VERDICTS), "trainlog": ("events", TRAINLOG), "chat": ("conversations", CHAT), "code_samples": ("orders", code_samples("spark"))}
+_NAMES = {"verdicts": ("lineitem", VERDICTS), "trainlog": ("events", TRAINLOG), "chat": ("conversations", CHAT), "code_samples": ("orders", code_samples("spark")), "flow_samples": ("orders", flow_samples("spark")), "build_samples": ("orders", build_samples("spark"))}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,7 +147,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str) -> str:
     """DuckDB SQL with the views that it names in front."""
-    parts = {"verdicts": VERDICTS, "trainlog": TRAINLOG, "chat": CHAT, "code_samples": code_samples("duckdb")}
+    parts = {"verdicts": VERDICTS, "trainlog": TRAINLOG, "chat": CHAT, "code_samples": code_samples("duckdb"), "flow_samples": flow_samples("duckdb"), "build_samples": build_samples("duckdb")}
     used = [f"{n} AS ({t})" for n, t in parts.items() if n in sql]
     head = ", ".join(used)
     body = sql.strip()

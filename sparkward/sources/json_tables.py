@@ -2,40 +2,86 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkward.scratch import written
 from sparkward.sources.contracts import ContractError
 
 BOM = "﻿"
 
 
-def load_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, value): every record of a JSON array or JSON-lines file as a variant. Blank lines are skipped.
+def numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """(ord, path, line): the lines of text files that are not blank, numbered from 0 in the order of files and lines.
 
-    A missing or empty file raises; a line that is no JSON has a null value (see bad_rows). The array form is one
-    document, read by one task; large tables come as lines.
+    The number is a distributed prefix sum. A file is read in blocks; what each block holds is counted where it is read,
+    the counts (a row for each block) are summed in the order of paths and places, and a line's number is its place in its
+    block plus that sum. The sums are a small table, so lines are not shuffled. Files stand in the order of their names, the paths in the order given.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    cleaned = lines.withColumn("line", F.regexp_replace("line", f"^{BOM}", "")).where(F.trim("line") != "")
-    head = cleaned.orderBy("at").limit(1).collect()
+    lines = _read(spark, paths, "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.select("nth", "path", "block", F.regexp_replace("value", f"^{BOM}", "").alias("line")).where(F.trim("line") != "")
+    rows = lines.withColumn("at", F.monotonically_increasing_id())  # rises by one within a block
+    blocks = rows.groupBy("nth", "path", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    sums = F.sum("n").over(Window.orderBy("nth", "path", "block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = written(spark, blocks.select("nth", "path", "block", "first", F.coalesce(sums, F.lit(0)).alias("before")), "offsets")
+    return rows.join(offsets, ["nth", "path", "block"]).select((F.col("before") + F.col("at") - F.col("first")).alias("ord"), "path", "line")
+
+
+def _read(spark: SparkSession, paths: tuple[str, ...], *columns, **options) -> DataFrame:
+    """Text files with the place of their path among the paths."""
+    return functools.reduce(DataFrame.unionByName, (spark.read.text(p, **options).select(F.lit(i).alias("nth"), *columns) for i, p in enumerate(paths)))
+
+
+def load_rows(spark: SparkSession, *paths: str) -> DataFrame:
+    """(ord, value): every record of JSON arrays or JSON-lines files as a variant, numbered through all of them.
+
+    Blank lines are skipped. Without any line it raises; a line that is no JSON has a null value (see bad_rows). An array
+    whose elements stand on lines of their own, as write_array lays it out, is read in blocks like lines; any other array
+    is one document, read by one task.
+    """
+    rows = numbered_lines(spark, *paths)
+    head = rows.where("ord = 0").select("line").collect()
     if not head:
-        raise ContractError(f"{path}: no records")
-    if head[0]["line"].lstrip().startswith("["):
-        whole = spark.read.text(path, wholetext=True).select(F.try_parse_json(F.regexp_replace("value", f"^{BOM}", "")).alias("v"))
-        if whole.where("v is null").head(1):
-            raise ContractError(f"{path}: not a JSON array")
-        whole.createOrReplaceTempView("__sparkward_array")
-        return spark.sql("SELECT CAST(pos AS BIGINT) AS ord, value FROM __sparkward_array, LATERAL variant_explode(v)")
-    return cleaned.select(F.col("at").alias("ord"), F.try_parse_json("line").alias("value"))
+        raise ContractError(f"{', '.join(paths)}: no records")
+    if not head[0]["line"].lstrip().startswith("["):
+        return rows.select("ord", F.try_parse_json("line").alias("value"))
+    elements = _array_lines(rows)
+    if elements is not None:
+        return elements
+    whole = _read(spark, paths, F.col("_metadata.file_path").alias("path"), F.try_variant_get(F.try_parse_json(F.regexp_replace("value", f"^{BOM}", "")), "$", "array<variant>").alias("v"), wholetext=True)
+    if whole.where("v is null").head(1):
+        raise ContractError(f"{', '.join(paths)}: not a JSON array")
+    sums = F.sum("n").over(Window.orderBy("nth", "path").rowsBetween(Window.unboundedPreceding, -1))
+    before = whole.select("nth", "path", F.size("v").cast("long").alias("n")).select("nth", "path", F.coalesce(sums, F.lit(0)).alias("before"))
+    elements = whole.select("nth", "path", F.posexplode("v").alias("pos", "value"))
+    return elements.join(before, ["nth", "path"]).select((F.col("before") + F.col("pos")).alias("ord"), "value")
+
+
+def _array_lines(rows: DataFrame) -> DataFrame | None:
+    """(ord, value) of an array whose brackets and elements stand on lines of their own; None for any other text.
+
+    Commas stand at the beginning of all elements but the first, or at the end of all but the last.
+    """
+    text = F.trim("line")
+    told = rows.select("ord", "line", F.startswith(text, F.lit(",")).alias("leads"), F.endswith(text, F.lit(",")).alias("trails"), F.try_parse_json(F.regexp_replace(text, r"^,|,$", "")).alias("value"))
+    inner = ~text.isin("[", "]")
+    got = told.agg(
+        F.count_if(inner).alias("n"), F.count_if(inner & F.col("value").isNull()).alias("broken"), F.count_if("leads").alias("leads"), F.count_if("trails").alias("trails"), F.count_if(F.col("leads") & F.col("trails")).alias("both"),
+        F.count_if(text == "[").alias("opens"), F.count_if(text == "]").alias("closes"), F.min_by(text, "ord").alias("first"), F.max_by(text, "ord").alias("last"), F.count_if((F.col("ord") == 1) & F.col("leads")).alias("early"), F.max_by("trails", F.when(inner, F.col("ord"))).alias("late"),
+    ).first()
+    commas = got["leads"] + got["trails"] == max(0, got["n"] - 1) and not (got["leads"] and got["trails"]) and not got["early"] and not got["late"]
+    if (got["first"], got["last"], got["opens"], got["closes"], got["broken"], got["both"]) != ("[", "]", 1, 1, 0, 0) or not commas:
+        return None
+    return told.where(inner).select((F.col("ord") - 1).alias("ord"), "value")
 
 
 def load_array(spark: SparkSession, path: str) -> DataFrame:
     """As load_rows, but the file must hold an array."""
-    first = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim(F.regexp_replace("value", f"^{BOM}", "")), 1, 1)).head(1)
+    first = numbered_lines(spark, path).where("ord = 0").select(F.substring(F.ltrim("line"), 1, 1)).head(1)
     if not first or first[0][0] != "[":
         raise ContractError(f"{path}: the top level must be an array")
     return load_rows(spark, path)

@@ -21,9 +21,18 @@ def write_lines(rows: DataFrame, path: str) -> None:
 
 
 def write_array(rows: DataFrame, path: str, order: str) -> None:
-    """One text file that holds a JSON array. For small tables: the array is one value."""
-    items = rows.select(F.struct(F.col(order).alias("o"), F.to_json(F.struct("*")).alias("j")).alias("s")).agg(F.array_sort(F.collect_list("s")).alias("all"))
-    items.select(F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["j"]), ",\n"), F.lit("]"))).write.mode("overwrite").text(path)
+    """A folder of text files that are a JSON array when they are joined in the order of their names.
+
+    Rows are sorted over all tasks and each stands on a line of its own, so no task or value holds the table; every line but the
+    first begins with a comma. order names each row once.
+    """
+    least, n = rows.agg(F.min(order), F.count(order)).first()
+    if least is not None and rows.where(F.col(order) == F.lit(least)).count() > 1 or n != rows.count():
+        raise contracts.ContractError(f"{order} must name each row once")
+    line = F.concat(F.when(F.col(order) == F.lit(least), "").otherwise(","), F.to_json(F.struct(*rows.columns)))
+    items = rows.select(F.lit(1).alias("part"), F.col(order).alias("o"), line.alias("value"))
+    ends = rows.sparkSession.createDataFrame([(0, "["), (2, "]")], "part int, value string").select("part", F.lit(None).cast(items.schema["o"].dataType).alias("o"), "value")
+    items.unionByName(ends).orderBy("part", "o").select("value").write.mode("overwrite").text(path)
 
 
 def write_checked(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:

@@ -1,3 +1,8 @@
+import json
+import subprocess
+import sys
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,20 +70,54 @@ def test_first_and_last_fence():
 @given(st.text(max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_no_text_breaks_the_functions(text):
-    pyast.extract(text), pyast.code_only(text), taint.analyse(text), rewrites.unsafe_variant(text, "fstring"), rewrites.safe_fix(text), pyast.locate(text), pyast.undefined_names(text)
-
-
-def test_taint():
-    head = "import sqlite3\nc = sqlite3.connect(':memory:')\n"
-    assert taint.analyse(head + "v = taint_input('x')\nc.execute(f'SELECT {v}')")[:2] == (True, 1)
-    assert taint.analyse(head + "c.execute('SELECT ? AS x', ('ok',))") == (False, 0, [], None)
-    assert taint.analyse(head + "v = input()\nc.cursor().execute('a' + v)")[2][0]["sink"] == "sqlite3.Cursor.execute"
-    assert taint.analyse(head + "def f(v):\n    c.execute('a' + v)\n")[1] == 0  # never called
-    assert taint.analyse(head + "def f(v):\n    c.execute('a' + v)\nf(taint_input('q'))")[1] == 1
-    assert taint.analyse(head + "v = taint_input('x')\nc.execute('%s' % v)")[1] == 0  # a plain literal's % is plain
-    assert taint.analyse("import os")[3] and taint.analyse("x = (")[3]
-    assert taint.analyse("while True:\n    pass")[3] == "unsupported"
-    assert taint.analyse(head + "for x in [1, 2]:\n    c.execute('a' + input())")[1] == 2
+    pyast.extract(text), pyast.code_only(text), taint.analyse(text), rewrites.unsafe_variant(text, "fstring"), rewrites.safe_fix(text), rewrites.aligned_variant(text, "fstring", "t", "c"), pyast.locate(text), pyast.undefined_names(text)
+
+
+HEAD = "import sqlite3\nc = sqlite3.connect(':memory:')\nv = taint_input('x')\n"
+
+
+@pytest.mark.parametrize(("code", "flows", "error"), [
+    ("c.execute(f'SELECT {v}')", 1, None), ("c.execute('SELECT ? AS x', ('ok',))", 0, None), ("c.cursor().execute('a' + input())", 1, None),
+    ("def f(v):\n    c.execute('a' + v)\n", 0, None), ("def f(v):\n    c.execute('a' + v)\nf(taint_input('q'))", 1, None),
+    ("c.execute('SELECT \\'%s\\'' % v)", 0, None), ("c.execute(f'a{1}%s' % v)", 1, None), ("c.execute((v + '{}').format(1))", 1, None), ("c.execute('\\'{}\\''.format(v))", 0, "OperationalError: near \"'x'\": syntax error"),
+    ("import os", 0, "ImportError: module 'os' is not allowed in taint sandbox"), ("x = (", 0, "transform_syntax_error: '(' was never closed (<unknown>, line 4)"),
+    ("while True:\n    pass", 0, "limit"), ("for x in [1, 2]:\n    c.execute('a' + input())", 2, None), ("c.execute(v)\nundefined", 1, "NameError: name 'undefined' is not defined"),
+    ("def f(a, b): pass\nf(1)", 0, "TypeError: f() missing 1 required positional argument: 'b'"), ("if __name__ == '__main__':\n    c.execute(v)", 0, "NameError: name '__name__' is not defined"),
+    ("return 1", 0, "SyntaxError: 'return' outside function (<taint_sandbox>, line 4)"), ("with c:\n    pass", 0, "TypeError: '_ConnWrapper' object does not support the context manager protocol"),
+    ("[x for x in {'a': v}.values() if c.execute(x) is None]", 1, None), ("def f():\n    n = 0\n    def g():\n        nonlocal n\n        n += 1\n        return n\n    return g\ng = f()\ng()\nc.execute('a' * g() + v)", 1, None),
+    ("try:\n    raise ValueError('x')\nexcept (KeyError, ValueError) as e:\n    c.execute(f'{e}{v}')\nelse:\n    c.execute(v)\nfinally:\n    c.execute(v)", 2, None),
+    ("ok = [x for x in sorted(['b', v], key=lambda s: s) if hasattr(x, 'tainted')]\nc.execute(ok[0])", 1, None), ("def f(): yield v\nc.execute(next(f()))", 1, None), ("c.execute(str(v) + f'{v:>3}')", 1, None),
+])
+def test_taint(code, flows, error):
+    vulnerable, n, details, told = taint.analyse(HEAD + code)
+    assert (n, told, vulnerable, len(details)) == (flows, error, flows > 0, flows)
+
+
+GREEDY = [
+    "for i in range(10 ** 25):\n    pass", "x = list(range(10 ** 10))", "x = 'a'\nfor i in range(40):\n    x = x + x", "x = [1]\nfor i in range(90):\n    x = [x, x]\nstr(x)", "x = 'a' * 10 ** 9", "x = 9 ** 9 ** 9", "x = 1 << 10 ** 9",
+    "x = f'{1:1000000000}'", "x = '%1000000000d' % 1", "x = '%*d' % (10 ** 9, 1)", "x = '{:>{}}'.format('a', 10 ** 9)", "x = 'a'.ljust(10 ** 9)", "x = ('a' * 99999).replace('a', 'b' * 99999)", "x = ('a' * 9999).join(['b'] * 99999)",
+    "next(filter(None, iter(int, 1)))", "1 in iter(int, 1)", "sum(map(int, iter(lambda: '1', 2)))", "x = []\nx += iter(int, 1)", "[].extend(iter(int, 1))", "a, *b = iter(int, 1)", "def f(): return f()\nf()", "x = []\nwhile 1:\n    x.append(x)",
+    "q = 'WITH RECURSIVE c(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM c) '\nc.execute(q + 'SELECT zeroblob(8000) FROM c').fetchall()", "q = 'WITH RECURSIVE c(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM c) '\nc.execute(q + 'SELECT sum(x) FROM c')",
+    "c.execute('SELECT zeroblob(1000000000)').fetchall()", "x = max(range(10 ** 12))", "x = {i: 'a' * 99999 for i in range(10 ** 6)}", "x = " + "(" * 150 + ")" * 150 + "[0]", "x = " + "-" * 50_000 + "1", "c.execute(\"ATTACH '/tmp/other.db' AS o\")",
+    "open('/tmp/x', 'w')", "__import__('os').system('true')", "''.__class__.__mro__", "'{0.__class__}'.format(c)", "type('A', (), {})", "getattr('', '__class__')", "c.enable_load_extension(True)",
+]
+
+
+def test_no_code_takes_much():
+    """Greedy texts, one after the other, in a process that may grow by 50 MB only; each ends with an error."""
+    program = """
+import resource, sys, json
+from sparkward.functions import taint
+taint.analyse("import sqlite3; c = sqlite3.connect('x'); x = [i for i in range(9)]")
+size = int(open('/proc/self/statm').read().split()[0]) * resource.getpagesize()
+resource.setrlimit(resource.RLIMIT_AS, (size + 50 * 2**20,) * 2)
+print(json.dumps([taint.analyse(c)[3] for c in json.loads(sys.stdin.read())]))
+"""
+    began = time.time()
+    done = subprocess.run([sys.executable, "-c", program], input=json.dumps([HEAD + g for g in GREEDY]), capture_output=True, text=True, timeout=120, check=True)
+    told = json.loads(done.stdout)
+    assert all(told), [g for g, t in zip(GREEDY, told, strict=True) if not t]
+    assert time.time() - began < 60
 
 
 PROGRAM = 'import sqlite3\n\ndef find(conn, value):\n    sql = "SELECT * FROM t WHERE a = ?"\n    return conn.execute(sql, (value,)).fetchall()\n'
@@ -105,6 +144,28 @@ def test_variants_differ_and_follow_indirect_sql():
     assert rewrites.safe_fix('q = "SELECT a FROM t WHERE b = " + v\ncur.execute(q)') == "q = 'SELECT a FROM t WHERE b = ?'\ncur.execute(q, (v,))"
 
 
+@pytest.mark.parametrize(("code", "fixed"), [
+    ('sql = "SELECT * FROM t WHERE a = " + a\nif b:\n    sql += " AND b = " + b\ncur.execute(sql)', "sql = 'SELECT * FROM t WHERE a = ?'\nparams = [a]\nif b:\n    sql += ' AND b = ?'\n    params += [b]\ncur.execute(sql, params)"),
+    ('sql = "SELECT 1"\nif a:\n    sql = "SELECT b FROM t WHERE a = " + a\n    cur.execute(sql)\nelse:\n    cur.execute(sql)', "sql = 'SELECT 1'\nif a:\n    sql = 'SELECT b FROM t WHERE a = ?'\n    cur.execute(sql, (a,))\nelse:\n    cur.execute(sql)"),
+    ("params = 1\nq = 'SELECT a FROM t'\nfor x in y:\n    if x:\n        break\n    q += ' OR a = ' + x\ncur.execute(q)", "params = 1\nq = 'SELECT a FROM t'\nparams_1 = []\nfor x in y:\n    if x:\n        break\n    q += ' OR a = ?'\n    params_1 += [x]\ncur.execute(q, params_1)"),
+    ("def f(sql):\n    cur.execute(sql)\ndef g(v):\n    sql = 'a' + v", None), ("for sql in queries:\n    cur.execute(sql)", None), ("q = 'SELECT ' + v\nq = other()\ncur.execute(q)", None),
+    ('cur.execute("SELECT * FROM " + t)', None), ('cur.execute("SELECT a FROM t WHERE b = \'" + v)', None), ('cur.execute("SELECT a FROM t WHERE b = \'x" + v + "y\' AND c = \'%s\'" % w)', "cur.execute('SELECT a FROM t WHERE b = ? AND c = ?', (f'x{v}y', w))"),
+    ('import pymysql\ncur.execute(f"SELECT a FROM t WHERE b LIKE \'{v}%\' AND c = \'5%\'")', "import pymysql\ncur.execute(\"SELECT a FROM t WHERE b LIKE %s AND c = '5%%'\", (f'{v}%',))"),
+    ("cur.execute(f'SELECT a FROM t WHERE b = {v:>5}')", "cur.execute('SELECT a FROM t WHERE b = ?', (f'{v:>5}',))"), ("def f(a):\n    return 'x'\n    cur.execute('SELECT a FROM t WHERE b = ' + a)", None),
+])
+def test_fixes_follow_definitions(code, fixed):
+    assert rewrites.safe_fix(code) == fixed
+
+
+def test_aligned_variants():
+    chosen = "import pymysql\n\ndef other(a, b):\n    return a\n\ndef find(conn, uid: int):\n    return conn.table('t').where(uid)\n"
+    assert rewrites.aligned_variant(chosen.replace("other(a, b)", "other(conn)"), "fstring", "users", "id").endswith("def find(conn, uid: int):\n    return conn.execute(f'SELECT * FROM users WHERE id = {uid}').fetchall()")
+    for attack in ATTACKS:
+        assert pyast.isomorphic(PROGRAM.replace("execute", "run"), rewrites.aligned_variant(PROGRAM.replace("execute", "run"), attack, "t", "c"))[1] in ("ok", "names missing: sql")
+    for text in ("x = 1", "def f(cur): pass", "def f(a, b): pass", "def f(", None):
+        assert rewrites.aligned_variant(text, "fstring", "t", "c") is None
+
+
 @given(st.text(alphabet="ab", max_size=12), st.integers(0, 3))
 def test_pieces(piece, doublings):
     got = pyast.smallest_piece(piece * 2**doublings)

@@ -1,3 +1,4 @@
+import functools
 import json
 
 import pytest
@@ -77,18 +78,55 @@ def test_early_stop_batch_and_stream_agree(spark, tmp_path):
     log = spark.createDataFrame(rows, "run_id long, step long, val_loss double")
     got = {r["run_id"]: (r["best_loss"], r["best_step"], r["stopped_at"]) for r in trainlog.early_stop(log).collect()}
     assert got == {r: fold_by_hand(xs, 5, 1e-4) for r, xs in runs.items()}
-    log.repartition(3).write.parquet(str(tmp_path / "log"))
-    stream = early_stop.early_stop_stream(spark.readStream.schema(log.schema).parquet(str(tmp_path / "log")))
-    query = stream.writeStream.format("memory").queryName("stops").option("checkpointLocation", str(tmp_path / "ck")).start()
-    query.processAllAvailable()
-    query.stop()
-    stops = {r["run_id"]: r["step"] for r in spark.sql("select * from stops where stopped").collect()}
-    assert stops == {r: v[2] for r, v in got.items() if v[2]}
+
+
+def pieces(spark, tmp_path, log, cuts):
+    """Write the rows of a log in pieces, one after the other, and give their folder."""
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        log.where(f"step > {low} and step <= {high}").repartition(2, "run_id").write.mode("append").parquet(str(tmp_path / "log"))
+        yield str(tmp_path / "log")
+
+
+def timed(spark, rows, columns):
+    log = spark.createDataFrame(rows, f"run_id long, step long, {columns}")
+    return log.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("step") * 3600))
+
+
+def test_early_stop_stream_goes_on_after_a_restart(spark, tmp_path):
+    runs = {1: [5, 4, 4, 4, 4, 4, 4, 1], 2: [1.0, 0.99995, 0.9999, 0.99985, 0.9, 0.8], 3: [3.0], 4: [2, 2, 2, 2, 2, 2], 5: [None, 2.0, None, 1.0]}
+    log = timed(spark, [(r, i, None if x is None else float(x)) for r, xs in runs.items() for i, x in enumerate(xs, 1)], "val_loss double")
+    for folder in pieces(spark, tmp_path, log, [0, 2, 5, 9]):  # each piece is a query of its own over the same checkpoint
+        rows = early_stop.run_available(spark, folder, log.schema, early_stop.early_stop_stream, str(tmp_path / "out"), str(tmp_path / "ck"))
+    want = sorted(map(tuple, trainlog.early_stop(log).collect()))
+    assert sorted(map(tuple, early_stop.last_states(rows).collect())) == want
+    # the last file again: nothing new is read, nothing changes
+    rows = early_stop.run_available(spark, folder, log.schema, early_stop.early_stop_stream, str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert sorted(map(tuple, early_stop.last_states(rows).collect())) == want
+
+
+def test_idle_runs_are_closed_and_late_rows_dropped(spark, tmp_path):
+    stream = functools.partial(early_stop.early_stop_stream, idle="10 hours", late="2 hours")
+    steps = [[(1, 1, 3.0), (2, 1, 5.0)], [(1, 40, 2.0)], [(1, 41, 1.5), (2, 2, 4.0)], [(1, 60, 1.0)]]
+    for piece in steps:
+        log = timed(spark, piece, "val_loss double")
+        log.coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        rows = early_stop.run_available(spark, str(tmp_path / "log"), log.schema, stream, str(tmp_path / "out"), str(tmp_path / "ck"))
+    told = [tuple(r) for r in rows.where("run_id = 2").collect()]
+    assert sorted(t[-1] for t in told) == [False, True]  # closed; its second row is later than the watermark
+    assert {r["run_id"]: (r["evals"], r["best_loss"]) for r in early_stop.last_states(rows).collect()}[2] == (1, 5.0)
+
+
+def test_collapse_stream_tells_a_run_once(spark, tmp_path):
+    values = {1: [(5.0, 0.0, 10.0), (5.0, -3000.0, 10.0), (1.0, 0.0, 0.0)], 2: [(9.0, 0.0, 9.0)] * 4 + [(None, None, 1.0)], 3: [(9.0, 0.0, 9.0)] * 3, 4: [(1.0, 0.0, 9.0)] * 6}
+    log = timed(spark, [(r, i, *x) for r, xs in values.items() for i, x in enumerate(xs, 1)], "entropy double, logps double, logits double")
+    for folder in pieces(spark, tmp_path, log, [0, 2, 4, 9]):
+        rows = early_stop.run_available(spark, folder, log.schema, early_stop.collapse_stream, str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, trainlog.collapse_guard(log).collect())) == [(1, 2, "logps"), (2, 5, "logits"), (4, 1, "entropy")]
 
 
 def test_late_steps_are_ignored():
-    state, out = early_stop.fold((float("inf"), -1, 0, False, 5), [(4, 1.0), (6, 2.0), (7, None)])
-    assert state[:3] == (2.0, 6, 0) and len(out) == 1
+    state = early_stop.fold((3, 2.5, 1, 0, None, 5), [(4, 1.0), (6, 2.0), (7, None)])
+    assert state == (4, 2.0, 6, 0, None, 6)
 
 
 def test_collapse_and_streaks(spark):
@@ -119,6 +157,50 @@ def test_json_sources(spark, tmp_path):
     assert json_tables.bad_rows(json_tables.load_rows(spark, str(tmp_path / "bad.jsonl"))).count() == 1
 
 
+def test_ordinals_over_files_and_blocks(spark, tmp_path):
+    """Numbers follow files, blocks and lines, whatever the size of a block."""
+    lines = [[json.dumps({"k": f"{f}-{i}", "pad": "x" * (i * 7 % 90)}) for i in range(n)] for f, n in enumerate((40, 0, 1, 300))]
+    (tmp_path / "many").mkdir()
+    for f, part in enumerate(lines):
+        (tmp_path / "many" / f"part-{f}.json").write_text("\n\n".join(part) + "\n" * (f % 2), encoding="utf-8")
+    (tmp_path / "more.jsonl").write_text("\n".join(lines[0]), encoding="utf-8")
+    want = [json.loads(x)["k"] for part in [*lines, lines[0]] for x in part]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1000", "7777", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = json_tables.fields(json_tables.load_rows(spark, str(tmp_path / "many"), str(tmp_path / "more.jsonl")), {"k": "string"}).orderBy("ord").collect()
+            assert [r["ord"] for r in rows] == list(range(len(want))) and [r["k"] for r in rows] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@pytest.mark.parametrize("text", ['[1, 2, 3]', '[\n1\n,2\n,3\n]', '[\n1,\n2,\n3\n]\n', '[\n 1,\n\n 2,\n 3\n]', '[\n1,\n2, 3\n]', ' [1,\n2,\n3]'])
+def test_arrays_by_lines_or_as_a_whole(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    rows = json_tables.load_array(spark, str(tmp_path / "a.json"))
+    assert sorted(rows.select("ord", F.variant_get("value", "$", "int")).collect()) == [(0, 1), (1, 2), (2, 3)]
+
+
+@pytest.mark.parametrize("text", ["[\n1\n2\n]", "[\n,1\n,2\n]", "[\n1,\n2,\n]", "[\n1,\n2", '[\n{"a": \n]'])
+def test_broken_arrays(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(contracts.ContractError):
+        json_tables.load_rows(spark, str(tmp_path / "a.json")).count()
+
+
+def test_arrays_of_many_files(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.json").write_text(json.dumps([10 * i, 10 * i + 1]))
+    rows = json_tables.load_rows(spark, str(tmp_path)).orderBy("ord").select("ord", F.variant_get("value", "$", "int")).collect()
+    assert [tuple(r) for r in rows] == list(enumerate([0, 1, 10, 11, 20, 21]))
+    empty = spark.range(0).select(F.col("id").alias("k"))
+    sinks.write_array(empty, str(tmp_path / "none"), "k")
+    assert json_tables.load_array(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(contracts.ContractError):
+        sinks.write_array(spark.createDataFrame([(1,), (1,), (2,)], "k int"), str(tmp_path / "twice"), "k")
+
+
 def test_legacy_sections_and_overlay(spark):
     rows = spark.createDataFrame([("### Instruction:\nA\n### Input:\nB\n### Response:\nC",), ("plain",)], "prompt string")
     assert [r[1:] for r in json_tables.legacy_sections(rows).collect()] == [("A", "B", "C"), ("plain", "", "")]
