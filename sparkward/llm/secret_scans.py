@@ -1,14 +1,17 @@
 """Secret scans: pattern candidates, and structural confirmation of encoded keys and signed tokens.
 
-The base kinds are plain patterns. The method adds spans only where a candidate decodes: a PEM block or a bare base64 or
-hex run must hold a DER private key whose nested lengths add up (or an OpenSSH key), and a dotted token must have a JSON
-header that names an algorithm, a JSON body and a signature of plausible length.
+The base kinds are plain patterns. The method adds spans only where a candidate decodes: a PEM block (with or without
+headers), a base64 run of one or several lines, or a hex run must hold a DER private key whose nested lengths add up, or an
+OpenSSH key; a PEM block under an encryption header must be whole cipher blocks; base64 that decodes to a PEM block is looked
+into once more; and a dotted token must have a JSON header that names an algorithm, a JSON body and a signature of plausible
+length. Nothing is capped: a run of base64 is decoded as far as the key's own length says.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -29,9 +32,15 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{32,}")  # a run of hex digits that is long enough, whole
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]{1,20000}?)-----END \1-----")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{64,}={0,2}")
-HEX_ANY = re.compile("(?:[0-9a-f]{2}){48,}|(?:[0-9A-F]{2}){48,}")
+BEGIN, END = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----"), re.compile(r"-----END ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*: ?[^\n]*")
+DEK = re.compile(r"(?m)^DEK-Info: ?[A-Z0-9-]+,(?:[0-9A-Fa-f]{2}){8,}\s*$")
+#: A run of base64 that may begin a key, one that may go on with it, and what stands between lines (as such or escaped).
+RUN, MORE, GAP = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}"), re.compile(r"[A-Za-z0-9+/]+={0,2}"), re.compile(r"(?:\\r)?(?:\\n)|\r?\n")
+INDENT = re.compile(r"[\x20\t]*")
+HEX_ANY = re.compile("(?:[0-9a-f]{2}){36,}|(?:[0-9A-F]{2}){36,}")
+#: How a PEM text, a DER sequence and an OpenSSH key begin in base64.
+NESTED, DER, SSH = "LS0tLS1CRUdJTi", "M", "b3BlbnNzaC1rZXktdjE"
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 WORDS = ("passw", "secret", "token", "api")
 OPENSSH = b"openssh-key-v1\x00"
@@ -81,6 +90,88 @@ def is_private_key(data: bytes) -> bool:
     return rsa or dsa or tags[0] == 0x04 or (tags[0] == 0x30 and len(tags) > 1 and tags[1] == 0x04)
 
 
+def _pem_body(text: str) -> bool:
+    """Whether what stands between the lines of a PEM block is a key.
+
+    Headers may come first. Under a DEK-Info header the key is encrypted: whole cipher blocks stand there, and nothing of
+    it can be parsed.
+    """
+    lines = [x.strip() for x in re.sub(r"(?:\\r)?\\n", "\n", text).splitlines()]
+    at = next((i for i, x in enumerate(lines) if x and not HEADER.fullmatch(x)), len(lines))
+    head, body = "\n".join(lines[:at]), "".join(lines[at:])
+    if not body or not re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", body) or (raw := _decoded(body)) is None:
+        return False
+    if DEK.search(head):
+        return len(raw) >= 16 and len(raw) % 8 == 0
+    return is_private_key(raw)
+
+
+def pem_blocks(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whether it is a key) of each BEGIN line with the END line that comes next, if that is of its kind."""
+    if "PRIVATE KEY-----" not in text:
+        return
+    marks = sorted([(m.start(), m.end(), m[1], True) for m in BEGIN.finditer(text)] + [(m.start(), m.end(), m[1], False) for m in END.finditer(text)])
+    for (start, begun, name, first), (ended, end, other, second) in zip(marks, marks[1:], strict=False):
+        if first and not second and name == other:
+            yield start, end, _pem_body(text[begun:ended])
+
+
+def _lines(text: str, first: re.Match, need: int | None = None) -> tuple[str, list[int]]:
+    """The base64 of a run and of the lines that go on with it, and where in the text each character ends.
+
+    Lines go on while they are as long as the first and end in no padding, or until there is what is needed; the last may
+    be shorter.
+    """
+    width, parts, ends, at = first.end() - first.start(), [first[0]], list(range(first.start() + 1, first.end() + 1)), first.end()
+    while parts[-1][-1] != "=" and (need is None or len(ends) < need) and (gap := GAP.match(text, at)) and (more := MORE.match(text, INDENT.match(text, gap.end()).end())) and more.end() - more.start() <= width:
+        parts.append(more[0])
+        ends += range(more.start() + 1, more.end() + 1)
+        at = more.end()
+        if more.end() - more.start() < width:
+            break
+    return "".join(parts), ends
+
+
+def _der_size(data: bytes) -> int:
+    """Bytes of the sequence that data begins with, by its own length; 0 if it begins with none."""
+    if len(data) < 6 or data[0] != 0x30:
+        return 0
+    if data[1] < 0x80:
+        return 2 + data[1]
+    n = data[1] & 0x7F
+    return 2 + n + int.from_bytes(data[2 : 2 + n], "big") if 1 <= n <= 4 else 0
+
+
+def encoded_keys(text: str) -> Iterator[tuple[int, str, int]]:
+    """(start, kind, end) of keys that stand in base64 without a PEM's lines: on one line, wrapped, or a PEM encoded again."""
+    done = 0
+    for run in RUN.finditer(text):
+        head = run[0]
+        if head[0] == DER and "A" <= head[1] <= "P":
+            size = _der_size(_decoded(head[:8]) or b"")
+            need = -(-size * 4 // 3)  # characters without padding
+            if size < 16:
+                continue
+            body, ends = (head, None) if need <= len(head) else _lines(text, run, need)
+            end = need if need <= len(body) else 0
+            while end and end < len(body) and body[end] == "=":
+                end += 1
+            stop = 0 if not end else run.start() + end if ends is None else ends[end - 1]
+            if stop and not re.match(r"[A-Za-z0-9+/=]", text[stop : stop + 1]) and (raw := _decoded(body[:need])) and is_private_key(raw):
+                yield run.start(), "der_key", stop
+        elif head.startswith((SSH, NESTED)) and run.start() >= done:
+            body, ends = _lines(text, run)
+            done = ends[-1]
+            raw = _decoded(body)
+            if raw is None:
+                continue
+            if head.startswith(SSH):
+                if is_private_key(raw):
+                    yield run.start(), "der_key", ends[-1]
+            elif any(good for _, _, good in pem_blocks(raw.decode("latin-1"))):
+                yield run.start(), "pem_key", ends[-1]
+
+
 def _decoded(text: str, url: bool = False) -> bytes | None:
     text = text.rstrip("=")
     try:
@@ -116,19 +207,12 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of candidates whose decoded structure is that of a key or a signed token."""
-    out, taken = [], []
-    if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            body = re.sub(r"\\[nr]|\s", "", m[2])
-            if (raw := _decoded(body)) and is_private_key(raw):
-                out.append((m.start(), "pem_key", m.end()))
-            taken.append((m.start(), m.end()))
-    free = lambda a, b: all(b <= x or a >= y for x, y in taken)
-    for m in BASE64.finditer(text):
-        if m[0][0] in "MLb" and free(m.start(), m.end()) and (raw := _decoded(m[0])) and is_private_key(raw):
-            out.append((m.start(), "der_key", m.end()))
+    blocks = list(pem_blocks(text))
+    out = [(a, "pem_key", b) for a, b, good in blocks if good]
+    within = lambda x: (k := bisect.bisect_right(blocks, (x, len(text) + 1))) and blocks[k - 1][1] > x
+    out += [s for s in encoded_keys(text) if not within(s[0])]
     for m in HEX_ANY.finditer(text):
-        if free(m.start(), m.end()) and m[0][:2] in ("30", "6f", "6F") and is_private_key(bytes.fromhex(m[0])):
+        if m[0][:2] in ("30", "6f", "6F") and not within(m.start()) and is_private_key(bytes.fromhex(m[0])):
             out.append((m.start(), "der_key", m.end()))
     if "eyJ" in text:
         out += [(m.start(), "signed_token", m.end()) for m in TOKEN.finditer(text) if is_signed_token(*m.groups())]
@@ -197,5 +281,6 @@ def redact_column(docs: DataFrame, text_col: str = "text", n_col: str = "n_chars
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents; hard rows as find_secrets() states."""
     base.tune(spark)
     return find_secrets(base.table(spark, sf_dir, "documents"))
