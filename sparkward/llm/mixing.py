@@ -6,13 +6,15 @@ add up to the source's target, those of least relative entropy to one copy each;
 min(cap, exp(lambda * size / mean size)), and lambda solves the convex dual of its source. Newton steps, kept inside a
 bracket, run for all sources together, each step being one aggregation over the distinct (source, size) pairs. Rates
 become copies by a hash of the document and one offset per source, which a histogram search sets so that the words taken
-meet the target up to about one document.
+meet the target up to about one document. Then a source's largest documents choose anew between the floor and the ceiling of
+their rates, all choices of them being compared, so that the words taken come as near to the target as these can.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,7 +25,9 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 WORD = r"[^\x20\x09-\x0D]+"
 #: Newton steps at most, relative residual that ends them, buckets and passes of the offset search.
-STEPS, NEAR, BUCKETS, PASSES = 60, 1e-9, 1024, 4
+STEPS, NEAR, BUCKETS, PASSES = 120, 1e-9, 1024, 4
+#: Documents of a source that are chosen anew at the end.
+LAST = 32
 
 
 def word_count(text: Column) -> Column:
@@ -104,7 +108,8 @@ def solve_dual(spark: SparkSession, pairs: DataFrame, totals: dict[str | None, t
                 del state[s]
             else:
                 state[s] = [step, low, high, scale]
-    out.update((s, (v[0], v[3])) for s, v in state.items())
+    if state:
+        raise RuntimeError(f"the dual of {len(state)} sources did not settle in {STEPS} steps")
     return out
 
 
@@ -113,7 +118,7 @@ def mix(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_co
 
     taken = copies * size and copies lies between 0 and cap, always. A null text has size 0 and takes nothing; a null
     source is a source of its own, the last. Rows that repeat an id and a size get the same copies, and only a row whose
-    id no other row has may be the one that is adjusted by a copy at the end. A table of the sources (one row for each,
+    id no other row has may be adjusted at the end. A table of the sources (one row for each,
     a configured dimension and not a property of documents) is held by the driver and broadcast.
     """
     draw = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("long"), F.lit("mix")), 11) / float(1 << 53)
@@ -130,11 +135,11 @@ def mix(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_co
     rated = narrow.join(plan, narrow["source"].eqNullSafe(plan["source"])).select("doc_id", plan["source"], "size", "target", rate.alias("rate"), "u")
     shifts = _offsets(spark, rated, cap)
     settled = _source_frame(spark, [(s, shifts.get(s, 0.0)) for s in totals], "source string, shift double")
-    swaps = _last_document(spark, rated.join(settled, rated["source"].eqNullSafe(settled["source"])).select(rated["source"], "doc_id", "size", "target", _copies(F.col("rate"), F.col("u"), F.col("shift"), cap).alias("copies")), cap)
-    told = _source_frame(spark, [(s, totals[s], targets[s], *dual[s], shifts.get(s, 0.0), *swaps.get(s, (None, 0))) for s in totals], "__of string, __source_size long, __target double, __lam double, __scale double, __shift double, __swap_id long, __swap int")
+    swaps = _last_documents(spark, rated.join(settled, rated["source"].eqNullSafe(settled["source"])).select(rated["source"], "doc_id", "size", "target", "rate", _copies(F.col("rate"), F.col("u"), F.col("shift"), cap).alias("copies")), cap)
+    told = _source_frame(spark, [(s, totals[s], targets[s], *dual[s], shifts.get(s, 0.0), swaps.get(s, {})) for s in totals], "__of string, __source_size long, __target double, __lam double, __scale double, __shift double, __swaps map<bigint, int>")
     full = (rows if keep else narrow.select("doc_id", F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("u").alias("__u"))).join(told, F.col("__source").eqNullSafe(F.col("__of")))
     copies = _copies(_rate(F.col("__lam"), F.col("__size"), F.col("__scale"), cap), F.col("__u"), F.col("__shift"), cap)
-    copies = copies + F.when(F.col("doc_id") == F.col("__swap_id"), F.col("__swap")).otherwise(0)  # one row: its id is unique
+    copies = copies + F.coalesce(F.try_element_at("__swaps", F.col("doc_id")), F.lit(0))  # a row for each: their ids are unique
     said = {"size": F.col("__size"), "source_size": F.col("__source_size"), "target": F.col("__target"), "taken": copies * F.col("__size"), "copies": copies}
     return full.select("doc_id", *(c.alias(n) for n, c in said.items() if n not in keep), *kept)
 
@@ -145,38 +150,70 @@ def _rate(lam: Column, size: Column, scale: Column, cap: int) -> Column:
     return F.when(lam == math.inf, float(cap)).otherwise(F.least(F.lit(float(cap)), tilted))
 
 
-def _last_document(spark: SparkSession, taken: DataFrame, cap: int) -> dict[str | None, tuple[int, int]]:
-    """For each source the document whose copies change by one to bring the words taken nearest to the target, if any does.
+def best_choice(gap: float, rows: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int]]:
+    """(id, change of copies) of rows (id, size, copies, least, most) whose words come nearest to the gap.
 
-    Documents whose id is repeated anywhere are left out, so the id names one row and its copies stay within 0 and cap.
+    Each row has least or most copies in the end, which are the floor and the ceiling of its rate. All choices of two
+    halves are summed, and for each sum of one half the best partner among the other's is found by search.
+    """
+    start = [min(max(c, lo), hi) for _, _, c, lo, hi in rows]
+    gap -= sum((b - r[2]) * r[1] for b, r in zip(start, rows, strict=True))
+    turn = np.array([(r[3] + r[4] - 2 * b) * r[1] for b, r in zip(start, rows, strict=True)], np.int64)
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(1, np.int64)
+        for v in values:
+            out = np.concatenate((out, out + v))
+        return out
+
+    half = len(turn) // 2
+    left, right = sums(turn[:half]), sums(turn[half:])
+    order = np.argsort(right, kind="stable")
+    at = np.searchsorted(right[order], gap - left)
+    near = np.stack([np.clip(at - 1, 0, len(right) - 1), np.clip(at, 0, len(right) - 1)])
+    far = np.abs(left + right[order][near] - gap)
+    k, i = np.unravel_index(int(far.argmin()), far.shape)
+    mask = int(i) | int(order[near[k, i]]) << half
+    final = [lo + hi - b if mask >> j & 1 else b for j, (b, (_, _, _, lo, hi)) in enumerate(zip(start, rows, strict=True))]
+    return [(r[0], f - r[2]) for f, r in zip(final, rows, strict=True) if f != r[2]]
+
+
+def _last_documents(spark: SparkSession, taken: DataFrame, cap: int) -> dict[str | None, dict[int, int]]:
+    """For each source the changes of copies, by document, that bring the words taken nearest to the target.
+
+    The LAST largest documents whose rate is no whole number are chosen anew between floor and ceiling. Documents whose id
+    is repeated anywhere are left out, so an id names one row. A source has LAST rows here at most, however many it has.
     """
     sums = taken.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("w"), F.max("target").alias("target")).collect()
-    gaps = _source_frame(spark, [(r["source"], r["target"] - r["w"]) for r in sums], "source string, gap double")
-    may = F.when(F.col("gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
-    left = F.abs(F.abs("gap") - F.col("size"))
+    gaps = {r["source"]: r["target"] - r["w"] for r in sums}
+    open_ = _source_frame(spark, [(s,) for s, g in gaps.items() if abs(g) >= 1], "source string")
     repeated = taken.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 and doc_id is not null").select("doc_id")
-    near = taken.join(gaps, taken["source"].eqNullSafe(gaps["source"])).where(may & (left < F.abs("gap")) & F.col("doc_id").isNotNull())
-    near = near.join(base.written(spark, repeated, "repeated-ids")[0], "doc_id", "left_anti")
-    best = near.groupBy(taken["source"]).agg(F.min(F.struct(left.alias("left"), "doc_id")).alias("best"), F.first(F.signum("gap")).alias("sign")).collect()
-    return {r["source"]: (r["best"]["doc_id"], int(r["sign"])) for r in best}
+    low, high = F.floor("rate").cast("int"), F.least(F.lit(cap), F.ceil("rate")).cast("int")
+    near = taken.join(open_, taken["source"].eqNullSafe(open_["source"])).select(taken["source"], "doc_id", "size", F.col("copies").cast("int").alias("copies"), low.alias("lo"), high.alias("hi"))
+    near = near.where("doc_id is not null and size > 0 and lo < hi").join(base.written(spark, repeated, "repeated-ids")[0], "doc_id", "left_anti")
+    first = near.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("size"), "doc_id"))).where(F.col("r") <= LAST)
+    found = first.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("r", "doc_id", "size", "copies", "lo", "hi"))).alias("rows")).collect()
+    return {r["source"]: dict(best_choice(gaps[r["source"]], [tuple(x)[1:] for x in r["rows"]])) for r in found}
 
 
-def _copies(rate, u, shift, cap: int):
-    return F.greatest(F.lit(0), F.least(F.lit(cap), F.floor(rate + u + shift))).cast("long")
+def _copies(rate: Column, u: Column, shift: Column, cap: int) -> Column:
+    """The floor or the ceiling of the rate: the ceiling where the fraction, the draw and the offset reach one."""
+    return F.least(F.lit(cap), F.greatest(F.floor(rate), F.least(F.ceil(rate), F.floor(rate + u + shift)))).cast("long")
 
 
 def _offsets(spark: SparkSession, rated: DataFrame, cap: int) -> dict[str | None, float]:
     """For each source the offset in [-1, 1] at which floor(rate + u + offset) copies take the words nearest to its target.
 
-    Words taken are a step function of the offset that rises by a document's size where its copies rise. Each pass adds
+    Words taken are a step function of the offset that rises by a document's size where its copies do: from floors at -1 to
+    ceilings at 1. Each pass adds
     up, for each source and bucket of the current bracket, the words that rise there; it then keeps the bucket in which
     the target is passed. A source has at most BUCKETS rows in a pass, whatever its number of documents.
     """
     base_words = F.sum((_copies(F.col("rate"), F.col("u"), F.lit(-1.0), cap) * F.col("size")).cast("decimal(38,0)"))
     start = rated.groupBy("source").agg(base_words.alias("w"), F.max("target").alias("target")).collect()
     state = {r["source"]: (-1.0, 1.0, float(r["w"]), r["target"]) for r in start}
-    # a document's copies rise at offsets k - rate - u, for the copies k that lie in reach
-    steps = F.transform(F.sequence(F.lit(1), F.lit(cap)), lambda k: k - F.col("rate") - F.col("u"))
+    # a document's copies rise once, at the offset that brings it to the ceiling of its rate; whole rates do not rise
+    steps = F.when(F.ceil("rate") > F.floor("rate"), F.array(F.ceil("rate") - F.col("rate") - F.col("u"))).otherwise(F.array().cast("array<double>"))
     for _ in range(PASSES):
         now = _source_frame(spark, [(s, v[0], v[1]) for s, v in state.items()], "source string, low double, high double")
         near = rated.join(now, rated["source"].eqNullSafe(now["source"])).select(rated["source"], "size", "low", "high", F.explode(F.filter(steps, lambda x: (x > F.col("low")) & (x <= F.col("high")))).alias("at"))
@@ -205,5 +242,6 @@ def _offsets(spark: SparkSession, rated: DataFrame, cap: int) -> dict[str | None
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; hard rows as mix() states."""
     base.tune(spark)
     return mix(spark, base.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")

@@ -538,6 +538,43 @@ def test_stages_on_hard_rows(spark, hard, empty):
         assert len(ids) == len(set(ids)) and (0 < len(ids) < hard.count() if rows is hard else not ids)
 
 
+def test_best_choice_by_all_choices():
+    rng = random.Random(6)
+    for _ in range(60):
+        rows = [(i, rng.choice([1, 3, 40, 700, 1885]), c := rng.randint(0, 3), lo := rng.randint(0, 2), lo + 1) for i in range(rng.randint(0, 9))]
+        gap = rng.uniform(-2500, 2500)
+        ends = {0}
+        for _, size, c, lo, hi in rows:
+            ends = {e + size * (x - c) for e in ends for x in (lo, hi)}
+        told = dict(mixing.best_choice(gap, rows))
+        assert all(lo <= c + told.get(i, 0) <= hi for i, _, c, lo, hi in rows)
+        assert abs(sum(told.get(i, 0) * size for i, size, *_ in rows) - gap) == min(abs(e - gap) for e in ends)
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_small_sources_come_near_their_targets(spark, scale):
+    """Within half a hundredth of the target, or as near as any choice of floors and ceilings of the same rates comes."""
+    docs = base.table(spark, f"/root/testdata/{scale}", "documents")
+    got = mixing.mix(spark, docs, keep=("source",)).toPandas()
+    sizes = docs.select(F.col("source"), mixing.word_count(F.col("text")).alias("size")).groupBy("source", "size").agg(F.count("*").alias("n"))
+    totals = mixing.source_totals(sizes)
+    dual = mixing.solve_dual(spark, sizes, totals, mixing.source_targets({s: w for s, (w, _) in totals.items()}))
+    for source, part in got.groupby("source"):
+        target, taken = part.target.iloc[0], int(part.taken.sum())
+        if abs(taken / target - 1) > 0.005:
+            lam, scale_ = dual[source]
+            ends = np.zeros(3 * int(part["size"].sum()) + 1, bool)
+            ends[0] = True
+            for n in part["size"]:
+                rate = min(3.0, float(np.exp(min(lam * n / scale_, np.log(3.0)))))
+                new = np.zeros_like(ends)
+                for c in {int(np.floor(rate)), int(np.ceil(rate))}:
+                    new[c * n :] |= ends[: len(ends) - c * n]
+                ends = new
+            assert abs(taken - target) <= np.abs(np.flatnonzero(ends) - target).min() + 1e-6, source
+    assert (got.taken <= 3 * got["size"]).all()
+
+
 def test_mixture_of_repeated_ids(spark):
     for seed in range(4):
         rng = random.Random(seed)
