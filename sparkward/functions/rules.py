@@ -60,6 +60,7 @@ def target_is_safe(code: Column) -> Column:
     return F.size(rule_hits(code, TARGET_RULES, heuristic=False)) == 0
 
 
+# Fixed values.
 #: Merge modes of the detectors; weights of b608, any issue, rules and taint, and the bound, of the weighted mode.
 MODES = ("or", "or_bandit_any", "weighted")
 WEIGHTS = {"b608": 0.95, "any_issue": 0.35, "rules": 0.85, "taint": 0.9}

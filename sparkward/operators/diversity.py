@@ -2,18 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkward.functions import text as T
 from sparkward.operators.metrics import ratio
+from sparkward.scratch import written
+
+
+#: Texts that the sketch of frequent ones follows, and spare ones among those it names.
+TRACKED, SPARE = 10_000, 32
+
+
+def top_texts(rows: DataFrame, text: Column, order: Column, k: int) -> DataFrame:
+    """(t, n, first): the k most frequent texts; ties go to the text whose order is least. Exact.
+
+    A mergeable sketch of frequent hashes names candidates: tasks shuffle a sketch of bounded size, and no text. The
+    candidates are then counted exactly. A text that the sketch does not name has at most as many rows as the last hash that
+    it names, or as its error allows; where the k-th count is above both, the candidates hold the answer. Otherwise (a
+    table without frequent texts) all texts are counted, by digest.
+    """
+    named = rows.select(text.alias("t"), order.alias("o")).withColumn("h", F.xxhash64("t"))
+    got = named.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h, {k + SPARE}, {TRACKED})").alias("top")).first()
+    top = got["top"] or []
+    hashes = [x["item"] for x in top]
+    unseen = max(top[-1]["count"] if len(top) == k + SPARE else 0, 3.5 * got["n"] / TRACKED if len(top) == k + SPARE else 0)
+    counts = named.where(F.col("h").isin(hashes)).groupBy("t").agg(F.count("*").alias("n"), F.min("o").alias("first"))
+    best = counts.orderBy(F.desc("n"), "first").limit(k)
+    least = best.agg(F.min("n"), F.count("*")).first()
+    if len(top) < k + SPARE or least[1] == k and least[0] > unseen:
+        return best
+    digests = named.groupBy(F.sha2("t", 256).alias("d")).agg(F.count("*").alias("n"), F.min("o").alias("first"))
+    first = digests.orderBy(F.desc("n"), "first").limit(k)
+    return named.withColumn("d", F.sha2("t", 256)).join(F.broadcast(first), "d").groupBy("t").agg(F.first("n").alias("n"), F.first("first").alias("first"))
 
 
 def uniqueness(outputs: DataFrame, text: Column, order: Column) -> DataFrame:
-    """total, unique, uniqueness_pct, top1_pct and top2_pct of stripped texts; ties go to the text seen first."""
-    counts = outputs.groupBy(T.strip(F.coalesce(text, F.lit(""))).alias("t")).agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    totals = counts.agg(F.sum("n").alias("total"), F.count("*").alias("unique"))
-    top = counts.select("n", "first").orderBy(F.desc("n"), "first").limit(2)
+    """total, unique, uniqueness_pct, top1_pct and top2_pct of stripped texts; ties go to the text seen first.
+
+    Different texts are counted by digests of 32 bytes, and the most frequent ones found by top_texts.
+    """
+    stripped = T.strip(F.coalesce(text, F.lit("")))
+    totals = outputs.agg(F.count("*").alias("total"), F.count_distinct(F.unhex(F.sha2(stripped, 256))).alias("unique"))
+    top = top_texts(outputs, stripped, order, 2)
     best = top.agg(F.max("n").alias("top1"), F.sum("n").alias("top2"))
     pct = lambda c: F.round(ratio(F.col(c), F.col("total")) * 100, 6)
     return totals.crossJoin(best).select(F.coalesce("total", F.lit(0)).alias("total"), "unique", pct("unique").alias("uniqueness_pct"), pct("top1").alias("top1_pct"), pct("top2").alias("top2_pct"))
@@ -52,6 +83,39 @@ def token_overlap(rows: DataFrame, ordinal: str, code: Column, max_pairs: int =
     return pairs.select("i", "j", T.jaccard(F.col("x"), F.col("y")).alias("overlap"))
 
 
+def exact_overlap(spark: SparkSession, rows: DataFrame, ordinal: str, code: Column, k: int, start: float = 0.95) -> DataFrame:
+    """(i, j, overlap) of the k pairs i < j of largest overlap among all rows; ties go to the least i, then j. Exact.
+
+    An inverted index with bounds: sets that overlap by t share one of the first |x| - ceil(t |x|) + 1 tokens of x, rarest
+    first, and their sizes differ by the factor t at most. The index is joined for a high t first; where it gives fewer than k
+    pairs, t is lowered and the index grows. Equal sets are one set, of which k + 1 rows are enough for the first k pairs.
+    Pairs without a common token are left out.
+    """
+    sets = written(spark, rows.select(F.col(ordinal).alias("i"), F.array_sort(T.token_set(code)).alias("x")).where(F.size("x") > 0), "sets")
+    ranked = sets.withColumn("nth", F.row_number().over(Window.partitionBy("x").orderBy("i"))).where(F.col("nth") <= k + 1)
+    kinds = ranked.groupBy("x").agg(F.sort_array(F.collect_list("i")).alias("ids")).withColumn("s", F.monotonically_increasing_id())
+    kinds = written(spark, kinds, "kinds")
+    often = written(spark, kinds.select(F.explode("x").alias("w")).groupBy("w").agg(F.count("*").alias("often")), "often")
+    order = F.transform(F.array_sort(F.collect_list(F.struct("often", "w"))), lambda p: p["w"])
+    ordered = written(spark, kinds.select("s", F.explode("x").alias("w")).join(often, "w").groupBy("s").agg(order.alias("y")).join(kinds, "s").select("s", "y", "ids"), "ordered")
+    own = ordered.where(F.size("ids") > 1).select("ids", F.col("ids").alias("others"), F.lit(1.0).alias("overlap"))
+    t = start
+    while True:
+        prefix = F.slice("y", F.lit(1), F.size("y") - F.ceil(F.size("y") * t - 1e-9).cast("int") + 1) if t > 0 else F.col("y")
+        index = ordered.select("s", F.size("y").alias("n"), F.posexplode(prefix).alias("at", "w"))
+        a, b = index.select(*(F.col(c).alias(f"{c}_a") for c in index.columns)), index.select(*(F.col(c).alias(f"{c}_b") for c in index.columns))
+        met = a.join(b, (F.col("w_a") == F.col("w_b")) & (F.col("s_a") < F.col("s_b")) & (F.col("n_b") >= F.col("n_a") * t - 1e-9) & (F.col("n_a") >= F.col("n_b") * t - 1e-9))
+        pairs = met.groupBy("s_a", "s_b").agg(F.lit(1).alias("one")).select("s_a", "s_b")
+        full = pairs.join(ordered.select(F.col("s").alias("s_a"), F.col("y").alias("x_a"), "ids"), "s_a").join(ordered.select(F.col("s").alias("s_b"), F.col("y").alias("x_b"), F.col("ids").alias("others")), "s_b")
+        near = full.select("ids", "others", T.jaccard(F.col("x_a"), F.col("x_b")).alias("overlap")).where(F.col("overlap") >= t)
+        spread = own.unionByName(near).select("overlap", F.explode("ids").alias("p"), "others").select("overlap", "p", F.explode("others").alias("q")).where("p <> q")
+        found = spread.select(F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "overlap").distinct().orderBy(F.desc("overlap"), "i", "j").limit(k)
+        found = written(spark, found, "overlaps")
+        if t <= 0 or found.count() == k:
+            return found
+        t = round(t - 0.15, 2) if t > 0.15 else 0.0
+
+
 def compliance(rows: DataFrame, output: Column, parses: Column, hits: Column) -> DataFrame:
     """n, empty_output, ast_parse_failed, unsafe_pattern and their pass percentages (100 where there is no row)."""
     empty = T.strip(F.coalesce(output, F.lit(""))) == ""

@@ -18,8 +18,8 @@ from sparkward.operators import dataset
 
 TABLES = ("users", "orders", "products", "accounts", "sessions", "payments", "reviews", "tickets", "inventory")
 COLUMNS = ("id", "name", "email", "status", "username", "token", "city", "price", "created_at")
-#: Drivers with the mark of a parameter and their share of the bank.
-DRIVERS = (("sqlalchemy", ":value", 0.25), ("sqlite3", "?", 0.20), ("psycopg2", "%s", 0.20), ("mysql.connector", "%s", 0.10), ("aiomysql", "%s", 0.05), ("asyncpg", "$1", 0.05), ("pymysql", "%s", 0.15))
+# Drivers, the mark of a parameter, and the share of the bank that each is to have.
+DRIVERS = (("pymysql", "%s", 0.25), ("sqlite3", "?", 0.20), ("sqlalchemy", ":value", 0.20), ("psycopg2", "%s", 0.15), ("mysql.connector", "%s", 0.10), ("aiomysql", "%s", 0.05), ("asyncpg", "$1", 0.05))
 #: How a request is put, by difficulty; {t} and {c} are table and column, {d} the driver.
 REQUESTS = {
     "easy": ("Write a function with {d} that fetches rows of {t} by {c}.", "Show how to look up {t} by {c} with {d}.", "Give me a short {d} helper: {c} in, rows of {t} out.", "Using {d}, return everything in {t} whose {c} equals an argument."),

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkward.functions import pyast, rewrites, rules, taint
+from sparkward.functions import pyast, pynames, rewrites, rules, taint
 from sparkward.operators import dataset, diversity, evaluate, preparation
 from sparkward.operators import metrics as M
 from sparkward.plans.metric_sql import bundle_sql
 from sparkward.plans.registering import div, matches_any, register, values
-from sparkward.plans.views import BUILD_KIND, FLOW_KIND, KIND, SNIPPETS, by_kind, named, table, view
+from sparkward.plans.views import BUILD_KIND, FLOW_KIND, KIND, REPEAT_KIND, REPEATS, SCOPE_KIND, SNIPPETS, by_kind, named, table, view
 from sparkward.scratch import scratch_path
 
 ATTACKS = tuple(a for a, _ in dataset.ATTACKS)
@@ -25,7 +25,7 @@ SOURCE = f"CASE {KIND} WHEN 7 THEN 'python_fence' WHEN 16 THEN 'python_fence' WH
 _BROKEN = {6: "SyntaxError: '(' was never closed", **dict.fromkeys((7, 8, 9, 16, 17), "SyntaxError: invalid syntax")}
 _FOREIGN = {k: f"ImportError: module '{m}' is not allowed in taint sandbox" for m, ks in (("pymysql", (1, 3, 11)), ("psycopg2", (2, 19)), ("sqlalchemy", (4,)), ("asyncpg", (5,)), ("requests", (14,))) for k in ks}
 #: What ends the analysis of flows, where something does.
-_ENDED = _FOREIGN | {6: "transform_syntax_error: '(' was never closed (<unknown>, line 2)", **{k: f"transform_syntax_error: invalid syntax (<unknown>, line {n})" for k, n in ((7, 1), (8, 1), (9, 1), (16, 1), (17, 4))}, 13: "OperationalError: no such table: TBL"}
+_ENDED = _FOREIGN | {6: "transform_syntax_error: '(' was never closed (<unknown>, line 2)", **{k: f"transform_syntax_error: invalid syntax (<unknown>, line {n})" for k, n in ((7, 1), (8, 1), (9, 1), (16, 1), (17, 3))}, 13: "OperationalError: no such table: TBL"}
 #: What a training target keeps of each text: the first fence, or the whole text if it parses.
 TARGET = {k: t for k, t in WHOLE.items() if k not in _BROKEN} | {7: _FENCED, 10: 'COL = "TBL";', 16: 'value = "COL"'}
 
@@ -140,6 +140,28 @@ def undefined_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("attack_type", "task_type", "difficulty", "name").agg(F.count("*").alias("n"))
 
 
+_SCOPED = [
+    (0, "", "x", 8, "undefined"), (0, "FIND", "COL", 3, "undefined"), (1, "", "COL", 1, "before"), (1, "", "q", 4, "undefined"), (2, "FIND", "a", 2, "before"), (2, "FIND.inner", "COL", 6, "undefined"), (3, "", "COL", 6, "undefined"),
+    (5, "Repo", "COL", 5, "undefined"), (5, "Repo.FIND", "limit", 4, "undefined"), (6, "", "COL", 1, "undefined"), (6, "", "count", 7, "before"),
+]
+
+
+@register("scoped_names", f"SELECT o_orderkey, {named('p.scope')} AS scope, {named('p.name')} AS name, p.line::INT AS line, p.problem FROM orders JOIN ({values(_SCOPED)}) p(k, scope, name, line, problem) ON p.k = {SCOPE_KIND}")
+def scoped_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that nothing binds, or not yet, by scope: functions in functions, comprehensions, classes, globals."""
+    return pynames.scoped_names_of(view(spark, sf_dir, "scope_samples"), "code").select("o_orderkey", "scope", "name", "line", "problem")
+
+
+_ONCE = REPEATS[0][: len(REPEATS[0]) // 3].rstrip("\n")
+_FOLDS = {**dict.fromkeys((0, 1, 2, 3, 4), _ONCE), 5: _ONCE, 6: REPEATS[6], 7: REPEATS[7]}
+
+
+@register("folded_copies", f"SELECT o_orderkey, {by_kind(_FOLDS, kind=REPEAT_KIND)} AS folded FROM orders")
+def folded_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs that repeat themselves, with other comments or a last copy that is cut off."""
+    return view(spark, sf_dir, "repeat_samples").select("o_orderkey", pynames.fold_column(F.col("code")).alias("folded"))
+
+
 #: The frame of each kind that has a bound query, with the call's arguments left open (and a line before the call).
 _FRAMES = {
     0: "import sqlite3\n\ndef FIND(conn, value):\n    cur = conn.cursor()\n{before:    }    cur.execute({call})\n    return cur.fetchall()",

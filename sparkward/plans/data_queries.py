@@ -66,35 +66,44 @@ def preference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAMPLES = "SELECT s_suppkey, s_suppkey % 5 = 0 AS inv, s_suppkey % 2 = 0 AS ev, s_suppkey % 3 = 0 AS hit FROM supplier"
 
 
-def _result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A result document of the suppliers as samples, written and read again."""
+def _result(spark: SparkSession, sf_dir: str) -> str:
+    """Where a result document of the suppliers as samples stands, with its rows as lines beside it."""
     path = scratch_path(spark, "result")
     key = F.col("s_suppkey")
     rows = table(spark, sf_dir, "supplier").select(key, (key % 2 == 0).alias("expected_vulnerable"), (key % 5 == 0).alias("invalid_extraction"), F.when(key % 5 != 0, key % 3 == 0).alias("is_vulnerable"))
-    sinks.write_document({"model": "m"}, M.bundle(rows), rows, path, "s_suppkey")
-    return json_tables.load_results(spark, path)
+    bundle = M.bundle(rows)
+    sinks.write_result({"model": "m"}, bundle.select(sinks.nested_summary(bundle).alias("s")).select("s.*"), rows.orderBy("s_suppkey"), path)
+    return path
 
 
 @register("result_summary", f"WITH f AS ({_SAMPLES}), c AS (SELECT count(*) AS n_samples, count(*) FILTER (WHERE inv) AS n_invalid, {counts('strict')} FROM f) SELECT 'm' AS model, n_samples, {div('n_invalid', 'n_samples')} AS extraction_failure_rate, tp AS strict_tp, fp AS strict_fp, CAST(NULL AS DOUBLE) AS warning_rate FROM c")
 def result_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = _result(spark, sf_dir)
+    results = json_tables.load_results(spark, f"{_result(spark, sf_dir)}/document")
     got = json_tables.summaries(results, n_samples="n_samples bigint", extraction_failure_rate="extraction_failure_rate double", strict_tp="strict_metrics.tp bigint", strict_fp="strict_metrics.fp bigint", warning_rate="warning_rate double")
     return results.select("path", F.try_variant_get("doc", "$.meta.model", "string").alias("model")).join(got, "path").drop("path")
 
 
-@register("result_samples", f"WITH f AS ({_SAMPLES}) SELECT (row_number() OVER (ORDER BY s_suppkey) - 1)::INT AS pos, s_suppkey, ev AS expected_vulnerable, inv AS invalid_extraction, CASE WHEN NOT inv THEN hit END AS is_vulnerable FROM f")
+@register("result_samples", f"WITH f AS ({_SAMPLES}) SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS pos, s_suppkey, ev AS expected_vulnerable, inv AS invalid_extraction, CASE WHEN NOT inv THEN hit END AS is_vulnerable FROM f")
 def result_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return json_tables.per_sample(_result(spark, sf_dir), {"s_suppkey": "bigint", "expected_vulnerable": "boolean", "invalid_extraction": "boolean", "is_vulnerable": "boolean"}).drop("path")
+    """The rows of a result, numbered over all files that hold them."""
+    rows = json_tables.load_rows(spark, f"{_result(spark, sf_dir)}/per_sample")
+    return json_tables.fields(rows, {"s_suppkey": "bigint", "expected_vulnerable": "boolean", "invalid_extraction": "boolean", "is_vulnerable": "boolean"}).withColumnRenamed("ord", "pos")
 
 
-@register("tolerant_results", "SELECT 1::BIGINT AS read")
+@register("tolerant_results", "SELECT l_suppkey % 5 AS model, count(*) AS n_samples FROM lineitem WHERE l_suppkey % 5 <> 3 GROUP BY 1")
 def tolerant_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of a good document, a broken one and a missing one, the good one is read."""
-    good, broken = scratch_path(spark, "good"), scratch_path(spark, "broken")
-    rows = table(spark, sf_dir, "region").select("r_regionkey", F.lit(True).alias("expected_vulnerable"), F.lit(False).alias("invalid_extraction"), F.lit(False).alias("is_vulnerable"))
-    sinks.write_document({}, M.bundle(rows), rows, good, "r_regionkey")
-    spark.range(1).select(F.lit('{"summary": {').alias("value")).write.text(broken)
-    return json_tables.load_results(spark, good, broken, scratch_path(spark, "none"), required=json_tables.PLOT_KEYS, tolerant=True).agg(F.count("*").alias("read"))
+    """A document for each model, of which one is broken and one more is missing: the others are read."""
+    verdicts = view(spark, sf_dir, "verdicts")
+    paths = [scratch_path(spark, f"model-{m}") for m in range(5)]
+    blocks = M.bundle(verdicts, "model")
+    for m, path in enumerate(paths):
+        if m == 3:
+            spark.range(1).select(F.lit('{"summary": {').alias("value")).write.text(path)
+        else:
+            own = blocks.where(f"model = {m}").drop("model")
+            own.select(F.concat(F.lit(f'{{"meta": {{"model": {m}}}, "summary": '), F.to_json(sinks.nested_summary(own)), F.lit("}")).alias("value")).coalesce(1).write.text(path)
+    read = json_tables.load_results(spark, *paths, scratch_path(spark, "none"), required=json_tables.PLOT_KEYS, tolerant=True)
+    return read.select(F.try_variant_get("doc", "$.meta.model", "bigint").alias("model"), F.try_variant_get("doc", "$.summary.n_samples", "bigint").alias("n_samples"))
 
 
 @register("reject_preview", "SELECT doc_id FROM documents WHERE n_chars < 100 ORDER BY doc_id LIMIT 20")
@@ -175,9 +184,14 @@ def reliability_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.reliability(view(spark, sf_dir, "verdicts"), "model")
 
 
-@register("run_plan", f"SELECT * FROM ({values([(n, *r) for n, r in compare.RUNS.items()])}) r(model, adapter, four_bit, output)")
+_PLANNED = ("baseline", "lora_sft", "lora_dpo", "qlora_sft", "qlora_dpo")
+
+
+@register("run_plan", f"WITH m AS (SELECT {list(_PLANNED)}[model + 1] AS model, count(*) AS verdicts FROM verdicts GROUP BY 1) SELECT m.model, verdicts, adapter, four_bit, output FROM m JOIN ({values([(n, *r) for n, r in compare.RUNS.items()])}) r(model, adapter, four_bit, output) USING (model)")
 def run_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.run_plan(spark.createDataFrame([(n,) for n in compare.RUNS], "model string"))
+    """The configuration of each model that has verdicts."""
+    models = view(spark, sf_dir, "verdicts").select(F.element_at(F.array(*map(F.lit, _PLANNED)), (F.col("model") + 1).cast("int")).alias("model"))
+    return compare.run_plan(models.groupBy("model").agg(F.count("*").alias("verdicts")))
 
 
 @register("schema_inference", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'given' WHEN 1 THEN 't1' WHEN 2 THEN 't2' END AS schema_table, CASE o_orderkey % 4 WHEN 0 THEN 'col' WHEN 1 THEN 'c1' WHEN 2 THEN 'c2' END AS schema_column, CASE WHEN o_orderkey % 4 = 3 THEN 'who' ELSE '' END AS parameter FROM orders")
@@ -232,7 +246,15 @@ def label_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.label_ratios(view(spark, sf_dir, "verdicts"), "expected_vulnerable", "difficulty", "attack_type")
 
 
-def plan_sql(split: str, total: int) -> str:
+#: Sizes of the generated sets: as many rows as these tables have.
+CUSTOMERS, SUPPLIERS = "(SELECT count(*) FROM customer)", "(SELECT count(*) FROM supplier)"
+
+
+def size_of(spark: SparkSession, sf_dir: str, name: str) -> int:
+    return table(spark, sf_dir, name).count()
+
+
+def plan_sql(split: str, total: str) -> str:
     rows = lambda xs: ", ".join(f"({i}, '{n}', {w}::DOUBLE)" for i, (n, w) in enumerate(xs))
     return f"""WITH a(ao, attack_type, aw) AS (VALUES {rows(dataset.ATTACKS)}), d(do_, difficulty, dw) AS (VALUES {rows(dataset.DIFFICULTIES[split])}), t(t_o, task_type, tw) AS (VALUES {rows(dataset.TASKS)}),
 p AS (SELECT (ao * 3 + do_) * 2 + t_o AS bucket, attack_type, difficulty, task_type, {total} * (aw * dw * tw) / sum(aw * dw * tw) OVER () AS e FROM a, d, t),
@@ -240,48 +262,52 @@ r AS (SELECT *, floor(e) AS low, row_number() OVER (ORDER BY round(e - floor(e),
 SELECT bucket, attack_type, difficulty, task_type, CAST(low + CASE WHEN rk <= {total} - sum(low) OVER () THEN 1 ELSE 0 END AS BIGINT) AS n FROM r"""
 
 
-@register("bucket_fill", f"WITH p AS ({plan_sql('train', 2200)}), i AS (SELECT bucket, attack_type, difficulty, task_type, unnest(range(1, n + 1)) AS i FROM p) SELECT bucket, attack_type, difficulty, task_type, i, (i + bucket) % 2 = 0 AS expected_vulnerable, true AS new_prompt FROM i")
+@register("bucket_fill", f"WITH p AS ({plan_sql('train', CUSTOMERS)}), i AS (SELECT bucket, attack_type, difficulty, task_type, unnest(range(1, n + 1)) AS i FROM p) SELECT bucket, attack_type, difficulty, task_type, i, (i + bucket) % 2 = 0 AS expected_vulnerable, true AS new_prompt FROM i")
 def bucket_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filled plan; new_prompt says whether no other row has the row's prompt."""
-    rows = generate.fill_plan(spark, 2200).withColumn("h", T.prompt_hash(T.prompt(F.col("instruction"), F.col("input"))))
+    rows = generate.fill_plan(spark, size_of(spark, sf_dir, "customer")).withColumn("h", T.prompt_hash(T.prompt(F.col("instruction"), F.col("input"))))
     once = rows.groupBy("h").agg(F.count("*").alias("k"))
     return rows.join(once, "h").select("bucket", "attack_type", "difficulty", "task_type", "i", "expected_vulnerable", (F.col("k") == 1).alias("new_prompt"))
 
 
-@register("bucket_fill_shape", f"WITH p AS ({plan_sql('eval', 300)}) SELECT attack_type, difficulty, task_type, sum(n)::BIGINT AS n, 0::BIGINT AS in_training FROM p WHERE n > 0 GROUP BY ALL")
+@register("bucket_fill_shape", f"WITH p AS ({plan_sql('eval', SUPPLIERS)}) SELECT attack_type, difficulty, task_type, sum(n)::BIGINT AS n, 0::BIGINT AS in_training FROM p WHERE n > 0 GROUP BY ALL")
 def bucket_fill_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evaluation split by group, and how many of its prompts the training split has."""
     asked = lambda rows: rows.withColumn("h", T.prompt_hash(T.prompt(F.col("instruction"), F.col("input"))))
-    train = asked(generate.fill_plan(spark, 2200)).select("h", F.lit(1).alias("seen")).distinct()
-    rows = asked(generate.fill_plan(spark, 300, "eval", used=2200)).join(train, "h", "left")
+    n = size_of(spark, sf_dir, "customer")
+    train = asked(generate.fill_plan(spark, n)).select("h", F.lit(1).alias("seen")).distinct()
+    rows = asked(generate.fill_plan(spark, size_of(spark, sf_dir, "supplier"), "eval", used=n)).join(train, "h", "left")
     return rows.groupBy("attack_type", "difficulty", "task_type").agg(F.count("*").alias("n"), F.count("seen").alias("in_training"))
 
 
 _BANK = values([(t, d, s, w) for t, d, s, _, w in generate.template_rows()])
-_TEMPLATES = f"p AS (SELECT template, driver, structure, 2200 * w / sum(w) OVER () AS e FROM ({_BANK}) b(template, driver, structure, w)), r AS (SELECT *, floor(e) AS low, row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, template) AS rk FROM p), q AS (SELECT template, driver, structure, CAST(low + CASE WHEN rk <= 2200 - sum(low) OVER () THEN 1 ELSE 0 END AS BIGINT) AS n FROM r)"
+_TEMPLATES = f"p AS (SELECT template, driver, structure, {CUSTOMERS} * w / sum(w) OVER () AS e FROM ({_BANK}) b(template, driver, structure, w)), r AS (SELECT *, floor(e) AS low, row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, template) AS rk FROM p), q AS (SELECT template, driver, structure, CAST(low + CASE WHEN rk <= {CUSTOMERS} - sum(low) OVER () THEN 1 ELSE 0 END AS BIGINT) AS n FROM r)"
 
 
 @register("template_quota", f"WITH {_TEMPLATES} SELECT * FROM q")
 def template_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate.template_quota(spark, 2200)
+    return generate.template_quota(spark, size_of(spark, sf_dir, "customer"))
 
 
 @register("template_mix", f"WITH {_TEMPLATES} SELECT driver, sum(n)::BIGINT AS n, sum(n)::BIGINT AS read_as_driver, sum(n)::BIGINT AS safe FROM q GROUP BY 1")
 def template_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the bank by driver: how many, how many the audit reads as that driver, how many match no unsafe pattern."""
-    rows = generate.template_rows_of(spark, 2200)
+    rows = generate.template_rows_of(spark, size_of(spark, sf_dir, "customer"))
     return rows.groupBy("driver").agg(F.count("*").alias("n"), F.count_if(T.driver_of(F.col("code")) == F.col("driver")).alias("read_as_driver"), F.count_if(rules.target_is_safe(F.col("code"))).alias("safe"))
 
 
-@register("synthetic_splits", "SELECT count(*) AS n, 1000::BIGINT AS safe_is_bound, 1000::BIGINT AS unsafe_is_joined, 48::BIGINT AS most_kinds FROM range(1000)")
+@register("synthetic_splits", "SELECT count(*) AS n, count(*) AS safe_is_bound, count(*) AS unsafe_is_joined, 48::BIGINT AS most_kinds FROM orders")
 def synthetic_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dataset.synthetic_rows(spark, 1000)
+    """As many rows as there are orders; 48 combinations of names, all of which come up."""
+    rows = dataset.synthetic_rows(spark, size_of(spark, sf_dir, "orders"))
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col("chosen").contains(" = ?")).alias("safe_is_bound"), F.count_if(F.col("rejected").contains('" + value')).alias("unsafe_is_joined"), F.countDistinct("db", "tbl", "field").alias("most_kinds"))
 
 
-@register("four_categories", "SELECT * FROM (VALUES ('normal', 25::BIGINT, 25::BIGINT, 0::BIGINT), ('ambiguous', 25, 25, 0), ('adversarial', 25, 25, 0), ('repair', 25, 25, 25)) v(category, n, safe_answers, unsafe_inputs)")
+@register("four_categories", "SELECT category, count(*) AS n, count(*) AS safe_answers, CASE category WHEN 'repair' THEN count(*) ELSE 0 END AS unsafe_inputs FROM supplier, (VALUES ('normal'), ('ambiguous'), ('adversarial'), ('repair')) v(category) GROUP BY category")
 def four_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = generate.four_categories(spark, 100)
+    """As many requests of each category as there are suppliers."""
+    n = size_of(spark, sf_dir, "supplier")
+    rows = generate.four_categories(spark, 4 * n, each=n)
     return rows.groupBy("category").agg(F.count("*").alias("n"), F.count_if(rules.target_is_safe(F.col("output"))).alias("safe_answers"), F.count_if(~rules.target_is_safe(F.col("input"))).alias("unsafe_inputs"))
 
 

@@ -21,7 +21,7 @@ from sparkward.plans.registering import ORACLE_SQL, QUERIES, register  # noqa: F
 from sparkward.plans.registering import div as _div
 from sparkward.plans.views import table, view
 from sparkward.scratch import scratch_path
-from sparkward.sources import contracts
+from sparkward.sources import contracts, sinks
 from sparkward.streaming import early_stop as streams
 
 @register("bundle_overall", _bundle_sql())
@@ -182,9 +182,9 @@ def split_by_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "verdicts").groupBy("task_type").agg(F.count("*").alias("n"), F.count_if("expected_vulnerable").alias("positives"))
 
 
-@register("bucket_plan", data_queries.plan_sql("train", 2200))
+@register("bucket_plan", data_queries.plan_sql("train", data_queries.CUSTOMERS))
 def bucket_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.bucket_plan(spark, 2200)
+    return dataset.bucket_plan(spark, data_queries.size_of(spark, sf_dir, "customer"))
 
 
 _TIERED = "SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'string_concat' WHEN 1 THEN 'fstring' WHEN 2 THEN 'format_string' ELSE 'indirect_injection' END AS attack FROM orders"
@@ -232,6 +232,26 @@ def token_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diversity.token_overlap(view(spark, sf_dir, "code_samples"), "o_orderkey", F.col("code"))
 
 
+@register("exact_overlap", r"""WITH t AS (SELECT p_partkey AS i, list_distinct(list_concat(list_concat(regexp_extract_all(c, '[a-zA-Z_]\w*'), regexp_extract_all(c, '"[^"]*"|''[^'']*''')), list_concat(regexp_extract_all(c, '[+\-*/%=<>!&|^~@]+'), regexp_extract_all(c, '[()\[\]{}:,]')))) AS x FROM (SELECT p_partkey, concat_ws(' ', p_name, p_brand, p_type, 'size' || p_size) AS c FROM part)),
+p AS (SELECT a.i, b.i AS j, len(list_intersect(a.x, b.x))::DOUBLE / len(list_distinct(list_concat(a.x, b.x))) AS overlap FROM t a JOIN t b ON a.i < b.i) SELECT * FROM p WHERE overlap > 0 ORDER BY overlap DESC, i, j LIMIT 300""")
+def exact_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of largest token overlap among all rows, not only among the first ones."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type", F.concat(F.lit("size"), "p_size")).alias("text"))
+    return diversity.exact_overlap(spark, rows, "p_partkey", F.col("text"), 300)
+
+
+@register("top_texts", "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY text ORDER BY n DESC, first LIMIT 7")
+def top_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return diversity.top_texts(docs, F.col("text"), F.col("doc_id"), 7).select(F.sha2("t", 256).alias("digest"), "n", "first")
+
+
+@register("top_event_users", "SELECT user_id::VARCHAR AS t, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1 ORDER BY n DESC, first LIMIT 10")
+def top_event_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return diversity.top_texts(events, F.col("user_id").cast("string"), F.col("event_id"), 10)
+
+
 @register("pct_drop_vs_baseline", """WITH r AS (SELECT model, count(*) FILTER (WHERE is_vulnerable)::DOUBLE / count(*) FILTER (WHERE NOT invalid_extraction)::DOUBLE AS sql_injection_rate_valid FROM verdicts GROUP BY 1), b AS (SELECT sql_injection_rate_valid AS base FROM r WHERE model = 0)
 SELECT model, sql_injection_rate_valid, CASE WHEN base > 0 THEN (base - sql_injection_rate_valid) / base * 100 ELSE 0.0 END AS pct_drop FROM r, b""")
 def pct_drop_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,6 +364,16 @@ def collapse_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_available(spark, path, schema, streams.collapse_stream, scratch_path(spark, "collapses"), scratch_path(spark, "collapses-checkpoint"), files=64)
 
 
+@register("streamed_log", "SELECT event_id, user_id AS run_id, value FROM events WHERE value < 2 OR value IS NULL")
+def streamed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected rows of a stream, appended to a log batch by batch."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("run_id"), "value", "ts")
+    path, schema = _arriving(spark, events)
+    log = scratch_path(spark, "log")
+    sinks.log_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(path).drop("ts"), log, scratch_path(spark, "log-checkpoint"), "value < 2 or value is null").awaitTermination()
+    return spark.read.schema("event_id long, run_id long, value double").json(f"{log}/batch=*")
+
+
 ORACLE_SQL["collapse_streamed"] = ORACLE_SQL["collapse_guard"]
 
 

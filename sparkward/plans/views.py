@@ -80,6 +80,23 @@ BUILDS = (
     'def FIND(cur, a):\n    try:\n        q = "SELECT COL FROM TBL WHERE COL = " + a\n    except TypeError:\n        q = "SELECT COL FROM TBL"\n    while a:\n        cur.execute(q)\n        q += " OR COL = " + a',
     'def FIND(cur, a):\n    q = make(a)\n    q += " WHERE COL = " + a\n    cur.execute(q)',
 )
+# Programs with names of many scopes, and programs that repeat themselves.
+SCOPES = (
+    'def FIND(a):\n    x = a\n    return COL\n\ndef other():\n    COL = 1\n    return COL\nprint(x)',
+    'print(COL)\nCOL = 1\n[q for q in range(3)]\nq',
+    'def FIND():\n    print(a)\n    a = 1\n    def inner():\n        nonlocal a\n        return a + COL\n    return inner',
+    'n = 0\ndef FIND():\n    global m\n    m = 1\n    return n\nprint(m, COL)',
+    'if x := 3:\n    print(x)\nfor i in []:\n    k = i\nprint(k, i)',
+    'class Repo:\n    limit = 1\n    def FIND(self):\n        return limit\n    rows = COL',
+    'FIND = lambda t: t + COL\ntry:\n    import json\nexcept ImportError as e:\n    print(e)\nprint(json)\ncount += 1',
+    'def FIND(rows):\n    for r in rows:\n        if r:\n            last = r\n    return last, [last for last in rows]',
+)
+_PIECE = 'import sqlite3\n# the TBL table\ndef FIND(cur):\n    return cur.execute("SELECT COL FROM TBL")\n'
+REPEATS = (
+    _PIECE * 3, _PIECE + _PIECE.replace("# the", "# once more the"), _PIECE + _PIECE.replace("    return", "\n    return").replace("(cur)", "( cur )"), _PIECE * 2 + "import sqlite3\ndef FIND(cur):\n    ret", _PIECE * 2 + "imp",
+    _PIECE + 'x = (', _PIECE * 2 + "import os\n", _PIECE + _PIECE.replace("COL", "other"), "no program (",
+)
+SCOPE_KIND, REPEAT_KIND = f"o_orderkey % {len(SCOPES)}", f"o_orderkey % {len(REPEATS)}"
 BUILD_KIND = f"o_orderkey % {len(BUILDS)}"
 FLOW_KIND = f"o_orderkey % {len(FLOWS)}"
 NAMES = {"TBL": ("users", "orders", "products", "accounts", "sessions", "payments", "reviews", "tickets", "inventory"), "COL": ("name", "email", "status", "username", "token", "city", "price")}
@@ -117,6 +134,14 @@ def build_samples(engine: str) -> str:
     return f"SELECT o_orderkey, o_custkey, {BUILD_KIND} AS kind, {by_kind(dict(enumerate(BUILDS)), engine, BUILD_KIND)} AS code FROM orders"
 
 
+def scope_samples(engine: str) -> str:
+    return f"SELECT o_orderkey, o_custkey, {SCOPE_KIND} AS kind, {by_kind(dict(enumerate(SCOPES)), engine, SCOPE_KIND)} AS code FROM orders"
+
+
+def repeat_samples(engine: str) -> str:
+    return f"SELECT o_orderkey, o_custkey, {REPEAT_KIND} AS kind, {by_kind(dict(enumerate(REPEATS)), engine, REPEAT_KIND)} AS code FROM orders"
+
+
 TRAINLOG = """
 SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, value AS val_loss,
   CASE WHEN event_type = 'click' THEN value * 0.4 END AS train_loss, ts
@@ -130,7 +155,7 @@ WHERE u.role = 'user' AND a.role = 'assistant'
 """
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-_NAMES = {"verdicts": ("lineitem", VERDICTS), "trainlog": ("events", TRAINLOG), "chat": ("conversations", CHAT), "code_samples": ("orders", code_samples("spark")), "flow_samples": ("orders", flow_samples("spark")), "build_samples": ("orders", build_samples("spark"))}
+_NAMES = {"verdicts": ("lineitem", VERDICTS), "trainlog": ("events", TRAINLOG), "chat": ("conversations", CHAT), "code_samples": ("orders", code_samples("spark")), "flow_samples": ("orders", flow_samples("spark")), "build_samples": ("orders", build_samples("spark")), "scope_samples": ("orders", scope_samples("spark")), "repeat_samples": ("orders", repeat_samples("spark"))}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -147,7 +172,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str) -> str:
     """DuckDB SQL with the views that it names in front."""
-    parts = {"verdicts": VERDICTS, "trainlog": TRAINLOG, "chat": CHAT, "code_samples": code_samples("duckdb"), "flow_samples": flow_samples("duckdb"), "build_samples": build_samples("duckdb")}
+    parts = {"verdicts": VERDICTS, "trainlog": TRAINLOG, "chat": CHAT, "code_samples": code_samples("duckdb"), "flow_samples": flow_samples("duckdb"), "build_samples": build_samples("duckdb"), "scope_samples": scope_samples("duckdb"), "repeat_samples": repeat_samples("duckdb")}
     used = [f"{n} AS ({t})" for n, t in parts.items() if n in sql]
     head = ", ".join(used)
     body = sql.strip()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
@@ -72,6 +72,13 @@ def require(found: DataFrame, what: str, order: str = "ord") -> None:
         raise ContractError(f"{what}: " + "; ".join(f"row {r['ord']} ({r['id']!r}): {r['field']}: {r['reason']}" for r in first))
 
 
+def watched(rows: DataFrame, rules: dict[tuple[str, str], Column], name: str) -> tuple[DataFrame, Observation]:
+    """rows, and an observation that counts them and those that break a rule while something else reads them."""
+    watch = Observation(name)
+    good = reduce(lambda a, b: a & F.coalesce(b, F.lit(False)), rules.values(), F.lit(True))
+    return rows.observe(watch, F.count(F.lit(1)).alias("rows"), F.count_if(~good).alias("broken")), watch
+
+
 def sample_report(rows: DataFrame, truth: str = "expected_vulnerable") -> DataFrame:
     """total, valid, pct_valid, pos and neg of evaluation rows; a row is valid if it breaks no rule."""
     good = reduce(lambda a, b: a & F.coalesce(b, F.lit(False)), sample_rules(rows).values(), F.lit(True))

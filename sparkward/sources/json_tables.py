@@ -109,6 +109,7 @@ def records_only(rows: DataFrame) -> DataFrame:
     return rows.where(F.coalesce(F.startswith(F.schema_of_variant("value"), F.lit("OBJECT")), F.lit(False)))
 
 
+# Names of columns and keys.
 #: Columns of a preference file: three that must be there and seven that may. Others, such as the tier, are not read.
 PREFERENCE = ("prompt", "chosen", "rejected")
 PREFERENCE_TAGS = {"attack_type": "string", "difficulty": "string", "task_type": "string", "expected_vulnerable": "boolean", "schema_table": "string", "schema_column": "string", "chosen_framework": "string"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +11,44 @@ from pyspark.sql import functions as F
 from sparkward.sources import contracts
 
 
+def publish(rows: DataFrame, path: str, rules: dict, what: str, ident: str = "id", by: tuple[str, ...] = ()) -> int:
+    """Write rows as JSON lines and hold them to a contract in the same pass; the number of rows.
+
+    Rows go to a folder beside the path while they are counted and judged. The copy's lines are counted too. Only if nothing
+    is broken does the folder get its name, in place of what stood there; otherwise it is removed, what stood there stays,
+    and the error shows the first violations.
+    """
+    spark = rows.sparkSession
+    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex[:12]}.staged"
+    seen, watch = contracts.watched(rows, rules, what)
+    fs = _file_system(spark, path)
+    try:
+        seen.write.partitionBy(*by).json(staged)
+        told = watch.get
+        if told["broken"]:
+            contracts.require(contracts.violations(rows.withColumn("__ord", F.lit(0)), rules, "__ord", ident), what)
+            raise contracts.ContractError(f"{what}: {told['broken']} rows broke the contract when they were written")
+        if spark.read.text(staged).count() != told["rows"]:
+            raise contracts.ContractError(f"{what}: the copy has another number of rows")
+        fs.delete(_path(spark, path), True)
+        if not fs.rename(_path(spark, staged), _path(spark, path)):
+            raise OSError(f"{what}: {path} cannot be put in place")
+        return told["rows"]
+    finally:
+        fs.delete(_path(spark, staged), True)
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def write_splits(rows: DataFrame, path: str, by: str = "task_type") -> None:
-    """JSON lines in a folder for each task, after the contract holds."""
-    contracts.require(contracts.violations(rows.withColumn("__ord", F.lit(0)), contracts.sample_rules(rows), "__ord", "id"), "split writer")
-    rows.write.mode("overwrite").partitionBy(by).json(path)
+    """JSON lines in a folder for each task, if the contract holds."""
+    publish(rows, path, contracts.sample_rules(rows), "split writer", by=(by,))
 
 
 def write_lines(rows: DataFrame, path: str) -> None:
@@ -36,13 +71,32 @@ def write_array(rows: DataFrame, path: str, order: str) -> None:
 
 
 def write_checked(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
-    """Write JSON lines, read them back, hold the copy to the contract and to the row count."""
-    write_lines(rows, path)
-    back = spark.read.schema(rows.schema).json(path)
-    contracts.require(contracts.violations(back.withColumn("__ord", F.lit(0)), contracts.sample_rules(back), "__ord", "id"), "read back")
-    if back.count() != rows.count():
-        raise contracts.ContractError("the copy has another number of rows")
-    return back
+    """JSON lines that the contract and a count of the copy have been held to, read again."""
+    publish(rows, path, contracts.sample_rules(rows), "checked copy")
+    return spark.read.schema(rows.schema).json(path)
+
+
+def append_log(spark: SparkSession, rows: DataFrame, path: str, batch: int) -> None:
+    """Append a batch to a log of JSON lines once: a batch that is written again takes the place of its first writing.
+
+    Each batch is a folder of its own, which gets its name when it is complete. This is what foreachBatch needs, since a
+    stream that is started again repeats its last batch.
+    """
+    staged, final = f"{path.rstrip('/')}/_staged-{uuid.uuid4().hex[:12]}", f"{path.rstrip('/')}/batch={batch:012d}"
+    rows.write.json(staged)
+    fs = _file_system(spark, path)
+    fs.delete(_path(spark, final), True)
+    if not fs.rename(_path(spark, staged), _path(spark, final)):
+        raise OSError(f"{final} cannot be put in place")
+
+
+def log_stream(stream: DataFrame, path: str, checkpoint: str, reject: str | None = None):
+    """Append the rows of a stream that are rejected (or all) to a log, each batch once; returns the started query."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        append_log(rows.sparkSession, rows.where(reject) if reject else rows, path, batch)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def write_result(meta: dict, summary: DataFrame, per_sample: DataFrame, path: str) -> None:

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkward.functions import pyast, rewrites, rules, taint
+from sparkward.functions import pyast, pynames, rewrites, rules, taint
 from sparkward.functions import text as T
 
 SAFE = ['cur.execute("SELECT * FROM t WHERE a = %s", (v,))', 'cur.execute("SELECT ?", (v,))', 'conn.execute(text("SELECT :val"), {"val": v})', 'cur.execute("SELECT %(val)s", {"val": v})', 'cur.executemany("INSERT INTO t VALUES (?)", rows)']
@@ -70,7 +70,7 @@ def test_first_and_last_fence():
 @given(st.text(max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_no_text_breaks_the_functions(text):
-    pyast.extract(text), pyast.code_only(text), taint.analyse(text), rewrites.unsafe_variant(text, "fstring"), rewrites.safe_fix(text), rewrites.aligned_variant(text, "fstring", "t", "c"), pyast.locate(text), pyast.undefined_names(text)
+    pyast.extract(text), pyast.code_only(text), taint.analyse(text), rewrites.unsafe_variant(text, "fstring"), rewrites.safe_fix(text), rewrites.aligned_variant(text, "fstring", "t", "c"), pyast.locate(text), pyast.undefined_names(text), pynames.scoped_names(text), pynames.fold_copies(text)
 
 
 HEAD = "import sqlite3\nc = sqlite3.connect(':memory:')\nv = taint_input('x')\n"
@@ -200,3 +200,26 @@ def test_stable_id_is_hashlib(spark):
 
     got = spark.range(1).select(T.stable_id(F.lit(" fix "), F.lit("x"), F.lit("é"), F.lit(None).cast("string"))).first()[0]
     assert got == "sqlsec-" + hashlib.sha256("fix\nx\né\n".encode()).hexdigest()[:20]
+
+
+@pytest.mark.parametrize(("code", "want"), [
+    ("def f():\n    return [y for x in z for y in x if y]\nz = 1", []), ("x = [i for i in range(3)]\ni", [("", "i", 2, "undefined")]), ("def f(a=b): pass\nb = 1", [("", "b", 1, "before")]),
+    ("while True:\n    if q:\n        break\n    q = 1", []), ("def f():\n    del x\n    x = 1", []), ("from m import *\nanything", []), ("__name__", []), ("def f():\n    global g\n    return g", [("f", "g", 3, "undefined")]),
+    ("def f():\n    try:\n        v = 1\n    except E:\n        pass\n    return v", [("f", "E", 4, "undefined")]), ("match 1:\n    case x:\n        print(x)", []), ("x: int\nprint(x)", [("", "x", 2, "before")]), ("not python (", []), (None, []),
+])
+def test_scoped_names(code, want):
+    assert pynames.scoped_names(code) == want
+
+
+@given(st.lists(st.integers(0, 1), max_size=14))
+def test_z_function(s):
+    assert pynames.z_function(s) == [next((k for k in range(len(s) - i) if s[k] != s[i + k]), len(s) - i) for i in range(len(s))]
+
+
+def test_folding_by_statements():
+    piece = "import os\nx = 1\nprint(x)\n"
+    for text in (piece * 2, piece * 5, piece + "# other\n" + piece, piece * 2 + "import os\nx", piece * 2 + "import os\nx = 1\npri", piece * 2 + "import os\nx = 1\nprint("):
+        assert pynames.fold_copies(text) == piece.rstrip(), text
+    for text in (piece, piece + "x = 2\n", piece * 2 + "y = 1\n", piece + piece.replace("1", "2")):
+        assert pynames.fold_copies(text) == text
+    assert pynames.fold_copies(None) is None and pynames.fold_copies("(((") is None and pynames.fold_copies("") == ""

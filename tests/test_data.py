@@ -1,5 +1,6 @@
 import functools
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -283,3 +284,67 @@ def test_plans_and_recomputed(spark):
         dataset.normalised_rows(spark.createDataFrame([(None,)], "expected_vulnerable boolean")).collect()
 
 
+SAMPLE = "id string, task_type string, instruction string, vulnerability_type string, difficulty string, expected_vulnerable boolean"
+
+
+def test_checked_write_is_one_pass_and_all_or_nothing(spark, tmp_path):
+    good = [(str(i), "fix", "say", "fstring", "easy", True) for i in range(30)]
+    rows, path = spark.createDataFrame(good, SAMPLE), str(tmp_path / "out")
+    scans = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            scans.add(b.num_rows)
+            yield b
+
+    once = rows.mapInArrow(counted, rows.schema)
+    assert sinks.publish(once, path, contracts.sample_rules(rows), "test") == 30 and scans.value == 30
+    bad = spark.createDataFrame([*good[:9], (" ", "fix", "say", "fstring", "easy", None)], SAMPLE)
+    with pytest.raises(contracts.ContractError, match="id: blank"):
+        sinks.write_checked(spark, bad, path)
+    assert spark.read.json(path).count() == 30 and [p.name for p in tmp_path.iterdir()] == ["out"]
+    with pytest.raises(contracts.ContractError):
+        sinks.write_splits(bad, str(tmp_path / "none"))
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+    assert sinks.publish(rows.limit(0), path, contracts.sample_rules(rows), "test") == 0
+    assert sinks.publish(rows, path, contracts.sample_rules(rows), "test", by=("task_type",)) == 30 and (tmp_path / "out/task_type=fix").exists()
+
+
+def test_a_replayed_batch_leaves_the_log_equal(spark, tmp_path):
+    for i in range(3):
+        spark.range(10 * i, 10 * i + 10).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 3).parquet(str(tmp_path / "in"))
+    log, check = str(tmp_path / "log"), tmp_path / "check"
+    sinks.log_stream(stream, log, str(check), "id % 2 = 0").awaitTermination()
+    read = lambda: sorted(r["id"] for r in spark.read.schema("id long").json(f"{log}/batch=*").collect())
+    assert read() == list(range(0, 30, 2))
+    last = max((check / "commits").iterdir(), key=lambda p: int(p.name) if p.name.isdigit() else -1)
+    for f in (last, check / "commits" / f".{last.name}.crc"):  # as if the query had died before it noted the batch
+        f.unlink(missing_ok=True)
+    sinks.log_stream(stream, log, str(check), "id % 2 = 0").awaitTermination()
+    assert read() == list(range(0, 30, 2))
+
+
+@pytest.mark.parametrize("counts", [[50, 30, 30, 1], [1] * 60, [2] * 50, [90] + [1] * 80, [3, 3, 2], []])
+def test_top_texts_are_exact(spark, monkeypatch, counts):
+    """With and without frequent texts, with ties at the last place, and with a sketch that is far too small."""
+    rows = [(f"t{i}", k * 1000 + i) for i, n in enumerate(counts) for k in range(n)]
+    df = spark.createDataFrame(rows, "t string, o long").repartition(5)
+    want = sorted(((f"t{i}", n, i) for i, n in enumerate(counts)), key=lambda r: (-r[1], r[2]))
+    monkeypatch.setattr(diversity, "SPARE", 4)
+    for tracked in (10_000, 8):
+        monkeypatch.setattr(diversity, "TRACKED", tracked)
+        for k in (1, 2, 3):
+            got = sorted(map(tuple, diversity.top_texts(df, F.col("t"), F.col("o"), k).collect()), key=lambda r: (-r[1], r[2]))
+            assert got == want[:k]
+
+
+@pytest.mark.parametrize("k", [1, 7, 60, 5000])
+def test_exact_overlap_by_all_pairs(spark, k):
+    rng = random.Random(k)
+    words = [f"w{i}" for i in range(25)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.choice([1, 3, 6, 9])))) for i in range(60)] + [(60 + i, "w1 w2 w3 w4") for i in range(9)] + [(80, None), (81, "")]
+    sets = {i: set(t.split()) for i, t in rows if t}
+    pairs = sorted(((len(sets[i] & sets[j]) / len(sets[i] | sets[j]), i, j) for i in sets for j in sets if i < j and sets[i] & sets[j]), key=lambda p: (-p[0], p[1], p[2]))
+    got = diversity.exact_overlap(spark, spark.createDataFrame(rows, "i long, t string"), "i", F.col("t"), k).collect()
+    assert sorted(((r["overlap"], r["i"], r["j"]) for r in got), key=lambda p: (-p[0], p[1], p[2])) == pairs[:k]
