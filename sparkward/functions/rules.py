@@ -50,12 +50,6 @@ def rule_hits(code: Column, rules: tuple[tuple[str, str], ...] = DETECTOR_RULES,
     return F.array_compact(F.array(*tests))
 
 
-def rule_result(code: Column) -> Column:
-    """struct(is_vulnerable, violations, matched_patterns)."""
-    hits = rule_hits(code)
-    return F.struct((F.size(hits) > 0).alias("is_vulnerable"), hits.alias("violations"), hits.alias("matched_patterns"))
-
-
 def target_is_safe(code: Column) -> Column:
     return F.size(rule_hits(code, TARGET_RULES, heuristic=False)) == 0
 

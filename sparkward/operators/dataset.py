@@ -33,13 +33,6 @@ def apportion(buckets: DataFrame, weight: Column, total: int, order: Column) ->
     return shares.withColumn("n", (F.col("__low") + F.when(F.col("__rank") <= left, 1).otherwise(0)).cast("long")).drop("__exact", "__low", "__rank")
 
 
-def keep_first(rows: DataFrame, key: list[Column], order: list[Column]) -> DataFrame:
-    """The first row of each key in a total order, with column copies: how many rows the key has."""
-    w = Window.partitionBy(*key)
-    ranked = rows.withColumn("__rank", F.row_number().over(w.orderBy(*order))).withColumn("copies", F.count("*").over(w))
-    return ranked.where("__rank = 1").drop("__rank")
-
-
 def merge_splits(sources: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Concatenate sources and keep the first row of each id (or, without one, of each instruction and input).
 

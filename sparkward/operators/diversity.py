@@ -26,11 +26,11 @@ def top_texts(rows: DataFrame, text: Column, order: Column, k: int) -> DataFrame
     got = named.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h, {k + SPARE}, {TRACKED})").alias("top")).first()
     top = got["top"] or []
     hashes = [x["item"] for x in top]
-    unseen = max(top[-1]["count"] if len(top) == k + SPARE else 0, 3.5 * got["n"] / TRACKED if len(top) == k + SPARE else 0)
+    unseen = max(top[-1]["count"] if len(top) == k + SPARE else 0, 3.5 * got["n"] / TRACKED)
     counts = named.where(F.col("h").isin(hashes)).groupBy("t").agg(F.count("*").alias("n"), F.min("o").alias("first"))
     best = counts.orderBy(F.desc("n"), "first").limit(k)
     least = best.agg(F.min("n"), F.count("*")).first()
-    if len(top) < k + SPARE or least[1] == k and least[0] > unseen:
+    if unseen < 1 or least[1] == k and least[0] > unseen:
         return best
     digests = named.groupBy(F.sha2("t", 256).alias("d")).agg(F.count("*").alias("n"), F.min("o").alias("first"))
     first = digests.orderBy(F.desc("n"), "first").limit(k)

@@ -10,6 +10,7 @@ from os.path import commonprefix
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from sparkward.functions import pyast, rewrites, rules
 from sparkward.functions import text as T
@@ -101,15 +102,17 @@ def pair_ids(prompt: str, chosen: str, rejected: str, encode: Encode, end: str,
     return head, *tails, None, added
 
 
-def tokenise(rows: DataFrame, encode: Encode, longest: int) -> DataFrame:
-    """Columns input_ids and completion_mask in place of prompt and completion; encode(text, special) runs on workers."""
+def tokenise(rows: DataFrame, encode: Encode, longest: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns in keep, then input_ids and completion_mask of prompt and completion; encode(text, special) runs on workers."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             made = [masked_ids(p, c, encode, longest) for p, c in zip(f["prompt"], f["completion"], strict=True)]
-            yield pd.DataFrame({"input_ids": [m[0] for m in made], "completion_mask": [m[1] for m in made]})
+            yield f[list(keep)].assign(input_ids=[m[0] for m in made], completion_mask=[m[1] for m in made])
 
-    return rows.select("prompt", "completion").mapInPandas(run, "input_ids array<int>, completion_mask array<int>")
+    some = rows.select(*keep, "prompt", "completion")
+    schema = T_.StructType([some.schema[c] for c in keep] + [T_.StructField(n, T_.ArrayType(T_.IntegerType())) for n in ("input_ids", "completion_mask")])
+    return some.mapInPandas(run, schema)
 
 
 def tokenise_pairs(rows: DataFrame, encode: Encode, end: str, longest_prompt: int | None, longest: int | None) -> DataFrame:

@@ -10,7 +10,7 @@ from sparkward.functions import text as T
 from sparkward.operators import compare, dataset, detection, diversity, generate, trainlog
 from sparkward.operators import metrics as M
 from sparkward.plans.metric_sql import FLAT, bundle_sql, counts, prf
-from sparkward.plans.registering import div, register, values
+from sparkward.plans.registering import div, matches_any, register, values
 from sparkward.plans.views import table, view
 from sparkward.scratch import scratch_path
 from sparkward.sources import contracts, json_tables, sinks
@@ -194,12 +194,16 @@ def run_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.run_plan(models.groupBy("model").agg(F.count("*").alias("verdicts")))
 
 
-@register("schema_inference", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'given' WHEN 1 THEN 't1' WHEN 2 THEN 't2' END AS schema_table, CASE o_orderkey % 4 WHEN 0 THEN 'col' WHEN 1 THEN 'c1' WHEN 2 THEN 'c2' END AS schema_column, CASE WHEN o_orderkey % 4 = 3 THEN 'who' ELSE '' END AS parameter FROM orders")
+_ASKED = "replace(code, 'cur.execute(sql)', 'cur.execute(sql, (value,))')"
+_FROM_SQL = lambda i: f"nullif(regexp_extract({_ASKED}, '(?i)SELECT\\s+\\*\\s+FROM\\s+(\\w+)\\s+WHERE\\s+(\\w+)\\s*=', {i}), '')"
+
+
+@register("schema_inference", f"SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'given' ELSE {_FROM_SQL(1)} END AS schema_table, CASE WHEN o_orderkey % 7 = 0 THEN 'col' ELSE {_FROM_SQL(2)} END AS schema_column, CASE WHEN kind = 1 THEN 'value' ELSE '' END AS parameter FROM code_samples")
 def schema_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey") % 4
-    given = F.when(k == 1, "DB table `t1`, column `c1`").when(k == 2, "select * from t2 where c2 = x").when(k == 3, "cur.execute(sql, (who,))").otherwise("nothing")
-    found = detection.schema_of(F.when(k == 0, " given "), F.when(k == 0, "col"), given)
-    return table(spark, sf_dir, "orders").select("o_orderkey", found[0].alias("schema_table"), found[1].alias("schema_column"), detection.execute_parameter(given).alias("parameter"))
+    """Table, column and parameter of code texts; some rows have the names in fields of their own."""
+    k, text = F.col("o_orderkey") % 7 == 0, F.replace("code", F.lit("cur.execute(sql)"), F.lit("cur.execute(sql, (value,))"))
+    found = detection.schema_of(F.when(k, " given "), F.when(k, "col"), text)
+    return view(spark, sf_dir, "code_samples").select("o_orderkey", found[0].alias("schema_table"), found[1].alias("schema_column"), detection.execute_parameter(text).alias("parameter"))
 
 
 @register("frameworks", "SELECT o_orderkey, CASE WHEN contains(lower(code), 'sqlalchemy') OR contains(lower(code), 'session.execute') THEN 'sqlalchemy' WHEN contains(lower(code), 'sqlite') THEN 'sqlite3' ELSE 'pymysql' END AS framework FROM code_samples")
@@ -399,14 +403,29 @@ def distribution_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.to_json(F.map_from_entries(entries)).alias("counts"), F.sum("n").alias("total"))
 
 
-@register("detection_json", "SELECT o_orderkey, '{\"is_vulnerable\":' || (o_orderkey % 5 = 0)::VARCHAR || ',\"detection_sources\":' || CASE WHEN o_orderkey % 5 = 0 THEN '[\"bandit_b608\"]' ELSE '[]' END || '}' AS told FROM orders")
+def _reported(rows: DataFrame) -> DataFrame:
+    """code_samples with an analyser's report made of the row's numbers; some issues lack a field, some reports are no JSON."""
+    c = F.col("o_custkey")
+    issue = F.struct(F.concat(F.lit("B"), (c % 10 + 600).cast("string")).alias("test_id"), F.when(c % 3 > 0, "MEDIUM").alias("issue_severity"), F.concat(F.lit("issue "), c).alias("issue_text"), F.when(c % 4 == 0, F.lit("?")).otherwise(c.cast("string")).alias("line_number"))
+    return rows.withColumn("report", F.when(c % 11 == 0, F.lit("no report")).otherwise(F.to_json(F.struct(F.array(issue).alias("results")))))
+
+
+_RULED = "(" + matches_any("code", rules.DETECTOR_RULES, True) + ")"
+_B608 = "(o_custkey % 11 <> 0 AND o_custkey % 10 = 8)"
+
+
+@register("detection_json", f"""SELECT o_orderkey, '{{"is_vulnerable":' || ({_B608} OR {_RULED})::VARCHAR || ',"detection_sources":[' || concat_ws(',', CASE WHEN {_B608} THEN '"bandit_b608"' END, CASE WHEN {_RULED} THEN '"rule_based"' END) || ']}}' AS told FROM code_samples""")
 def detection_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = F.when(F.col("o_orderkey") % 5 == 0, '{"results": [{"test_id": "B608"}]}').otherwise("[]")
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("x = 1").alias("code"))
-    told = detection.detect(rows, report=report)
+    told = detection.detect(_reported(view(spark, sf_dir, "code_samples")), report=F.col("report"))
     return told.select("o_orderkey", F.to_json(F.struct("is_vulnerable", "detection_sources")).alias("told"))
 
 
+@register("normalised_issues", "SELECT o_orderkey, 'B' || (o_custkey % 10 + 600) AS test_id, CASE WHEN o_custkey % 3 > 0 THEN 'MEDIUM' ELSE 'UNKNOWN' END AS severity, 'UNKNOWN' AS confidence, 'issue ' || o_custkey AS text, CASE WHEN o_custkey % 4 = 0 THEN -1 ELSE o_custkey END::INT AS line_number FROM orders WHERE o_custkey % 11 <> 0")
+def normalised_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _reported(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    return rows.select("o_orderkey", F.inline(detection.normalised_issues(F.col("report"))))
+
+
 @register("nan_rows", "SELECT run_id, step FROM trainlog WHERE step % 5 = 0")
 def nan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = view(spark, sf_dir, "trainlog").withColumn("loss", F.when(F.col("step") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("val_loss")))

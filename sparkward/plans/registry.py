@@ -89,14 +89,16 @@ def attack_detector_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUALITY = ("warning", "explanation", "safe_solution", "full_compliance")
-_WORDS = {"has_warning": " the ", "has_explanation": " and ", "has_safe_solution": " of "}
 
 
-@register("response_quality", "WITH s AS (SELECT length(text) % 2 = 0 AS ev, contains(text, ' the ') AS warning, contains(text, ' and ') AS explanation, contains(text, ' of ') AS safe_solution FROM documents), g AS (SELECT *, warning AND explanation AND safe_solution AS full_compliance FROM s) "
+@register("response_quality", "WITH s AS (SELECT n_chars % 7 < 3 AS ev, contains(r, '[SECURITY WARNING]') AS warning, contains(r, '[EXPLANATION]') AS explanation, contains(r, '[SAFE SOLUTION]') AS safe_solution FROM (SELECT n_chars, text || CASE WHEN n_chars % 2 = 0 THEN ' [SECURITY WARNING]' ELSE '' END || CASE WHEN n_chars % 3 = 0 THEN ' [EXPLANATION]' ELSE '' END || CASE WHEN n_chars % 5 < 4 THEN ' [SAFE SOLUTION]' ELSE '' END AS r FROM documents)), g AS (SELECT *, warning AND explanation AND safe_solution AS full_compliance FROM s) "
     + " UNION ALL ".join(f"SELECT '{n}' AS scope, count(*) AS n, " + ", ".join(f"{_div(f'count(*) FILTER (WHERE {q})', 'count(*)')} AS {q}_rate" for q in _QUALITY) + f" FROM g WHERE {w}" for n, w in (("all", "true"), ("positives", "ev"), ("negatives", "NOT ev"))))
 def response_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return M.response_quality(docs.select((F.char_length("text") % 2 == 0).alias("expected_vulnerable"), *(F.contains("text", F.lit(w)).alias(c) for c, w in _WORDS.items())))
+    n = F.col("n_chars")
+    marks = (F.when(n % 2 == 0, " [SECURITY WARNING]"), F.when(n % 3 == 0, " [EXPLANATION]"), F.when(n % 5 < 4, " [SAFE SOLUTION]"))
+    docs = table(spark, sf_dir, "documents").select((n % 7 < 3).alias("expected_vulnerable"), F.concat("text", *(F.coalesce(m, F.lit("")) for m in marks)).alias("response"))
+    flags = T.response_flags(F.col("response"))
+    return M.response_quality(docs.select("expected_vulnerable", *(c.alias(name) for name, c in flags.items())))
 
 
 @register("response_markers", "SELECT count(*) AS n, count(*) FILTER (WHERE contains(response, '[SECURITY WARNING]')) AS has_warning, count(*) FILTER (WHERE contains(response, '[EXPLANATION]')) AS has_explanation, count(*) FILTER (WHERE contains(response, '[SAFE SOLUTION]')) AS has_safe_solution FROM chat")
@@ -413,10 +415,7 @@ _DONE_BYTES = r"CASE WHEN trim(text) = '' THEN 0 ELSE octet_length(encode(regexp
 @register("masked_tokens", f"WITH s AS (SELECT doc_id, {_PROMPT_BYTES} AS p, {_PROMPT_BYTES} + {_DONE_BYTES} AS n FROM documents) SELECT doc_id, least(n, 512) AS n_ids, least(n, 512) - greatest(0, p - greatest(0, n - 512)) AS n_completion FROM s")
 def masked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = preparation.prompt_completion(table(spark, sf_dir, "documents").select("doc_id", F.lit("say").alias("instruction"), F.lit("").alias("input"), F.col("text").alias("output")))
+    made = preparation.tokenise(rows, _bytes, 512, keep=("doc_id",))
+    return made.select("doc_id", F.size("input_ids").cast("long").alias("n_ids"), F.aggregate("completion_mask", F.lit(0), lambda n, x: n + x).cast("long").alias("n_completion"))
 
-    def run(frames):
-        for f in frames:
-            made = [preparation.masked_ids(p, c, _bytes, 512) for p, c in zip(f["prompt"], f["completion"], strict=True)]
-            yield f[["doc_id"]].assign(n_ids=[len(i) for i, _ in made], n_completion=[sum(m) for _, m in made])
 
-    return rows.select("doc_id", "prompt", "completion").mapInPandas(run, "doc_id long, n_ids long, n_completion long")
