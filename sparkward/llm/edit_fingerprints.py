@@ -320,11 +320,55 @@ def against_next(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id"
 _JUDGED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands_edited int, linked_edited boolean, linked_next boolean"
 
 
-def near_links(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, likeness), a < b: verified links between all texts that share a band.
+def _joined_up(threshold: float):
+    """Blocks of (task, p, fingerprint, side), sorted by task, to (x, y): a forest of verified links in each block.
 
-    The least id of a fingerprint stands for its texts; the others are linked to it alone, with likeness 1. Null and empty
-    texts have no band, null ids no link. A band of more than BLOCK texts is dealt in salted blocks, and each two of its blocks meet in a task of their own.
+    Two texts are compared only while nothing links them yet, so a block of texts that are all alike takes one comparison
+    for each, and what comes out is never more than a text's first link. side tells chunks that meet apart; null: all meet.
+    """
+
+    def solve(block: list[tuple]) -> Iterator[tuple[int, int]]:
+        parent = list(range(len(block)))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        prints = [parsed(r[2]) for r in block]
+        for i, x in enumerate(block):
+            for j in range(i):
+                y = block[j]
+                if (x[3] is None or x[3] != y[3]) and root(i) != root(j) and likeness(prints[i], prints[j]) >= threshold:
+                    parent[root(i)] = root(j)
+                    yield y[1], x[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    out += solve(held)
+                    held = []
+                held.append(row)
+            yield _edges(out)
+        yield _edges(list(solve(held)) if held else [])
+
+    return run
+
+
+def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+
+def near_classes(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id of every row: the least id that verified links between texts of a common band reach.
+
+    Texts of equal fingerprints are one from the start. A band that more than BLOCK fingerprints have is dealt in salted
+    blocks, and each two of its blocks meet in a task of their own. Pairs are not listed: a block gives a forest of its
+    links. Null and empty texts have no band, so each is a class of its own, and so is a row without an id.
     """
     text = F.col(text_col).cast("string")
     pieces = docs.agg(F.sum(F.ceil(F.length(text) / REACH))).first()[0] or 0
@@ -336,28 +380,34 @@ def near_links(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
             found = walks.prints([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(printed, found), pa.string()), pa.array([walks.link_keys(x, bands) for x in found], pa.list_(pa.int64()))], ["doc_id", "fingerprint", "bands"])
 
-    def like(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([likeness(parsed(x), parsed(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
-
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(keyed, "doc_id long, fingerprint string, bands array<long>")
-    rows, _ = base.written(spark, rows.where("doc_id is not null and fingerprint <> '0:'").withColumn("p", F.xxhash64("fingerprint")), "edit-rows")
-    prints, _ = base.written(spark, rows.groupBy("p", "fingerprint").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "edit-prints")
-    twins = rows.select("p", F.col("doc_id").alias("b")).join(prints.select("p", F.col("doc_id").alias("a")), "p").where("a < b").select("a", "b", F.lit(1.0).alias("likeness"))
-    bands = prints.select("p", F.explode("bands").alias("band"))
-    sizes = bands.groupBy("band").count().where("count > 1")
-    dealt = bands.join(sizes.select("band", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "band")
+    linkable = F.when((F.col("fingerprint") != "0:") & F.col("doc_id").isNotNull(), F.xxhash64("fingerprint"))
+    rows, _ = base.written(spark, rows.withColumn("p", linkable), "edit-rows")
+    prints, _ = base.written(spark, rows.where("p is not null").groupBy("p").agg(F.min("fingerprint").alias("fingerprint"), F.min("doc_id").alias("least"), F.min_by("bands", "doc_id").alias("bands")), "edit-prints")
+    bands = prints.select("p", F.explode(F.array_distinct("bands")).alias("band"))
+    sizes, _ = base.written(spark, bands.groupBy("band").agg(F.count("*").alias("k")).where("k > 1"), "edit-bands")
+    dealt = bands.join(sizes.select("band", F.ceil(F.col("k") / BLOCK).cast("int").alias("parts")), "band")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("p"), F.col("parts")).cast("int"))
     dealt = dealt.select("p", "band", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt, _ = base.written(spark, dealt.select("p", "own", F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("task"), (F.col("own") == F.col("other")).alias("alone")), "edit-blocks")
-    left, right = (dealt.select("task", F.col("p").alias(x), F.col("own").alias(f"own_{x}"), F.col("alone").alias(f"alone_{x}")) for x in "xy")
+    task = F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other"))
     # a block meets itself in a task of its own, so two of its texts don't meet again where it meets another
-    pairs = left.join(right, "task").where("x < y and (alone_x or own_x <> own_y)").select("x", "y").distinct()
-    a, b = (prints.select(F.col("p").alias(k), F.col("doc_id").alias(f"doc_{k}"), F.col("fingerprint").alias(f"print_{k}")) for k in "xy")
-    told = pairs.join(a, "x").join(b, "y").where("doc_x <> doc_y")
-    told = told.select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b"), F.pandas_udf(like, "double")("print_x", "print_y").alias("likeness"))
-    return told.where(F.col("likeness") >= threshold).unionByName(twins).groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
+    dealt, _ = base.written(spark, dealt.select("p", task.alias("task"), F.when(F.col("own") != F.col("other"), F.col("own")).alias("side")), "edit-blocks")
+    full = dealt.join(prints.select("p", "fingerprint"), "p").select("task", "p", "fingerprint", "side")
+    links, _ = base.written(spark, full.repartition("task").sortWithinPartitions("task").mapInArrow(_joined_up(threshold), "u long, v long"), "edit-links")
+    roots, _ = base.written(spark, base.components(spark, links), "edit-roots")
+    lead = prints.join(roots.withColumnRenamed("node", "p"), "p").groupBy("component").agg(F.min("least").alias("lead"))
+    told = prints.join(roots.join(lead, "component").select(F.col("node").alias("p"), "lead"), "p", "left").select("p", F.coalesce("lead", "least").alias("lead"))
+    told, _ = base.written(spark, told, "edit-classes")
+    return rows.select("doc_id", "p").join(told, "p", "left").select("doc_id", F.coalesce("lead", "doc_id").alias("class_id"))
+
+
+def edit_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of documents by edit fingerprints: the candidate search over all texts."""
+    base.tune(spark)
+    return near_classes(spark, base.table(spark, sf_dir, "documents"))
 
 
 def op2_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents against its edited text and the next; hard rows as against_next() states."""
     base.tune(spark)
     return against_next(spark, base.table(spark, sf_dir, "documents"))
