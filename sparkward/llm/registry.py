@@ -20,4 +20,4 @@ QUERIES = {
     "op13_whitening": whitening.op13_whitening,
     "edit_classes": edit_fingerprints.edit_classes,
 }
-ORACLE_SQL = {"op1_warc": warc.OP1_SQL, "op4_url_filters": url_filters.OP4_SQL}
+ORACLE_SQL = {"op1_warc": warc.OP1_SQL, "op4_url_filters": url_filters.OP4_SQL, "op11_embedding_dedup": embedding_dedup.OP11_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL}

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkward.llm import base, embedding_dedup, hard_negatives, whitening
+from sparkward.llm import base, embedding_dedup, hard_negatives, registry, whitening
+from tests.duck import duck, rows
 
 NAN, INF = float("nan"), float("inf")
 
@@ -175,3 +176,9 @@ def test_small_tables(spark, rows):
     assert sorted(map(tuple, _mine(spark, df).collect()), key=repr) == _mined(df.collect())
     fit = {tuple(r[1]) for r in rows if r[1]}
     assert whitening.whiten(spark, df).count() == (len([r for r in rows if r[1]]) * min(1, len(fit) - 1) if fit else 0)
+
+
+@pytest.mark.parametrize("name", ["op11_embedding_dedup", "op12_hard_negatives"])
+def test_queries_by_sql(spark, sf_dir, name):
+    got, want = registry.QUERIES[name](spark, sf_dir).toPandas(), duck(registry.ORACLE_SQL[name], sf_dir)
+    assert len(got) and sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
