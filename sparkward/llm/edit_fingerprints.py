@@ -385,7 +385,10 @@ def near_classes(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id"
     rows, _ = base.written(spark, rows.withColumn("p", linkable), "edit-rows")
     prints, _ = base.written(spark, rows.where("p is not null").groupBy("p").agg(F.min("fingerprint").alias("fingerprint"), F.min("doc_id").alias("least"), F.min_by("bands", "doc_id").alias("bands")), "edit-prints")
     bands = prints.select("p", F.explode(F.array_distinct("bands")).alias("band"))
-    sizes, _ = base.written(spark, bands.groupBy("band").agg(F.count("*").alias("k")).where("k > 1"), "edit-bands")
+    # copies share most of their bands with one another only: of bands with the same texts (by 128 bits) one is enough
+    marks = [F.bit_xor(F.xxhash64("p", F.lit(i))).alias(f"m{i}") for i in range(2)]
+    shared, _ = base.written(spark, bands.groupBy("band").agg(F.count("*").alias("k"), *marks).where("k > 1"), "edit-bands")
+    sizes, _ = base.written(spark, shared.groupBy("k", "m0", "m1").agg(F.min("band").alias("band")), "edit-sizes")
     dealt = bands.join(sizes.select("band", F.ceil(F.col("k") / BLOCK).cast("int").alias("parts")), "band")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("p"), F.col("parts")).cast("int"))
     dealt = dealt.select("p", "band", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
@@ -401,12 +404,6 @@ def near_classes(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id"
     return rows.select("doc_id", "p").join(told, "p", "left").select("doc_id", F.coalesce("lead", "doc_id").alias("class_id"))
 
 
-def edit_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The classes of documents by edit fingerprints: the candidate search over all texts."""
-    base.tune(spark)
-    return near_classes(spark, base.table(spark, sf_dir, "documents"))
-
-
 def op2_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents against its edited text and the next; hard rows as against_next() states."""
     base.tune(spark)

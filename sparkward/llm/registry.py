@@ -18,6 +18,5 @@ QUERIES = {
     "op11_embedding_dedup": embedding_dedup.op11_embedding_dedup,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_whitening": whitening.op13_whitening,
-    "edit_classes": edit_fingerprints.edit_classes,
 }
 ORACLE_SQL = {"op1_warc": warc.OP1_SQL, "op4_url_filters": url_filters.OP4_SQL, "op11_embedding_dedup": embedding_dedup.OP11_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL}
