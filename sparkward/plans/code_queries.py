@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkward.functions import pyast, pynames, rewrites, rules, taint
+from sparkward.functions import once, pyast, pynames, rewrites, rules, taint
 from sparkward.operators import dataset, diversity, evaluate, preparation
 from sparkward.operators import metrics as M
 from sparkward.plans.metric_sql import bundle_sql
@@ -81,7 +81,7 @@ def code_only_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("taint_static", f"SELECT o_orderkey, {KIND} = 12 AS is_vulnerable, CASE WHEN {KIND} = 12 THEN 1 ELSE 0 END AS taint_flows_detected, {by_kind(_ENDED)} AS error, CASE WHEN {KIND} = 12 THEN {by_kind({12: 'SELECT * FROM TBL WHERE COL = COL'})} END AS preview FROM orders")
 def taint_static(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "code_samples").select("o_orderkey", taint.taint_column(F.col("code")).alias("x"))
+    rows = once.of_each(view(spark, sf_dir, "code_samples"), ["code"], lambda kinds: kinds.withColumn("x", taint.taint_column(F.col("code"))))
     return rows.select("o_orderkey", "x.is_vulnerable", "x.taint_flows_detected", "x.error", F.get("x.details", F.lit(0))["sql_preview"].alias("preview"))
 
 
@@ -101,7 +101,7 @@ UNION ALL SELECT o_orderkey, 1, NULL, '{_CONNECTION}', 'SELECT ' || lpad({_SHOWN
 SELECT o_orderkey, n > 0 AS is_vulnerable, n::INT AS taint_flows_detected, error, sink, preview FROM f""")
 def taint_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows through containers, comprehensions, loops, branches, functions and errors, with the first one's preview."""
-    rows = view(spark, sf_dir, "flow_samples").select("o_orderkey", taint.taint_column(F.col("code")).alias("x"))
+    rows = once.of_each(view(spark, sf_dir, "flow_samples"), ["code"], lambda kinds: kinds.withColumn("x", taint.taint_column(F.col("code"))))
     first = F.get("x.details", F.lit(0))
     return rows.select("o_orderkey", "x.is_vulnerable", "x.taint_flows_detected", "x.error", first["sink"].alias("sink"), first["sql_preview"].alias("preview"))
 
@@ -159,7 +159,8 @@ _FOLDS = {**dict.fromkeys((0, 1, 2, 3, 4), _ONCE), 5: _ONCE, 6: REPEATS[6], 7: R
 @register("folded_copies", f"SELECT o_orderkey, {by_kind(_FOLDS, kind=REPEAT_KIND)} AS folded FROM orders")
 def folded_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Programs that repeat themselves, with other comments or a last copy that is cut off."""
-    return view(spark, sf_dir, "repeat_samples").select("o_orderkey", pynames.fold_column(F.col("code")).alias("folded"))
+    rows = view(spark, sf_dir, "repeat_samples")
+    return once.of_each(rows, ["code"], lambda kinds: kinds.withColumn("folded", pynames.fold_column(F.col("code")))).select("o_orderkey", "folded")
 
 
 #: The frame of each kind that has a bound query, with the call's arguments left open (and a line before the call).
@@ -194,10 +195,15 @@ def _unsafe_text(kind: int, attack: str) -> str:
     return text.replace("{call}", call)
 
 
+def attacked(kinds: DataFrame) -> DataFrame:
+    """A row for each text and attack."""
+    return kinds.withColumn("attack", F.explode(F.array(*map(F.lit, ATTACKS))))
+
+
 @register("unsafe_variant", f"SELECT o_orderkey, a.attack, {named('a.rejected')} AS rejected FROM orders JOIN ({values([(k, a, _unsafe_text(k, a)) for k in _FRAMES for a in ATTACKS])}) a(k, attack, rejected) ON a.k = {KIND}")
 def unsafe_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "code_samples").select("o_orderkey", "code", F.explode(F.array(*map(F.lit, ATTACKS))).alias("attack"))
-    return rows.select("o_orderkey", "attack", rewrites.unsafe_column(F.col("code"), F.col("attack")).alias("rejected")).where("rejected is not null")
+    made = lambda kinds: attacked(kinds).withColumn("rejected", rewrites.unsafe_column(F.col("code"), F.col("attack"))).where("rejected is not null")
+    return once.of_each(view(spark, sf_dir, "code_samples"), ["code"], made).select("o_orderkey", "attack", "rejected")
 
 
 #: Programs without a bound query that have a function with a handle and a value: the aligned text is that function's.
@@ -219,10 +225,12 @@ def _aligned_text(kind: int, attack: str) -> str:
 @register("aligned_variant", f"SELECT o_orderkey, a.attack, {named('a.rejected')} AS rejected FROM orders JOIN ({values([(k, a, _aligned_text(k, a)) for k in _ALIGNED for a in ATTACKS])}) a(k, attack, rejected) ON a.k = {KIND}")
 def aligned_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants of programs that have no bound query of their own."""
-    rows = view(spark, sf_dir, "code_samples").select("o_orderkey", "code", F.explode(F.array(*map(F.lit, ATTACKS))).alias("attack"))
-    own = rewrites.unsafe_column(F.col("code"), F.col("attack"))
-    without = rows.withColumn("own", own).where("own is null")
-    return without.select("o_orderkey", "attack", rewrites.aligned_column(F.col("code"), F.col("attack"), F.lit("t"), F.lit("c")).alias("rejected")).where("rejected is not null")
+
+    def made(kinds: DataFrame) -> DataFrame:
+        without = attacked(kinds).withColumn("own", rewrites.unsafe_column(F.col("code"), F.col("attack"))).where("own is null").drop("own")
+        return without.withColumn("rejected", rewrites.aligned_column(F.col("code"), F.col("attack"), F.lit("t"), F.lit("c"))).where("rejected is not null")
+
+    return once.of_each(view(spark, sf_dir, "code_samples"), ["code"], made).select("o_orderkey", "attack", "rejected")
 
 
 _REBOUND = {
@@ -238,7 +246,8 @@ _REBOUND = {
 @register("safe_fix_flows", f"SELECT o_orderkey, {by_kind(_REBOUND, kind=BUILD_KIND)} AS fixed FROM orders")
 def safe_fix_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries built by +=, in branches and loops; null where a piece is unknown, or the value is a table's name."""
-    return view(spark, sf_dir, "build_samples").select("o_orderkey", rewrites.fix_column(F.col("code")).alias("fixed"))
+    rows = view(spark, sf_dir, "build_samples")
+    return once.of_each(rows, ["code"], lambda kinds: kinds.withColumn("fixed", rewrites.fix_column(F.col("code")))).select("o_orderkey", "fixed")
 
 
 _FIXED = {
@@ -252,8 +261,8 @@ _FIXED = {
 
 @register("safe_fix", f"SELECT o_orderkey, {by_kind(_FIXED)} AS fixed FROM orders WHERE {KIND} IN ({', '.join(map(str, _FIXED))})")
 def safe_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "code_samples").select("o_orderkey", rewrites.fix_column(F.col("code")).alias("fixed"))
-    return rows.where("fixed is not null")
+    made = lambda kinds: kinds.withColumn("fixed", rewrites.fix_column(F.col("code"))).where("fixed is not null")
+    return once.of_each(view(spark, sf_dir, "code_samples"), ["code"], made).select("o_orderkey", "fixed")
 
 
 #: Kinds whose target is safe: (kind, driver, framework, outcome of every attack, steps that were passed).
@@ -277,7 +286,7 @@ _written: dict[tuple[str, str], str] = {}
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs that were tried, written once for all queries of an application: making them is the costly part."""
     rows = tagged(spark, sf_dir).select("o_orderkey", F.lit("say").alias("instruction"), F.lit("DB table `t`, column `c`").alias("input"), F.col("code").alias("output"), F.lit(True).alias("expected_vulnerable"), "difficulty")
-    made = preparation.build_pairs(rows, "o_orderkey")
+    made = preparation.build_pairs(rows, "o_orderkey").drop("prompt", "chosen", "rejected", "iso_reason")  # no query shows them
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
         path = scratch_path(spark, "pairs")

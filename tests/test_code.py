@@ -1,14 +1,17 @@
 import json
+import re
 import subprocess
 import sys
 import time
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkward.functions import pyast, pynames, rewrites, rules, taint
+import __spark_entry__
+from sparkward.functions import once, pyast, pynames, rewrites, rules, taint
 from sparkward.functions import text as T
 
 SAFE = ['cur.execute("SELECT * FROM t WHERE a = %s", (v,))', 'cur.execute("SELECT ?", (v,))', 'conn.execute(text("SELECT :val"), {"val": v})', 'cur.execute("SELECT %(val)s", {"val": v})', 'cur.executemany("INSERT INTO t VALUES (?)", rows)']
@@ -223,3 +226,28 @@ def test_folding_by_statements():
     for text in (piece, piece + "x = 2\n", piece * 2 + "y = 1\n", piece + piece.replace("1", "2")):
         assert pynames.fold_copies(text) == text
     assert pynames.fold_copies(None) is None and pynames.fold_copies("(((") is None and pynames.fold_copies("") == ""
+
+
+@pytest.mark.parametrize("query", ["aligned_variant", "unsafe_variant", "scoped_names", "taint_flows", "safe_fix_flows", "safe_fix", "folded_copies", "verdict_rows"])
+def test_equal_texts_are_judged_once(spark, sf_dir, query):
+    """Python sees different texts only, dealt by their number, and no filter on its result is moved below that."""
+    plan = __spark_entry__.queries()[query](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    steps = re.findall(r"^[ :+|-]*(ArrowEvalPython|Generate ScopedNames|Generate|RepartitionByExpression|Aggregate|Relation)", plan, re.MULTILINE)
+    python = [i for i, x in enumerate(steps) if x != "RepartitionByExpression" and x not in ("Aggregate", "Relation")]
+    assert python and all("RepartitionByExpression" in (below := steps[i : steps.index("Relation", i)]) and "Aggregate" in below for i in python)
+
+
+def test_of_each_follows_rows(spark):
+    rows = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "", "x"), (4, None, "x"), (5, "b", "x")], "i int, t string, u string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(kinds):
+        def count(texts: pd.Series) -> pd.Series:
+            seen.add(len(texts))
+            return texts
+
+        return kinds.where("t is null or t <> 'b'").withColumn("again", once.costly(count, "string")(F.col("t"))).withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
+
+    got = once.of_each(rows, ["t", "u"], told).where("again is null or again <> 'z'").select("i", "again", "n").collect()
+    assert sorted((r.i, r.again or "-", r.n) for r in got) == [(i, x, n) for i, x in ((1, "a"), (2, "a"), (3, "-"), (4, "-")) for n in (1, 2)]
+    assert seen.value == 3
