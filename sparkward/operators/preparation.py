@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
-from sparkward.functions import pyast, rewrites, rules
+from sparkward.functions import once, pyast, rewrites, rules
 from sparkward.functions import text as T
 from sparkward.operators import dataset, detection
 from sparkward.operators.metrics import ratio
@@ -145,7 +145,17 @@ def build_pairs(rows: DataFrame, ordinal: str) -> DataFrame:
     how far the pair came. A text without a bound query of its own gets the aligned variant of its main function. Keep outcome = 'ok', then quota_of_tiers, then sampled_pairs.
     """
     difficulty = F.col("difficulty") if "difficulty" in rows.columns else F.lit("medium")
-    safe = rows.withColumn("__difficulty", difficulty).where("expected_vulnerable").withColumn("chosen", pyast.code_only_column(F.col("output"))).where("chosen is not null")
+    asked = rows.withColumn("__difficulty", difficulty).where("expected_vulnerable").select(ordinal, "instruction", "__difficulty", F.col("input").cast("string").alias("input"), F.col("output").cast("string").alias("output"))
+    told = once.of_each(asked, ["input", "output"], _tried)
+    return told.select(
+        ordinal, T.prompt(F.col("instruction"), F.col("input")).alias("prompt"), "chosen", "rejected", F.col("attack").alias("attack_type"), dataset.tier_of(F.col("attack")).alias("tier"),
+        F.col("__difficulty").alias("difficulty"), "schema_table", "schema_column", "framework", "driver", "outcome", "steps", "iso_reason",
+    )
+
+
+def _tried(kinds: DataFrame) -> DataFrame:
+    """What build_pairs says of each different input and output: a row for each attack type."""
+    safe = kinds.withColumn("chosen", pyast.code_only_column(F.col("output"))).where("chosen is not null")
     safe = safe.where(pyast.parse_column(F.col("chosen"))["ok"]).where(rules.target_is_safe(F.col("chosen")))
     tried = safe.withColumn("attack", F.explode(F.array(*(F.lit(a) for a, _ in dataset.ATTACKS))))
     schema = detection.schema_of(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("input"))
@@ -157,8 +167,7 @@ def build_pairs(rows: DataFrame, ordinal: str) -> DataFrame:
     names = F.array(F.lit("variant"), F.lit("differs"), F.lit("unsafe"), F.lit("isomorphic"))
     reached = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, tests)), F.col("outcome")), F.lit(0)) - 1, F.lit(len(tests)))
     return told.select(
-        ordinal, T.prompt(F.col("instruction"), F.col("input")).alias("prompt"), "chosen", "rejected", F.col("attack").alias("attack_type"), dataset.tier_of(F.col("attack")).alias("tier"),
-        F.col("__difficulty").alias("difficulty"), *(c.alias(n) for c, n in zip(schema, ("schema_table", "schema_column"), strict=True)), T.framework_of(F.col("chosen")).alias("framework"),
+        "input", "output", "chosen", "rejected", "attack", *(c.alias(n) for c, n in zip(schema, ("schema_table", "schema_column"), strict=True)), T.framework_of(F.col("chosen")).alias("framework"),
         T.driver_of(F.col("chosen")).alias("driver"), "outcome", F.slice(names, F.lit(1), reached.cast("int")).alias("steps"), F.col("iso.reason").alias("iso_reason"),
     )
 
