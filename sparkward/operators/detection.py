@@ -75,9 +75,11 @@ def analyser_report(code: Column) -> Column:
     return F.pandas_udf(_reports, "string")(code)
 
 
-def detect(rows: DataFrame, code: str = "code", mode: str = "or", use_rules: bool = True, use_taint: bool = False, report: Column | None = None) -> DataFrame:
+def detect(rows: DataFrame, code: str = "code", mode: str = "or", use_rules: bool = True, use_taint: bool = False, report: Column | None = None, known: Column | None = None) -> DataFrame:
     """rows with columns of all detectors, the merged verdict and its sources.
 
+    known is what taint_column said of the row's code already.
+
     report is the analyser's JSON for the row (a column of the table, or analyser_report); without one it is skipped.
     """
     text = F.coalesce(F.col(code), F.lit(""))
@@ -89,7 +91,7 @@ def detect(rows: DataFrame, code: str = "code", mode: str = "or", use_rules: boo
     told = told.withColumn("violations", rules.rule_hits(text) if use_rules else F.array().cast("array<string>"))
     told = told.withColumn("rule_based_detected", F.size("violations") > 0)
     if use_taint:
-        told = told.withColumn("taint", taint.taint_column(text))
+        told = told.withColumn("taint", taint.taint_column(text) if known is None else known)
     else:
         told = told.withColumn("taint", F.expr("named_struct('is_vulnerable', false, 'taint_flows_detected', 0, 'details', array(), 'error', cast(null as string))"))
     flags = [F.col("analyser_b608"), F.col("analyser_detected"), F.col("rule_based_detected"), F.col("taint.is_vulnerable")]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkward.functions import pyast
+from sparkward.functions import once, pyast, taint
 from sparkward.functions import text as T
 from sparkward.operators import detection
 from sparkward.operators import metrics as M
@@ -31,10 +31,15 @@ def verdict_rows(outputs: DataFrame, samples: DataFrame, *, ordinal: str = "samp
     named = {"attack_type": kind, "vulnerability_type": F.coalesce(F.col("vulnerability_type"), kind) if "vulnerability_type" in have else kind}
     named |= {n: F.col(n) if n in have else F.lit(None).cast("string") for n in ("difficulty", "task_type")}
     tagged = samples.select(ordinal, F.col("id").cast("string").alias("id"), "prompt", "expected_vulnerable", *(F.coalesce(T.blank_to_null(c.cast("string")), F.lit("unknown")).alias(n) for n, c in named.items()))
-    met = outputs.join(tagged, ordinal)
-    extracted = met.withColumn("extracted", pyast.extract_column(F.col("raw_output")))
-    rows = extracted.withColumns({"code": F.coalesce("extracted.code", F.lit("")), "invalid_extraction": F.col("extracted.code").isNull(), "extraction_source": F.col("extracted.source")}).drop("extracted")
-    told = detection.detect(rows, mode=mode, use_rules=use_rules, use_taint=use_taint, report=report)
+
+    def read(kinds: DataFrame) -> DataFrame:
+        x = kinds.withColumn("extracted", pyast.extract_column(F.col("raw_output")))
+        code = x.withColumns({"code": F.coalesce("extracted.code", F.lit("")), "invalid_extraction": F.col("extracted.code").isNull(), "extraction_source": F.col("extracted.source")}).drop("extracted")
+        return code.withColumn("known", taint.taint_column(F.col("code"))) if use_taint else code
+
+    # equal answers are read once, before they meet their samples
+    answers = once.of_each(outputs.withColumn("raw_output", F.col("raw_output").cast("string")), ["raw_output"], read)
+    told = detection.detect(answers.join(tagged, ordinal), mode=mode, use_rules=use_rules, use_taint=use_taint, report=report, known=F.col("known") if use_taint else None)
     valid = ~F.col("invalid_extraction")
     none = F.array().cast("array<string>")
     flags = {n: valid & F.col(c) for n, c in (("bandit_detected", "analyser_detected"), ("bandit_b608", "analyser_b608"), ("rule_based_detected", "rule_based_detected"))}
