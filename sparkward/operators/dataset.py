@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -102,17 +104,30 @@ def tier_of(attack: Column) -> Column:
     return out.otherwise(F.lit("hard"))
 
 
+def first_of_tiers(rows: DataFrame, tier: str, order: list[Column], k: int, shares: dict[str, float]) -> DataFrame:
+    """The first k rows of each tier that has a share, and the first k of all others together.
+
+    A sort with a limit keeps k rows in each task before any of them meet. The filter on a window's rank does so only up to
+    a thousand rows; beyond that a tier would go to one task as a whole.
+    """
+    known = F.col(tier).isin(*shares)
+    parts = [rows.where(F.col(tier) == t) for t in shares] + [rows.where(F.coalesce(~known, F.lit(True)))]
+    return reduce(DataFrame.unionByName, (p.orderBy(*order).limit(k) for p in parts))
+
+
 def tier_sample(rows: DataFrame, tier: str, order: list[Column], total: int, shares: dict[str, float] = TIER_SHARES) -> DataFrame:
     """At most share * total rows of each tier in the given order, then topped up to total from the rest in that order.
 
-    Row limits of ranks are applied in each task before the shuffle, so a tier of any size sends few rows.
+    Rows are limited in each task before they meet, so a tier of any size sends few of them. A tier without a share only
+    tops up.
     """
     quota = None
     for t, s in shares.items():
         n = int(s * total)
         quota = F.when(F.col(tier) == t, F.lit(n)) if quota is None else quota.when(F.col(tier) == t, F.lit(n))
     most = max(total, 1)
-    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(tier).orderBy(*order))).where(F.col("__rank") <= most)
+    first = first_of_tiers(rows, tier, order, most, shares)
+    ranked = first.withColumn("__rank", F.row_number().over(Window.partitionBy(tier).orderBy(*order)))
     ranked = ranked.withColumn("picked", F.coalesce(F.col("__rank") <= quota, F.lit(False)))
     # the table is now of at most total rows for each tier
     chosen = ranked.withColumn("__final", F.row_number().over(Window.orderBy(F.desc("picked"), *order)))

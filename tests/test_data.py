@@ -348,3 +348,21 @@ def test_exact_overlap_by_all_pairs(spark, k):
     pairs = sorted(((len(sets[i] & sets[j]) / len(sets[i] | sets[j]), i, j) for i in sets for j in sets if i < j and sets[i] & sets[j]), key=lambda p: (-p[0], p[1], p[2]))
     got = diversity.exact_overlap(spark, spark.createDataFrame(rows, "i long, t string"), "i", F.col("t"), k).collect()
     assert sorted(((r["overlap"], r["i"], r["j"]) for r in got), key=lambda p: (-p[0], p[1], p[2])) == pairs[:k]
+
+
+def test_exact_overlap_of_many_copies(spark, monkeypatch):
+    """The copies of a text are not expanded into all pairs: of 40 texts 400 times over, few pairs are listed."""
+    listed = []
+    monkeypatch.setattr(diversity, "written", lambda spark, rows, name: listed.append((name, rows)) or rows)
+    rows = spark.range(16_000, numPartitions=4).select(F.col("id").alias("i"), F.concat(F.lit("w"), F.col("id") % 40, F.lit(" of")).alias("t"))
+    got = [(r["i"], r["j"], r["overlap"]) for r in diversity.exact_overlap(spark, rows, "i", F.col("t"), 50).collect()]
+    assert got == [(0, 40 * x, 1.0) for x in range(1, 51)]
+    assert [name for name, _ in listed][-1] == "own"  # no pair of unequal texts was looked for
+
+
+def test_rows_of_tiers_are_limited_in_each_task(spark):
+    rows = spark.range(5000, numPartitions=4).select("id", F.when(F.col("id") % 5 == 0, "easy").when(F.col("id") % 5 == 1, "other").otherwise("hard").alias("tier"))
+    made = dataset.tier_sample(rows, "tier", [F.col("id")], 2000)
+    assert made._jdf.queryExecution().executedPlan().toString().count("TakeOrderedAndProject") >= 3  # no row is medium
+    got = {r["tier"]: r["n"] for r in made.groupBy("tier").agg(F.count("*").alias("n")).collect()}
+    assert sum(got.values()) == 2000 and got["easy"] >= 600 and got["hard"] >= 600
