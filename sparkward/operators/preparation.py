@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 from os.path import commonprefix
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
@@ -102,29 +102,41 @@ def pair_ids(prompt: str, chosen: str, rejected: str, encode: Encode, end: str,
     return head, *tails, None, added
 
 
+IDS = pa.list_(pa.int32())
+#: Rows whose ids a worker holds as lists at a time.
+SLICE = 256
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows: ids take many times the memory of their texts."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 def tokenise(rows: DataFrame, encode: Encode, longest: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns in keep, then input_ids and completion_mask of prompt and completion; encode(text, special) runs on workers."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            made = [masked_ids(p, c, encode, longest) for p, c in zip(f["prompt"], f["completion"], strict=True)]
-            yield f[list(keep)].assign(input_ids=[m[0] for m in made], completion_mask=[m[1] for m in made])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            made = [masked_ids(p, c, encode, longest) for p, c in zip(b["prompt"].to_pylist(), b["completion"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), *(pa.array([m[i] for m in made], IDS) for i in (0, 1))], [*keep, "input_ids", "completion_mask"])
 
     some = rows.select(*keep, "prompt", "completion")
     schema = T_.StructType([some.schema[c] for c in keep] + [T_.StructField(n, T_.ArrayType(T_.IntegerType())) for n in ("input_ids", "completion_mask")])
-    return some.mapInPandas(run, schema)
+    return some.mapInArrow(run, schema)
 
 
 def tokenise_pairs(rows: DataFrame, encode: Encode, end: str, longest_prompt: int | None, longest: int | None) -> DataFrame:
     """Ids of prompt, chosen and rejected, dropped (why, or null) and the number of end marks added."""
     names = ("prompt_ids", "chosen_ids", "rejected_ids", "dropped", "ends")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            made = [pair_ids(*t, encode, end, longest_prompt, longest) for t in zip(f["prompt"], f["chosen"], f["rejected"], strict=True)]
-            yield pd.DataFrame(made, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            made = [pair_ids(*t, encode, end, longest_prompt, longest) for t in zip(*(b[c].to_pylist() for c in ("prompt", "chosen", "rejected")), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], kind) for i, kind in enumerate((IDS, IDS, IDS, pa.string(), pa.int32()))], list(names))
 
-    return rows.select("prompt", "chosen", "rejected").mapInPandas(run, "prompt_ids array<int>, chosen_ids array<int>, rejected_ids array<int>, dropped string, ends int")
+    return rows.select("prompt", "chosen", "rejected").mapInArrow(run, "prompt_ids array<int>, chosen_ids array<int>, rejected_ids array<int>, dropped string, ends int")
 
 
 def pair_token_stats(ids: DataFrame) -> DataFrame:
@@ -176,13 +188,14 @@ def quota_of_tiers(pairs: DataFrame, ordinal: str, tier: str = "tier", total: in
     """pairs of the first rows of each tier, until int(share * total) pairs are reached.
 
     The quota is looked at before a row, not before a pair, so the last row may pass it. A row of a tier has at least one
-    pair, so only as many rows as the quota has pairs are ranked; these limits are applied in each task before the shuffle.
+    pair, so only as many rows as the quota has pairs are ranked, and they are limited in each task before they meet. Tiers
+    without a share have no quota.
     """
     quota = reduce(lambda q, s: q.when(F.col(tier) == s[0], int(s[1] * total)), shares.items(), F.when(F.lit(False), 0))
     most = max(int(s * total) for s in shares.values())
     order = Window.partitionBy(tier).orderBy(ordinal)
     rows = pairs.groupBy(tier, ordinal).agg(F.count("*").alias("__n"))
-    first = rows.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= most)
+    first = dataset.first_of_tiers(rows, tier, [F.col(ordinal)], most, shares)
     before = F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kept = first.withColumn("__before", before).where(F.col("__before") < quota).select(tier, ordinal)
     return pairs.join(kept, [tier, ordinal], "left_semi")

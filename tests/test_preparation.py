@@ -145,3 +145,15 @@ def test_generated_rows(spark):
     assert held.join(rows.select("instruction", "input"), ["instruction", "input"], "left_semi").count() == 0 and held.distinct().count() == 300
     four = generate.four_categories(spark, 40)
     assert four.count() == 40 and four.select("category").distinct().count() == 4
+
+
+def test_tokens_are_made_in_slices(spark):
+    """A worker holds the ids of few rows at a time."""
+    rows = spark.range(1500, numPartitions=1).select("id", F.lit("ask ").alias("prompt"), F.repeat(F.lit("x"), F.col("id").cast("int") % 7).alias("completion"))
+    ids = preparation.tokenise(rows, lambda text, special: list(text.encode()), 8, ("id",))
+    got = {r["id"]: (r["input_ids"], r["completion_mask"]) for r in ids.collect()}
+    assert all(len(a) == min(8, 4 + i % 7) == len(m) and sum(m) == max(i % 7, 1) for i, (a, m) in got.items())
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500))], ["id"])
+    assert [b.num_rows for b in preparation.slices([batch])] == [preparation.SLICE] * 5 + [1500 - 5 * preparation.SLICE]
