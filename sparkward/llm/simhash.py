@@ -8,8 +8,10 @@ interleaved blocks, one of which must agree as well, and what is still too large
 a tree of its own, and the other parts' fingerprints are sent to it as queries. Links leave a task as a spanning star for
 each connected set, at most one row for each row that came in, never as all pairs.
 
-similar_components links texts by a likeness of 0.8 on shingles of five words as well: shards hold the texts that share
-one of their least shingle hashes, trees with a wide radius find who has a neighbour, and their shingle sets decide.
+similar_components links texts by a likeness of 0.8 on shingles of five words as well. Shards hold the texts that share
+one of their least shingle hashes, trees with a wide radius find who has a neighbour, and their shingle sets decide: that
+is quick and connects most. What it missed is found exactly: texts of different components that share a shingle of their
+prefixes (without which no two sets are that like) and may be like enough by length and place are compared as well.
 """
 
 from __future__ import annotations
@@ -36,6 +38,9 @@ FINER = 5
 #: Links of similar texts: words of a shingle, likeness, least shingle hashes that make shards, radius, texts of a tree,
 #: bytes of shingle sets that are compared in one task, a row counting for so many more.
 WORDS, ALIKE, MARKS, WIDE, CROWD, GRAMS, ROW = 5, 0.8, 4, 16, 4096, 32 << 20, 2048
+#: Frequent shingles stand last in the order of the prefixes: from so many texts on, so many of them at most (others follow
+#: by hash; any one order of all texts gives the same links); counted in pieces of so many shingles, from so many in a piece on.
+FREQUENT, ORDERED, PIECE, IN_PIECE = 32, 1 << 17, 1 << 22, 4
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -372,14 +377,23 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def similar_edges(spark: SparkSession, nodes: DataFrame, prints: DataFrame) -> DataFrame:
-    """Edges (u, v) that span the texts connected by a likeness of ALIKE or more on sets of five-word shingles.
+def _sets(spark: SparkSession, wanted: DataFrame, nodes: DataFrame, prints: DataFrame, name: str) -> DataFrame:
+    """(node, grams) of the wanted nodes (each once), from the row that stands for each."""
+    stand, _ = base.written(spark, wanted.join(nodes, "node").select(F.col("node").alias("m"), F.col("keep.doc_id").alias("d"), F.col("keep.text_hash").alias("t")), f"{name}-nodes")
+    one = (F.col("node") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
+    sets = prints.select("node", "doc_id", "text_hash", "grams").join(stand, one, "left_semi").groupBy("node").agg(F.min("grams").alias("grams"))
+    return base.written(spark, sets, f"{name}-sets")[0]
+
+
+def quick_edges(spark: SparkSession, nodes: DataFrame, prints: DataFrame) -> DataFrame:
+    """Edges (u, v) between texts with a likeness of ALIKE or more on sets of five-word shingles: most, not all of them.
 
     nodes has (node, keep, fp, marks), a row for each different text, prints (node, doc_id, text_hash, grams). Two texts of
     that likeness share one of their MARKS least hashes but in one case of 5 ** MARKS, and are within WIDE bits but in
     under one of a hundred. A mark that more than CROWD texts share is dealt again by a second mark; what is crowded even
     so has no tree, and all of it is compared. Texts that have a neighbour meet with their shingle sets, and only these
     sets are shuffled: all of a shard in one task, or in salted parts that meet where they have more than GRAMS bytes.
+    Pairs without a shared mark, a second shared mark or so near a fingerprint are left to missed_edges.
     """
     shards = nodes.select("node", "fp", "marks", F.explode("marks").alias("key"))
     second = F.transform(F.filter("marks", lambda m: m > F.col("key")), lambda m: F.xxhash64("key", m))
@@ -389,27 +403,201 @@ def similar_edges(spark: SparkSession, nodes: DataFrame, prints: DataFrame) -> D
     trees = rows.where("not crowded").select("key", "node", "fp").repartition("key").sortWithinPartitions("key")
     near = trees.mapInArrow(_neighbours, "key long, node long").unionByName(rows.where("crowded").select("key", "node"))
     near, _ = base.written(spark, near, "neighbours")
-    stand, _ = base.written(spark, near.select("node").distinct().join(nodes, "node").select(F.col("node").alias("m"), F.col("keep.doc_id").alias("d"), F.col("keep.text_hash").alias("t")), "near-nodes")
-    one = (F.col("node") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
-    sets = prints.select("node", "doc_id", "text_hash", "grams").join(stand, one, "left_semi").groupBy("node").agg(F.min("grams").alias("grams"))
-    sets, _ = base.written(spark, sets, "near-sets")
+    sets = _sets(spark, near.select("node").distinct(), nodes, prints, "near")
     sized = near.join(sets.select("node", (F.octet_length("grams").cast("long") + ROW).alias("n")), "node")
     dealt = _dealt(_with_size(spark, sized, GRAMS, F.sum("n")), "node").select("task", "side", "node")
     told = dealt.join(sets, "node").select("task", "side", "node", "grams")
     return told.repartition("task").sortWithinPartitions("task").mapInArrow(_verified, "u long, v long")
 
 
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, n) of the shingles that several texts of a piece of a task hold."""
+    held: list[np.ndarray] = []
+
+    def told() -> pa.RecordBatch:
+        gram, n = np.unique(np.concatenate(held), return_counts=True)
+        several = n >= IN_PIECE
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(gram[several].view(np.int32)), pa.array(n[several].astype(np.int64))], ["gram", "n"])
+
+    many = 0
+    for b in batches:
+        for grams in b.column(0).to_pylist():
+            held.append(np.frombuffer(grams, np.uint32))
+            many += len(held[-1])
+            if many >= PIECE:
+                yield told()
+                many = 0
+    if held:
+        yield told()
+
+
+def prefix_of(grams: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first n - ceil(ALIKE * n) + 1 of n ascending grams, those in known (ascending) last, by their rank.
+
+    Two sets with a likeness of ALIKE or more have the first of their common grams in both prefixes.
+    """
+    n = len(grams)
+    k = n - int(np.ceil(ALIKE * n - 1e-9)) + 1
+    if not len(known):
+        return grams[:k]
+    at = np.searchsorted(known, grams)
+    at[at == len(known)] = 0
+    last = known[at] == grams
+    first = grams[~last][:k]
+    if len(first) == k:
+        return first
+    return np.concatenate((first, grams[last][np.argsort(rank[at[last]])][: k - len(first)]))
+
+
+def _prefixes(often):
+    """(gram, node, size, rest) of the prefix of each different text of a task; rest: grams from this one on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = often.value
+        done: set[int] = set()
+        for b in batches:
+            nodes, sizes, firsts = [], [], []
+            for node, grams in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if node not in done:
+                    done.add(node)
+                    nodes.append(node)
+                    sizes.append(len(grams) // 4)
+                    firsts.append(prefix_of(np.frombuffer(grams, np.uint32), known, rank))
+            if nodes:
+                count = np.array([len(x) for x in firsts])
+                size = np.repeat(np.array(sizes, np.int32), count)
+                place = np.arange(len(size)) - np.repeat(np.cumsum(count) - count, count)
+                columns = (np.concatenate(firsts).view(np.int32), np.repeat(np.array(nodes, np.int64), count), size, (size - place).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["gram", "node", "size", "rest"])
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by gram and node, those of grams that several nodes hold, each gram and node once."""
+    before, sent = None, False  # the last row so far, and whether it has left
+    for b in batches:
+        if not b.num_rows:
+            continue
+        some = pa.Table.from_batches([b] if before is None else [before, b]).combine_chunks()
+        gram, node = some.column(0).to_numpy(), some.column(1).to_numpy()
+        new = np.ones(len(gram), bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
+        rows = np.flatnonzero(new)
+        same = gram[rows[1:]] == gram[rows[:-1]]
+        several = np.zeros(len(rows), bool)
+        several[0] = sent
+        several[1:] |= same
+        several[:-1] |= same
+        leave = rows[several][1:] if sent else rows[several]
+        yield from some.take(pa.array(leave)).to_batches()
+        before, sent = some.slice(int(rows[-1]), 1).combine_chunks().to_batches()[0], bool(several[-1])
+
+
+def partners(task: np.ndarray, side: np.ndarray, size: np.ndarray, rest: np.ndarray, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one task and of different components that may have a likeness of ALIKE, in pieces of bounded size.
+
+    The rows of a task share a gram; where it is the first that both hold, they have at most the lesser rest in common,
+    and of sizes n and m they need ALIKE * (n + m) / (1 + ALIKE).
+    """
+    most = np.floor(rest * (1 + 1 / ALIKE) - size + 1e-6).astype(np.int64)  # size of a partner
+    _, group = np.unique(task, return_inverse=True)
+    key = (group.astype(np.int64) << 32) + size
+    order = np.argsort(key, kind="stable")
+    key, group = key[order], group[order].astype(np.int64)
+    low = np.arange(1, len(key) + 1)
+    count = np.searchsorted(key, (group << 32) + np.minimum(most[order], (1 << 32) - 1), side="right") - low
+    who = np.flatnonzero(count > 0)
+    low, count = low[who], count[who]
+    total = np.cumsum(count)
+    at = 0
+    while at < len(who):
+        done = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, done + FRONT, side="right")))
+        c = count[at:to]
+        a = order[np.repeat(who[at:to], c)]
+        b = order[np.repeat(low[at:to], c) + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)]
+        may = (component[a] != component[b]) & (size[a] <= most[b]) & ((side[a] != side[b]) | (side[a] == 0))
+        yield a[may], b[may]
+        at = to
+
+
+def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for some in _tasks(batches, GATHER):
+        task, side, node, size, rest, component = (some.column(i).to_numpy() for i in range(6))
+        for a, b in partners(task, side, size.astype(np.int64), rest.astype(np.int64), component):
+            u, v = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, v, task[a])], ["u", "v", "task"])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v) of the pairs of a task that are alike and not connected yet; its sets come before its pairs."""
+    now, sets, label = None, {}, {}
+
+    def top(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for b in batches:
+        found: list[tuple[int, int]] = []
+        for task, u, v, grams in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            if task != now:
+                now, sets, label = task, {}, {}
+            if grams is not None:
+                sets[u], label[u] = np.frombuffer(grams, np.uint32), u
+            elif top(u) != top(v):
+                both = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
+                if both >= ALIKE * (len(sets[u]) + len(sets[v]) - both) - 1e-9:
+                    label[top(u)] = top(v)
+                    found.append((u, v))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], ["u", "v"])
+
+
+def missed_edges(spark: SparkSession, prints: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges (u, v) that, with the components of members, span all texts connected by a likeness of ALIKE or more.
+
+    members has (node, component, keep), prints (node, doc_id, text_hash, grams). Every two texts so like share a gram of
+    their prefixes in any one order of the grams; frequent ones stand last. Of each gram the texts of different components
+    that can be like enough are paired, all of them: a gram of more than GRAMS bytes of sets is dealt to salted parts that
+    all meet. A pair is compared once, and a set goes once to each task that compares it. No pair is lost.
+    """
+    texts = prints.where(F.octet_length("grams") > 0).select("node", "grams")
+    counts = texts.select("grams").mapInArrow(_often, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    frequent = np.array([r["gram"] for r in counts.orderBy(F.desc("n"), "gram").limit(ORDERED).collect()], np.int32).view(np.uint32)
+    by = np.argsort(frequent)
+    often = spark.sparkContext.broadcast((frequent[by], -by))  # the most frequent is the very last
+    kinds = "gram int, node long, size int, rest int"
+    prefixes = texts.mapInArrow(_prefixes(often), kinds).repartition("gram").sortWithinPartitions("gram", "node")
+    shared, _ = base.written(spark, prefixes.mapInArrow(_shared, kinds), "shared")
+    rows, _ = base.written(spark, shared.join(members.select("node", "component"), "node").withColumnRenamed("gram", "key"), "prefixes")
+    several, _ = base.written(spark, rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z").select("key"), "several")
+    rows = rows.join(several, "key", "left_semi")
+    dealt = _dealt(_with_size(spark, rows, GRAMS, F.sum(F.col("size").cast("long") * 4 + ROW)), "node")
+    dealt = dealt.select("task", "side", "node", "size", "rest", "component").repartition("task").sortWithinPartitions("task")
+    pairs, _ = base.written(spark, dealt.mapInArrow(_partners, "u long, v long, task long"), "partners")
+    pairs, _ = base.written(spark, pairs.groupBy("u", "v").agg(F.min("task").alias("task")), "pairs")
+    needs, _ = base.written(spark, pairs.select("task", F.col("u").alias("node")).unionByName(pairs.select("task", F.col("v").alias("node"))).distinct(), "needs")
+    sets = _sets(spark, needs.select("node").distinct(), members, prints, "partner")
+    told = needs.join(sets, "node").select("task", F.col("node").alias("u"), F.lit(None).cast("long").alias("v"), "grams")
+    told = told.unionByName(pairs.select("task", "u", "v", F.lit(None).cast("binary").alias("grams")))
+    return told.repartition("task").sortWithinPartitions("task", F.asc_nulls_first("v")).mapInArrow(_compared, "u long, v long")
+
+
 def similar_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, node) of each row, and (node, component, keep) of each different text.
 
     Texts of equal words are one node. Nodes are linked where their fingerprints are (within the radius, as op8 links
-    them) and where they are alike (similar_edges). keep is the least (doc_id, text_hash) of the component.
+    them) and where they are alike (quick_edges, and missed_edges for all others). keep is the least (doc_id, text_hash)
+    of the component.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     prints, _ = base.written(spark, rows.mapInArrow(_marked, "doc_id long, text_hash long, fp long, node long, marks array<long>, grams binary"), "marked")
     nodes, _ = base.written(spark, prints.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("keep"), F.min("fp").alias("fp"), F.min("marks").alias("marks")), "nodes")
-    alike, _ = base.written(spark, similar_edges(spark, nodes.where("size(marks) > 0"), prints), "alike")
+    alike, _ = base.written(spark, quick_edges(spark, nodes.where("size(marks) > 0"), prints), "alike")
     fps, _ = base.written(spark, nodes.groupBy("fp").agg(F.min("node").alias("stands")), "fps")
     linked, _ = base.written(spark, link_edges(spark, fps.select("fp"), radius), "links")
     by_print = nodes.join(fps, "fp").select(F.col("node").alias("u"), F.col("stands").alias("v"))
@@ -417,6 +605,12 @@ def similar_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     between = linked.join(ends[0], "u").join(ends[1], "v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
     sets = base.components(spark, by_print.unionByName(between).unionByName(alike))
     members, _ = base.written(spark, nodes.join(sets, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "keep"), "members")
+    missed, _ = base.written(spark, missed_edges(spark, prints, members), "missed")
+    if missed.head(1):
+        ends = [members.select(F.col("node").alias(x), F.col("component").alias(f"component_{x}")) for x in "uv"]
+        joined = missed.join(ends[0], "u").join(ends[1], "v").select(F.col("component_u").alias("u"), F.col("component_v").alias("v"))
+        joined = base.components(spark, joined).select(F.col("node").alias("component"), F.col("component").alias("low"))
+        members, _ = base.written(spark, members.join(joined, "component", "left").select("node", F.coalesce("low", "component").alias("component"), "keep"), "members")
     least, _ = base.written(spark, members.groupBy("component").agg(F.min("keep").alias("keep")), "least")
     found, _ = base.written(spark, members.select("node", "component").join(least, "component"), "similar")
     return prints.select("doc_id", "text_hash", "node"), found

@@ -383,6 +383,69 @@ def test_similar_texts_by_hand(spark, monkeypatch, crowd, grams):
     assert got == {i: int(x) for i, x in enumerate(label)}
 
 
+def far_pairs(rng, mark, shares, number):
+    """Pairs of texts with a likeness of exactly 0.8 that begin with the words of mark, which is among the least hashes
+    of both, share so many of these hashes, and whose fingerprints are further apart than op8 links."""
+    pairs = []
+    while len(pairs) < number:
+        words = mark.split() + [f"w{rng.randint(0, 10**6)}" for _ in range(24 - len(mark.split()))]
+        a, b = " ".join(words), " ".join(words + [f"w{rng.randint(0, 10**6)}" for _ in range(5)])
+        marks = [set(np.unique(simhash.shingle_hashes(simhash.words_of(x), 5))[: simhash.MARKS].tolist()) for x in (a, b)]
+        if len(marks[0] & marks[1]) == shares and (simhash.simhash(a) ^ simhash.simhash(b)).bit_count() > 4:
+            assert 5 * len(shingle_set(a) & shingle_set(b)) == 4 * len(shingle_set(a) | shingle_set(b))
+            pairs.append((a, b))
+    return pairs
+
+
+@pytest.mark.parametrize("grams", [1 << 25, 20_000])
+def test_similar_texts_without_a_second_mark(spark, monkeypatch, grams):
+    """Pairs whose only common mark is crowded, and pairs without a common mark, are linked as well."""
+    monkeypatch.setattr(simhash, "CROWD", 6)
+    monkeypatch.setattr(simhash, "GRAMS", grams)
+    monkeypatch.setattr(simhash, "FREQUENT", 4, raising=False)
+    rng = random.Random(12)
+    low = min((f"m{i} n o p q" for i in range(100_000)), key=lambda m: int(simhash.shingle_hashes(simhash.words_of(m), 5)[0]))
+    crowded, without = far_pairs(rng, low, 1, 12), far_pairs(rng, "", 0, 3)
+    texts = [x for p in crowded + without for x in p]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    label = components_by_hand(texts)
+    prints, found = simhash.similar_components(spark, docs)
+    got = {r["doc_id"]: r["keep"]["doc_id"] for r in prints.join(found, "node").collect()}
+    assert got == {i: int(x) for i, x in enumerate(label)} == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_prefixes_hold_a_common_gram():
+    """Sets with a likeness of 0.8 or more meet in their prefixes and are partners there, in any order of the grams."""
+    rng = np.random.default_rng(3)
+    met = 0
+    for _ in range(2000):
+        common, n = np.unique(rng.integers(0, 1 << 32, rng.integers(1, 80), dtype=np.uint32)), rng.integers(0, 12, 2)
+        sets = [np.unique(np.concatenate((common, rng.integers(0, 1 << 32, k, dtype=np.uint32)))) for k in n]
+        known = np.sort(rng.permutation(common)[: rng.integers(0, len(common) + 1)])
+        rank = rng.permutation(len(known))
+        first = [simhash.prefix_of(x, known, rank) for x in sets]
+        if 5 * len(np.intersect1d(*sets)) >= 4 * len(np.union1d(*sets)):
+            met += 1
+            gram = np.concatenate(first)
+            side, size = np.repeat([1, 2], [len(x) for x in first]), np.repeat([len(x) for x in sets], [len(x) for x in first])
+            rest = np.concatenate([len(x) - np.arange(len(f)) for x, f in zip(sets, first, strict=True)])
+            assert sum(len(a) for a, _ in simhash.partners(gram, side, size, rest, side))
+    assert met > 500
+
+
+def test_shared_rows_over_batches():
+    rng = np.random.default_rng(4)
+    for step in (1, 2, 5, 1000):
+        gram, node = np.array(sorted(zip(rng.integers(0, 200, 600), rng.integers(0, 12, 600), strict=True))).T
+        table = pa.table({"gram": gram.astype(np.int32), "node": node, "size": gram.astype(np.int32), "rest": node.astype(np.int32)})
+        got = [tuple(r.values())[:2] for b in simhash._shared(iter(table.to_batches(step))) for r in b.to_pylist()]
+        pairs = sorted(set(zip(gram.tolist(), node.tolist(), strict=True)))
+        count = {}
+        for g, _ in pairs:
+            count[g] = count.get(g, 0) + 1
+        assert got == [p for p in pairs if count[p[0]] > 1]
+
+
 def test_similar_texts_of_the_tables(spark):
     docs = base.table(spark, "/root/testdata/sf0.01", "documents")
     rows = sorted(docs.select("doc_id", "text").collect())
