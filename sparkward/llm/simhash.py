@@ -11,7 +11,8 @@ each connected set, at most one row for each row that came in, never as all pair
 similar_components links texts by a likeness of 0.8 on shingles of five words as well. Shards hold the texts that share
 one of their least shingle hashes, trees with a wide radius find who has a neighbour, and their shingle sets decide: that
 is quick and connects most. What it missed is found exactly: texts of different components that share a shingle of their
-prefixes (without which no two sets are that like) and may be like enough by length and place are compared as well.
+prefixes (without which no two sets are that like) and may be like enough by length, place and the parities of their grams
+are compared as well.
 """
 
 from __future__ import annotations
@@ -40,7 +41,9 @@ FINER = 5
 WORDS, ALIKE, MARKS, WIDE, CROWD, GRAMS, ROW = 5, 0.8, 4, 16, 4096, 32 << 20, 2048
 #: Frequent shingles stand last in the order of the prefixes: from so many texts on, so many of them at most (others follow
 #: by hash; any one order of all texts gives the same links); counted in pieces of so many shingles, from so many in a piece on.
-FREQUENT, ORDERED, PIECE, IN_PIECE = 32, 1 << 17, 1 << 22, 4
+FREQUENT, ORDERED, PIECE, IN_PIECE = 4, 1 << 17, 1 << 22, 2
+#: Parities of the grams of a text (a power of two, of eight bytes at least), pairs whose parities are compared at once.
+PARITIES, SLICE = 512, 1 << 16
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -285,21 +288,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def parities_of(grams: np.ndarray) -> bytes:
+    """For each of PARITIES sets of grams, whether a text holds an odd number of them.
+
+    Of two texts no more parities differ than there are grams that only one of them holds.
+    """
+    return np.packbits(np.bincount(grams & np.uint32(PARITIES - 1), minlength=PARITIES) & 1).tobytes()
+
+
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text: fingerprint, hash of its words, least hashes of its shingles, and all of them in four bytes each."""
+    """Of each text: fingerprint, hash of its words, least hashes of its shingles, parities, and all of them in four bytes each."""
     import xxhash
 
     for b in batches:
-        rows: list[list] = [[], [], [], []]
+        rows: list[list] = [[], [], [], [], []]
         for text in b.column(1).to_pylist():
             words = words_of(text)
             found = np.unique(shingle_hashes(words, WORDS))
             sets = np.unique((found >> np.uint64(32)).astype(np.uint32))
-            row = (_signed(fingerprint_of(shingle_hashes(words, SHINGLE))), _signed(xxhash.xxh64_intdigest(b" ".join(words))), found[:MARKS].view(np.int64).tolist(), sets.tobytes())
+            row = (_signed(fingerprint_of(shingle_hashes(words, SHINGLE))), _signed(xxhash.xxh64_intdigest(b" ".join(words))), found[:MARKS].view(np.int64).tolist(), parities_of(sets), sets.tobytes())
             for c, v in zip(rows, row, strict=True):
                 c.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], ["doc_id", "text_hash", "fp", "node", "marks", "grams"])
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], ["doc_id", "text_hash", "fp", "node", "marks", "parities", "grams"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -495,11 +506,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, sent = some.slice(int(rows[-1]), 1).combine_chunks().to_batches()[0], bool(several[-1])
 
 
-def partners(task: np.ndarray, side: np.ndarray, size: np.ndarray, rest: np.ndarray, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def partners(
+    task: np.ndarray, side: np.ndarray, size: np.ndarray, rest: np.ndarray, component: np.ndarray, parities: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one task and of different components that may have a likeness of ALIKE, in pieces of bounded size.
 
     The rows of a task share a gram; where it is the first that both hold, they have at most the lesser rest in common,
-    and of sizes n and m they need ALIKE * (n + m) / (1 + ALIKE).
+    and of sizes n and m they need ALIKE * (n + m) / (1 + ALIKE). What only one of them holds is then at most
+    (n + m) * (1 - ALIKE) / (1 + ALIKE), and no more of their parities (a row of words for each) may differ.
     """
     most = np.floor(rest * (1 + 1 / ALIKE) - size + 1e-6).astype(np.int64)  # size of a partner
     _, group = np.unique(task, return_inverse=True)
@@ -519,14 +533,23 @@ def partners(task: np.ndarray, side: np.ndarray, size: np.ndarray, rest: np.ndar
         a = order[np.repeat(who[at:to], c)]
         b = order[np.repeat(low[at:to], c) + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)]
         may = (component[a] != component[b]) & (size[a] <= most[b]) & ((side[a] != side[b]) | (side[a] == 0))
-        yield a[may], b[may]
+        a, b = a[may], b[may]
+        if parities is not None:
+            may = np.ones(len(a), bool)
+            for i in range(0, len(a), SLICE):
+                x, y = a[i : i + SLICE], b[i : i + SLICE]
+                differ = np.bitwise_count(parities[x] ^ parities[y]).sum(axis=1, dtype=np.int64)
+                may[i : i + SLICE] = differ <= (size[x] + size[y]) * (1 - ALIKE) / (1 + ALIKE) + 1e-6
+            a, b = a[may], b[may]
+        yield a, b
         at = to
 
 
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for some in _tasks(batches, GATHER):
         task, side, node, size, rest, component = (some.column(i).to_numpy() for i in range(6))
-        for a, b in partners(task, side, size.astype(np.int64), rest.astype(np.int64), component):
+        parities = np.frombuffer(b"".join(some.column(6).to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
+        for a, b in partners(task, side, size.astype(np.int64), rest.astype(np.int64), component, parities):
             u, v = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, v, task[a])], ["u", "v", "task"])
 
@@ -559,14 +582,15 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def missed_edges(spark: SparkSession, prints: DataFrame, members: DataFrame) -> DataFrame:
     """Edges (u, v) that, with the components of members, span all texts connected by a likeness of ALIKE or more.
 
-    members has (node, component, keep), prints (node, doc_id, text_hash, grams). Every two texts so like share a gram of
-    their prefixes in any one order of the grams; frequent ones stand last. Of each gram the texts of different components
-    that can be like enough are paired, all of them: a gram of more than GRAMS bytes of sets is dealt to salted parts that
-    all meet. A pair is compared once, and a set goes once to each task that compares it. No pair is lost.
+    members has (node, component, keep, parities), prints (node, doc_id, text_hash, grams). Every two texts so like share a
+    gram of their prefixes in any one order of the grams; frequent ones stand last. Of each gram the texts of different
+    components that can be like enough are paired, all of them: a gram of more than GRAMS bytes of sets is dealt to salted
+    parts that all meet. The parities of the two texts are compared where they meet, so that few pairs leave the task. A pair
+    is compared once, and a set goes once to each task that compares it. No pair is lost.
     """
     texts = prints.where(F.octet_length("grams") > 0).select("node", "grams")
     counts = texts.select("grams").mapInArrow(_often, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    frequent = np.array([r["gram"] for r in counts.orderBy(F.desc("n"), "gram").limit(ORDERED).collect()], np.int32).view(np.uint32)
+    frequent = counts.orderBy(F.desc("n"), "gram").limit(ORDERED).toArrow().column("gram").to_numpy().view(np.uint32)
     by = np.argsort(frequent)
     often = spark.sparkContext.broadcast((frequent[by], -by))  # the most frequent is the very last
     kinds = "gram int, node long, size int, rest int"
@@ -576,7 +600,8 @@ def missed_edges(spark: SparkSession, prints: DataFrame, members: DataFrame) ->
     several, _ = base.written(spark, rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z").select("key"), "several")
     rows = rows.join(several, "key", "left_semi")
     dealt = _dealt(_with_size(spark, rows, GRAMS, F.sum(F.col("size").cast("long") * 4 + ROW)), "node")
-    dealt = dealt.select("task", "side", "node", "size", "rest", "component").repartition("task").sortWithinPartitions("task")
+    dealt = dealt.join(members.select("node", "parities"), "node").select("task", "side", "node", "size", "rest", "component", "parities")
+    dealt = dealt.repartition("task").sortWithinPartitions("task")
     pairs, _ = base.written(spark, dealt.mapInArrow(_partners, "u long, v long, task long"), "partners")
     pairs, _ = base.written(spark, pairs.groupBy("u", "v").agg(F.min("task").alias("task")), "pairs")
     needs, _ = base.written(spark, pairs.select("task", F.col("u").alias("node")).unionByName(pairs.select("task", F.col("v").alias("node"))).distinct(), "needs")
@@ -595,17 +620,19 @@ def similar_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    prints, _ = base.written(spark, rows.mapInArrow(_marked, "doc_id long, text_hash long, fp long, node long, marks array<long>, grams binary"), "marked")
-    nodes, _ = base.written(spark, prints.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("keep"), F.min("fp").alias("fp"), F.min("marks").alias("marks")), "nodes")
-    alike, _ = base.written(spark, quick_edges(spark, nodes.where("size(marks) > 0"), prints), "alike")
+    prints, _ = base.written(spark, rows.mapInArrow(_marked, "doc_id long, text_hash long, fp long, node long, marks array<long>, parities binary, grams binary"), "marked")
+    nodes, _ = base.written(spark, prints.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("keep"), F.min("fp").alias("fp"), F.min("marks").alias("marks"), F.min("parities").alias("parities")), "nodes")
+    with base.passing(spark):
+        alike, _ = base.written(spark, quick_edges(spark, nodes.where("size(marks) > 0"), prints), "alike", stays=True)
     fps, _ = base.written(spark, nodes.groupBy("fp").agg(F.min("node").alias("stands")), "fps")
     linked, _ = base.written(spark, link_edges(spark, fps.select("fp"), radius), "links")
     by_print = nodes.join(fps, "fp").select(F.col("node").alias("u"), F.col("stands").alias("v"))
     ends = [fps.select(F.col("fp").alias(x), F.col("stands").alias(f"node_{x}")) for x in "uv"]
     between = linked.join(ends[0], "u").join(ends[1], "v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
     sets = base.components(spark, by_print.unionByName(between).unionByName(alike))
-    members, _ = base.written(spark, nodes.join(sets, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "keep"), "members")
-    missed, _ = base.written(spark, missed_edges(spark, prints, members), "missed")
+    members, _ = base.written(spark, nodes.join(sets, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "keep", "parities"), "members")
+    with base.passing(spark):
+        missed, _ = base.written(spark, missed_edges(spark, prints, members), "missed", stays=True)
     if missed.head(1):
         ends = [members.select(F.col("node").alias(x), F.col("component").alias(f"component_{x}")) for x in "uv"]
         joined = missed.join(ends[0], "u").join(ends[1], "v").select(F.col("component_u").alias("u"), F.col("component_v").alias("v"))
@@ -619,12 +646,14 @@ def similar_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
 def keep_one(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """docs with one row of each component of similar_components: that of the least doc_id (of repeated ids, the least
     text hash, and of repeated rows one). Null and empty texts are one component."""
-    prints, found = similar_components(spark, docs, id_col=id_col, text_col=text_col, radius=radius)
-    keep, _ = base.written(spark, found.select("keep").distinct().select("keep.doc_id", "keep.text_hash"), "kept")
+    with base.passing(spark):
+        prints, found = similar_components(spark, docs, id_col=id_col, text_col=text_col, radius=radius)
+        keep, _ = base.written(spark, found.select("keep").distinct().select("keep.doc_id", "keep.text_hash"), "kept", stays=True)
+        again = prints.join(keep, (prints["doc_id"].eqNullSafe(keep["doc_id"])) & (prints["text_hash"] == keep["text_hash"]), "left_semi")
+        repeated = bool(again.groupBy("doc_id", "text_hash").count().where("count > 1").head(1))
     rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__hash": F.xxhash64(F.col(text_col).cast("string"))})
     stays = rows.join(keep.select(F.col("doc_id").alias("__id2"), F.col("text_hash").alias("__hash2")), (F.col("__id").eqNullSafe(F.col("__id2"))) & (F.col("__hash") == F.col("__hash2")), "left_semi")
-    again = prints.join(keep, (prints["doc_id"].eqNullSafe(keep["doc_id"])) & (prints["text_hash"] == keep["text_hash"]), "left_semi")
-    if again.groupBy("doc_id", "text_hash").count().where("count > 1").head(1):  # the kept row itself is repeated
+    if repeated:  # the kept row itself is repeated
         stays = stays.dropDuplicates(["__id", "__hash"])
     return stays.select(*docs.columns)
 

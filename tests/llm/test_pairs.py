@@ -433,6 +433,30 @@ def test_prefixes_hold_a_common_gram():
     assert met > 500
 
 
+def test_partners_by_parities():
+    """Pairs whose parities differ too much do not leave the task; none with a likeness of 0.8 or more is lost."""
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 1 << 32, 400, dtype=np.uint32)
+    sets = [np.unique(np.concatenate((common[: 400 - k], rng.integers(0, 1 << 32, k, dtype=np.uint32)))) for k in rng.integers(0, 300, 120)]
+    size, one = np.array([len(x) for x in sets]), np.zeros(len(sets), np.int64)
+    parities = np.frombuffer(b"".join(simhash.parities_of(x) for x in sets), np.uint64).reshape(len(sets), -1)
+    found = [{tuple(sorted(x)) for a, b in simhash.partners(one, one, size, size, np.arange(len(sets)), *more) for x in zip(a.tolist(), b.tolist(), strict=True)} for more in ((), (parities,))]
+    alike = {(i, j) for i, j in found[0] if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    assert 100 < len(alike) and alike <= found[1] and 2 * len(found[1]) < len(found[0])
+
+
+def test_near_duplicates_leave_no_scratch_tables(spark):
+    """Of the near-duplicate stage's tables only that of the kept rows stays for the stages after it."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} a b c d e f g h") for i in range(40)], "doc_id long, text string")
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base.scratch_root(spark))
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = lambda: {x.getPath().getName() for x in files.listStatus(root)} if files.exists(root) else set()
+    before = names()
+    kept = simhash.keep_one(spark, docs)
+    assert [x.split("-")[0] for x in names() - before] == ["kept"]
+    assert kept.count() == 7
+
+
 def test_shared_rows_over_batches():
     rng = np.random.default_rng(4)
     for step in (1, 2, 5, 1000):
