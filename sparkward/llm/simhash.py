@@ -12,7 +12,8 @@ similar_components links texts by a likeness of 0.8 on shingles of five words as
 one of their least shingle hashes, trees with a wide radius find who has a neighbour, and their shingle sets decide: that
 is quick and connects most. What it missed is found exactly: texts of different components that share a shingle of their
 prefixes (without which no two sets are that like) and may be like enough by length, place and the parities of their grams
-are compared as well.
+are compared as well. Long texts have more parities for that, which only the pairs that are still in doubt fetch. Sieves keep
+the shingle sets and texts at home that a join would shuffle only to drop or to keep them all.
 """
 
 from __future__ import annotations
@@ -42,8 +43,9 @@ WORDS, ALIKE, MARKS, WIDE, CROWD, GRAMS, ROW = 5, 0.8, 4, 16, 4096, 32 << 20, 20
 #: Frequent shingles stand last in the order of the prefixes: from so many texts on, so many of them at most (others follow
 #: by hash; any one order of all texts gives the same links); counted in pieces of so many shingles, from so many in a piece on.
 FREQUENT, ORDERED, PIECE, IN_PIECE = 4, 1 << 17, 1 << 22, 2
-#: Parities of the grams of a text (a power of two, of eight bytes at least), pairs whose parities are compared at once.
-PARITIES, SLICE = 512, 1 << 16
+#: Parities of the grams of a text (a power of two, of eight bytes at least), pairs whose parities are compared at once, most
+#: parities of a long text.
+PARITIES, SLICE, WIDEST = 512, 1 << 16, 1 << 16
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -288,29 +290,49 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def parities_of(grams: np.ndarray) -> bytes:
-    """For each of PARITIES sets of grams, whether a text holds an odd number of them.
+def parities_of(grams: np.ndarray, many: int = PARITIES) -> bytes:
+    """For each of so many sets of grams (a power of two), whether a text holds an odd number of them.
 
     Of two texts no more parities differ than there are grams that only one of them holds.
     """
-    return np.packbits(np.bincount(grams & np.uint32(PARITIES - 1), minlength=PARITIES) & 1).tobytes()
+    return np.packbits(np.bincount(grams & np.uint32(many - 1), minlength=many) & 1).tobytes()
+
+
+def wide_parities(grams: np.ndarray) -> bytes | None:
+    """As many parities as a text has grams, up to WIDEST; None where PARITIES are enough."""
+    many = min(WIDEST, 1 << (len(grams) - 1).bit_length()) if len(grams) else 0
+    return parities_of(grams, many) if many > PARITIES else None
+
+
+def parities_apart(a: bytes, b: bytes) -> int:
+    """How many parities of two texts differ; the longer row is folded to the length of the other."""
+    x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
+def may_differ(sizes: np.ndarray) -> np.ndarray:
+    """How many grams (and parities) of two sets with a likeness of ALIKE differ at most, by the sum of their sizes."""
+    return np.floor(sizes * (1 - ALIKE) / (1 + ALIKE) + 1e-6).astype(np.int64)
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text: fingerprint, hash of its words, least hashes of its shingles, parities, and all of them in four bytes each."""
+    """Of each text: fingerprint, hash of its words, least hashes of its shingles, parities (long texts: more of them as well),
+    and all of them in four bytes each."""
     import xxhash
 
     for b in batches:
-        rows: list[list] = [[], [], [], [], []]
+        rows: list[list] = [[], [], [], [], [], []]
         for text in b.column(1).to_pylist():
             words = words_of(text)
             found = np.unique(shingle_hashes(words, WORDS))
             sets = np.unique((found >> np.uint64(32)).astype(np.uint32))
-            row = (_signed(fingerprint_of(shingle_hashes(words, SHINGLE))), _signed(xxhash.xxh64_intdigest(b" ".join(words))), found[:MARKS].view(np.int64).tolist(), parities_of(sets), sets.tobytes())
+            row = (_signed(fingerprint_of(shingle_hashes(words, SHINGLE))), _signed(xxhash.xxh64_intdigest(b" ".join(words))), found[:MARKS].view(np.int64).tolist(), parities_of(sets), wide_parities(sets), sets.tobytes())
             for c, v in zip(rows, row, strict=True):
                 c.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], ["doc_id", "text_hash", "fp", "node", "marks", "parities", "grams"])
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], ["doc_id", "text_hash", "fp", "node", "marks", "parities", "wide", "grams"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,12 +410,18 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def _sets(spark: SparkSession, wanted: DataFrame, nodes: DataFrame, prints: DataFrame, name: str) -> DataFrame:
-    """(node, grams) of the wanted nodes (each once), from the row that stands for each."""
-    stand, _ = base.written(spark, wanted.join(nodes, "node").select(F.col("node").alias("m"), F.col("keep.doc_id").alias("d"), F.col("keep.text_hash").alias("t")), f"{name}-nodes")
-    one = (F.col("node") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
-    sets = prints.select("node", "doc_id", "text_hash", "grams").join(stand, one, "left_semi").groupBy("node").agg(F.min("grams").alias("grams"))
-    return base.written(spark, sets, f"{name}-sets")[0]
+def _sets(spark: SparkSession, wanted: DataFrame, nodes: DataFrame, prints: DataFrame, name: str, column: str = "grams") -> DataFrame:
+    """(node, grams or another column) of the wanted nodes (each once), from the row that stands for each.
+
+    The sieve lets few other rows be shuffled; the keys of the join are those of the grouping.
+    """
+    key = lambda doc_id, text_hash: [F.coalesce(doc_id, F.lit(0)).alias("d"), F.isnull(doc_id).alias("none"), F.col(text_hash).alias("t")]
+    stand, _ = base.written(spark, wanted.join(nodes, "node").select("node", *key("keep.doc_id", "keep.text_hash")), f"{name}-nodes")
+    keys = ["node", "d", "none", "t"]
+    held = base.sieve(spark, stand.select(F.xxhash64(*keys)))
+    rows = prints.select("node", *key("doc_id", "text_hash"), column)
+    sets = rows.where(held(F.xxhash64(*keys))).join(stand, keys, "left_semi").groupBy(*keys).agg(F.min(column).alias(column))
+    return base.written(spark, sets.select("node", column), f"{name}-sets")[0]
 
 
 def quick_edges(spark: SparkSession, nodes: DataFrame, prints: DataFrame) -> DataFrame:
@@ -539,19 +567,37 @@ def partners(
             for i in range(0, len(a), SLICE):
                 x, y = a[i : i + SLICE], b[i : i + SLICE]
                 differ = np.bitwise_count(parities[x] ^ parities[y]).sum(axis=1, dtype=np.int64)
-                may[i : i + SLICE] = differ <= (size[x] + size[y]) * (1 - ALIKE) / (1 + ALIKE) + 1e-6
+                may[i : i + SLICE] = differ <= may_differ(size[x] + size[y])
             a, b = a[may], b[may]
         yield a, b
         at = to
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task that are in any of its pairs, by lengths, places and components."""
+    for some in _tasks(batches, GATHER):
+        task, side, _, size, rest, component = (some.column(i).to_numpy() for i in range(6))
+        met = np.zeros(len(task), bool)
+        for a, b in partners(task, side, size.astype(np.int64), rest.astype(np.int64), component):
+            met[a] = met[b] = True
+        yield from some.filter(pa.array(met)).combine_chunks().to_batches()
+
+
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for some in _tasks(batches, GATHER):
         task, side, node, size, rest, component = (some.column(i).to_numpy() for i in range(6))
         parities = np.frombuffer(b"".join(some.column(6).to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
         for a, b in partners(task, side, size.astype(np.int64), rest.astype(np.int64), component, parities):
             u, v = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, v, task[a])], ["u", "v", "task"])
+            most = may_differ(size[a].astype(np.int64) + size[b])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, v, task[a], most)], ["u", "v", "task", "most"])
+
+
+def _in_doubt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v, task) of the pairs that may be alike by as many parities as long texts have."""
+    for b in batches:
+        may = [x is None or y is None or parities_apart(x, y) <= most for most, x, y in zip(*(b.column(i).to_pylist() for i in range(3, 6)), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(may, pa.bool_())) for i in range(3)], ["u", "v", "task"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -585,8 +631,9 @@ def missed_edges(spark: SparkSession, prints: DataFrame, members: DataFrame) ->
     members has (node, component, keep, parities), prints (node, doc_id, text_hash, grams). Every two texts so like share a
     gram of their prefixes in any one order of the grams; frequent ones stand last. Of each gram the texts of different
     components that can be like enough are paired, all of them: a gram of more than GRAMS bytes of sets is dealt to salted
-    parts that all meet. The parities of the two texts are compared where they meet, so that few pairs leave the task. A pair
-    is compared once, and a set goes once to each task that compares it. No pair is lost.
+    parts that all meet. Texts that meet none there leave no row. The parities of the others are compared where they meet, so
+    that few pairs leave the task, and the more parities of long texts after that. A pair is compared once, and a set goes
+    once to each task that compares it. No pair is lost.
     """
     texts = prints.where(F.octet_length("grams") > 0).select("node", "grams")
     counts = texts.select("grams").mapInArrow(_often, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
@@ -597,13 +644,22 @@ def missed_edges(spark: SparkSession, prints: DataFrame, members: DataFrame) ->
     prefixes = texts.mapInArrow(_prefixes(often), kinds).repartition("gram").sortWithinPartitions("gram", "node")
     shared, _ = base.written(spark, prefixes.mapInArrow(_shared, kinds), "shared")
     rows, _ = base.written(spark, shared.join(members.select("node", "component"), "node").withColumnRenamed("gram", "key"), "prefixes")
-    several, _ = base.written(spark, rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z").select("key"), "several")
-    rows = rows.join(several, "key", "left_semi")
-    dealt = _dealt(_with_size(spark, rows, GRAMS, F.sum(F.col("size").cast("long") * 4 + ROW)), "node")
-    dealt = dealt.join(members.select("node", "parities"), "node").select("task", "side", "node", "size", "rest", "component", "parities")
+    cost = F.sum(F.col("size").cast("long") * 4 + ROW)
+    several = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("z"), cost.alias("n")).where("a <> z")
+    several, _ = base.written(spark, several.select("key", F.ceil(F.col("n") / GRAMS).cast("int").alias("parts")), "several")
+    dealt = _dealt(rows.join(several, "key"), "node").select("task", "side", "node", "size", "rest", "component")
+    met = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_met, dealt.schema)
+    met, _ = base.written(spark, met, "met")
+    dealt = met.join(members.select("node", "parities"), "node").select("task", "side", "node", "size", "rest", "component", "parities")
     dealt = dealt.repartition("task").sortWithinPartitions("task")
-    pairs, _ = base.written(spark, dealt.mapInArrow(_partners, "u long, v long, task long"), "partners")
-    pairs, _ = base.written(spark, pairs.groupBy("u", "v").agg(F.min("task").alias("task")), "pairs")
+    pairs, _ = base.written(spark, dealt.mapInArrow(_partners, "u long, v long, task long, most long"), "partners")
+    pairs, _ = base.written(spark, pairs.groupBy("u", "v").agg(F.min("task").alias("task"), F.min("most").alias("most")), "pairs")
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    wide = _sets(spark, ends, members, prints, "wide", "wide")
+    for x in "uv":
+        pairs = pairs.join(wide.select(F.col("node").alias(x), F.col("wide").alias(f"wide_{x}")), x)
+    pairs = pairs.select("u", "v", "task", "most", "wide_u", "wide_v").mapInArrow(_in_doubt, "u long, v long, task long")
+    pairs, _ = base.written(spark, pairs, "in-doubt")
     needs, _ = base.written(spark, pairs.select("task", F.col("u").alias("node")).unionByName(pairs.select("task", F.col("v").alias("node"))).distinct(), "needs")
     sets = _sets(spark, needs.select("node").distinct(), members, prints, "partner")
     told = needs.join(sets, "node").select("task", F.col("node").alias("u"), F.lit(None).cast("long").alias("v"), "grams")
@@ -620,7 +676,7 @@ def similar_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    prints, _ = base.written(spark, rows.mapInArrow(_marked, "doc_id long, text_hash long, fp long, node long, marks array<long>, parities binary, grams binary"), "marked")
+    prints, _ = base.written(spark, rows.mapInArrow(_marked, "doc_id long, text_hash long, fp long, node long, marks array<long>, parities binary, wide binary, grams binary"), "marked")
     nodes, _ = base.written(spark, prints.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("keep"), F.min("fp").alias("fp"), F.min("marks").alias("marks"), F.min("parities").alias("parities")), "nodes")
     with base.passing(spark):
         alike, _ = base.written(spark, quick_edges(spark, nodes.where("size(marks) > 0"), prints), "alike", stays=True)
@@ -648,11 +704,18 @@ def keep_one(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", te
     text hash, and of repeated rows one). Null and empty texts are one component."""
     with base.passing(spark):
         prints, found = similar_components(spark, docs, id_col=id_col, text_col=text_col, radius=radius)
-        keep, _ = base.written(spark, found.select("keep").distinct().select("keep.doc_id", "keep.text_hash"), "kept", stays=True)
-        again = prints.join(keep, (prints["doc_id"].eqNullSafe(keep["doc_id"])) & (prints["text_hash"] == keep["text_hash"]), "left_semi")
-        repeated = bool(again.groupBy("doc_id", "text_hash").count().where("count > 1").head(1))
+        keep = found.select("keep").distinct().select("keep.doc_id", "keep.text_hash")
+        keep, _ = base.written(spark, keep, "keep")
+        same = prints["doc_id"].eqNullSafe(keep["doc_id"]) & (prints["text_hash"] == keep["text_hash"])
+        repeated = bool(prints.join(keep, same, "left_semi").groupBy("doc_id", "text_hash").count().where("count > 1").head(1))
+        # most rows stay: those that go are told, and only what the sieve takes for one of them is shuffled with its text
+        gone, _ = base.written(spark, prints.select("doc_id", "text_hash").join(keep, same, "left_anti"), "kept-not", stays=True)
+    mark = lambda doc_id, text_hash: F.xxhash64(F.coalesce(doc_id, F.lit(0)), text_hash)
     rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__hash": F.xxhash64(F.col(text_col).cast("string"))})
-    stays = rows.join(keep.select(F.col("doc_id").alias("__id2"), F.col("text_hash").alias("__hash2")), (F.col("__id").eqNullSafe(F.col("__id2"))) & (F.col("__hash") == F.col("__hash2")), "left_semi")
+    held = base.sieve(spark, gone.select(mark("doc_id", "text_hash")))(mark("__id", "__hash"))
+    gone = gone.select(F.col("doc_id").alias("__id2"), F.col("text_hash").alias("__hash2"))
+    taken = rows.where(held).join(gone, (F.col("__id").eqNullSafe(F.col("__id2"))) & (F.col("__hash") == F.col("__hash2")), "left_anti")
+    stays = rows.where(~held).unionByName(taken)
     if repeated:  # the kept row itself is repeated
         stays = stays.dropDuplicates(["__id", "__hash"])
     return stays.select(*docs.columns)

@@ -445,6 +445,58 @@ def test_partners_by_parities():
     assert 100 < len(alike) and alike <= found[1] and 2 * len(found[1]) < len(found[0])
 
 
+def test_long_texts_by_more_parities():
+    """Of sets so large that PARITIES say nothing, the wide ones part most pairs, and none with a likeness of 0.8 or more."""
+    rng = np.random.default_rng(6)
+    common = rng.integers(0, 1 << 32, 9000, dtype=np.uint32)
+    sets = [np.unique(np.concatenate((common[: n - k], rng.integers(0, 1 << 32, k, dtype=np.uint32)))) for n, k in zip(rng.integers(3500, 9000, 60), rng.integers(0, 3000, 60), strict=True)]
+    one, wide = [simhash.parities_of(x) for x in sets], [simhash.wide_parities(x) for x in sets]
+    assert len({len(x) for x in wide}) == 3 and simhash.wide_parities(common[:512]) is None and simhash.wide_parities(common[:0]) is None
+    alike, narrow, left = 0, 0, 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            most = simhash.may_differ(np.array([len(x) + len(y)]))[0]
+            like = 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y))
+            apart = simhash.parities_apart(wide[i], wide[j])
+            assert apart <= len(np.setxor1d(x, y)) and (not like or apart <= most)
+            alike, narrow, left = alike + like, narrow + (simhash.parities_apart(one[i], one[j]) <= most), left + (apart <= most)
+    assert alike > 20 and narrow == 60 * 59 // 2 and left < narrow / 2
+
+
+def test_rows_that_meet_no_partner_stay():
+    """A row that no other of its task can be like enough to leaves none; those of possible pairs all leave."""
+    task, size = np.repeat(np.arange(200), 3), np.random.default_rng(7).integers(50, 200, 600)
+    rest, component = size - size // 20, np.tile([0, 0, 1], 200)
+    names = ["task", "side", "node", "size", "rest", "component"]
+    table = pa.table([task, np.zeros(600, np.int64), np.arange(600), size.astype(np.int32), rest.astype(np.int32), component], names)
+    got = [r["node"] for b in simhash._met(iter(table.to_batches(100))) for r in b.to_pylist()]
+    pairs = [(i, j) for i in range(600) for j in range(600) if i // 3 == j // 3 and component[i] != component[j] and max(size[i], size[j]) * 9 + 1e-6 <= 9 * (1 + 1e-9) * min(rest[i] * 2.25 - size[i], rest[j] * 2.25 - size[j])]
+    assert set(got) >= {x for p in pairs for x in p} and 50 < len(got) < 500 and got == sorted(set(got))
+
+
+def test_sieve(spark):
+    hashes = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    held = base.sieve(spark, hashes)
+    assert hashes.where(held(F.col("h"))).count() == 5000
+    assert spark.range(5000, 25_000).where(held(F.xxhash64("id"))).count() < 1000
+    assert spark.range(10).where(base.sieve(spark, hashes.limit(0))(F.col("id"))).count() == 0
+
+
+def test_kept_texts_are_not_shuffled(spark):
+    """Only rows that may go are sent to the join which decides, whatever the size of what stays."""
+    text = lambda k: " ".join(f"w{k * 31 + j}" for j in range(30))
+    docs = spark.createDataFrame([(i, text(i // 2)) for i in range(60)] + [(None, "x"), (None, "y"), (None, "y")], "doc_id long, text string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.keep_one(spark, docs)
+        plan = kept._jdf.queryExecution().toString()
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([*((2 * i, text(i)) for i in range(30)), (None, "x"), (None, "y")], key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "Union" in plan and "LeftAnti" in plan and "LeftSemi" not in plan
+
+
 def test_near_duplicates_leave_no_scratch_tables(spark):
     """Of the near-duplicate stage's tables only that of the kept rows stays for the stages after it."""
     docs = spark.createDataFrame([(i, f"w{i % 7} a b c d e f g h") for i in range(40)], "doc_id long, text string")
