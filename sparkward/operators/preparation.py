@@ -68,14 +68,16 @@ def prompt_end(head: list[int], ids: list[int]) -> int:
     return len(commonprefix([head, ids])) if len(head) <= len(ids) else max(1, len(ids) // 2)
 
 
-def masked_ids(prompt: str, completion: str, encode: Encode, longest: int) -> tuple[list[int], list[int]]:
+def masked_ids(prompt: str, completion: str, encode: Encode, longest: int, always: bool = True) -> tuple[list[int], list[int]]:
     """Ids of both texts together and 1 for those after the prompt; the last `longest` stay, at least one of them a 1.
 
-    Where the prompt's own ids are no beginning of the whole, the longest common beginning is the prompt.
+    Where the prompt's own ids are no beginning of the whole, the longest common beginning is the prompt. Unless always,
+    a whole that is not cut and ends with its prompt has no 1.
     """
     ids = encode(prompt + completion, True)
     cut = max(0, len(ids) - longest)
-    edge = min(max(prompt_end(encode(prompt, True), ids) - cut, 0), len(ids) - cut - 1)
+    edge = max(prompt_end(encode(prompt, True), ids) - cut, 0)
+    edge = min(edge, len(ids) - cut - 1) if always or cut else edge
     return ids[cut:], [int(at >= edge) for at in range(len(ids) - cut)]
 
 
@@ -114,12 +116,15 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(at, SLICE)
 
 
-def tokenise(rows: DataFrame, encode: Encode, longest: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns in keep, then input_ids and completion_mask of prompt and completion; encode(text, special) runs on workers."""
+def tokenise(rows: DataFrame, encode: Encode, longest: int, keep: tuple[str, ...] = (), always: bool = True) -> DataFrame:
+    """The columns in keep, then input_ids and completion_mask of prompt and completion; encode(text, special) runs on workers.
+
+    always: as in masked_ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            made = [masked_ids(p, c, encode, longest) for p, c in zip(b["prompt"].to_pylist(), b["completion"].to_pylist(), strict=True)]
+            made = [masked_ids(p, c, encode, longest, always) for p, c in zip(b["prompt"].to_pylist(), b["completion"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), *(pa.array([m[i] for m in made], IDS) for i in (0, 1))], [*keep, "input_ids", "completion_mask"])
 
     some = rows.select(*keep, "prompt", "completion")

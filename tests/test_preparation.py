@@ -25,6 +25,12 @@ def test_masks():
     assert preparation.masked_ids("ab", "c|d", merged, 9) == ([1, 3, 1], [0, 1, 1])  # the border moved into the prompt
 
 
+def test_masks_of_wholes_that_are_not_cut():
+    assert preparation.masked_ids("ab", "", encode, 9, always=False) == ([256, 97, 98], [0, 0, 0])
+    assert preparation.masked_ids("ab", "", encode, 2, always=False) == ([97, 98], [0, 1])
+    assert preparation.masked_ids("ab", "c", encode, 9, always=False) == preparation.masked_ids("ab", "c", encode, 9)
+
+
 def test_pair_ids():
     assert preparation.pair_ids("p", "a", "b</s>", encode, "</s>", None, None)[3:] == (None, 1)
     head, chosen, rejected, why, _ = preparation.pair_ids("prompt", "aa", "bbbb", encode, "", 3, 5)
